@@ -88,6 +88,86 @@ _EXPAND = {
 }
 
 
+_TOK = "regexp_extract_all(lower(strip_accents({0})), '[a-z]+')"
+
+_QUERIES = {
+    "title_q": """
+  SELECT item_id AS query_id, text AS q FROM benchmark""",
+    "search_q": """
+  SELECT item_id AS query_id, text AS q FROM benchmark
+  UNION ALL
+  SELECT 1000000000000 + doc_id AS query_id,
+    ' ' || upper('https://doi.org/10.' || (1000 + doc_id % 9000) || '/d_' || doc_id) || ' ' AS q
+  FROM documents""",
+    "substr_q": """
+  SELECT item_id AS query_id, split_part(text, '.', 1) AS q FROM benchmark""",
+    "word_q": """
+  SELECT item_id * 100000 + pos AS query_id, q FROM (
+    SELECT item_id, unnest(string_split(text, ' ')) AS q,
+      unnest(range(len(string_split(text, ' ')))) AS pos FROM benchmark)""",
+}
+
+_INDEX = {
+    "docs_i": f"""
+  SELECT id, {_TOK.format('title')} AS toks FROM works_v WHERE title IS NOT NULL""",
+    "stats_i": """
+  SELECT count(*) AS n_docs, avg(len(toks)) AS avgdl FROM docs_i""",
+    "tf_i": """
+  SELECT term, id, count(*) AS tf, CAST(any_value(doc_len) AS INTEGER) AS doc_len
+  FROM (SELECT id, len(toks) AS doc_len, unnest(toks) AS term FROM docs_i)
+  GROUP BY term, id""",
+    "postings_i": """
+  SELECT t.term, t.id, t.tf, t.doc_len, d.df
+  FROM tf_i t JOIN (SELECT term, count(*) AS df FROM tf_i GROUP BY term) d ON d.term = t.term""",
+}
+
+
+def _bm25_scores(queries: str) -> str:
+    return f"""
+  SELECT query_id, id, round(sum(
+      log10((s.n_docs - p.df + 0.5) / (p.df + 0.5) + 1) * p.tf * 2.2
+      / (p.tf + 1.2 * (1 - 0.75 + 0.75 * p.doc_len / s.avgdl))), 6) AS score
+  FROM (SELECT DISTINCT query_id, term FROM (
+          SELECT query_id, unnest({_TOK.format('q')}) AS term FROM {queries})) qt
+  JOIN postings_i p ON p.term = qt.term
+  CROSS JOIN stats_i s
+  GROUP BY query_id, id"""
+
+
+def _top(inner: str, order: str, limit: int, cols: str) -> str:
+    return f"""
+  SELECT {cols}, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank FROM ({inner}))
+  WHERE rank <= {limit}"""
+
+
+_DOI = {
+    "doi_hits": """
+  SELECT q.query_id, w.id FROM (
+    SELECT query_id, lower(regexp_replace(q, '^\\s+|\\s+$', '', 'g')) AS k FROM search_q
+    WHERE length(q) >= 3 AND contains(q, '10.') AND contains(q, '/')) q
+  JOIN (SELECT id, lower(doi) AS k FROM works_v WHERE title IS NOT NULL) w ON w.k = q.k""",
+}
+_DOI["doi_first"] = _top("SELECT * FROM doi_hits", "id", 1, "query_id, id")
+_SEARCH = dict(_DOI)
+_SEARCH["rest_q"] = """
+  SELECT query_id, q FROM search_q
+  WHERE length(q) >= 3 AND query_id NOT IN (SELECT query_id FROM doi_first)"""
+_SEARCH["bm25_top"] = _top(_bm25_scores("rest_q"), "score DESC, id", 20, "query_id, id, score")
+_SEARCH["hits_s"] = f"""
+  SELECT h.query_id, h.route, h.rank, {", ".join("p." + c for c in _PAPER.split(", "))}, h.score
+  FROM (SELECT query_id, 'doi' AS route, rank, id, CAST(NULL AS DOUBLE) AS score FROM doi_first
+        UNION ALL SELECT query_id, 'bm25' AS route, rank, id, score FROM bm25_top) h
+  JOIN papers_v p ON p.id = h.id"""
+
+_SUBSTR_HITS = """
+  SELECT q.query_id, w.id FROM works_v w JOIN substr_q q
+    ON w.title IS NOT NULL AND contains(lower(w.title), lower(q.q))"""
+_ILIKE_HITS = """
+  SELECT q.query_id, w.id FROM works_v w JOIN substr_q q
+    ON w.title IS NOT NULL AND w.title ILIKE '%' || q.q || '%'"""
+
+
 def _with(body: str, *extra: dict[str, str]) -> str:
     ctes = dict(_VIEWS)
     for e in extra:
@@ -105,6 +185,29 @@ ORACLE: dict[str, str] = {
     "v3_similar": _with(_similar("seeds_v", 20)),
     "p5_as_paper": _with(f"SELECT {_PAPER} FROM papers_v"),
     "x4_lookup": _with(f"SELECT {_PAPER} FROM papers_v WHERE id IN (SELECT seed_id FROM seeds_v)"),
+    "f2_tokenize": _with(f"""
+  SELECT id, CAST(pos AS INTEGER) AS pos, term FROM (
+    SELECT id, unnest(toks) AS term, unnest(range(len(toks))) AS pos
+    FROM (SELECT id, {_TOK.format('title')} AS toks FROM works_v WHERE title IS NOT NULL))"""),
+    "a1_postings": _with("SELECT term, id, tf, doc_len, df FROM postings_i", _INDEX),
+    "a1_stats": _with("SELECT n_docs, round(avgdl, 6) AS avgdl FROM stats_i", _INDEX),
+    "j6_term_matches": _with(f"""
+  SELECT qt.query_id, qt.term, p.id, p.tf
+  FROM (SELECT DISTINCT query_id, term FROM (
+          SELECT query_id, unnest({_TOK.format('q')}) AS term FROM title_q)) qt
+  JOIN postings_i p ON p.term = qt.term""", _QUERIES, _INDEX),
+    "a2_bm25_scores": _with(_bm25_scores("title_q"), _QUERIES, _INDEX),
+    "l1_search": _with("SELECT * FROM hits_s", _QUERIES, _INDEX, _SEARCH),
+    "x5_doi_like": _with("SELECT query_id, contains(q, '10.') AND contains(q, '/') AS doi_like FROM search_q",
+                         _QUERIES),
+    "l5_doi_first": _with("SELECT query_id, id, rank FROM doi_first", _QUERIES, _DOI),
+    "f7_trim": _with("SELECT query_id, regexp_replace(q, '^\\s+|\\s+$', '', 'g') AS q_trimmed FROM search_q",
+                     _QUERIES),
+    "x8_valid_queries": _with("SELECT query_id, q IS NOT NULL AND length(q) >= 3 AS accepted FROM word_q",
+                              _QUERIES),
+    "x7_substring_hits": _with(_SUBSTR_HITS, _QUERIES),
+    "l4_substring_top": _with(_top(_SUBSTR_HITS, "id", 20, "query_id, id"), _QUERIES),
+    "f8_ilike_top": _with(_top(_ILIKE_HITS, "id", 20, "query_id, id"), _QUERIES),
 }
 
 

@@ -85,3 +85,88 @@ def x4_lookup(spark, sf):
     from paperweave.operators.filters import lookup
     w, _, _, s = _tables(spark, sf)
     return as_paper(lookup(w, s, id_col="seed_id"))
+
+
+# ---------------------------------------------------------------- search
+
+def _index(spark, sf):
+    from paperweave.operators.search import build_title_index
+    return build_title_index(dt.works(spark, sf))
+
+
+@register("f2_tokenize")
+def f2_tokenize(spark, sf):
+    from paperweave.functions.text import tokens
+    w = dt.works(spark, sf).where(F.col("title").isNotNull())
+    return w.select("id", F.posexplode(tokens(F.col("title"))).alias("pos", "term"))
+
+
+@register("a1_postings")
+def a1_postings(spark, sf):
+    return _index(spark, sf).postings
+
+
+@register("a1_stats")
+def a1_stats(spark, sf):
+    st = _index(spark, sf).stats
+    return st.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+@register("j6_term_matches")
+def j6_term_matches(spark, sf):
+    from paperweave.operators.search import term_matches
+    return term_matches(_index(spark, sf), dt.title_queries(spark, sf)).select("query_id", "term", "id", "tf")
+
+
+@register("a2_bm25_scores")
+def a2_bm25_scores(spark, sf):
+    from paperweave.operators.search import bm25_scores
+    return bm25_scores(_index(spark, sf), dt.title_queries(spark, sf))
+
+
+@register("l1_search")
+def l1_search(spark, sf):
+    from paperweave.plans.search import search
+    return search(dt.works(spark, sf), dt.search_queries(spark, sf)).hits
+
+
+@register("x5_doi_like")
+def x5_doi_like(spark, sf):
+    from paperweave.functions.text import is_doi_like
+    return dt.search_queries(spark, sf).select("query_id", is_doi_like(F.col("q")).alias("doi_like"))
+
+
+@register("l5_doi_first")
+def l5_doi_first(spark, sf):
+    from paperweave.operators.search import doi_first
+    return doi_first(dt.works(spark, sf), dt.search_queries(spark, sf))
+
+
+@register("f7_trim")
+def f7_trim(spark, sf):
+    from paperweave.functions.text import py_strip
+    return dt.search_queries(spark, sf).select("query_id", py_strip(F.col("q")).alias("q_trimmed"))
+
+
+@register("x8_valid_queries")
+def x8_valid_queries(spark, sf):
+    from paperweave.functions.text import is_valid_query
+    return dt.word_queries(spark, sf).select("query_id", is_valid_query(F.col("q")).alias("accepted"))
+
+
+@register("x7_substring_hits")
+def x7_substring_hits(spark, sf):
+    from paperweave.operators.search import substring_hits
+    return substring_hits(dt.works(spark, sf), dt.substring_queries(spark, sf))
+
+
+@register("l4_substring_top")
+def l4_substring_top(spark, sf):
+    from paperweave.operators.search import substring_top
+    return substring_top(dt.works(spark, sf), dt.substring_queries(spark, sf))
+
+
+@register("f8_ilike_top")
+def f8_ilike_top(spark, sf):
+    from paperweave.operators.search import substring_top
+    return substring_top(dt.works(spark, sf), dt.substring_queries(spark, sf), wildcards=True)

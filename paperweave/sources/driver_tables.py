@@ -100,11 +100,11 @@ def title_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substring_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Substring probes: every benchmark passage's first sentence (text up to
-    the first full stop) -- a phrase likely to occur inside titles."""
+    """Substring probes: every benchmark passage's first sentence (the text
+    before the first full stop)."""
     return _table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"),
-        F.trim(F.substring_index(F.col("text"), ".", 1)).alias("q"))
+        F.substring_index(F.col("text"), ".", 1).alias("q"))
 
 
 def raw_works(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,3 +132,11 @@ def raw_works(spark: SparkSession, sf_dir: str) -> DataFrame:
         refs.alias("referenced_works"),
         "abstract_inverted_index",
     )
+
+
+def word_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every space-separated word of every benchmark passage as a query
+    (short ones exercise the length check)."""
+    b = _table(spark, sf_dir, "benchmark")
+    return b.select("item_id", F.posexplode(F.split(F.col("text"), " ")).alias("pos", "q")).select(
+        (F.col("item_id") * 100_000 + F.col("pos")).alias("query_id"), "q")
