@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from paperweave.functions.records import first_author, short_id, venue
 from paperweave.schemas import PAPER_COLUMNS
 
 
-def flatten_works(raw: DataFrame, normalize_ids: bool = False) -> DataFrame:
-    """Nested snapshot record -> the 8 ``works`` columns.
+def flatten_works(raw: DataFrame, normalize_ids: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """Nested snapshot record -> the 8 ``works`` columns (plus ``keep``).
 
     ``normalize_ids`` keeps only the text after the last ``/`` of the id (the
     concept-filtered loader's form); the generic loader keeps ids as found.
@@ -26,6 +28,7 @@ def flatten_works(raw: DataFrame, normalize_ids: bool = False) -> DataFrame:
         first_author(F.col("authorships")).alias("first_author"),
         venue(F.col("primary_location")).alias("venue"),
         "abstract_inverted_index",
+        *keep,
     )
 
 

@@ -99,10 +99,11 @@ def bm25_top(index: TitleIndex, queries: DataFrame, limit: int = SEARCH_LIMIT) -
                  [F.col("score").desc(), F.col("id").asc()], limit, rank_col="rank")
 
 
-def doi_first(works: DataFrame, queries: DataFrame, wildcards: bool = False) -> DataFrame:
-    """X6 + L5: the first work (by id) whose DOI equals the trimmed query,
+def doi_matches(works: DataFrame, queries: DataFrame, wildcards: bool = False) -> DataFrame:
+    """(query_id, id) of works whose DOI equals the trimmed query,
     ignoring case. Only DOI-like queries (X5) are tried. Literal mode is an
-    equi-join on the lower-cased DOI; ``wildcards`` gives ILIKE semantics."""
+    equi-join on the lower-cased DOI; ``wildcards`` gives ILIKE semantics
+    (broadcast nested loop over a counted, bounded query table)."""
     q = queries.where(is_doi_like(F.col("q"))).select("query_id", py_strip(F.col("q")).alias("q"))
     w = works.where(F.col("title").isNotNull()).select("id", "doi")
     if wildcards:
@@ -111,7 +112,12 @@ def doi_first(works: DataFrame, queries: DataFrame, wildcards: bool = False) ->
     else:
         hits = (q.select("query_id", F.lower("q").alias("doi_key"))
                 .join(w.select("id", F.lower("doi").alias("doi_key")), "doi_key"))
-    return top_n(hits.select("query_id", "id"), ["query_id"], [F.col("id").asc()], 1, rank_col="rank")
+    return hits.select("query_id", "id")
+
+
+def doi_first(works: DataFrame, queries: DataFrame, wildcards: bool = False) -> DataFrame:
+    """X6 + L5: the first DOI hit (by id) per query."""
+    return top_n(doi_matches(works, queries, wildcards), ["query_id"], [F.col("id").asc()], 1, rank_col="rank")
 
 
 def _check_broadcastable(df: DataFrame, what: str, max_rows: int = BROADCAST_QUERY_ROWS) -> int:

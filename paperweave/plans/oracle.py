@@ -168,6 +168,47 @@ _ILIKE_HITS = """
     ON w.title IS NOT NULL AND w.title ILIKE '%' || q.q || '%'"""
 
 
+_RAW = {
+    "n_docs_r": """
+  SELECT count(*) AS c FROM documents""",
+    "raw_v": """
+  SELECT 'https://works.example/' || w.id AS id, w.doc_id, w.title, w.type, w.publication_year,
+    w.first_author, w.venue,
+    'https://works.example/C' || (w.cited_by_count % 7) AS c1,
+    'https://works.example/C' || (w.publication_year % 5) AS c2,
+    CASE WHEN w.doc_id % 13 <> 0 THEN list_slice([
+      'https://works.example/W' || ((w.doc_id * 7 + 13) % n.c),
+      'https://works.example/W' || ((w.doc_id * 7 + 26) % n.c),
+      'https://works.example/W' || ((w.doc_id * 7 + 39) % n.c)], 1, w.doc_id % 4) END AS referenced_works
+  FROM works_v w CROSS JOIN n_docs_r n""",
+}
+
+_ABSTRACT = {
+    "body_a": """
+  SELECT doc_id, list_filter(regexp_split_to_array(
+      CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END,
+      '[ \\t\\n\\r]+'), lambda x: x <> '') AS ws
+  FROM documents""",
+    "aii_a": """
+  SELECT doc_id, '{' || string_agg(to_json(w) || ':' || to_json(ps), ',' ORDER BY fp) || '}' AS aii
+  FROM (SELECT doc_id, w, list(pos ORDER BY pos) AS ps, min(pos) AS fp
+        FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM body_a)
+        GROUP BY doc_id, w)
+  GROUP BY doc_id""",
+    "text_a": """
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN NULL ELSE array_to_string(ws, ' ') END AS abstract FROM body_a""",
+}
+
+_MERGE = {
+    "m_nodes": f"""
+  SELECT DISTINCT {_PAPER} FROM nodes_x""",
+    "m_edges": """
+  SELECT source, target,
+    CASE WHEN bool_or(type IS NULL) THEN CAST(NULL AS VARCHAR) ELSE 'similarity' END AS type
+  FROM edges_x GROUP BY source, target""",
+}
+
+
 def _with(body: str, *extra: dict[str, str]) -> str:
     ctes = dict(_VIEWS)
     for e in extra:
@@ -208,6 +249,62 @@ ORACLE: dict[str, str] = {
     "x7_substring_hits": _with(_SUBSTR_HITS, _QUERIES),
     "l4_substring_top": _with(_top(_SUBSTR_HITS, "id", 20, "query_id, id"), _QUERIES),
     "f8_ilike_top": _with(_top(_ILIKE_HITS, "id", 20, "query_id, id"), _QUERIES),
+    "x6_doi_matches": _with("SELECT query_id, id FROM doi_hits", _QUERIES, _DOI),
+    "p1_flatten_works": _with("""
+  SELECT 'https://works.example/' || w.id AS id, w.doi, w.title, w.publication_year, w.cited_by_count,
+    w.first_author, w.venue, a.aii AS abstract_inverted_index
+  FROM works_v w LEFT JOIN aii_a a ON a.doc_id = w.doc_id""", _ABSTRACT),
+    "p2_first_author": _with("SELECT 'https://works.example/' || id AS id, first_author FROM works_v"),
+    "p3_venue": _with("SELECT 'https://works.example/' || id AS id, venue FROM works_v"),
+    "p4_short_id": _with("""
+  SELECT id AS raw_id, split_part(id, '/', -1) AS id,
+    split_part(c1, '/', -1) || ',' || split_part(c2, '/', -1) AS concepts FROM raw_v""", _RAW),
+    "x1_filter_publications": _with("""
+  SELECT id, type FROM raw_v
+  WHERE title IS NOT NULL AND type IN ('article', 'preprint', 'proceedings-article')""", _RAW),
+    "x2_filter_concepts": _with("""
+  SELECT id FROM raw_v
+  WHERE list_has_any([split_part(c1, '/', -1), split_part(c2, '/', -1)], ['C1', 'C3'])""", _RAW),
+    "x3_with_references": _with("""
+  SELECT id, CAST(len(referenced_works) AS INTEGER) AS n_refs FROM raw_v
+  WHERE referenced_works IS NOT NULL""", _RAW),
+    "k3_extract_citations": _with("""
+  SELECT id AS source_id, unnest(referenced_works) AS target_id FROM raw_v
+  WHERE referenced_works IS NOT NULL""", _RAW),
+    "f5_unnest_short_ids": _with("""
+  SELECT split_part(id, '/', -1) AS source_id, split_part(t, '/', -1) AS target_id
+  FROM (SELECT id, unnest(referenced_works) AS t FROM raw_v WHERE referenced_works IS NOT NULL)""", _RAW),
+    "f1_parse_json": _with("""
+  SELECT 'https://works.example/' || id AS id, title, publication_year, first_author, venue FROM works_v"""),
+    "f6_rebuild_abstract": _with("""
+  SELECT w.id, t.abstract FROM works_v w JOIN text_a t ON t.doc_id = w.doc_id""", _ABSTRACT),
+    "p7_embedding_text": _with("""
+  SELECT w.id AS paper_id, coalesce(w.title, '') || ' ' || coalesce(t.abstract, '') AS text
+  FROM works_v w JOIN text_a t ON t.doc_id = w.doc_id""", _ABSTRACT),
+    "k2_insert_ignore": _with("SELECT id, title, publication_year FROM works_v WHERE type <> 'article'"),
+    "k4_upsert_vectors": _with("""
+  SELECT paper_id, CAST(len(e) AS INTEGER) AS dim, round(CAST(e[1] AS DOUBLE), 6) AS first FROM (
+    SELECT paper_id, CASE WHEN paper_id IN (SELECT id FROM works_v) THEN list_reverse(embedding)
+                          ELSE embedding END AS e
+    FROM vectors_v)"""),
+    "j3_cached_vectors": _with("""
+  SELECT paper_id, CAST(len(embedding) AS INTEGER) AS dim FROM vectors_v
+  WHERE paper_id IN (SELECT seed_id FROM seeds_v)"""),
+    "j4_missing_vectors": _with("SELECT id FROM works_v WHERE id NOT IN (SELECT paper_id FROM vectors_v)"),
+    "f3_cosine_citations": _with("""
+  SELECT c.source_id, c.target_id,
+    CASE WHEN isnan(x) THEN NULL ELSE round(x, 6) END AS score
+  FROM (SELECT c.source_id, c.target_id,
+          list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS x
+        FROM citations_v c JOIN vectors_v a ON a.paper_id = c.source_id
+        JOIN vectors_v b ON b.paper_id = c.target_id) c"""),
+    "l2_similar_top5": _with(_similar("seeds_v", 5)),
+    "u4_merge_nodes": _with("SELECT * FROM m_nodes", _EXPAND, _MERGE),
+    "u4_merge_edges": _with("SELECT * FROM m_edges", _EXPAND, _MERGE),
+    "v2_refresh_vectors": _with("""
+  SELECT paper_id, CAST(len(embedding) AS INTEGER) AS dim FROM vectors_v
+  UNION ALL
+  SELECT id AS paper_id, 64 AS dim FROM works_v WHERE id NOT IN (SELECT paper_id FROM vectors_v)"""),
 }
 
 

@@ -170,3 +170,193 @@ def l4_substring_top(spark, sf):
 def f8_ilike_top(spark, sf):
     from paperweave.operators.search import substring_top
     return substring_top(dt.works(spark, sf), dt.substring_queries(spark, sf), wildcards=True)
+
+
+# ---------------------------------------------------------------- ingest rows
+
+@register("p1_flatten_works")
+def p1_flatten_works(spark, sf):
+    from paperweave.operators.project import flatten_works
+    return flatten_works(dt.raw_works(spark, sf))
+
+
+@register("p2_first_author")
+def p2_first_author(spark, sf):
+    from paperweave.functions.records import first_author
+    return dt.raw_works(spark, sf).select("id", first_author(F.col("authorships")).alias("first_author"))
+
+
+@register("p3_venue")
+def p3_venue(spark, sf):
+    from paperweave.functions.records import venue
+    return dt.raw_works(spark, sf).select("id", venue(F.col("primary_location")).alias("venue"))
+
+
+@register("p4_short_id")
+def p4_short_id(spark, sf):
+    from paperweave.functions.records import concept_ids, short_id
+    raw = dt.raw_works(spark, sf)
+    return raw.select(F.col("id").alias("raw_id"), short_id(F.col("id")).alias("id"),
+                      F.array_join(concept_ids(F.col("concepts")), ",").alias("concepts"))
+
+
+@register("x1_filter_publications")
+def x1_filter_publications(spark, sf):
+    from paperweave.operators.filters import filter_publications
+    return filter_publications(dt.raw_works(spark, sf)).select("id", "type")
+
+
+@register("x2_filter_concepts")
+def x2_filter_concepts(spark, sf):
+    from paperweave.operators.filters import filter_concepts
+    return filter_concepts(dt.raw_works(spark, sf), ["C1", "C3"]).select("id")
+
+
+@register("x3_with_references")
+def x3_with_references(spark, sf):
+    from paperweave.operators.filters import with_references
+    return with_references(dt.raw_works(spark, sf)).select(
+        "id", F.size("referenced_works").alias("n_refs"))
+
+
+@register("k3_extract_citations")
+def k3_extract_citations(spark, sf):
+    from paperweave.plans.load import extract_citations
+    return extract_citations(dt.raw_works(spark, sf))
+
+
+@register("f5_unnest_short_ids")
+def f5_unnest_short_ids(spark, sf):
+    from paperweave.plans.load import extract_citations
+    return extract_citations(dt.raw_works(spark, sf), normalize_ids=True)
+
+
+@register("f1_parse_json")
+def f1_parse_json(spark, sf):
+    from paperweave.functions.records import first_author, venue
+    from paperweave.sources.snapshot import parse_records
+    lines = dt.raw_works(spark, sf).select(F.to_json(F.struct("*")).alias("value"))
+    rec = parse_records(lines)
+    return rec.select("id", "title", "publication_year", first_author(F.col("authorships")).alias("first_author"),
+                      venue(F.col("primary_location")).alias("venue"))
+
+
+@register("f6_rebuild_abstract")
+def f6_rebuild_abstract(spark, sf):
+    from paperweave.functions.abstract import rebuild_abstract
+    return dt.works(spark, sf).select("id", rebuild_abstract(F.col("abstract_inverted_index")).alias("abstract"))
+
+
+@register("p7_embedding_text")
+def p7_embedding_text(spark, sf):
+    from paperweave.operators.project import embedding_text
+    return embedding_text(dt.works(spark, sf), abstract="plain")
+
+
+# ---------------------------------------------------------------- tables
+
+@register("k2_insert_ignore")
+def k2_insert_ignore(spark, sf):
+    from paperweave.operators.tables import insert_ignore
+    w = dt.works(spark, sf)
+    existing = w.where(F.col("type") == "article").drop("type")
+    batch = (w.drop("type").withColumn("_ord", F.lit(0))
+             .unionByName(w.drop("type").withColumn("title", F.upper("title")).withColumn("_ord", F.lit(1))))
+    return insert_ignore(existing, batch, "id", [F.col("_ord")]).select("id", "title", "publication_year")
+
+
+@register("k4_upsert_vectors")
+def k4_upsert_vectors(spark, sf):
+    from paperweave.operators.tables import upsert
+    w, _, v, _ = _tables(spark, sf)
+    new = v.join(w.select(F.col("id").alias("paper_id")), "paper_id", "left_semi").select(
+        "paper_id", F.reverse("embedding").alias("embedding"))
+    out = upsert(v, new, ["paper_id"])
+    return out.select("paper_id", F.size("embedding").alias("dim"),
+                      F.round(F.get("embedding", 0).cast("double"), 6).alias("first"))
+
+
+@register("j3_cached_vectors")
+def j3_cached_vectors(spark, sf):
+    _, _, v, s = _tables(spark, sf)
+    return joins.cached_vectors(v, s, id_col="seed_id").select("paper_id", F.size("embedding").alias("dim"))
+
+
+@register("j4_missing_vectors")
+def j4_missing_vectors(spark, sf):
+    w, _, v, _ = _tables(spark, sf)
+    return joins.missing_vectors(w, v).select("id")
+
+
+@register("f3_cosine_citations")
+def f3_cosine_citations(spark, sf):
+    from paperweave.operators.similarity import cosine_pairs
+    _, c, v, _ = _tables(spark, sf)
+    return cosine_pairs(c, v)
+
+
+@register("l2_similar_top5")
+def l2_similar_top5(spark, sf):
+    _, _, v, s = _tables(spark, sf)
+    return similar(v, s, limit=5)
+
+
+@register("x6_doi_matches")
+def x6_doi_matches(spark, sf):
+    from paperweave.operators.search import doi_matches
+    return doi_matches(dt.works(spark, sf), dt.search_queries(spark, sf))
+
+
+# ---------------------------------------------------------------- graph
+
+def _merged(spark, sf):
+    from paperweave.operators.graph import merge_graph
+    w, c, v, s = _tables(spark, sf)
+    cit, full = expand(w, c, v, s, sim_limit=0), expand(w, c, v, s)
+    n0 = cit.nodes.drop("seed_id").limit(0)
+    e0 = cit.edges.drop("seed_id").limit(0)
+    n1, e1 = merge_graph(n0, e0, cit.nodes.drop("seed_id"), cit.edges.drop("seed_id"))
+    return merge_graph(n1, e1, full.nodes.drop("seed_id"), full.edges.drop("seed_id"))
+
+
+@register("u4_merge_nodes")
+def u4_merge_nodes(spark, sf):
+    return _merged(spark, sf)[0]
+
+
+@register("u4_merge_edges")
+def u4_merge_edges(spark, sf):
+    return _merged(spark, sf)[1]
+
+
+@register("u5_explore_nodes")
+def u5_explore_nodes(spark, sf):
+    from paperweave.plans.expand import explore
+    w, c, v, s = _tables(spark, sf)
+    roots = s.select(F.col("seed_id").alias("root_id"))
+    return explore(w, c, v, roots, hops=2).nodes
+
+
+@register("u6_response")
+def u6_response(spark, sf):
+    from paperweave.operators.graph import as_response
+    w, c, v, s = _tables(spark, sf)
+    ex = expand(w, c, v, s)
+    return as_response(ex.nodes, ex.edges).select("seed_id", "response")
+
+
+# ---------------------------------------------------------------- embeddings
+
+@register("v1_embed")
+def v1_embed(spark, sf):
+    from paperweave.operators.embed import embed, hashing_encoder
+    from paperweave.operators.project import embedding_text
+    e = embed(embedding_text(dt.works(spark, sf), "raw"), hashing_encoder(64))
+    return e.select("paper_id", F.size("embedding").alias("dim"))
+
+
+@register("v2_refresh_vectors")
+def v2_refresh_vectors(spark, sf):
+    from paperweave.operators.embed import hashing_encoder, refresh_vectors
+    w, _, v, _ = _tables(spark, sf)
+    return refresh_vectors(w, v, hashing_encoder(64)).select("paper_id", F.size("embedding").alias("dim"))
