@@ -209,6 +209,30 @@ _MERGE = {
 }
 
 
+# U5 with two hops: a paper's expansion does not depend on the other seeds, so
+# hop 2 of a root is the expansion of each node first reached at hop 1.
+_EXPLORE = {
+    "hop2_f": """
+  SELECT DISTINCT seed_id AS root_id, id AS f FROM nodes_x WHERE id <> seed_id""",
+    "e_nodes": f"""
+  SELECT DISTINCT root_id, {_PAPER} FROM (
+    SELECT seed_id AS root_id, {_PAPER} FROM nodes_x
+    UNION ALL
+    SELECT h.root_id, {", ".join("n." + c for c in _PAPER.split(", "))}
+    FROM hop2_f h JOIN nodes_x n ON n.seed_id = h.f)""",
+    "e_edges": """
+  SELECT root_id, source, target,
+    CASE WHEN bool_or(type IS NULL) FILTER (WHERE hop = best) THEN CAST(NULL AS VARCHAR)
+         ELSE 'similarity' END AS type
+  FROM (SELECT *, min(hop) OVER (PARTITION BY root_id, source, target) AS best FROM (
+          SELECT seed_id AS root_id, source, target, type, 1 AS hop FROM edges_x
+          UNION ALL
+          SELECT h.root_id, e.source, e.target, e.type, 2 AS hop
+          FROM hop2_f h JOIN edges_x e ON e.seed_id = h.f))
+  GROUP BY root_id, source, target""",
+}
+
+
 def _with(body: str, *extra: dict[str, str]) -> str:
     ctes = dict(_VIEWS)
     for e in extra:
@@ -301,6 +325,8 @@ ORACLE: dict[str, str] = {
     "l2_similar_top5": _with(_similar("seeds_v", 5)),
     "u4_merge_nodes": _with("SELECT * FROM m_nodes", _EXPAND, _MERGE),
     "u4_merge_edges": _with("SELECT * FROM m_edges", _EXPAND, _MERGE),
+    "u5_explore_nodes": _with("SELECT * FROM e_nodes", _EXPAND, _EXPLORE),
+    "u5_explore_edges": _with("SELECT * FROM e_edges", _EXPAND, _EXPLORE),
     "v2_refresh_vectors": _with("""
   SELECT paper_id, CAST(len(embedding) AS INTEGER) AS dim FROM vectors_v
   UNION ALL

@@ -329,12 +329,20 @@ def u4_merge_edges(spark, sf):
     return _merged(spark, sf)[1]
 
 
-@register("u5_explore_nodes")
-def u5_explore_nodes(spark, sf):
+def _explored(spark, sf):
     from paperweave.plans.expand import explore
     w, c, v, s = _tables(spark, sf)
-    roots = s.select(F.col("seed_id").alias("root_id"))
-    return explore(w, c, v, roots, hops=2).nodes
+    return explore(w, c, v, s.select(F.col("seed_id").alias("root_id")), hops=2)
+
+
+@register("u5_explore_nodes")
+def u5_explore_nodes(spark, sf):
+    return _explored(spark, sf).nodes
+
+
+@register("u5_explore_edges")
+def u5_explore_edges(spark, sf):
+    return _explored(spark, sf).edges
 
 
 @register("u6_response")
