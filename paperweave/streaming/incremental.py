@@ -7,11 +7,14 @@ were read, so a re-run never loads a file twice.
 
 Replays after a failure are safe: K2 is idempotent (rows already stored are
 ignored), and each batch's citations go to their own folder
-``load=stream-<batch_id>`` which a replay overwrites instead of appending.
+``load=stream-<name>-<batch_id>`` which a replay overwrites instead of
+appending (``name`` defaults to a digest of the checkpoint location, so two
+streams into the same tables never share a folder).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +30,9 @@ from paperweave.sources.snapshot import FILE_COL, LINE_COL
 def stream_filtered(spark: SparkSession, path: str, concept_ids: Iterable[str], root: str,
                     checkpoint_location: str, glob: str | None = "*.gz",
                     max_files_per_trigger: int | None = None, available_now: bool = True,
-                    ignore_corrupt_files: bool = True) -> StreamingQuery:
+                    ignore_corrupt_files: bool = True, name: str | None = None) -> StreamingQuery:
     create_tables(spark, root)
+    name = name or hashlib.sha1(checkpoint_location.encode()).hexdigest()[:12]
     concept_ids = list(concept_ids)
     reader = (spark.readStream.schema(RAW_WORK).option("mode", "PERMISSIVE")
               .option("ignoreCorruptFiles", str(ignore_corrupt_files).lower()))
@@ -46,7 +50,7 @@ def stream_filtered(spark: SparkSession, path: str, concept_ids: Iterable[str],
         works = out.works.checkpoint(eager=True)     # fixed before the append changes the table
         append(works, table_path(root, "works"))
         out.citations.write.mode("overwrite").parquet(
-            f"{table_path(root, 'citations')}/load=stream-{batch_id}")
+            f"{table_path(root, 'citations')}/load=stream-{name}-{batch_id}")
 
     writer = src.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
