@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperweave.functions.text import contains_ci, is_doi_like, like_pattern, py_strip, tokens
+from paperweave.functions.text import is_doi_like, like_pattern, py_strip, tokens
 from paperweave.functions.vectors import rounded
 from paperweave.operators.topn import top_n
 
@@ -144,21 +144,24 @@ def substring_hits(works: DataFrame, queries: DataFrame, wildcards: bool = False
     table uses a trigram equi-join: each query looks up only its rarest
     trigram, and every candidate is verified, so the result is exact.
     """
-    titled = works.where(F.col("title").isNotNull()).select("id", "title")
+    # both sides are lower-cased once, before the join (ILIKE is LIKE on
+    # lower-cased operands), so the per-pair test is a plain contains / like
+    lt = works.where(F.col("title").isNotNull()).select("id", F.lower("title").alias("lt"))
+    lq = queries.select("query_id", F.lower("q").alias("lq"))
     n = queries.limit(broadcast_rows + 1).count()
     if n <= broadcast_rows:
-        qb = F.broadcast(queries.select("query_id", "q"))
         if wildcards:
-            cond = F.ilike(F.col("title"), F.concat(F.lit("%"), like_pattern(F.col("q")), F.lit("%")))
+            qb = F.broadcast(lq.select("query_id", F.concat(F.lit("%"), like_pattern(F.col("lq")),
+                                                            F.lit("%")).alias("pat")))
+            cond = F.expr("lt LIKE pat")
         else:
-            cond = contains_ci(F.col("title"), F.col("q"))
-        return titled.join(qb, cond).select("query_id", "id")
+            qb = F.broadcast(lq)
+            cond = F.col("lt").contains(F.col("lq"))
+        return lt.join(qb, cond).select("query_id", "id")
     if wildcards:
         raise ValueError(f"wildcard substring search is limited to {broadcast_rows} queries")
-    lt = titled.select("id", F.lower("title").alias("lt"))
     grams = lt.select("id", F.explode(_trigrams(F.col("lt"))).alias("gram"))
     gram_df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("gdf"))
-    lq = queries.select("query_id", F.lower("q").alias("lq"))
     rarest = top_n(lq.select("query_id", F.explode(_trigrams(F.col("lq"))).alias("gram"))
                    .join(gram_df, "gram"), ["query_id"], [F.col("gdf").asc(), F.col("gram").asc()], 1)
     cand = rarest.select("query_id", "gram").join(grams, "gram")

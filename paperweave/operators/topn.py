@@ -21,3 +21,18 @@ def top_n(df: DataFrame, partition_by: Sequence[str | Column], order_by: Sequenc
     name = rank_col or "_rank"
     out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
     return out if rank_col else out.drop(name)
+
+
+# Largest seed / query table broadcast to every task of a join.
+BROADCAST_ROWS = 100_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when it has at most ``max_rows`` rows.
+
+    The check is a bounded count (it stops after ``max_rows + 1`` rows); a
+    larger table is returned as is, and the join falls back to a shuffle
+    join that AQE may still broadcast from measured sizes.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
