@@ -49,7 +49,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = local_session(cpus, shuffle_partitions=max(8, 2 * cpus), app="paperweave-bench")
-    run(registry()["u3_expand_edges"](spark, "/root/testdata/sf0.001"))     # JVM / Python warm-up
+    for name in ("u3_expand_edges", "l1_search", "l4_substring_top", "a1_postings"):
+        run(registry()[name](spark, "/root/testdata/sf0.001"))          # JVM / Python warm-up
     work = scratch_path(spark, f"bench-{uuid.uuid4().hex[:8]}")
     times: dict[str, float] = {}
 

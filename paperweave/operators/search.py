@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from paperweave.functions.text import is_doi_like, like_pattern, py_strip, tokens
 from paperweave.functions.vectors import rounded
-from paperweave.operators.topn import top_n
+from paperweave.operators.topn import checked_broadcast, top_n
 
 K1 = 1.2
 B = 0.75
@@ -78,8 +78,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def term_matches(index: TitleIndex, queries: DataFrame) -> DataFrame:
-    """Query terms joined to the postings on term."""
-    return query_terms(queries).join(index.postings, "term")
+    """Query terms joined to the postings on term. A query-term table of
+    checked small size is broadcast, so the postings stream through the join
+    without a shuffle; a larger one takes a shuffle join, where AQE splits the
+    partitions of very common terms."""
+    return checked_broadcast(query_terms(queries)).join(index.postings, "term")
 
 
 def bm25_scores(index: TitleIndex, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:

@@ -145,3 +145,15 @@ def test_v2_refresh_embeds_only_missing(spark):
     out = {r.paper_id: r.embedding for r in refresh_vectors(w, cache, hashing_encoder(8)).collect()}
     assert out["a"] == [9.0, 9.0] and len(out["b"]) == 8
     assert abs(sum(x * x for x in out["b"]) - 1.0) < 1e-5
+
+
+def test_k4_k6_overwrite_reading_target(spark, tmp_path):
+    from paperweave.operators.tables import overwrite
+    path = str(tmp_path / "vector_cache")
+    spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "paper_id string, embedding array<float>") \
+        .write.parquet(path)
+    current = spark.read.parquet(path)
+    new = spark.createDataFrame([("a", [5.0]), ("c", [3.0])], "paper_id string, embedding array<float>")
+    overwrite(upsert(current, new, ["paper_id"]), path)       # reads the folder it replaces
+    got = sorted((r.paper_id, r.embedding[0]) for r in spark.read.parquet(path).collect())
+    assert got == [("a", 5.0), ("b", 2.0), ("c", 3.0)]
