@@ -33,6 +33,7 @@ BROADCAST_QUERY_ROWS = 10_000
 class TitleIndex:
     postings: DataFrame   # term, id, tf, doc_len, df
     stats: DataFrame      # one row: n_docs, avgdl
+    stopwords: tuple = ()  # removed from titles and, by the query side, from queries
 
     def n_docs(self) -> Column:
         return self.stats.select("n_docs").scalar()
@@ -41,22 +42,31 @@ class TitleIndex:
         return self.stats.select("avgdl").scalar()
 
 
-def build_title_index(works: DataFrame) -> TitleIndex:
+def _drop_stopwords(toks: Column, stopwords) -> Column:
+    if not stopwords:
+        return toks
+    return F.filter(toks, lambda t: ~t.isin(list(stopwords)))
+
+
+def build_title_index(works: DataFrame, stopwords=()) -> TitleIndex:
     """A1: postings with term frequency, document length and document
-    frequency, plus the collection statistics.
+    frequency, plus the collection statistics. ``stopwords`` (optional,
+    none by default) are removed from titles before counting, and from
+    queries searched against this index.
 
     tf is a partial aggregate: all tokens of a title sit in one map task, so
     only distinct (term, id) pairs are shuffled. df is a partial count per
     term. The df join of a very common term is skewed and left to AQE's skew
     split (or a broadcast of the df table when it is small).
     """
-    docs = works.where(F.col("title").isNotNull()).select("id", tokens(F.col("title")).alias("toks"))
+    docs = works.where(F.col("title").isNotNull()).select(
+        "id", _drop_stopwords(tokens(F.col("title")), stopwords).alias("toks"))
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))
     tf = (docs.select("id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term"))
           .groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len")))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     postings = tf.join(df, "term").select("term", "id", "tf", "doc_len", "df")
-    return TitleIndex(postings=postings, stats=stats)
+    return TitleIndex(postings=postings, stats=stats, stopwords=tuple(stopwords))
 
 
 def save_title_index(index: TitleIndex, path: str, mode: str = "overwrite") -> None:
@@ -72,9 +82,10 @@ def load_title_index(spark, path: str) -> TitleIndex:
                       stats=spark.read.parquet(f"{path}/stats"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, stopwords=()) -> DataFrame:
     """Distinct tokens of each query (query_id, term)."""
-    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("q")))).alias("term"))
+    toks = _drop_stopwords(tokens(F.col("q")), stopwords)
+    return queries.select("query_id", F.explode(F.array_distinct(toks)).alias("term"))
 
 
 def term_matches(index: TitleIndex, queries: DataFrame) -> DataFrame:
@@ -82,7 +93,7 @@ def term_matches(index: TitleIndex, queries: DataFrame) -> DataFrame:
     checked small size is broadcast, so the postings stream through the join
     without a shuffle; a larger one takes a shuffle join, where AQE splits the
     partitions of very common terms."""
-    return checked_broadcast(query_terms(queries)).join(index.postings, "term")
+    return checked_broadcast(query_terms(queries, index.stopwords)).join(index.postings, "term")
 
 
 def bm25_scores(index: TitleIndex, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -102,7 +113,18 @@ def bm25_top(index: TitleIndex, queries: DataFrame, limit: int = SEARCH_LIMIT) -
                  [F.col("score").desc(), F.col("id").asc()], limit, rank_col="rank")
 
 
-def doi_matches(works: DataFrame, queries: DataFrame, wildcards: bool = False) -> DataFrame:
+DOI_RESOLVER = r"^(?i)(https?://)?(dx\.)?doi\.org/"
+
+
+def doi_key(col: Column, strip_prefix: bool = False) -> Column:
+    """Lower-cased DOI; with ``strip_prefix`` a resolver URL prefix is removed
+    so that a bare ``10.x/y`` and its URL form are equal."""
+    key = F.lower(col)
+    return F.regexp_replace(key, DOI_RESOLVER, "") if strip_prefix else key
+
+
+def doi_matches(works: DataFrame, queries: DataFrame, wildcards: bool = False,
+                strip_doi_prefix: bool = False) -> DataFrame:
     """(query_id, id) of works whose DOI equals the trimmed query,
     ignoring case. Only DOI-like queries (X5) are tried. Literal mode is an
     equi-join on the lower-cased DOI; ``wildcards`` gives ILIKE semantics
@@ -113,14 +135,16 @@ def doi_matches(works: DataFrame, queries: DataFrame, wildcards: bool = False) -
         _check_broadcastable(q, "DOI pattern queries")
         hits = w.join(F.broadcast(q), F.ilike(F.col("doi"), like_pattern(F.col("q"))))
     else:
-        hits = (q.select("query_id", F.lower("q").alias("doi_key"))
-                .join(w.select("id", F.lower("doi").alias("doi_key")), "doi_key"))
+        hits = (q.select("query_id", doi_key(F.col("q"), strip_doi_prefix).alias("doi_key"))
+                .join(w.select("id", doi_key(F.col("doi"), strip_doi_prefix).alias("doi_key")), "doi_key"))
     return hits.select("query_id", "id")
 
 
-def doi_first(works: DataFrame, queries: DataFrame, wildcards: bool = False) -> DataFrame:
+def doi_first(works: DataFrame, queries: DataFrame, wildcards: bool = False,
+              strip_doi_prefix: bool = False) -> DataFrame:
     """X6 + L5: the first DOI hit (by id) per query."""
-    return top_n(doi_matches(works, queries, wildcards), ["query_id"], [F.col("id").asc()], 1, rank_col="rank")
+    return top_n(doi_matches(works, queries, wildcards, strip_doi_prefix), ["query_id"],
+                 [F.col("id").asc()], 1, rank_col="rank")
 
 
 def _check_broadcastable(df: DataFrame, what: str, max_rows: int = BROADCAST_QUERY_ROWS) -> int:

@@ -31,6 +31,7 @@ from paperweave.operators.search import build_title_index, save_title_index
 from paperweave.operators.tables import append, create_tables, insert_ignore, insert_strict, read_table, table_path
 from paperweave.sources.snapshot import FILE_COL, LENIENT, LINE_COL, STRICT, load_order, read_works
 from paperweave.schemas import WORKS
+from paperweave.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -68,21 +69,24 @@ def ingest_metrics(scanned: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def filtered_batch(raw: DataFrame, concept_ids: Iterable[str] | DataFrame,
-                   existing_works: DataFrame, metrics: bool = True) -> LoadBatch:
-    """N1 without the writes: what a lenient scan adds to the tables."""
+                   existing_works: DataFrame, metrics: bool = True, normalize_ids: bool = True) -> LoadBatch:
+    """N1 without the writes: what a lenient scan adds to the tables.
+    ``normalize_ids`` (default on, like this loader's reference) applies P4 to
+    work ids and to both citation endpoints."""
     kept = filter_concepts(raw, concept_ids)                                     # X2
-    rows = flatten_works(kept, normalize_ids=True, keep=(FILE_COL, LINE_COL))   # P1-P4
+    rows = flatten_works(kept, normalize_ids=normalize_ids, keep=(FILE_COL, LINE_COL))   # P1-P4
     works = insert_ignore(existing_works, rows, "id", load_order())             # K2
     return LoadBatch(works=works.select(*WORKS.fieldNames()),
-                     citations=extract_citations(kept, normalize_ids=True),     # K3
+                     citations=extract_citations(kept, normalize_ids=normalize_ids),     # K3
                      metrics=ingest_metrics(raw, kept) if metrics else None)
 
 
-def generic_batch(raw: DataFrame, existing_works: DataFrame) -> LoadBatch:
-    """N2 without the writes; raises ``DuplicateKeyError`` (K5)."""
-    rows = flatten_works(filter_publications(raw))                               # X1, P1
+def generic_batch(raw: DataFrame, existing_works: DataFrame, normalize_ids: bool = False) -> LoadBatch:
+    """N2 without the writes; raises ``DuplicateKeyError`` (K5). Ids are kept
+    as found unless ``normalize_ids`` (then both loaders' ids join)."""
+    rows = flatten_works(filter_publications(raw), normalize_ids=normalize_ids)  # X1, P1
     works = insert_strict(existing_works, rows, "id")                            # K5
-    return LoadBatch(works=works, citations=extract_citations(raw), metrics=None)
+    return LoadBatch(works=works, citations=extract_citations(raw, normalize_ids), metrics=None)
 
 
 def _write(spark: SparkSession, root: str, batch: LoadBatch, load_id: str | None) -> str:
@@ -94,11 +98,13 @@ def _write(spark: SparkSession, root: str, batch: LoadBatch, load_id: str | None
 
 def load_filtered(spark: SparkSession, path: str, concept_ids: Iterable[str] | DataFrame, root: str,
                   glob: str | None = "*.gz", ignore_corrupt_files: bool = True,
-                  load_id: str | None = None, index_path: str | None = None) -> LoadBatch:
+                  load_id: str | None = None, index_path: str | None = None,
+                  normalize_ids: bool = True) -> LoadBatch:
     """Concept-filtered load of a snapshot folder into the tables at ``root``."""
     create_tables(spark, root)
+    ensure_checkpoint_dir(spark)
     raw = read_works(spark, path, LENIENT, glob=glob, ignore_corrupt_files=ignore_corrupt_files)
-    batch = filtered_batch(raw, concept_ids, read_table(spark, root, "works"))
+    batch = filtered_batch(raw, concept_ids, read_table(spark, root, "works"), normalize_ids=normalize_ids)
     # the works rows depend on the table they are appended to: materialise
     # them (reliable checkpoint) before the append changes that table
     batch = LoadBatch(works=batch.works.checkpoint(eager=True), citations=batch.citations, metrics=batch.metrics)
@@ -109,12 +115,13 @@ def load_filtered(spark: SparkSession, path: str, concept_ids: Iterable[str] | D
 
 
 def load_generic(spark: SparkSession, path: str, root: str, glob: str | None = "*.gz",
-                 load_id: str | None = None) -> LoadBatch:
+                 load_id: str | None = None, normalize_ids: bool = False) -> LoadBatch:
     """Strict load; any malformed line or duplicate id raises before
     either table is written."""
     create_tables(spark, root)
+    ensure_checkpoint_dir(spark)
     raw = read_works(spark, path, STRICT, glob=glob)
-    batch = generic_batch(raw, read_table(spark, root, "works"))
+    batch = generic_batch(raw, read_table(spark, root, "works"), normalize_ids)
     # validate the citations scan as well before writing anything
     citations = batch.citations.checkpoint(eager=True)
     works = batch.works.checkpoint(eager=True)

@@ -42,11 +42,12 @@ def valid_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def search(works: DataFrame, queries: DataFrame, index: TitleIndex | None = None,
-           limit: int = SEARCH_LIMIT, mode: str = "bm25", wildcards: bool = False) -> SearchResult:
+           limit: int = SEARCH_LIMIT, mode: str = "bm25", wildcards: bool = False,
+           strip_doi_prefix: bool = False) -> SearchResult:
     if mode not in ("bm25", "substring"):
         raise ValueError(f"mode must be 'bm25' or 'substring', not {mode!r}")
     accepted, rejected = valid_queries(queries.select("query_id", "q"))
-    doi = doi_first(works, accepted, wildcards).select(
+    doi = doi_first(works, accepted, wildcards, strip_doi_prefix).select(
         "query_id", F.lit("doi").alias("route"), "rank", "id", F.lit(None).cast("double").alias("score"))
     rest = accepted.join(doi.select("query_id"), "query_id", "left_anti")
     if mode == "bm25":

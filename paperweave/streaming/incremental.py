@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from paperweave.operators.tables import append, create_tables, read_table, table_path
 from paperweave.plans.load import filtered_batch
 from paperweave.schemas import RAW_WORK
+from paperweave.session import ensure_checkpoint_dir
 from paperweave.sources.snapshot import FILE_COL, LINE_COL
 
 
@@ -32,6 +33,7 @@ def stream_filtered(spark: SparkSession, path: str, concept_ids: Iterable[str],
                     max_files_per_trigger: int | None = None, available_now: bool = True,
                     ignore_corrupt_files: bool = True, name: str | None = None) -> StreamingQuery:
     create_tables(spark, root)
+    ensure_checkpoint_dir(spark)
     name = name or hashlib.sha1(checkpoint_location.encode()).hexdigest()[:12]
     concept_ids = list(concept_ids)
     reader = (spark.readStream.schema(RAW_WORK).option("mode", "PERMISSIVE")

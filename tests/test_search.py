@@ -53,3 +53,16 @@ def test_trigram_path_equals_nested_loop(spark):
     a = sorted(tuple(r) for r in substring_hits(works(spark), qs).collect())
     b = sorted(tuple(r) for r in substring_hits(works(spark), qs, broadcast_rows=0).collect())
     assert a == b and len(a) == 7
+
+
+def test_strip_doi_prefix_option(spark):
+    res = search(works(spark), q(spark, [(1, "10.1/A_B")]), strip_doi_prefix=True)
+    assert [(h.route, h.id) for h in res.hits.collect()] == [("doi", "W1")]
+
+
+def test_stopwords_option(spark):
+    from paperweave.operators.search import build_title_index, bm25_top
+    idx = build_title_index(works(spark), stopwords=["for", "and", "to"])
+    assert idx.postings.where("term = 'for'").count() == 0
+    hits = bm25_top(idx, q(spark, [(1, "cats and")])).collect()
+    assert {h.id for h in hits} == {"W1", "W2"}
