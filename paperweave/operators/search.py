@@ -74,12 +74,15 @@ def save_title_index(index: TitleIndex, path: str, mode: str = "overwrite") -> N
     a term lookup reads few row groups (min/max statistics)."""
     (index.postings.repartitionByRange("term").sortWithinPartitions("term", "id")
      .write.mode(mode).parquet(f"{path}/postings"))
-    index.stats.coalesce(1).write.mode(mode).parquet(f"{path}/stats")
+    stop = F.array(*[F.lit(w) for w in index.stopwords]).cast("array<string>")
+    index.stats.withColumn("stopwords", stop).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
 
 
 def load_title_index(spark, path: str) -> TitleIndex:
+    stats = spark.read.parquet(f"{path}/stats")
+    stop = stats.select("stopwords").first()["stopwords"] if "stopwords" in stats.columns else []
     return TitleIndex(postings=spark.read.parquet(f"{path}/postings"),
-                      stats=spark.read.parquet(f"{path}/stats"))
+                      stats=stats.select("n_docs", "avgdl"), stopwords=tuple(stop or ()))
 
 
 def query_terms(queries: DataFrame, stopwords=()) -> DataFrame:

@@ -327,6 +327,15 @@ ORACLE: dict[str, str] = {
     "u4_merge_edges": _with("SELECT * FROM m_edges", _EXPAND, _MERGE),
     "u5_explore_nodes": _with("SELECT * FROM e_nodes", _EXPAND, _EXPLORE),
     "u5_explore_edges": _with("SELECT * FROM e_edges", _EXPAND, _EXPLORE),
+    "u6_response": _with(f"""
+  SELECT n.seed_id, to_json({{'nodes': n.nodes, 'edges': coalesce(e.edges, [])}}) AS response
+  FROM (SELECT seed_id, list({{'id': id, 'title': title, 'year': year, 'first_author': first_author,
+                               'venue': venue, 'cited_by_count': cited_by_count}} ORDER BY id) AS nodes
+        FROM nodes_x GROUP BY seed_id) n
+  LEFT JOIN (SELECT seed_id, list({{'source': source, 'target': target, 'type': type}}
+                                  ORDER BY source, target, type NULLS FIRST) AS edges
+             FROM edges_x GROUP BY seed_id) e ON e.seed_id = n.seed_id""", _EXPAND),
+    "v1_embed": _with("SELECT id AS paper_id, 64 AS dim FROM works_v"),
     "v2_refresh_vectors": _with("""
   SELECT paper_id, CAST(len(embedding) AS INTEGER) AS dim FROM vectors_v
   UNION ALL
