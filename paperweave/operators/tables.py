@@ -97,3 +97,16 @@ def overwrite(df: DataFrame, path: str, reads_target: bool = True) -> None:
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
     df.write.mode("overwrite").parquet(path)
+
+
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str, mode: str = "overwrite") -> DataFrame:
+    """Write ``df`` as a catalog table bucketed and sorted by ``key``.
+
+    Two tables bucketed on their join keys with the same bucket count join
+    without shuffling either side (the files are already co-partitioned).
+    Returns the table as read back through the catalog, which is what
+    carries the bucketing into the plan.
+    """
+    (df.write.mode(mode).bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)

@@ -33,3 +33,26 @@ def test_no_python_udf_in_search(spark):
 def test_no_cartesian_in_expand(spark):
     p = plan(registry()["u3_expand_edges"](spark, SF))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_bucketed_layout_avoids_edge_shuffle(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from paperweave.operators.joins import references
+    from paperweave.plans.expand import expand
+    from paperweave.plans.layout import build_serving_tables
+    from paperweave.sources import driver_tables as dt
+    w, c = dt.works_table(spark, SF), dt.citations(spark, SF)
+    st = build_serving_tables(w, c, str(tmp_path), buckets=4, prefix="t")
+    seeds = w.select(F.col("id").alias("seed_id"))
+    df = references(st.works, st.citations_by_target, seeds)
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    scan = next(i for i, l in enumerate(lines) if "t_citations_by_target" in l)
+    smj = max(i for i in range(scan) if "SortMergeJoin" in lines[i])
+    assert "Bucketed: true" in lines[scan]
+    # the edge scan feeds the works join with no shuffle in between
+    assert not any("Exchange hashpartitioning" in l for l in lines[smj:scan])
+    same = sorted(tuple(r) for r in references(w, c, seeds).collect())
+    assert sorted(tuple(r) for r in df.collect()) == same
+    ex = expand(st.works, c, None, seeds, citations_by_target=st.citations_by_target,
+                citations_by_source=st.citations_by_source)
+    assert ex.edges.count() == expand(w, c, None, seeds).edges.count()
