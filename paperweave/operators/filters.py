@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from paperweave.functions.records import concept_ids
 
 PUBLICATION_TYPES = ("article", "preprint", "proceedings-article")
+# Largest concept table turned into one array literal for the scan filter.
+MAX_CONCEPT_ARRAY = 100_000
 
 
 def filter_publications(raw: DataFrame, types: Iterable[str] = PUBLICATION_TYPES) -> DataFrame:
@@ -26,19 +28,35 @@ def filter_concepts(raw: DataFrame, wanted: Iterable[str] | DataFrame) -> DataFr
     """Keep records sharing at least one concept with ``wanted``.
 
     ``wanted`` is a list of concept ids (a literal array) or a DataFrame with
-    a ``concept_id`` column. The DataFrame form becomes one scalar-subquery
-    array evaluated once per query; its size is bounded by the concept
-    vocabulary (tens of thousands of ids), never by the number of works, so
-    the record scan stays a narrow filter with no join or shuffle.
+    a ``concept_id`` column. A table of at most ``MAX_CONCEPT_ARRAY`` ids
+    (counted) becomes one scalar-subquery array, so the record scan stays a
+    narrow filter with no join or shuffle; a larger table is matched by a
+    semi join on the exploded concept ids.
     """
     complete = raw.where(_concepts_complete())
     if isinstance(wanted, DataFrame):
-        target = wanted.select(F.array_sort(F.collect_set("concept_id"))).scalar()
+        ids = wanted.select("concept_id").distinct()
+        if ids.limit(MAX_CONCEPT_ARRAY + 1).count() > MAX_CONCEPT_ARRAY:
+            return _filter_concepts_join(complete, ids)
+        target = ids.select(F.array_sort(F.collect_list("concept_id"))).scalar()
     else:
         target = F.array(*[F.lit(str(i)) for i in wanted])
     return complete.where(F.arrays_overlap(concept_ids(F.col("concepts")), target))
 
 
+def _filter_concepts_join(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """X2 for a concept table above the array bound: explode each record's
+    concept ids, semi-join the wanted table, and keep the records whose scan
+    position matched (requires the ``_file`` / ``_line`` columns of
+    ``sources.snapshot.read_works``)."""
+    pos = ["_file", "_line"]
+    if not all(c in records.columns for c in pos):
+        raise ValueError("a concept table this large needs records read with read_works (_file, _line)")
+    hits = (records.select(*pos, F.explode(concept_ids(F.col("concepts"))).alias("concept_id"))
+            .join(ids, "concept_id", "left_semi").select(*pos).distinct())
+    return records.join(hits, pos, "left_semi")
+
+
 def with_references(raw: DataFrame) -> DataFrame:
     """Only records that carry a reference list."""
     return raw.where(F.col("referenced_works").isNotNull())

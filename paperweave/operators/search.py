@@ -145,9 +145,21 @@ def doi_matches(works: DataFrame, queries: DataFrame, wildcards: bool = False,
 
 def doi_first(works: DataFrame, queries: DataFrame, wildcards: bool = False,
               strip_doi_prefix: bool = False) -> DataFrame:
-    """X6 + L5: the first DOI hit (by id) per query."""
-    return top_n(doi_matches(works, queries, wildcards, strip_doi_prefix), ["query_id"],
-                 [F.col("id").asc()], 1, rank_col="rank")
+    """X6 + L5: the first DOI hit (by id) per query.
+
+    Literal mode reduces the works to the smallest id per DOI first (a
+    partial aggregate, so a DOI shared by many works collapses map-side)
+    and then joins: every query meets at most one work, however many works
+    or queries share a DOI."""
+    if wildcards:
+        return top_n(doi_matches(works, queries, True, strip_doi_prefix), ["query_id"],
+                     [F.col("id").asc()], 1, rank_col="rank")
+    q = queries.where(is_doi_like(F.col("q"))).select(
+        "query_id", doi_key(py_strip(F.col("q")), strip_doi_prefix).alias("doi_key"))
+    first = (works.where(F.col("title").isNotNull())
+             .select("id", doi_key(F.col("doi"), strip_doi_prefix).alias("doi_key"))
+             .groupBy("doi_key").agg(F.min("id").alias("id")))
+    return q.join(first, "doi_key").select("query_id", "id", F.lit(1).alias("rank"))
 
 
 def _check_broadcastable(df: DataFrame, what: str, max_rows: int = BROADCAST_QUERY_ROWS) -> int:

@@ -157,3 +157,9 @@ def test_k4_k6_overwrite_reading_target(spark, tmp_path):
     overwrite(upsert(current, new, ["paper_id"]), path)       # reads the folder it replaces
     got = sorted((r.paper_id, r.embedding[0]) for r in spark.read.parquet(path).collect())
     assert got == [("a", 5.0), ("b", 2.0), ("c", 3.0)]
+
+
+def test_v3_copies_of_an_id_count_once(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.9, 0.1])] + [("c", [0.0, 1.0])] * 50 + [("d", [0.5, 0.5])]
+    got = similar(vecs(spark, rows), seeds(spark, ["a"]), limit=3, block_rows=4).collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.rank)] == ["b", "d", "c"]

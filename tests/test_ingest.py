@@ -208,3 +208,12 @@ def test_n3_stream_incremental(spark, tmp):
     assert sorted(r.id for r in works) == ["W1", "W14", "W16", "W6", "W7"]
     assert [r.title for r in works if r.id == "W1"] == ["t1"]
     assert read_table(spark, root, "citations").count() == 2 + 1 + 3 + 1
+
+
+def test_concept_filter_large_table_path(spark, tmp, monkeypatch):
+    import paperweave.operators.filters as flt
+    monkeypatch.setattr(flt, "MAX_CONCEPT_ARRAY", 0)
+    path = write_snapshot(tmp, {"a.gz": [CASES["R1"], CASES["R2"], CASES["R8"], CASES["R14"]]})
+    wanted = spark.createDataFrame([("C1",)], "concept_id string")
+    b = filtered_batch(read_works(spark, path), wanted, empty_works(spark), metrics=False)
+    assert sorted(r.id for r in b.works.collect()) == ["W1", "W14"]
