@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from paperweave.operators.topn import top_n
 from paperweave.schemas import TABLE_SCHEMAS
-from paperweave.session import ensure_checkpoint_dir
+from paperweave.session import cut_lineage
 
 
 class DuplicateKeyError(ValueError):
@@ -94,8 +94,7 @@ def overwrite(df: DataFrame, path: str, reads_target: bool = True) -> None:
     lost executor recomputes from the checkpoint, not from deleted input.
     """
     if reads_target:
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
+        df = cut_lineage(df)
     df.write.mode("overwrite").parquet(path)
 
 

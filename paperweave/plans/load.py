@@ -31,7 +31,7 @@ from paperweave.operators.search import build_title_index, save_title_index
 from paperweave.operators.tables import append, create_tables, insert_ignore, insert_strict, read_table, table_path
 from paperweave.sources.snapshot import FILE_COL, LENIENT, LINE_COL, STRICT, load_order, read_works
 from paperweave.schemas import WORKS
-from paperweave.session import ensure_checkpoint_dir
+from paperweave.session import cut_lineage, ensure_checkpoint_dir
 
 
 @dataclass
@@ -107,7 +107,7 @@ def load_filtered(spark: SparkSession, path: str, concept_ids: Iterable[str] | D
     batch = filtered_batch(raw, concept_ids, read_table(spark, root, "works"), normalize_ids=normalize_ids)
     # the works rows depend on the table they are appended to: materialise
     # them (reliable checkpoint) before the append changes that table
-    batch = LoadBatch(works=batch.works.checkpoint(eager=True), citations=batch.citations, metrics=batch.metrics)
+    batch = LoadBatch(works=cut_lineage(batch.works), citations=batch.citations, metrics=batch.metrics)
     _write(spark, root, batch, load_id)
     if index_path:
         save_title_index(build_title_index(read_table(spark, root, "works")), index_path)
@@ -123,8 +123,8 @@ def load_generic(spark: SparkSession, path: str, root: str, glob: str | None = "
     raw = read_works(spark, path, STRICT, glob=glob)
     batch = generic_batch(raw, read_table(spark, root, "works"), normalize_ids)
     # validate the citations scan as well before writing anything
-    citations = batch.citations.checkpoint(eager=True)
-    works = batch.works.checkpoint(eager=True)
+    citations = cut_lineage(batch.citations)
+    works = cut_lineage(batch.works)
     batch = LoadBatch(works=works, citations=citations, metrics=None)
     _write(spark, root, batch, load_id)
     return batch

@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of this package relies on. AQE re-plans joins at runtime
 # (broadcast only when the measured size is below the threshold, skew splits,
@@ -71,3 +71,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder for intermediate tables under the shared checkpoint root."""
     root = ensure_checkpoint_dir(spark)
     return os.path.join(root, "paperweave-tables", name)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` as a reliable checkpoint in ``spark.checkpoint.dir``
+    and return the checkpointed frame (its plan starts at the files).
+
+    The frame is persisted while the checkpoint is written, so the plan runs
+    once (checkpointing an unpersisted plan computes it twice). A lost
+    executor afterwards re-reads the checkpoint files instead of recomputing
+    the lineage. Never a local checkpoint: those die with the executor.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    df.persist()
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()

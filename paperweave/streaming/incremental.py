@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from paperweave.operators.tables import append, create_tables, read_table, table_path
 from paperweave.plans.load import filtered_batch
 from paperweave.schemas import RAW_WORK
-from paperweave.session import ensure_checkpoint_dir
+from paperweave.session import cut_lineage, ensure_checkpoint_dir
 from paperweave.sources.snapshot import FILE_COL, LINE_COL
 
 
@@ -49,7 +49,7 @@ def stream_filtered(spark: SparkSession, path: str, concept_ids: Iterable[str],
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         raw = batch.withColumn(LINE_COL, F.monotonically_increasing_id())
         out = filtered_batch(raw, concept_ids, read_table(spark, root, "works"), metrics=False)
-        works = out.works.checkpoint(eager=True)     # fixed before the append changes the table
+        works = cut_lineage(out.works)     # fixed before the append changes the table
         append(works, table_path(root, "works"))
         out.citations.write.mode("overwrite").parquet(
             f"{table_path(root, 'citations')}/load=stream-{name}-{batch_id}")
