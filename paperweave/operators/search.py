@@ -19,14 +19,18 @@ from pyspark.sql import functions as F
 
 from paperweave.functions.text import is_doi_like, like_pattern, py_strip, tokens
 from paperweave.functions.vectors import rounded
-from paperweave.operators.topn import checked_broadcast, top_n
+from paperweave.operators.topn import BROADCAST_ROWS, checked_broadcast, top_n
 
 K1 = 1.2
 B = 0.75
 SEARCH_LIMIT = 20
-# Largest query table joined by a broadcast nested loop (substring search);
-# larger tables take the trigram path, which is an equi-join.
+# Largest pattern table joined by a broadcast nested loop (ILIKE patterns).
 BROADCAST_QUERY_ROWS = 10_000
+# Largest literal query table matched by a nested loop in substring search:
+# a handful of queries is one pass over the titles with a few ``contains``
+# tests per title. Larger tables take the trigram equi-join, whose work
+# grows with the matches, not with queries x titles.
+NESTED_LOOP_QUERY_ROWS = 16
 
 
 @dataclass
@@ -169,46 +173,87 @@ def _check_broadcastable(df: DataFrame, what: str, max_rows: int = BROADCAST_QUE
     return n
 
 
+# Every 3-character window: a zero-width lookahead match at each position
+# whose group captures the next three characters (one JVM call, no lambda).
+TRIGRAM_PATTERN = "(?s)(?=(.{3}))"
+
+
 def _trigrams(s: Column) -> Column:
-    return F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.char_length(s) - 2, F.lit(1))),
-        lambda i: F.substring(s, i, 3)))
+    """Distinct 3-character substrings; empty for strings shorter than 3."""
+    return F.array_distinct(F.regexp_extract_all(s, F.lit(TRIGRAM_PATTERN), 1))
 
 
 def substring_hits(works: DataFrame, queries: DataFrame, wildcards: bool = False,
-                   broadcast_rows: int = BROADCAST_QUERY_ROWS) -> DataFrame:
+                   broadcast_rows: int = NESTED_LOOP_QUERY_ROWS) -> DataFrame:
     """(query_id, id) for every work whose title contains the query,
     ignoring case (untrimmed query). With ``wildcards`` the query is an ILIKE
-    pattern inside ``%...%``.
+    pattern inside ``%...%`` (F8).
 
     A query table of at most ``broadcast_rows`` rows (counted, not assumed)
-    is broadcast and matched by a nested loop while titles stream. A larger
-    table uses a trigram equi-join: each query looks up only its rarest
-    trigram, and every candidate is verified, so the result is exact.
+    is broadcast and tested against every title in one scan. A larger table
+    uses an exact trigram equi-join. Every trigram of the query (with
+    wildcards: of each literal run between ``%`` and ``_``) must occur in a
+    matching title. Only title trigrams that some query asks for are counted;
+    each query probes with its rarest one (a trigram no title has gives no
+    candidates); every candidate is verified with the full test. Queries
+    without a trigram (shorter than three literal characters; ``search``
+    rejects short queries before, X8) take a nested loop over a counted table
+    of at most ``BROADCAST_QUERY_ROWS`` rows.
     """
     # both sides are lower-cased once, before the join (ILIKE is LIKE on
     # lower-cased operands), so the per-pair test is a plain contains / like
     lt = works.where(F.col("title").isNotNull()).select("id", F.lower("title").alias("lt"))
     lq = queries.select("query_id", F.lower("q").alias("lq"))
-    n = queries.limit(broadcast_rows + 1).count()
-    if n <= broadcast_rows:
-        if wildcards:
-            qb = F.broadcast(lq.select("query_id", F.concat(F.lit("%"), like_pattern(F.col("lq")),
-                                                            F.lit("%")).alias("pat")))
-            cond = F.expr("lt LIKE pat")
-        else:
-            qb = F.broadcast(lq)
-            cond = F.col("lt").contains(F.col("lq"))
-        return lt.join(qb, cond).select("query_id", "id")
     if wildcards:
-        raise ValueError(f"wildcard substring search is limited to {broadcast_rows} queries")
-    grams = lt.select("id", F.explode(_trigrams(F.col("lt"))).alias("gram"))
-    gram_df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("gdf"))
-    rarest = top_n(lq.select("query_id", F.explode(_trigrams(F.col("lq"))).alias("gram"))
-                   .join(gram_df, "gram"), ["query_id"], [F.col("gdf").asc(), F.col("gram").asc()], 1)
-    cand = rarest.select("query_id", "gram").join(grams, "gram")
-    return (cand.join(lq, "query_id").join(lt, "id")
-            .where(F.col("lt").contains(F.col("lq"))).select("query_id", "id"))
+        lq = lq.select("query_id", F.concat(F.lit("%"), like_pattern(F.col("lq")), F.lit("%")).alias("lq"),
+                       F.array_distinct(F.flatten(F.transform(F.split("lq", "[%_]"), _trigrams))).alias("grams"))
+        match = F.like(F.col("lt"), F.col("lq"))
+    else:
+        lq = lq.select("query_id", "lq", _trigrams(F.col("lq")).alias("grams"))
+        match = F.col("lt").contains(F.col("lq"))
+    # one bounded job sizes the query table and counts queries without trigrams
+    cap = max(broadcast_rows, BROADCAST_ROWS)
+    no_gram = F.size("grams") == 0
+    sized = lq.limit(cap + 1).agg(F.count(F.lit(1)).alias("n"),
+                                  F.count(F.when(no_gram, 1)).alias("no_gram")).first()
+    n, n_plain = sized["n"], sized["no_gram"]
+    if n <= broadcast_rows:
+        return _nested(lt, lq, match)
+    parts = [_trigram_probe(lt, lq.where(~no_gram), match, probes_fit=n <= BROADCAST_ROWS)]
+    plain = lq.where(no_gram)
+    if n > cap:
+        n_plain = plain.limit(1).count()
+    if n_plain:
+        _check_broadcastable(plain, "substring queries without a 3-character literal run")
+        parts.append(_nested(lt, plain, match))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _nested(lt: DataFrame, lq: DataFrame, match: Column) -> DataFrame:
+    return lt.join(F.broadcast(lq.select("query_id", "lq")), match).select("query_id", "id")
+
+
+def _trigram_probe(lt: DataFrame, lq: DataFrame, match: Column, probes_fit: bool) -> DataFrame:
+    """``lq``: (query_id, lq, grams) with at least one gram per query.
+    ``probes_fit``: the query table has at most ``BROADCAST_ROWS`` rows
+    (counted by the caller), so one probe row per query can be broadcast."""
+    q_grams = lq.select("query_id", F.explode("grams").alias("gram"))
+    wanted = checked_broadcast(q_grams.select("gram").distinct())
+    # (gram, id) for query trigrams only: the title side never shuffles
+    # trigrams that no query asks for
+    t_grams = lt.select("id", F.explode(_trigrams(F.col("lt"))).alias("gram")).join(wanted, "gram", "left_semi")
+    gram_df = t_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("gdf"))
+    rarest = top_n(q_grams.join(gram_df, "gram", "left").fillna(0, ["gdf"]), ["query_id"],
+                   [F.col("gdf").asc(), F.col("gram").asc()], 1)
+    probes = rarest.where(F.col("gdf") > 0).select("query_id", "gram").join(lq.select("query_id", "lq"), "query_id")
+    if probes_fit:
+        # one probe row per query (checked count): titles stream past the
+        # broadcast probes and are verified in the same scan, never shuffled
+        return (lt.select("id", "lt", F.explode(_trigrams(F.col("lt"))).alias("gram"))
+                .join(F.broadcast(probes), "gram").where(match).select("query_id", "id"))
+    cand = probes.select("query_id", "gram").join(t_grams, "gram")
+    return (cand.join(lq.select("query_id", "lq"), "query_id").join(lt, "id")
+            .where(match).select("query_id", "id"))
 
 
 def substring_top(works: DataFrame, queries: DataFrame, limit: int = SEARCH_LIMIT,

@@ -56,3 +56,16 @@ def test_bucketed_layout_avoids_edge_shuffle(spark, tmp_path):
     ex = expand(st.works, c, None, seeds, citations_by_target=st.citations_by_target,
                 citations_by_source=st.citations_by_source)
     assert ex.edges.count() == expand(w, c, None, seeds).edges.count()
+
+
+def test_substring_search_is_an_equi_join(spark):
+    # 40 passages at sf0.001, all with a trigram: above the nested-loop
+    # bound, so queries meet titles through trigram equi-joins only (queries
+    # shorter than three characters would add a counted nested loop)
+    from pyspark.sql import functions as F
+    from paperweave.operators.search import substring_hits
+    from paperweave.sources import driver_tables as dt
+    qs = dt.substring_queries(spark, SF).where(F.char_length("q") >= 3)
+    for wildcards in (False, True):
+        p = plan(substring_hits(dt.works(spark, SF), qs, wildcards=wildcards))
+        assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p

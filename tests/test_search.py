@@ -55,6 +55,20 @@ def test_trigram_path_equals_nested_loop(spark):
     assert a == b and len(a) == 7
 
 
+def test_trigram_path_with_wildcards_and_short_queries(spark):
+    # "s a%d": literal runs "s a" and "d"; "a%d" and "g_": no 3-character run
+    # (nested loop part); "ca": short literal query (nested loop part)
+    pats = q(spark, [(1, "cats_"), (2, "s a%d"), (3, "a%d"), (4, "g_"), (5, "learn%learn"), (6, "zz%zz")])
+    a = sorted(tuple(r) for r in substring_hits(works(spark), pats, wildcards=True).collect())
+    b = sorted(tuple(r) for r in substring_hits(works(spark), pats, wildcards=True, broadcast_rows=0).collect())
+    assert a == b
+    assert a == [(1, "W2"), (2, "W2"), (3, "W2"), (4, "W1"), (4, "W2"), (4, "W3"), (5, "W3")]
+    lits = q(spark, [(1, "ca"), (2, "ats"), (3, "to learn")])
+    a = sorted(tuple(r) for r in substring_hits(works(spark), lits).collect())
+    b = sorted(tuple(r) for r in substring_hits(works(spark), lits, broadcast_rows=0).collect())
+    assert a == b == [(1, "W1"), (1, "W2"), (2, "W1"), (2, "W2"), (3, "W3")]
+
+
 def test_strip_doi_prefix_option(spark):
     res = search(works(spark), q(spark, [(1, "10.1/A_B")]), strip_doi_prefix=True)
     assert [(h.route, h.id) for h in res.hits.collect()] == [("doi", "W1")]
