@@ -135,12 +135,14 @@ def doi_matches(works: DataFrame, queries: DataFrame, wildcards: bool = False,
     """(query_id, id) of works whose DOI equals the trimmed query,
     ignoring case. Only DOI-like queries (X5) are tried. Literal mode is an
     equi-join on the lower-cased DOI; ``wildcards`` gives ILIKE semantics
-    (broadcast nested loop over a counted, bounded query table)."""
+    through the trigram equi-join of ``pattern_join``."""
     q = queries.where(is_doi_like(F.col("q"))).select("query_id", py_strip(F.col("q")).alias("q"))
     w = works.where(F.col("title").isNotNull()).select("id", "doi")
     if wildcards:
-        _check_broadcastable(q, "DOI pattern queries")
-        hits = w.join(F.broadcast(q), F.ilike(F.col("doi"), like_pattern(F.col("q"))))
+        # ILIKE = LIKE on lower-cased operands; whole-string match
+        pats = _like_queries(q.select("query_id", F.lower("q").alias("raw")), contains=False)
+        return pattern_join(w.select("id", F.lower("doi").alias("lt")).where(F.col("lt").isNotNull()),
+                            pats, F.like(F.col("lt"), F.col("lq")))
     else:
         hits = (q.select("query_id", doi_key(F.col("q"), strip_doi_prefix).alias("doi_key"))
                 .join(w.select("id", doi_key(F.col("doi"), strip_doi_prefix).alias("doi_key")), "doi_key"))
@@ -205,27 +207,50 @@ def substring_hits(works: DataFrame, queries: DataFrame, wildcards: bool = False
     lt = works.where(F.col("title").isNotNull()).select("id", F.lower("title").alias("lt"))
     lq = queries.select("query_id", F.lower("q").alias("lq"))
     if wildcards:
-        lq = lq.select("query_id", F.concat(F.lit("%"), like_pattern(F.col("lq")), F.lit("%")).alias("lq"),
-                       F.array_distinct(F.flatten(F.transform(F.split("lq", "[%_]"), _trigrams))).alias("grams"))
-        match = F.like(F.col("lt"), F.col("lq"))
-    else:
-        lq = lq.select("query_id", "lq", _trigrams(F.col("lq")).alias("grams"))
-        match = F.col("lt").contains(F.col("lq"))
+        pats = _like_queries(lq.withColumnRenamed("lq", "raw"), contains=True)
+        return pattern_join(lt, pats, F.like(F.col("lt"), F.col("lq")), broadcast_rows)
+    return pattern_join(lt, lq.withColumn("grams", _trigrams(F.col("lq"))),
+                        F.col("lt").contains(F.col("lq")), broadcast_rows)
+
+
+def _like_queries(raw: DataFrame, contains: bool) -> DataFrame:
+    """(query_id, raw) -> (query_id, lq, grams): ``lq`` is the LIKE pattern
+    of the user text (inside ``%...%`` when ``contains``); ``grams`` are the
+    trigrams of its literal runs between ``%`` and ``_``, taken from the raw
+    text (the pattern doubles backslashes), each of which any match contains."""
+    pat = like_pattern(F.col("raw"))
+    if contains:
+        pat = F.concat(F.lit("%"), pat, F.lit("%"))
+    grams = F.array_distinct(F.flatten(F.transform(F.split("raw", "[%_]"), _trigrams)))
+    return raw.select("query_id", pat.alias("lq"), grams.alias("grams"))
+
+
+def pattern_join(texts: DataFrame, queries: DataFrame, match: Column,
+                 broadcast_rows: int = NESTED_LOOP_QUERY_ROWS) -> DataFrame:
+    """(query_id, id) of every (query, text) pair for which ``match`` holds.
+
+    ``texts``: (id, lt); ``queries``: (query_id, lq, grams), where ``grams``
+    are trigrams that every matching ``lt`` contains. At most
+    ``broadcast_rows`` queries (counted) are tested in one scan of the texts;
+    more go through the trigram equi-join of ``_trigram_probe``. Queries with
+    no trigram take a nested loop over a counted table of at most
+    ``BROADCAST_QUERY_ROWS`` rows.
+    """
     # one bounded job sizes the query table and counts queries without trigrams
     cap = max(broadcast_rows, BROADCAST_ROWS)
     no_gram = F.size("grams") == 0
-    sized = lq.limit(cap + 1).agg(F.count(F.lit(1)).alias("n"),
-                                  F.count(F.when(no_gram, 1)).alias("no_gram")).first()
+    sized = queries.limit(cap + 1).agg(F.count(F.lit(1)).alias("n"),
+                                       F.count(F.when(no_gram, 1)).alias("no_gram")).first()
     n, n_plain = sized["n"], sized["no_gram"]
     if n <= broadcast_rows:
-        return _nested(lt, lq, match)
-    parts = [_trigram_probe(lt, lq.where(~no_gram), match, probes_fit=n <= BROADCAST_ROWS)]
-    plain = lq.where(no_gram)
+        return _nested(texts, queries, match)
+    parts = [_trigram_probe(texts, queries.where(~no_gram), match, probes_fit=n <= BROADCAST_ROWS)]
+    plain = queries.where(no_gram)
     if n > cap:
         n_plain = plain.limit(1).count()
     if n_plain:
-        _check_broadcastable(plain, "substring queries without a 3-character literal run")
-        parts.append(_nested(lt, plain, match))
+        _check_broadcastable(plain, "pattern queries without a 3-character literal run")
+        parts.append(_nested(texts, plain, match))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

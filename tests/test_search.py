@@ -63,6 +63,11 @@ def test_trigram_path_with_wildcards_and_short_queries(spark):
     b = sorted(tuple(r) for r in substring_hits(works(spark), pats, wildcards=True, broadcast_rows=0).collect())
     assert a == b
     assert a == [(1, "W2"), (2, "W2"), (3, "W2"), (4, "W1"), (4, "W2"), (4, "W3"), (5, "W3")]
+    # a backslash is literal: its pattern is escaped, its trigrams are not
+    bs = spark.createDataFrame([("W9", None, "a\\b_c x", 1, 1, None, None, None)], W)
+    for pat in (q(spark, [(1, "a\\b_"), (2, "\\b_c")]), q(spark, [(1, "a\\b%x")])):
+        hits = {tuple(r) for r in substring_hits(bs, pat, wildcards=True, broadcast_rows=0).collect()}
+        assert hits == {(i, "W9") for i in (1, 2)} & {(r.query_id, "W9") for r in pat.collect()}
     lits = q(spark, [(1, "ca"), (2, "ats"), (3, "to learn")])
     a = sorted(tuple(r) for r in substring_hits(works(spark), lits).collect())
     b = sorted(tuple(r) for r in substring_hits(works(spark), lits, broadcast_rows=0).collect())
