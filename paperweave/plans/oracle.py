@@ -149,6 +149,13 @@ _DOI = {
   JOIN (SELECT id, lower(doi) AS k FROM works_v WHERE title IS NOT NULL) w ON w.k = q.k""",
 }
 _DOI["doi_first"] = _top("SELECT * FROM doi_hits", "id", 1, "query_id, id")
+_DOI_ILIKE = {
+    "doi_ilike": """
+  SELECT q.query_id, w.id FROM (
+    SELECT query_id, regexp_replace(q, '^\\s+|\\s+$', '', 'g') AS p FROM search_q
+    WHERE length(q) >= 3 AND contains(q, '10.') AND contains(q, '/')) q
+  JOIN (SELECT id, doi FROM works_v WHERE title IS NOT NULL) w ON w.doi ILIKE q.p""",
+}
 _SEARCH = dict(_DOI)
 _SEARCH["rest_q"] = """
   SELECT query_id, q FROM search_q
@@ -274,6 +281,7 @@ ORACLE: dict[str, str] = {
     "l4_substring_top": _with(_top(_SUBSTR_HITS, "id", 20, "query_id, id"), _QUERIES),
     "f8_ilike_top": _with(_top(_ILIKE_HITS, "id", 20, "query_id, id"), _QUERIES),
     "x6_doi_matches": _with("SELECT query_id, id FROM doi_hits", _QUERIES, _DOI),
+    "x6_doi_ilike": _with("SELECT query_id, id FROM doi_ilike", _QUERIES, _DOI_ILIKE),
     "p1_flatten_works": _with("""
   SELECT 'https://works.example/' || w.id AS id, w.doi, w.title, w.publication_year, w.cited_by_count,
     w.first_author, w.venue, a.aii AS abstract_inverted_index

@@ -307,6 +307,14 @@ def x6_doi_matches(spark, sf):
     return doi_matches(dt.works(spark, sf), dt.search_queries(spark, sf))
 
 
+@register("x6_doi_ilike")
+def x6_doi_ilike(spark, sf):
+    """X6 + F8: every DOI query as an ILIKE pattern (``_`` in a DOI is a
+    wildcard), answered by the trigram pattern join."""
+    from paperweave.operators.search import doi_matches
+    return doi_matches(dt.works(spark, sf), dt.search_queries(spark, sf), wildcards=True)
+
+
 # ---------------------------------------------------------------- graph
 
 def _merged(spark, sf):
