@@ -73,20 +73,38 @@ def build_title_index(works: DataFrame, stopwords=()) -> TitleIndex:
     return TitleIndex(postings=postings, stats=stats, stopwords=tuple(stopwords))
 
 
-def save_title_index(index: TitleIndex, path: str, mode: str = "overwrite") -> None:
-    """Persist the index as Parquet, range-partitioned and sorted by term so
-    a term lookup reads few row groups (min/max statistics)."""
-    (index.postings.repartitionByRange("term").sortWithinPartitions("term", "id")
-     .write.mode(mode).parquet(f"{path}/postings"))
+def save_title_index(index: TitleIndex, path: str, mode: str = "overwrite",
+                     table: str | None = None, buckets: int | None = None) -> None:
+    """Persist the index as Parquet under ``path``.
+
+    Postings are clustered by work id and sorted by term inside each file:
+    all postings of one title sit in one task, so the per-(query, work) BM25
+    sum of a query batch completes in the map-side partial aggregate and
+    only finished sums are shuffled. One title's postings are bounded by its
+    length, so this layout has no hot key.
+
+    With ``table`` (a catalog name) and ``buckets``, postings are saved as a
+    table bucketed by id instead: the plan then knows the clustering, the
+    sum needs no shuffle at all, and only each query's partial top-k moves.
+    """
+    post = index.postings
+    if table:
+        (post.write.mode(mode).bucketBy(buckets or 200, "id").sortBy("term")
+         .option("path", f"{path}/postings").saveAsTable(table))
+    else:
+        clustered = post.repartition(buckets, "id") if buckets else post.repartition("id")
+        clustered.sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
     stop = F.array(*[F.lit(w) for w in index.stopwords]).cast("array<string>")
     index.stats.withColumn("stopwords", stop).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
 
 
-def load_title_index(spark, path: str) -> TitleIndex:
+def load_title_index(spark, path: str, table: str | None = None) -> TitleIndex:
+    """Read an index written by ``save_title_index`` (``table``: the catalog
+    name it was saved under, for the bucketed form)."""
     stats = spark.read.parquet(f"{path}/stats")
     stop = stats.select("stopwords").first()["stopwords"] if "stopwords" in stats.columns else []
-    return TitleIndex(postings=spark.read.parquet(f"{path}/postings"),
-                      stats=stats.select("n_docs", "avgdl"), stopwords=tuple(stop or ()))
+    postings = spark.table(table) if table else spark.read.parquet(f"{path}/postings")
+    return TitleIndex(postings=postings, stats=stats.select("n_docs", "avgdl"), stopwords=tuple(stop or ()))
 
 
 def query_terms(queries: DataFrame, stopwords=()) -> DataFrame:

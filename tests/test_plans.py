@@ -69,3 +69,21 @@ def test_substring_search_is_an_equi_join(spark):
     for wildcards in (False, True):
         p = plan(substring_hits(dt.works(spark, SF), qs, wildcards=wildcards))
         assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+
+
+def test_bucketed_postings_sum_without_shuffle(spark, tmp_path):
+    from paperweave.operators.search import bm25_top, build_title_index, load_title_index, save_title_index
+    from paperweave.sources import driver_tables as dt
+    idx = build_title_index(dt.works(spark, SF))
+    save_title_index(idx, str(tmp_path / "plain"))
+    save_title_index(idx, str(tmp_path / "bucketed"), table="t_postings_by_id", buckets=4)
+    queries = dt.search_queries(spark, SF)
+    plain = bm25_top(load_title_index(spark, str(tmp_path / "plain")), queries)
+    bucketed = bm25_top(load_title_index(spark, str(tmp_path / "bucketed"), table="t_postings_by_id"), queries)
+    assert sorted(tuple(r) for r in plain.collect()) == sorted(tuple(r) for r in bucketed.collect())
+    lines = bucketed._jdf.queryExecution().executedPlan().toString().splitlines()
+    scan = next(i for i, l in enumerate(lines) if "t_postings_by_id" in l)
+    final_agg = next(i for i, l in enumerate(lines) if "HashAggregate" in l and "partial_" not in l)
+    assert "Bucketed: true" in lines[scan]
+    # the per-(query, work) sum runs on the bucketed scan with no exchange
+    assert not any("Exchange" in l for l in lines[final_agg:scan] if "BroadcastExchange" not in l)
