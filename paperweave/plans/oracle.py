@@ -100,7 +100,10 @@ _QUERIES = {
     ' ' || upper('https://doi.org/10.' || (1000 + doc_id % 9000) || '/d_' || doc_id) || ' ' AS q
   FROM documents""",
     "substr_q": """
-  SELECT item_id AS query_id, split_part(text, '.', 1) AS q FROM benchmark""",
+  SELECT item_id * 100000 + pos AS query_id, q FROM (
+    SELECT item_id, unnest(string_split(text, '.')) AS q,
+      unnest(range(len(string_split(text, '.')))) AS pos FROM benchmark)
+  WHERE length(q) >= 3""",
     "word_q": """
   SELECT item_id * 100000 + pos AS query_id, q FROM (
     SELECT item_id, unnest(string_split(text, ' ')) AS q,

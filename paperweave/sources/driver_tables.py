@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperweave.functions.abstract import inverted_index_json
+from paperweave.functions.text import is_valid_query
 
 # Fixed values of the derived views (shared with the oracle SQL).
 DOI_PREFIX = "https://doi.org/10."
@@ -100,11 +101,15 @@ def title_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substring_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Substring probes: every benchmark passage's first sentence (the text
-    before the first full stop)."""
-    return _table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.substring_index(F.col("text"), ".", 1).alias("q"))
+    """Substring probes: every sentence (text between full stops, untrimmed)
+    of every benchmark passage, so the whole text is searched. Only
+    sentences the search accepts are kept (X8: at least 3 characters);
+    shorter ones, such as the empty text after a final full stop, never
+    reach substring search."""
+    b = _table(spark, sf_dir, "benchmark")
+    return (b.select("item_id", F.posexplode(F.split(F.col("text"), r"\.", -1)).alias("pos", "q"))
+            .where(is_valid_query(F.col("q")))
+            .select((F.col("item_id") * 100_000 + F.col("pos")).alias("query_id"), "q"))
 
 
 def raw_works(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def test_bucketed_layout_avoids_edge_shuffle(spark, tmp_path):
 
 
 def test_substring_search_is_an_equi_join(spark):
-    # 40 passages at sf0.001, all with a trigram: above the nested-loop
+    # every sentence of 40 passages at sf0.001, all with a trigram: above the nested-loop
     # bound, so queries meet titles through trigram equi-joins only (queries
     # shorter than three characters would add a counted nested loop)
     from pyspark.sql import functions as F
