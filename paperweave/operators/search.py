@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from paperweave.functions.text import is_doi_like, like_pattern, py_strip, tokens
 from paperweave.functions.vectors import rounded
-from paperweave.operators.topn import BROADCAST_ROWS, checked_broadcast, top_n
+from paperweave.operators.topn import BROADCAST_BYTES, BROADCAST_ROWS, bounded_size, checked_broadcast, top_n
 
 K1 = 1.2
 B = 0.75
@@ -187,9 +187,10 @@ def doi_first(works: DataFrame, queries: DataFrame, wildcards: bool = False,
 
 
 def _check_broadcastable(df: DataFrame, what: str, max_rows: int = BROADCAST_QUERY_ROWS) -> int:
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"{what}: more than {max_rows} rows cannot use the nested-loop form")
+    n, b = bounded_size(df, max_rows)
+    if n > max_rows or b > BROADCAST_BYTES:
+        raise ValueError(f"{what}: more than {max_rows} rows or {BROADCAST_BYTES} bytes "
+                         "cannot use the nested-loop form")
     return n
 
 
@@ -258,11 +259,12 @@ def pattern_join(texts: DataFrame, queries: DataFrame, match: Column,
     cap = max(broadcast_rows, BROADCAST_ROWS)
     no_gram = F.size("grams") == 0
     sized = queries.limit(cap + 1).agg(F.count(F.lit(1)).alias("n"),
-                                       F.count(F.when(no_gram, 1)).alias("no_gram")).first()
-    n, n_plain = sized["n"], sized["no_gram"]
-    if n <= broadcast_rows:
+                                       F.count(F.when(no_gram, 1)).alias("no_gram"),
+                                       F.coalesce(F.sum(F.octet_length("lq")), F.lit(0)).alias("bytes")).first()
+    n, n_plain, small = sized["n"], sized["no_gram"], sized["bytes"] <= BROADCAST_BYTES
+    if n <= broadcast_rows and small:
         return _nested(texts, queries, match)
-    parts = [_trigram_probe(texts, queries.where(~no_gram), match, probes_fit=n <= BROADCAST_ROWS)]
+    parts = [_trigram_probe(texts, queries.where(~no_gram), match, probes_fit=n <= BROADCAST_ROWS and small)]
     plain = queries.where(no_gram)
     if n > cap:
         n_plain = plain.limit(1).count()
@@ -278,8 +280,9 @@ def _nested(lt: DataFrame, lq: DataFrame, match: Column) -> DataFrame:
 
 def _trigram_probe(lt: DataFrame, lq: DataFrame, match: Column, probes_fit: bool) -> DataFrame:
     """``lq``: (query_id, lq, grams) with at least one gram per query.
-    ``probes_fit``: the query table has at most ``BROADCAST_ROWS`` rows
-    (counted by the caller), so one probe row per query can be broadcast."""
+    ``probes_fit``: the query table has at most ``BROADCAST_ROWS`` rows and
+    ``BROADCAST_BYTES`` of query text (counted by the caller), so one probe
+    row per query can be broadcast."""
     q_grams = lq.select("query_id", F.explode("grams").alias("gram"))
     wanted = checked_broadcast(q_grams.select("gram").distinct())
     # (gram, id) for query trigrams only: the title side never shuffles

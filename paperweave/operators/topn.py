@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def top_n(df: DataFrame, partition_by: Sequence[str | Column], order_by: Sequence[Column],
@@ -23,16 +24,50 @@ def top_n(df: DataFrame, partition_by: Sequence[str | Column], order_by: Sequenc
     return out if rank_col else out.drop(name)
 
 
-# Largest seed / query table broadcast to every task of a join.
+# Largest seed / query table broadcast to every task of a join: both bounds
+# must hold.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it has at most ``max_rows`` rows.
+def _row_bytes(df: DataFrame) -> Column:
+    """Approximate bytes of a row: UTF-8 length of strings and binaries,
+    JSON length of nested values, 8 bytes for every other column."""
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)))
+        else:
+            parts.append(F.lit(8))
+    out = F.lit(0)
+    for p in parts:
+        out = out + p
+    return out
 
-    The check is a bounded count (it stops after ``max_rows + 1`` rows); a
+
+def bounded_size(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[int, int]:
+    """(rows, bytes) of at most the first ``max_rows + 1`` rows of ``df``,
+    in one job that stops reading after that many rows."""
+    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                   F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("b")).first()
+    return r["n"], r["b"]
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    n, b = bounded_size(df, max_rows)
+    return n <= max_rows and b <= max_bytes
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS,
+                      max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when it has at most ``max_rows`` rows and about
+    ``max_bytes`` bytes.
+
+    The check is a bounded job (it stops after ``max_rows + 1`` rows); a
     larger table is returned as is, and the join falls back to a shuffle
     join that AQE may still broadcast from measured sizes.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df

@@ -87,3 +87,13 @@ def test_bucketed_postings_sum_without_shuffle(spark, tmp_path):
     assert "Bucketed: true" in lines[scan]
     # the per-(query, work) sum runs on the bucketed scan with no exchange
     assert not any("Exchange" in l for l in lines[final_agg:scan] if "BroadcastExchange" not in l)
+
+
+def test_checked_broadcast_bounds_rows_and_bytes(spark):
+    from paperweave.operators.topn import bounded_size, checked_broadcast
+    df = spark.createDataFrame([(i, "x" * 1000) for i in range(10)], "k long, s string")
+    assert bounded_size(df, 100) == (10, 10 * (8 + 1000))
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().analyzed().toString().lower()
+    assert hinted(checked_broadcast(df, max_rows=10, max_bytes=20_000))
+    assert not hinted(checked_broadcast(df, max_rows=9, max_bytes=20_000))     # too many rows
+    assert not hinted(checked_broadcast(df, max_rows=10, max_bytes=5_000))     # too many bytes
