@@ -71,3 +71,32 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS,
     join that AQE may still broadcast from measured sizes.
     """
     return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
+
+
+def running_totals(df: DataFrame, order_col: str, sums: Sequence[str], count_as: str,
+                   sum_suffix: str = "_total") -> DataFrame:
+    """Running row number (``count_as``) and running sums of ``sums`` in
+    ``order_col`` order (ascending, unique values), without moving the table
+    into one task.
+
+    The rows are range-partitioned by ``order_col``, so partition ``i`` holds
+    the ``i``-th range; a window per partition gives local prefixes, and a
+    table with one row per partition gives each partition's offset (the
+    totals of all partitions before it). Only that per-partition table is
+    ordered as a whole; its size is the partition count, not the data.
+    """
+    parts = df.repartitionByRange(order_col).withColumn("_part", F.spark_partition_id())
+    local = Window.partitionBy("_part").orderBy(order_col)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.withColumn("_n", F.row_number().over(local))
+    for c in sums:
+        out = out.withColumn(f"_s_{c}", F.sum(c).over(upto))
+    totals = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_pn"), *[F.sum(c).alias(f"_ps_{c}") for c in sums])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_on"),
+                            *[F.coalesce(F.sum(f"_ps_{c}").over(before), F.lit(0)).alias(f"_os_{c}") for c in sums])
+    out = out.join(F.broadcast(offsets), "_part")
+    out = out.withColumn(count_as, (F.col("_n") + F.col("_on")).cast("int"))
+    for c in sums:
+        out = out.withColumn(f"{c}{sum_suffix}", F.col(f"_s_{c}") + F.col(f"_os_{c}"))
+    return out.drop("_part", "_n", "_on", *[f"_s_{c}" for c in sums], *[f"_os_{c}" for c in sums])

@@ -21,13 +21,14 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperweave.functions.records import short_id
 from paperweave.operators.filters import filter_concepts, filter_publications, with_references
 from paperweave.operators.project import flatten_works
 from paperweave.operators.search import build_title_index, save_title_index
+from paperweave.operators.topn import running_totals
 from paperweave.operators.tables import append, create_tables, insert_ignore, insert_strict, read_table, table_path
 from paperweave.sources.snapshot import FILE_COL, LENIENT, LINE_COL, STRICT, load_order, read_works
 from paperweave.schemas import WORKS
@@ -56,15 +57,14 @@ def ingest_metrics(scanned: DataFrame, kept: DataFrame) -> DataFrame:
     """A3: per input file the records read and works kept, and the running
     total of kept works (before de-duplication) in file order.
 
-    The running total is a window over the per-file table, one row per file,
-    so its size is bounded by the number of files, not by the data.
+    The per-file table has one row per file; its running counters are a
+    distributed prefix sum (``running_totals``), so no task holds all files.
     """
     read = scanned.groupBy(FILE_COL).agg(F.count(F.lit(1)).alias("records"))
     found = kept.groupBy(FILE_COL).agg(F.count(F.lit(1)).alias("kept"))
     per_file = read.join(found, FILE_COL, "left").fillna(0, ["kept"])
-    order = Window.orderBy(FILE_COL)
-    return (per_file.withColumn("files_done", F.row_number().over(order))
-            .withColumn("total_kept", F.sum("kept").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return (running_totals(per_file, FILE_COL, ["kept"], count_as="files_done")
+            .withColumnRenamed("kept_total", "total_kept")
             .withColumnRenamed(FILE_COL, "file"))
 
 

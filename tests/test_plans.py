@@ -97,3 +97,17 @@ def test_checked_broadcast_bounds_rows_and_bytes(spark):
     assert hinted(checked_broadcast(df, max_rows=10, max_bytes=20_000))
     assert not hinted(checked_broadcast(df, max_rows=9, max_bytes=20_000))     # too many rows
     assert not hinted(checked_broadcast(df, max_rows=10, max_bytes=5_000))     # too many bytes
+
+
+def test_running_totals_match_one_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from paperweave.operators.topn import running_totals
+    df = spark.range(1000).select(F.format_string("f%05d", (F.col("id") * 7919) % 1000).alias("file"),
+                                  ((F.col("id") * 31) % 17).alias("kept"))
+    got = running_totals(df, "file", ["kept"], count_as="files_done")
+    w = Window.orderBy("file")
+    want = (df.withColumn("files_done", F.row_number().over(w))
+            .withColumn("kept_total", F.sum("kept").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    cols = ["file", "kept", "files_done", "kept_total"]
+    assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in want.select(*cols).collect())
