@@ -316,6 +316,13 @@ ORACLE: dict[str, str] = {
     "p7_embedding_text": _with("""
   SELECT w.id AS paper_id, coalesce(w.title, '') || ' ' || coalesce(t.abstract, '') AS text
   FROM works_v w JOIN text_a t ON t.doc_id = w.doc_id""", _ABSTRACT),
+    "a3_ingest_metrics": _with("""
+  SELECT file, records, kept, CAST(row_number() OVER (ORDER BY file) AS INTEGER) AS files_done,
+    CAST(sum(kept) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total_kept
+  FROM (
+    SELECT 'part-' || coalesce(venue, '') AS file, count(*) AS records,
+      count(*) FILTER (WHERE list_has_any([split_part(c1, '/', -1), split_part(c2, '/', -1)], ['C1', 'C3'])) AS kept
+    FROM raw_v GROUP BY 1)""", _RAW),
     "k2_insert_ignore": _with("SELECT id, title, publication_year FROM works_v WHERE type <> 'article'"),
     "k4_upsert_vectors": _with("""
   SELECT paper_id, CAST(len(e) AS INTEGER) AS dim, round(CAST(e[1] AS DOUBLE), 6) AS first FROM (

@@ -253,6 +253,19 @@ def p7_embedding_text(spark, sf):
     return embedding_text(dt.works(spark, sf), abstract="plain")
 
 
+@register("a3_ingest_metrics")
+def a3_ingest_metrics(spark, sf):
+    """A3 over the derived snapshot records, one input file per venue (the
+    document source): records read, works kept by the concept filter (X2),
+    files done and the running total of kept works in file order."""
+    from paperweave.operators.filters import filter_concepts
+    from paperweave.plans.load import ingest_metrics
+    from paperweave.sources.snapshot import FILE_COL
+    raw = dt.raw_works(spark, sf).withColumn(
+        FILE_COL, F.concat(F.lit("part-"), F.coalesce(F.col("primary_location.source.display_name"), F.lit(""))))
+    return ingest_metrics(raw, filter_concepts(raw, ["C1", "C3"]))
+
+
 # ---------------------------------------------------------------- tables
 
 @register("k2_insert_ignore")
