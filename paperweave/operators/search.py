@@ -19,7 +19,14 @@ from pyspark.sql import functions as F
 
 from paperweave.functions.text import is_doi_like, like_pattern, py_strip, tokens
 from paperweave.functions.vectors import rounded
-from paperweave.operators.topn import BROADCAST_BYTES, BROADCAST_ROWS, bounded_size, checked_broadcast, top_n
+from paperweave.operators.topn import (
+    BROADCAST_BYTES,
+    BROADCAST_ROWS,
+    bounded_size,
+    checked_broadcast,
+    fits_broadcast,
+    top_n,
+)
 
 K1 = 1.2
 B = 0.75
@@ -113,28 +120,34 @@ def query_terms(queries: DataFrame, stopwords=()) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(toks)).alias("term"))
 
 
-def term_matches(index: TitleIndex, queries: DataFrame) -> DataFrame:
+def term_matches(index: TitleIndex, queries: DataFrame, broadcast_terms: bool | None = None) -> DataFrame:
     """Query terms joined to the postings on term. A query-term table of
     checked small size is broadcast, so the postings stream through the join
     without a shuffle; a larger one takes a shuffle join, where AQE splits the
-    partitions of very common terms."""
-    return checked_broadcast(query_terms(queries, index.stopwords)).join(index.postings, "term")
+    partitions of very common terms. ``broadcast_terms``: the caller already
+    checked the size of these terms (or of a superset); ``None`` checks here."""
+    terms = query_terms(queries, index.stopwords)
+    if broadcast_terms is None:
+        broadcast_terms = fits_broadcast(terms)
+    return (F.broadcast(terms) if broadcast_terms else terms).join(index.postings, "term")
 
 
-def bm25_scores(index: TitleIndex, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_scores(index: TitleIndex, queries: DataFrame, k1: float = K1, b: float = B,
+                broadcast_terms: bool | None = None) -> DataFrame:
     """A2: BM25 score of every (query, work) sharing at least one term."""
     n, avgdl = index.n_docs(), index.avgdl()
     df, tf, dl = F.col("df"), F.col("tf"), F.col("doc_len")
     idf = F.log10((n - df + 0.5) / (df + 0.5) + 1)
     part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
-    return (term_matches(index, queries)
+    return (term_matches(index, queries, broadcast_terms)
             .groupBy("query_id", "id").agg(F.sum(part).alias("raw_score"))
             .select("query_id", "id", rounded(F.col("raw_score")).alias("score")))
 
 
-def bm25_top(index: TitleIndex, queries: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+def bm25_top(index: TitleIndex, queries: DataFrame, limit: int = SEARCH_LIMIT,
+             broadcast_terms: bool | None = None) -> DataFrame:
     """L1: best ``limit`` works per query, score descending then id."""
-    return top_n(bm25_scores(index, queries), ["query_id"],
+    return top_n(bm25_scores(index, queries, broadcast_terms=broadcast_terms), ["query_id"],
                  [F.col("score").desc(), F.col("id").asc()], limit, rank_col="rank")
 
 

@@ -22,8 +22,10 @@ from paperweave.operators.search import (
     bm25_top,
     build_title_index,
     doi_first,
+    query_terms,
     substring_top,
 )
+from paperweave.operators.topn import fits_broadcast
 from paperweave.schemas import PAPER_COLUMNS
 
 RESULT_COLUMNS = ["query_id", "route", "rank", *PAPER_COLUMNS, "score"]
@@ -53,7 +55,10 @@ def search(works: DataFrame, queries: DataFrame, index: TitleIndex | None = None
     if mode == "bm25":
         if index is None:
             index = build_title_index(works)
-        ranked = bm25_top(index, rest, limit).select(
+        # the size check runs on the terms of all accepted queries (a
+        # superset of those left after DOI routing), so it needs no DOI join
+        fits = fits_broadcast(query_terms(accepted, index.stopwords))
+        ranked = bm25_top(index, rest, limit, broadcast_terms=fits).select(
             "query_id", F.lit("bm25").alias("route"), "rank", "id", "score")
     else:
         ranked = substring_top(works, rest, limit, wildcards).select(
