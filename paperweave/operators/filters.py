@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperweave.functions.records import concept_ids
+from paperweave.operators.topn import fits_broadcast
 
 PUBLICATION_TYPES = ("article", "preprint", "proceedings-article")
 # Largest concept table turned into one array literal for the scan filter.
@@ -29,14 +30,14 @@ def filter_concepts(raw: DataFrame, wanted: Iterable[str] | DataFrame) -> DataFr
 
     ``wanted`` is a list of concept ids (a literal array) or a DataFrame with
     a ``concept_id`` column. A table of at most ``MAX_CONCEPT_ARRAY`` ids
-    (counted) becomes one scalar-subquery array, so the record scan stays a
+    and ``BROADCAST_BYTES`` (counted) becomes one scalar-subquery array, so the record scan stays a
     narrow filter with no join or shuffle; a larger table is matched by a
     semi join on the exploded concept ids.
     """
     complete = raw.where(_concepts_complete())
     if isinstance(wanted, DataFrame):
         ids = wanted.select("concept_id").distinct()
-        if ids.limit(MAX_CONCEPT_ARRAY + 1).count() > MAX_CONCEPT_ARRAY:
+        if not fits_broadcast(ids, MAX_CONCEPT_ARRAY):
             return _filter_concepts_join(complete, ids)
         target = ids.select(F.array_sort(F.collect_list("concept_id"))).scalar()
     else:
