@@ -163,3 +163,18 @@ def test_v3_copies_of_an_id_count_once(spark):
     rows = [("a", [1.0, 0.0]), ("b", [0.9, 0.1])] + [("c", [0.0, 1.0])] * 50 + [("d", [0.5, 0.5])]
     got = similar(vecs(spark, rows), seeds(spark, ["a"]), limit=3, block_rows=4).collect()
     assert [r.id for r in sorted(got, key=lambda r: r.rank)] == ["b", "d", "c"]
+
+
+def test_u4_merge_with_itself_is_unchanged(spark):
+    from pyspark.sql import functions as F
+    from paperweave.operators.graph import merge_graph
+    from paperweave.plans.expand import expand
+    from paperweave.sources import driver_tables as dt
+    sf = "/root/testdata/sf0.001"
+    w, c, v = dt.works(spark, sf), dt.citations(spark, sf), dt.vector_cache(spark, sf)
+    ex = expand(w, c, v, w.select(F.col("id").alias("seed_id")))
+    n, e = ex.nodes.where("seed_id = 'W0'").drop("seed_id"), ex.edges.where("seed_id = 'W0'").drop("seed_id")
+    n1, e1 = merge_graph(n, e, n, e)
+    assert sorted(map(tuple, n1.collect())) == sorted(map(tuple, n.collect()))
+    # edges: a bag in, first wins per (source, target) against the stored graph
+    assert sorted(map(tuple, e1.collect())) == sorted(map(tuple, e.collect()))

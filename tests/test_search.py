@@ -85,3 +85,30 @@ def test_stopwords_option(spark):
     assert idx.postings.where("term = 'for'").count() == 0
     hits = bm25_top(idx, q(spark, [(1, "cats and")])).collect()
     assert {h.id for h in hits} == {"W1", "W2"}
+
+
+def test_trigram_path_against_brute_force(spark):
+    # random titles and queries over a small alphabet with wildcard
+    # characters, a backslash and an accented letter; the trigram equi-join
+    # must return exactly the pairs a direct test finds
+    import random
+    import re
+    rnd = random.Random(7)
+    alphabet = "abAB c%_\\é"
+    titles = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))) for _ in range(60)]
+    qtexts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 6))) for _ in range(40)]
+    rows = [(f"W{i}", None, t, 1, 1, None, None, None) for i, t in enumerate(titles)]
+    ws = spark.createDataFrame(rows, W)
+    qs = q(spark, list(enumerate(qtexts)))
+
+    def like(pattern, text):
+        rx = "".join(".*" if ch == "%" else "." if ch == "_" else re.escape(ch) for ch in pattern)
+        return re.fullmatch(rx, text, re.S) is not None
+
+    want_lit = {(i, f"W{j}") for i, qt in enumerate(qtexts) for j, t in enumerate(titles) if qt.lower() in t.lower()}
+    want_pat = {(i, f"W{j}") for i, qt in enumerate(qtexts) for j, t in enumerate(titles)
+                if like("%" + qt.lower() + "%", t.lower())}
+    got_lit = {tuple(r) for r in substring_hits(ws, qs, broadcast_rows=0).collect()}
+    got_pat = {tuple(r) for r in substring_hits(ws, qs, wildcards=True, broadcast_rows=0).collect()}
+    assert got_lit == want_lit
+    assert got_pat == want_pat
