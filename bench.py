@@ -81,7 +81,8 @@ def main() -> None:
     ex = lambda: expand(works, cites, vectors, seeds)
     t = time.time()
     postings_table = f"bench_postings_{uuid.uuid4().hex[:8]}"
-    save_title_index(build_title_index(works), f"{work}/index", table=postings_table, buckets=2 * cpus)
+    save_title_index(build_title_index(works, partitions=2 * cpus), f"{work}/index",
+                     table=postings_table, buckets=2 * cpus)
     times["a1_index"] = round(time.time() - t, 3)
     index = load_title_index(spark, f"{work}/index", table=postings_table)
     timed("l1_search", lambda: search(works, queries, index=index).hits)

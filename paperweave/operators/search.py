@@ -42,7 +42,8 @@ NESTED_LOOP_QUERY_ROWS = 16
 
 @dataclass
 class TitleIndex:
-    postings: DataFrame   # term, id, tf, doc_len, df
+    postings: DataFrame   # term, id, tf, doc_len (clustered by work id)
+    terms: DataFrame      # term, df (the term dictionary)
     stats: DataFrame      # one row: n_docs, avgdl
     stopwords: tuple = ()  # removed from titles and, by the query side, from queries
 
@@ -52,6 +53,11 @@ class TitleIndex:
     def avgdl(self) -> Column:
         return self.stats.select("avgdl").scalar()
 
+    def postings_with_df(self) -> DataFrame:
+        """Every posting with its term's document frequency. Search never
+        needs this join: it looks up df for the query terms only."""
+        return self.postings.join(self.terms, "term").select("term", "id", "tf", "doc_len", "df")
+
 
 def _drop_stopwords(toks: Column, stopwords) -> Column:
     if not stopwords:
@@ -59,48 +65,55 @@ def _drop_stopwords(toks: Column, stopwords) -> Column:
     return F.filter(toks, lambda t: ~t.isin(list(stopwords)))
 
 
-def build_title_index(works: DataFrame, stopwords=()) -> TitleIndex:
-    """A1: postings with term frequency, document length and document
-    frequency, plus the collection statistics. ``stopwords`` (optional,
-    none by default) are removed from titles before counting, and from
-    queries searched against this index.
+def build_title_index(works: DataFrame, stopwords=(), partitions: int | None = None) -> TitleIndex:
+    """A1: postings (term frequency and document length per work and term),
+    the term dictionary (document frequency per term) and the collection
+    statistics. ``stopwords`` (optional, none by default) are removed from
+    titles before counting, and from queries searched against this index.
 
-    tf is a partial aggregate: all tokens of a title sit in one map task, so
-    only distinct (term, id) pairs are shuffled. df is a partial count per
-    term. The df join of a very common term is skewed and left to AQE's skew
-    split (or a broadcast of the df table when it is small).
+    Titles (one row each) are hash-partitioned by work id once, into
+    ``partitions`` parts (default: the shuffle partition count); tokens are
+    exploded and counted inside those partitions, so postings come out
+    clustered by id with no further shuffle, and a title's postings are
+    bounded by its length (no hot key). df is a partial count per term: only
+    (term, partial count) pairs move, however common a term is. Postings are
+    never joined with df here; search looks df up for its query terms.
     """
     docs = works.where(F.col("title").isNotNull()).select(
         "id", _drop_stopwords(tokens(F.col("title")), stopwords).alias("toks"))
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))
-    tf = (docs.select("id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term"))
-          .groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len")))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    postings = tf.join(df, "term").select("term", "id", "tf", "doc_len", "df")
-    return TitleIndex(postings=postings, stats=stats, stopwords=tuple(stopwords))
+    by_id = docs.repartition(partitions, "id") if partitions else docs.repartition("id")
+    postings = (by_id.select("id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term"))
+                .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+                .select("term", "id", "tf", "doc_len"))
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return TitleIndex(postings=postings, terms=terms, stats=stats, stopwords=tuple(stopwords))
 
 
 def save_title_index(index: TitleIndex, path: str, mode: str = "overwrite",
                      table: str | None = None, buckets: int | None = None) -> None:
     """Persist the index as Parquet under ``path``.
 
-    Postings are clustered by work id and sorted by term inside each file:
-    all postings of one title sit in one task, so the per-(query, work) BM25
-    sum of a query batch completes in the map-side partial aggregate and
-    only finished sums are shuffled. One title's postings are bounded by its
-    length, so this layout has no hot key.
+    Postings keep their clustering by work id (``build_title_index``) and are
+    sorted by term inside each file: all postings of one title sit in one
+    task, so the per-(query, work) BM25 sum of a query batch completes in
+    the map-side partial aggregate and only finished sums are shuffled.
+    ``buckets`` re-clusters them into that many files.
 
     With ``table`` (a catalog name) and ``buckets``, postings are saved as a
     table bucketed by id instead: the plan then knows the clustering, the
     sum needs no shuffle at all, and only each query's partial top-k moves.
+    Build with ``partitions=buckets`` so each task writes one bucket file.
+    The term dictionary is saved sorted by term.
     """
     post = index.postings
     if table:
         (post.write.mode(mode).bucketBy(buckets or 200, "id").sortBy("term")
          .option("path", f"{path}/postings").saveAsTable(table))
     else:
-        clustered = post.repartition(buckets, "id") if buckets else post.repartition("id")
-        clustered.sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
+        post = post.repartition(buckets, "id") if buckets else post
+        post.sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
+    index.terms.sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
     stop = F.array(*[F.lit(w) for w in index.stopwords]).cast("array<string>")
     index.stats.withColumn("stopwords", stop).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
 
@@ -111,7 +124,8 @@ def load_title_index(spark, path: str, table: str | None = None) -> TitleIndex:
     stats = spark.read.parquet(f"{path}/stats")
     stop = stats.select("stopwords").first()["stopwords"] if "stopwords" in stats.columns else []
     postings = spark.table(table) if table else spark.read.parquet(f"{path}/postings")
-    return TitleIndex(postings=postings, stats=stats.select("n_docs", "avgdl"), stopwords=tuple(stop or ()))
+    return TitleIndex(postings=postings, terms=spark.read.parquet(f"{path}/terms"),
+                      stats=stats.select("n_docs", "avgdl"), stopwords=tuple(stop or ()))
 
 
 def query_terms(queries: DataFrame, stopwords=()) -> DataFrame:
@@ -121,7 +135,8 @@ def query_terms(queries: DataFrame, stopwords=()) -> DataFrame:
 
 
 def term_matches(index: TitleIndex, queries: DataFrame, broadcast_terms: bool | None = None) -> DataFrame:
-    """Query terms joined to the postings on term. A query-term table of
+    """Query terms, with their df from the term dictionary, joined to the
+    postings on term. A query-term table of
     checked small size is broadcast, so the postings stream through the join
     without a shuffle; a larger one takes a shuffle join, where AQE splits the
     partitions of very common terms. ``broadcast_terms``: the caller already
@@ -129,7 +144,9 @@ def term_matches(index: TitleIndex, queries: DataFrame, broadcast_terms: bool |
     terms = query_terms(queries, index.stopwords)
     if broadcast_terms is None:
         broadcast_terms = fits_broadcast(terms)
-    return (F.broadcast(terms) if broadcast_terms else terms).join(index.postings, "term")
+    # df of the query terms only (at most one dictionary row per query term)
+    with_df = (F.broadcast(terms) if broadcast_terms else terms).join(index.terms, "term")
+    return (F.broadcast(with_df) if broadcast_terms else with_df).join(index.postings, "term")
 
 
 def bm25_scores(index: TitleIndex, queries: DataFrame, k1: float = K1, b: float = B,

@@ -103,7 +103,7 @@ def f2_tokenize(spark, sf):
 
 @register("a1_postings")
 def a1_postings(spark, sf):
-    return _index(spark, sf).postings
+    return _index(spark, sf).postings_with_df()
 
 
 @register("a1_stats")
