@@ -21,6 +21,7 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,11 +70,15 @@ def ingest_metrics(scanned: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def filtered_batch(raw: DataFrame, concept_ids: Iterable[str] | DataFrame,
-                   existing_works: DataFrame, metrics: bool = True, normalize_ids: bool = True) -> LoadBatch:
+                   existing_works: DataFrame, metrics: bool = True, normalize_ids: bool = True,
+                   kept: DataFrame | None = None) -> LoadBatch:
     """N1 without the writes: what a lenient scan adds to the tables.
     ``normalize_ids`` (default on, like this loader's reference) applies P4 to
-    work ids and to both citation endpoints."""
-    kept = filter_concepts(raw, concept_ids)                                     # X2
+    work ids and to both citation endpoints. ``kept``: the records of ``raw``
+    that pass the concept filter, when the caller has already computed (and
+    persisted) them."""
+    if kept is None:
+        kept = filter_concepts(raw, concept_ids)                                 # X2
     rows = flatten_works(kept, normalize_ids=normalize_ids, keep=(FILE_COL, LINE_COL))   # P1-P4
     works = insert_ignore(existing_works, rows, "id", load_order())             # K2
     return LoadBatch(works=works.select(*WORKS.fieldNames()),
@@ -104,11 +109,19 @@ def load_filtered(spark: SparkSession, path: str, concept_ids: Iterable[str] | D
     create_tables(spark, root)
     ensure_checkpoint_dir(spark)
     raw = read_works(spark, path, LENIENT, glob=glob, ignore_corrupt_files=ignore_corrupt_files)
-    batch = filtered_batch(raw, concept_ids, read_table(spark, root, "works"), normalize_ids=normalize_ids)
-    # the works rows depend on the table they are appended to: materialise
-    # them (reliable checkpoint) before the append changes that table
-    batch = LoadBatch(works=cut_lineage(batch.works), citations=batch.citations, metrics=batch.metrics)
-    _write(spark, root, batch, load_id)
+    # the snapshot is decompressed and parsed once: the records that pass the
+    # concept filter (without their concept lists) are kept for both outputs;
+    # a lost block is recomputed from its own files
+    kept = filter_concepts(raw, concept_ids).drop("concepts", "type").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        batch = filtered_batch(raw, concept_ids, read_table(spark, root, "works"),
+                               normalize_ids=normalize_ids, kept=kept)
+        # the works rows depend on the table they are appended to: materialise
+        # them (reliable checkpoint) before the append changes that table
+        batch = LoadBatch(works=cut_lineage(batch.works), citations=batch.citations, metrics=batch.metrics)
+        _write(spark, root, batch, load_id)
+    finally:
+        kept.unpersist()
     if index_path:
         save_title_index(build_title_index(read_table(spark, root, "works")), index_path)
     return batch
