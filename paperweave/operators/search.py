@@ -201,18 +201,24 @@ def doi_first(works: DataFrame, queries: DataFrame, wildcards: bool = False,
               strip_doi_prefix: bool = False) -> DataFrame:
     """X6 + L5: the first DOI hit (by id) per query.
 
-    Literal mode reduces the works to the smallest id per DOI first (a
-    partial aggregate, so a DOI shared by many works collapses map-side)
-    and then joins: every query meets at most one work, however many works
-    or queries share a DOI."""
+    Literal mode with a query table of checked size broadcasts the queries
+    and streams the works through the join (no shuffle of works). A larger
+    query table meets the works reduced to the smallest id per DOI (a
+    partial aggregate, so a DOI shared by many works collapses map-side):
+    every query then meets at most one work."""
     if wildcards:
         return top_n(doi_matches(works, queries, True, strip_doi_prefix), ["query_id"],
                      [F.col("id").asc()], 1, rank_col="rank")
     q = queries.where(is_doi_like(F.col("q"))).select(
         "query_id", doi_key(py_strip(F.col("q")), strip_doi_prefix).alias("doi_key"))
-    first = (works.where(F.col("title").isNotNull())
-             .select("id", doi_key(F.col("doi"), strip_doi_prefix).alias("doi_key"))
-             .groupBy("doi_key").agg(F.min("id").alias("id")))
+    w = works.where(F.col("title").isNotNull()).select("id", doi_key(F.col("doi"), strip_doi_prefix).alias("doi_key"))
+    if fits_broadcast(q):
+        # works stream past the broadcast queries and are never shuffled; the
+        # partial limit keeps one hit per query and map task, however many
+        # works share a DOI
+        return top_n(w.join(F.broadcast(q), "doi_key"), ["query_id"], [F.col("id").asc()], 1,
+                     rank_col="rank").select("query_id", "id", "rank")
+    first = w.groupBy("doi_key").agg(F.min("id").alias("id"))
     return q.join(first, "doi_key").select("query_id", "id", F.lit(1).alias("rank"))
 
 
