@@ -191,9 +191,8 @@ def doi_matches(works: DataFrame, queries: DataFrame, wildcards: bool = False,
         pats = _like_queries(q.select("query_id", F.lower("q").alias("raw")), contains=False)
         return pattern_join(w.select("id", F.lower("doi").alias("lt")).where(F.col("lt").isNotNull()),
                             pats, F.like(F.col("lt"), F.col("lq")))
-    else:
-        hits = (q.select("query_id", doi_key(F.col("q"), strip_doi_prefix).alias("doi_key"))
-                .join(w.select("id", doi_key(F.col("doi"), strip_doi_prefix).alias("doi_key")), "doi_key"))
+    hits = (q.select("query_id", doi_key(F.col("q"), strip_doi_prefix).alias("doi_key"))
+            .join(w.select("id", doi_key(F.col("doi"), strip_doi_prefix).alias("doi_key")), "doi_key"))
     return hits.select("query_id", "id")
 
 
@@ -211,7 +210,8 @@ def doi_first(works: DataFrame, queries: DataFrame, wildcards: bool = False,
                      [F.col("id").asc()], 1, rank_col="rank")
     q = queries.where(is_doi_like(F.col("q"))).select(
         "query_id", doi_key(py_strip(F.col("q")), strip_doi_prefix).alias("doi_key"))
-    w = works.where(F.col("title").isNotNull()).select("id", doi_key(F.col("doi"), strip_doi_prefix).alias("doi_key"))
+    w = (works.where(F.col("title").isNotNull())
+         .select("id", doi_key(F.col("doi"), strip_doi_prefix).alias("doi_key")))
     if fits_broadcast(q):
         # works stream past the broadcast queries and are never shuffled; the
         # partial limit keeps one hit per query and map task, however many
