@@ -104,16 +104,22 @@ def save_title_index(index: TitleIndex, path: str, mode: str = "overwrite",
     table bucketed by id instead: the plan then knows the clustering, the
     sum needs no shuffle at all, and only each query's partial top-k moves.
     Build with ``partitions=buckets`` so each task writes one bucket file.
-    The term dictionary is saved sorted by term.
+    The term dictionary is counted from the written postings and saved
+    sorted by term.
     """
     post = index.postings
     if table:
         (post.write.mode(mode).bucketBy(buckets or 200, "id").sortBy("term")
          .option("path", f"{path}/postings").saveAsTable(table))
+        saved = post.sparkSession.table(table)
     else:
         post = post.repartition(buckets, "id") if buckets else post
         post.sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
-    index.terms.sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
+        saved = post.sparkSession.read.parquet(f"{path}/postings")
+    # the dictionary is counted from the written postings (one narrow column),
+    # so the titles are tokenized and shuffled once
+    terms = saved.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms.sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
     stop = F.array(*[F.lit(w) for w in index.stopwords]).cast("array<string>")
     index.stats.withColumn("stopwords", stop).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
 
