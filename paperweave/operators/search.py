@@ -75,9 +75,11 @@ def build_title_index(works: DataFrame, stopwords=(), partitions: int | None = N
     ``partitions`` parts (default: the shuffle partition count); tokens are
     exploded and counted inside those partitions, so postings come out
     clustered by id with no further shuffle, and a title's postings are
-    bounded by its length (no hot key). df is a partial count per term: only
-    (term, partial count) pairs move, however common a term is. Postings are
-    never joined with df here; search looks df up for its query terms.
+    bounded by its length (no hot key). df counts each title's distinct
+    tokens per term straight from the scan (a partial count: only
+    (term, partial count) pairs move, however common a term is, and titles
+    are not shuffled for it). Postings are never joined with df here;
+    search looks df up for its query terms.
     """
     docs = works.where(F.col("title").isNotNull()).select(
         "id", _drop_stopwords(tokens(F.col("title")), stopwords).alias("toks"))
@@ -86,7 +88,10 @@ def build_title_index(works: DataFrame, stopwords=(), partitions: int | None = N
     postings = (by_id.select("id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term"))
                 .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
                 .select("term", "id", "tf", "doc_len"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # each title's distinct tokens, counted per term straight from the scan:
+    # the dictionary needs no shuffle by id
+    terms = (docs.select(F.explode(F.array_distinct("toks")).alias("term"))
+             .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     return TitleIndex(postings=postings, terms=terms, stats=stats, stopwords=tuple(stopwords))
 
 
