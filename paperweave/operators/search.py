@@ -208,14 +208,15 @@ def doi_matches(works: DataFrame, queries: DataFrame, wildcards: bool = False,
 
 
 def doi_first(works: DataFrame, queries: DataFrame, wildcards: bool = False,
-              strip_doi_prefix: bool = False) -> DataFrame:
+              strip_doi_prefix: bool = False, broadcast_queries: bool | None = None) -> DataFrame:
     """X6 + L5: the first DOI hit (by id) per query.
 
     Literal mode with a query table of checked size broadcasts the queries
     and streams the works through the join (no shuffle of works). A larger
     query table meets the works reduced to the smallest id per DOI (a
     partial aggregate, so a DOI shared by many works collapses map-side):
-    every query then meets at most one work."""
+    every query then meets at most one work. ``broadcast_queries``: the
+    caller already checked the size of ``queries``; ``None`` checks here."""
     if wildcards:
         return top_n(doi_matches(works, queries, True, strip_doi_prefix), ["query_id"],
                      [F.col("id").asc()], 1, rank_col="rank")
@@ -223,7 +224,9 @@ def doi_first(works: DataFrame, queries: DataFrame, wildcards: bool = False,
         "query_id", doi_key(py_strip(F.col("q")), strip_doi_prefix).alias("doi_key"))
     w = (works.where(F.col("title").isNotNull())
          .select("id", doi_key(F.col("doi"), strip_doi_prefix).alias("doi_key")))
-    if fits_broadcast(q):
+    if broadcast_queries is None:
+        broadcast_queries = fits_broadcast(q)
+    if broadcast_queries:
         # works stream past the broadcast queries and are never shuffled; the
         # partial limit keeps one hit per query and map task, however many
         # works share a DOI

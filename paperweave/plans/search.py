@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperweave.functions.text import is_valid_query
+from paperweave.functions.text import is_valid_query, tokens
 from paperweave.operators.project import as_paper
 from paperweave.operators.search import (
     SEARCH_LIMIT,
@@ -22,10 +22,9 @@ from paperweave.operators.search import (
     bm25_top,
     build_title_index,
     doi_first,
-    query_terms,
     substring_top,
 )
-from paperweave.operators.topn import fits_broadcast
+from paperweave.operators.topn import BROADCAST_BYTES, BROADCAST_ROWS
 from paperweave.schemas import PAPER_COLUMNS
 
 RESULT_COLUMNS = ["query_id", "route", "rank", *PAPER_COLUMNS, "score"]
@@ -43,22 +42,36 @@ def valid_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return queries.where(ok), queries.where(~ok | F.col("q").isNull())
 
 
+def _broadcast_fits(accepted: DataFrame) -> tuple[bool, bool]:
+    """One bounded job over the accepted queries decides both broadcasts:
+    of the queries (DOI route) and of their terms (BM25 route). Terms are
+    distinct ASCII runs of a query, so their bytes are at most the query's;
+    both tables get 8 bytes per row for the query id. Checking all accepted
+    queries (a superset of those left after DOI routing) needs no DOI join."""
+    r = accepted.limit(BROADCAST_ROWS + 1).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.octet_length("q")), F.lit(0)).alias("b"),
+        F.coalesce(F.sum(F.size(F.array_distinct(tokens(F.col("q"))))), F.lit(0)).alias("t")).first()
+    n, b, t = r["n"], r["b"], r["t"]
+    queries_fit = n <= BROADCAST_ROWS and b + 8 * n <= BROADCAST_BYTES
+    terms_fit = queries_fit and t <= BROADCAST_ROWS and b + 8 * t <= BROADCAST_BYTES
+    return queries_fit, terms_fit
+
+
 def search(works: DataFrame, queries: DataFrame, index: TitleIndex | None = None,
            limit: int = SEARCH_LIMIT, mode: str = "bm25", wildcards: bool = False,
            strip_doi_prefix: bool = False) -> SearchResult:
     if mode not in ("bm25", "substring"):
         raise ValueError(f"mode must be 'bm25' or 'substring', not {mode!r}")
     accepted, rejected = valid_queries(queries.select("query_id", "q"))
-    doi = doi_first(works, accepted, wildcards, strip_doi_prefix).select(
+    queries_fit, terms_fit = _broadcast_fits(accepted)
+    doi = doi_first(works, accepted, wildcards, strip_doi_prefix, broadcast_queries=queries_fit).select(
         "query_id", F.lit("doi").alias("route"), "rank", "id", F.lit(None).cast("double").alias("score"))
     rest = accepted.join(doi.select("query_id"), "query_id", "left_anti")
     if mode == "bm25":
         if index is None:
             index = build_title_index(works)
-        # the size check runs on the terms of all accepted queries (a
-        # superset of those left after DOI routing), so it needs no DOI join
-        fits = fits_broadcast(query_terms(accepted, index.stopwords))
-        ranked = bm25_top(index, rest, limit, broadcast_terms=fits).select(
+        ranked = bm25_top(index, rest, limit, broadcast_terms=terms_fit).select(
             "query_id", F.lit("bm25").alias("route"), "rank", "id", "score")
     else:
         ranked = substring_top(works, rest, limit, wildcards).select(
