@@ -165,6 +165,15 @@ def test_v3_copies_of_an_id_count_once(spark):
     assert [r.id for r in sorted(got, key=lambda r: r.rank)] == ["b", "d", "c"]
 
 
+def test_v3_copies_of_the_seed_never_return_it(spark):
+    # 40 exact copies of the seed in a cache of few rows: copies share blocks,
+    # and none of them may come back as the seed's own neighbour
+    rows = [("a", [1.0, 0.0])] * 40 + [("b", [0.9, 0.1]), ("c", [0.0, 1.0])]
+    for block_rows in (4, 4096):
+        got = similar(vecs(spark, rows), seeds(spark, ["a"]), limit=5, block_rows=block_rows).collect()
+        assert sorted(r.id for r in got) == ["b", "c"]
+
+
 def test_u4_merge_with_itself_is_unchanged(spark):
     from pyspark.sql import functions as F
     from paperweave.operators.graph import merge_graph
