@@ -111,3 +111,34 @@ def test_running_totals_match_one_window(spark):
             .withColumn("kept_total", F.sum("kept").over(w.rowsBetween(Window.unboundedPreceding, 0))))
     cols = ["file", "kept", "files_done", "kept_total"]
     assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in want.select(*cols).collect())
+
+
+def _lines(df):
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def test_doi_lookup_streams_works_without_shuffle(spark):
+    from paperweave.operators.search import doi_first
+    from paperweave.sources import driver_tables as dt
+    df = doi_first(dt.works(spark, SF), dt.search_queries(spark, SF))
+    df.write.format("noop").mode("overwrite").save()
+    lines = _lines(df)
+    bhj = next(i for i, l in enumerate(lines) if "BroadcastHashJoin" in l)
+    # the works side scans doc_id and text (titles); the query sides do not
+    scan = next(i for i in range(bhj, len(lines)) if re.search(r"FileScan parquet \[doc_id#\d+L?,text#", lines[i]))
+    # the works side of the join reads the table directly: no exchange between
+    assert not any("Exchange" in l and "Broadcast" not in l for l in lines[bhj:scan]
+                   if l.strip(" :+-").startswith(("Exchange", "ShuffleQueryStage", "AQEShuffleRead")))
+
+
+def test_inline_index_bm25_sum_without_shuffle(spark):
+    from paperweave.operators.search import bm25_top, build_title_index
+    from paperweave.sources import driver_tables as dt
+    df = bm25_top(build_title_index(dt.works(spark, SF)), dt.title_queries(spark, SF))
+    df.write.format("noop").mode("overwrite").save()
+    plan = "\n".join(_lines(df))
+    # one shuffle by work id (titles), none between the postings and the sum
+    assert plan.count("REPARTITION_BY_COL") >= 1
+    final_sum = plan.index("HashAggregate(keys=[query_id")
+    partial_sum = plan.index("partial_sum", final_sum)
+    assert "Exchange hashpartitioning(query_id" not in plan[final_sum:partial_sum]
