@@ -3,6 +3,7 @@ the whole tables, and DuckDB SQL where SQL can express the result."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 
 from paperweave.llm.common import table
 from paperweave.llm.secrets import KINDS, secret_spans, spans_text
+from paperweave.llm.sentencepieces import encode
 from paperweave.llm.sharding import assign_shards
+from paperweave.llm.simhash import near_duplicates
+from paperweave.llm.token_counts import section_token_counts
 from paperweave.llm.url_filter import Rule, host_path, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +63,28 @@ def op7_linked_secrets(spark, sf_dir):
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
                         count("hex").alias("n_hex"), F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
                         spans_text(F.col("spans")).alias("spans"))
+
+
+#: Vocabulary files of public tokenizers on the driver; the jobs broadcast their content.
+TOKENIZERS = os.environ.get("PAPERWEAVE_TOKENIZERS", "/opt/tokenizers")
+
+
+@register
+def op2_sentencepiece_viterbi(spark, sf_dir):
+    """The piece ids of every document, and whether they decode to its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model", check_col="round_trip").select(
+        "doc_id", F.size("ids").alias("n_ids"), "ids", "round_trip")
+
+
+@register
+def op9_section_tokens(spark, sf_dir):
+    """Tokens of every line of every document, from whole-document encodings."""
+    return section_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+@register
+def op3_simhash_near_duplicates(spark, sf_dir):
+    """Fingerprints of three-word shingles of every document, linked at three bits or fewer."""
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, radius=3)
