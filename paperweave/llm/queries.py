@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperweave.llm.common import table
+from paperweave.llm.quality import quality_verdicts
 from paperweave.llm.secrets import KINDS, secret_spans, spans_text
 from paperweave.llm.sentencepieces import encode
 from paperweave.llm.sharding import assign_shards
@@ -88,3 +89,9 @@ def op9_section_tokens(spark, sf_dir):
 def op3_simhash_near_duplicates(spark, sf_dir):
     """Fingerprints of three-word shingles of every document, linked at three bits or fewer."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, radius=3)
+
+
+@register
+def op10_mcd_quality(spark, sf_dir):
+    """Base rules and outliers of every document."""
+    return quality_verdicts(table(spark, sf_dir, "documents"))
