@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperweave.llm.common import table
+from paperweave.llm.decontaminate import benchmark_matches
 from paperweave.llm.quality import quality_verdicts
 from paperweave.llm.secrets import KINDS, secret_spans, spans_text
 from paperweave.llm.sentencepieces import encode
@@ -95,3 +96,10 @@ def op3_simhash_near_duplicates(spark, sf_dir):
 def op10_mcd_quality(spark, sf_dir):
     """Base rules and outliers of every document."""
     return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_benchmark_windows(spark, sf_dir):
+    """Benchmark items that documents hold."""
+    return benchmark_matches(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                             table(spark, sf_dir, "benchmark"))
