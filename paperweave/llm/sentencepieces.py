@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperweave.llm.common import slices
 
@@ -216,8 +217,8 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col:
                     arrays.append(pa.array([b == t.encode("utf-8") for b, t in zip(back, rows, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*cols, ids_col] + [check_col] * bool(check_col))
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in cols]).schema.add(ids_col, "array<int>")
-    return wide.mapInArrow(run, schema.add(check_col, "boolean") if check_col else schema)
+    schema = docs.select(*[F.col(f"`{c}`") for c in cols]).schema.add(ids_col, T.ArrayType(T.IntegerType(), False))
+    return wide.mapInArrow(run, schema.add(check_col, T.BooleanType()) if check_col else schema)
 
 
 def decode(rows: DataFrame, model_path: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -238,4 +239,4 @@ def decode(rows: DataFrame, model_path: str, *, ids_col: str = "ids", text_col:
                                              names=[*cols, text_col])
 
     return rows.select(*[F.col(f"`{c}`") for c in cols]).mapInArrow(
-        run, rows.select(*[F.col(f"`{c}`") for c in cols]).schema.add(text_col, "string"))
+        run, rows.select(*[F.col(f"`{c}`") for c in cols]).schema.add(text_col, T.StringType()))
