@@ -33,6 +33,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_in_buckets(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+    """As ``stored``, bucketed by ``column``: grouping by it reads the files in
+    place. ``df`` must be partitioned by the column into as many parts, so that
+    each bucket is one file."""
+    spark, table_name = df.sparkSession, f"pw_{name}_{uuid.uuid4().hex}"
+    path = scratch_path(spark, f"llm/{table_name}")
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20,
            max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that ``column`` holds about ``max_bytes`` per
@@ -52,6 +62,6 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20,
         at = end
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+def texts(batch: pa.RecordBatch | pa.Table, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of each text; a null text is empty."""
     return [b if b is not None else b"" for b in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from paperweave.llm.common import slices, stored, texts
 
@@ -124,7 +125,7 @@ def with_counts(docs: DataFrame, text_col: str, carry: Sequence[str]) -> DataFra
 
     schema = renamed.drop("_text").schema
     for c in COUNTS:
-        schema = schema.add(f"_{c}", "long")
+        schema = schema.add(f"_{c}", T.LongType())
     return renamed.mapInArrow(run, schema).withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})
 
 

@@ -16,6 +16,7 @@ from paperweave.llm.secrets import KINDS, secret_spans, spans_text
 from paperweave.llm.sentencepieces import encode
 from paperweave.llm.sharding import assign_shards
 from paperweave.llm.simhash import near_duplicates
+from paperweave.llm.substrings import remove_repeats
 from paperweave.llm.token_counts import section_token_counts
 from paperweave.llm.url_filter import Rule, host_path, url_verdicts
 
@@ -103,3 +104,9 @@ def op8_benchmark_windows(spark, sf_dir):
     """Benchmark items that documents hold."""
     return benchmark_matches(table(spark, sf_dir, "documents").select("doc_id", "text"),
                              table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op6_suffix_array_repeats(spark, sf_dir):
+    """What is left of every document without repeated strings of 200 bytes."""
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
