@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paperweave.llm.common import table
 from paperweave.llm.decontaminate import benchmark_matches
+from paperweave.llm.maxent_lm import lm_scores
 from paperweave.llm.quality import quality_verdicts
 from paperweave.llm.secrets import KINDS, secret_spans, spans_text
 from paperweave.llm.sentencepieces import encode
@@ -110,3 +111,11 @@ def op8_benchmark_windows(spark, sf_dir):
 def op6_suffix_array_repeats(spark, sf_dir):
     """What is left of every document without repeated strings of 200 bytes."""
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register
+def op4_maxent_scores(spark, sf_dir):
+    """Scores of every document by a model that learns from six sevenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
+    return lm_scores(docs, part == 2)
