@@ -245,13 +245,34 @@ def estimates(rows: DataFrame) -> DataFrame:
     return stored(near.groupBy("_g").agg(*_moments()).mapInPandas(_invert(0.975), ESTIMATE), "estimate")
 
 
-def quality_verdicts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-                     carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """One row per document (repeated rows included): the ``carry`` columns,
-    ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
-    ``n_repeat_words``, ``base_failed``, ``distance`` (squared Mahalanobis; null
-    if base_failed or without an estimate) and ``kept``. Carried columns of
-    these names are replaced.
+def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, carry: Sequence[str]) -> DataFrame:
+    """The ``carry`` columns of every row with its counts, ``_failed``,
+    ``_distance`` and ``_kept``."""
+    language, both = _group(lang_col, source_col)
+    narrow = stored(with_counts(docs.select(F.col(f"`{text_col}`").alias("_t"), language.alias("_lang"), both.alias("_both")),
+                                "_t", ["_lang", "_both"]).where(~base_failed())
+                    .select("_lang", "_both", *_features()), "features")
+    pool = stored(_pools(narrow), "pools")
+    est = estimates(stored(narrow.join(pool, ["_lang", "_both"]).drop("_lang", "_both"), "grouped"))
+    table = pool.join(est.drop("n"), "_g", "left").drop("_g", "_lang").withColumnRenamed("_both", "_key")
+    names = [f"_carry{i}" for i in range(len(carry))]
+    wide = docs.select(F.col(f"`{text_col}`").alias("_t"), both.alias("_both"),
+                       *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)])
+    rows = with_counts(wide, "_t", [*names, "_both"])
+    rows = rows.select(*names, "_both", *[f"_{c}" for c in COUNTS], *_features(), base_failed().alias("_failed"))
+    judged = rows.join(table, F.col("_both") == F.col("_key"), "left").withColumn(
+        "_distance", F.when(~F.col("_failed"), _distance()))
+    kept = ~F.col("_failed") & (F.coalesce(F.col("_distance"), F.lit(0.0)) <= CUT)
+    return judged.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)],
+                         *[f"_{c}" for c in COUNTS], "_failed", "_distance", kept.alias("_kept"))
+
+
+def quality_verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                     source_col: str = "source") -> DataFrame:
+    """One row per document (repeated rows included): ``id_col``, ``n_words``,
+    ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``,
+    ``base_failed``, ``distance`` (squared Mahalanobis; null if base_failed or
+    without an estimate) and ``kept``.
 
     Estimates come from all documents that pass the base rules, by language and
     source; groups of fewer than LEAST_GROUP documents are pooled by language,
@@ -261,25 +282,18 @@ def quality_verdicts(docs: DataFrame, *, text_col: str = "text", lang_col: str =
     and splits a hot one.
 
     Null or empty text has no words and fails the base rules. Null languages
-    and sources are values of their own. An empty table gives no rows.
+    and sources are values of their own, null ids stay null. Other columns are
+    not read. An empty table gives no rows.
     """
-    language, both = _group(lang_col, source_col)
-    narrow = stored(with_counts(docs.select(F.col(f"`{text_col}`").alias("_t"), language.alias("_lang"), both.alias("_both")),
-                                "_t", ["_lang", "_both"]).where(~base_failed())
-                    .select("_lang", "_both", *_features()), "features")
-    pool = stored(_pools(narrow), "pools")
-    est = estimates(stored(narrow.join(pool, ["_lang", "_both"]).drop("_lang", "_both"), "grouped"))
-    table = pool.join(est.drop("n"), "_g", "left").drop("_g", "_lang").withColumnRenamed("_both", "_key")
-    answer = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
-    carry = [c for c in carry if c not in answer]
-    rows = with_counts(docs.withColumn("_both", both), text_col, [*carry, "_both"])
-    rows = rows.select(*[F.col(f"`{c}`") for c in carry], "_both", *[f"_{c}" for c in COUNTS], *_features(),
-                       base_failed().alias("base_failed"))
-    judged = rows.join(table, F.col("_both") == F.col("_key"), "left").withColumn(
-        "distance", F.when(~F.col("base_failed"), _distance()))
-    return judged.select(*[F.col(f"`{c}`") for c in carry],
-                         *[F.col(f"_{c}").alias(c) for c in COUNTS[:5]], "base_failed", "distance",
-                         (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT)).alias("kept"))
+    rows = _judged(docs, text_col, lang_col, source_col, [id_col])
+    return rows.select(F.col(f"`{id_col}`"), *[F.col(f"_{c}").alias(c) for c in COUNTS[:5]], F.col("_failed").alias("base_failed"),
+                       F.col("_distance").alias("distance"), F.col("_kept").alias("kept"))
+
+
+def quality_filter(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns, that ``quality_verdicts`` keeps."""
+    return _judged(docs, text_col, lang_col, source_col, docs.columns).where("_kept").select(
+        *[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _pools(rows: DataFrame) -> DataFrame:

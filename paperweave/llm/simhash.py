@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperweave.llm.common import slices, stored, texts
 from paperweave.llm.components import components, local_components
@@ -157,11 +158,47 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows.
     """
     rows = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    least = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(fingerprint_links(least.select("fp"), radius))
-    rooted = (least.join(roots, F.col("fp") == F.col("node"), "left")
-              .select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    rooted = _rooted(rows, radius)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = stored(rooted.join(named, "root").select("fp", "component_id"), "classes")
     return rows.join(classes, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _rooted(rows: DataFrame, radius: int) -> DataFrame:
+    """``(fp, least, root)`` of each distinct fingerprint: the smallest id that
+    has it, and the fingerprint that names its component."""
+    least = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    roots = components(fingerprint_links(least.select("fp"), radius))
+    return stored(least.join(roots, F.col("fp") == F.col("node"), "left")
+                  .select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
+def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                  radius: int = 3) -> DataFrame:
+    """One row of ``docs``, all columns, of each group of near duplicates: the
+    one with the smallest id (of several with that id, one of those with the
+    smallest fingerprint). Cases as in ``near_duplicates``; a group of null
+    ids only keeps one of its rows.
+
+    Rows are shuffled once, by id and fingerprint; equal pairs are cut to one
+    before it.
+    """
+    rows = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
+    # Also its smallest fingerprint: rows with the same id may be in different groups.
+    keep = (rows.join(_rooted(rows, radius).select("fp", "root"), "fp").groupBy("root")
+            .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp")).alias("k"))
+            .select(F.col("k.id").alias("_id"), F.col("k.fp").alias("_fp")))
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    wide = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    id_name, text_name = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_name):
+                fp = np.array([fingerprint(t, shingle) for t in texts(part, text_name)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp)], names=[*names, "_own"])
+
+    printed = wide.mapInArrow(run, wide.select("*").schema.add("_own", T.LongType())).dropDuplicates([id_name, "_own"])
+    return printed.join(keep, F.col(id_name).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp")), "left_semi").select(
+        *[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
