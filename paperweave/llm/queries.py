@@ -59,6 +59,38 @@ def op5_bloom_url_filter(spark, sf_dir):
                                                          "canonical", "listed")
 
 
+ORACLE["op5_bloom_url_filter"] = r"""
+WITH parts AS (
+  SELECT page_id, url,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path,
+    array_to_string(list_sort(list_filter(
+      string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|fbclid|gclid|ref)(=|\z)'))), '&') AS args
+  FROM pages),
+pages_c AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN concat(regexp_replace(host, ':(80|443)\z', ''),
+      regexp_replace(path, '/+\z', ''), CASE WHEN args <> '' THEN concat('?', args) ELSE '' END) END AS canonical
+  FROM parts),
+list_c AS (
+  SELECT DISTINCT canonical FROM pages_c
+  WHERE canonical IS NOT NULL AND try_cast(regexp_extract(path, '/([0-9]{1,18})', 1) AS BIGINT) IN
+    (SELECT doc_id FROM labels WHERE toxic = 1)),
+ruled AS (
+  SELECT p.*, l.canonical IS NOT NULL AS listed, CASE
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM pages_c p LEFT JOIN list_c l ON p.canonical = l.canonical)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN listed THEN 'block' ELSE 'allow' END AS verdict, canonical, listed
+FROM ruled
+"""
+
+
 @register
 def op7_linked_secrets(spark, sf_dir):
     """Secrets in every document."""

@@ -202,23 +202,26 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col:
     """
     model = _model(docs, model_path)
     cols = [c for c in docs.columns if c not in (ids_col, check_col)]
-    wide = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(text_col).alias("_encoded_text"))
+    names = [f"c{i}" for i in range(len(cols))]
+    wide = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names, strict=True)], F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Pieces(model.value))
         for batch in batches:
-            for part in slices(batch, "_encoded_text"):
-                rows = [t or "" for t in part.column("_encoded_text").to_pylist()]
+            for part in slices(batch, "text"):
+                rows = [t or "" for t in part.column("text").to_pylist()]
                 ids, offsets = encoder(rows)
-                arrays = [part.column(c) for c in cols]
+                arrays = [part.column(n) for n in names]
                 arrays.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)))
                 if check_col:
                     back = encoder.pieces.decode(ids, offsets)
                     arrays.append(pa.array([b == t.encode("utf-8") for b, t in zip(back, rows, strict=True)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(arrays, names=[*cols, ids_col] + [check_col] * bool(check_col))
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "ids"] + ["check"] * bool(check_col))
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in cols]).schema.add(ids_col, T.ArrayType(T.IntegerType(), False))
-    return wide.mapInArrow(run, schema.add(check_col, T.BooleanType()) if check_col else schema)
+    schema = wide.drop("text").schema.add("ids", T.ArrayType(T.IntegerType(), False))
+    if check_col:
+        schema = schema.add("check", T.BooleanType())
+    return wide.mapInArrow(run, schema).toDF(*cols, ids_col, *[check_col] * bool(check_col))
 
 
 def decode(rows: DataFrame, model_path: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

@@ -102,25 +102,26 @@ def assign_shards(rows: DataFrame, shards: int, *, key: str, vnodes: int = 64, s
     if shards < 1 or vnodes < 1:
         raise ValueError("shards and vnodes must be positive")
     spark = rows.sparkSession
-    cols = [c for c in rows.columns if c not in ("shard", "slot")]
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
+    cols = [f"_c{i}" for i in range(len(kept))]
     ring = _ring(shards, vnodes)
-    point = ring_point(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    grouped = rows.select(*cols).groupBy(*cols).agg(F.count("*").alias("_n")).withColumn("_point", point)
-    cell = F.expr(f"_point div {(1 << 32) // CELLS}")
+    point = ring_point(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
+    grouped = (rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, cols, strict=True)], point.alias("_point"))
+               .groupBy(*cols, "_point").agg(F.count("*").alias("_n")))
     arcs = F.broadcast(_arcs(spark, ring).select("cell", F.col("arc").alias("_arc"), "lo", "hi"))
-    placed = (grouped.withColumn("_cell", cell)
+    placed = (grouped.withColumn("_cell", F.expr(f"_point div {(1 << 32) // CELLS}"))
               .join(arcs, (F.col("_cell") == F.col("cell")) & F.col("_point").between(F.col("lo"), F.col("hi")))
               .drop("_cell", "cell", "lo", "hi"))
     counts = placed.groupBy(F.col("_arc").alias("arc")).agg(F.sum("_n").alias("n"))
     segments = F.broadcast(_segments(counts, ring, shards, slack))
     upto = F.sum("_n").over(W.partitionBy("_arc").orderBy("_point", *cols)
                             .rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = placed.withColumn("_first", upto - F.col("_n"))
-    numbered = (ranked
+    numbered = (placed.withColumn("_first", upto - F.col("_n"))
                 .withColumn("_c", F.explode(F.expr(f"sequence(0, (_n - 1) div {CHUNK})")))
                 .withColumn("_k", F.explode(F.expr(
                     f"sequence(_c * {CHUNK}, least(_n, (_c + 1) * {CHUNK}) - 1)")))
                 .withColumn("_rank", F.col("_first") + F.col("_k")))
     return (numbered.join(segments, (F.col("_arc") == F.col("arc")) & (F.col("_rank") >= F.col("lo"))
                           & (F.col("_rank") < F.col("hi")))
-            .select(*cols, "shard", (F.col("base") + F.col("_rank") - F.col("lo")).alias("slot")))
+            .select(*[F.col(n).alias(c) for c, n in zip(kept, cols, strict=True)], "shard",
+                    (F.col("base") + F.col("_rank") - F.col("lo")).alias("slot")))

@@ -15,7 +15,7 @@ from paperweave.llm.common import ascii_lower
 WORDS = 8                    # 32-bit words of a Bloom block; a key sets one bit in each
 KEYS_PER_BLOCK = 21          # 256 bits / about 12 bits a key: near 0.5 % false positives
 BROADCAST_BLOCKS = 1 << 20   # at most 36 MB of filter is broadcast; beyond it, joined by block
-TRACKING = r"^(utm_[^=]*|fbclid|gclid|ref)(=|$)"
+TRACKING = r"^(utm_[^=]*|fbclid|gclid|ref)(=|\z)"
 
 
 class Rule(NamedTuple):
@@ -42,7 +42,7 @@ def canonical_url(url: Column) -> Column:
                                  lambda p: (p != "") & ~F.lower(p).rlike(TRACKING)))
     args = F.array_join(kept, "&")
     return F.when(F.contains(url, F.lit("://")), F.concat(
-        F.regexp_replace(host, r":(80|443)$", ""), F.regexp_replace(path, r"/+$", ""),
+        F.regexp_replace(host, r":(80|443)\z", ""), F.regexp_replace(path, r"/+\z", ""),
         F.when(args != "", F.concat(F.lit("?"), args)).otherwise(F.lit(""))))
 
 
