@@ -22,8 +22,9 @@ def simhash(t, k=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def simhash_components(rows, radius=3):
-    """rows of (id, text) to the smallest id reachable, row by row."""
+def simhash_components(rows, radius=3, roots=False):
+    """rows of (id, text) to (id, fingerprint, smallest id reachable), row by
+    row; with ``roots``, to a number of the row's component."""
     prints = np.array([simhash(t) for _, t in rows], np.uint64)
     group = list(range(len(rows)))
 
@@ -37,6 +38,8 @@ def simhash_components(rows, radius=3):
             a, b = find(i), find(j)
             if a != b:
                 group[max(a, b)] = min(a, b)
+    if roots:
+        return [find(i) for i in range(len(rows))]
     least = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
