@@ -18,7 +18,8 @@ def _accent_table() -> tuple[str, str]:
     stroke) are left alone and later act as token separators.
     """
     src, dst = [], []
-    for block in ((0x00C0, 0x0250), (0x1E00, 0x1F00)):
+    # Latin blocks, and the letter-like signs (Kelvin, Angstrom)
+    for block in ((0x00C0, 0x0250), (0x1E00, 0x1F00), (0x2100, 0x2150)):
         for cp in range(*block):
             ch = chr(cp)
             base = "".join(c for c in unicodedata.normalize("NFD", ch)
@@ -37,7 +38,8 @@ TOKEN_PATTERN = "[a-z]+"
 
 
 def strip_accents(col: Column) -> Column:
-    return F.translate(col, ACCENTED, UNACCENTED)
+    """Letters without their accents, composed or followed by combining marks."""
+    return F.translate(F.regexp_replace(col, r"\p{Mn}+", ""), ACCENTED, UNACCENTED)
 
 
 def tokens(col: Column) -> Column:
@@ -47,8 +49,10 @@ def tokens(col: Column) -> Column:
 
 def py_strip(col: Column) -> Column:
     """trim leading / trailing whitespace like Python's ``str.strip``
-    (tabs and newlines too, not only spaces)."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    (tabs, newlines, no-break and ideographic spaces too)."""
+    # fixed values: what str.strip() takes for whitespace beyond the Unicode property
+    space = r"[\p{IsWhite_Space}\x1c-\x1f]+"
+    return F.regexp_replace(col, rf"\A{space}|{space}\z", "")
 
 
 def is_doi_like(q: Column) -> Column:
@@ -69,8 +73,3 @@ def like_pattern(q: Column) -> Column:
     ``%`` and ``_`` acting as wildcards. Spark treats ``\\`` as the escape
     character, so backslashes in user text are doubled to stay literal."""
     return F.regexp_replace(q, r"\\", r"\\\\")
-
-
-def contains_ci(text: Column, q: Column) -> Column:
-    """X7 literal form: case-insensitive substring test."""
-    return F.lower(text).contains(F.lower(q))

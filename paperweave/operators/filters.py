@@ -11,8 +11,8 @@ from paperweave.functions.records import concept_ids
 from paperweave.operators.topn import fits_broadcast
 
 PUBLICATION_TYPES = ("article", "preprint", "proceedings-article")
-# Largest concept table turned into one array literal for the scan filter.
-MAX_CONCEPT_ARRAY = 100_000
+# Most concept ids that the scan filter holds as one array; more are joined.
+MAX_CONCEPT_ARRAY = 1_000
 
 
 def filter_publications(raw: DataFrame, types: Iterable[str] = PUBLICATION_TYPES) -> DataFrame:
@@ -26,36 +26,37 @@ def _concepts_complete():
 
 
 def filter_concepts(raw: DataFrame, wanted: Iterable[str] | DataFrame) -> DataFrame:
-    """Keep records sharing at least one concept with ``wanted``.
+    """Keep records sharing at least one concept with ``wanted``, a list of
+    concept ids or a DataFrame with a ``concept_id`` column, of any size."""
+    return mark_concepts(raw, wanted, "_wanted").where("_wanted").drop("_wanted")
 
-    ``wanted`` is a list of concept ids (a literal array) or a DataFrame with
-    a ``concept_id`` column. A table of at most ``MAX_CONCEPT_ARRAY`` ids
-    and ``BROADCAST_BYTES`` (counted) becomes one scalar-subquery array, so the record scan stays a
-    narrow filter with no join or shuffle; a larger table is matched by a
-    semi join on the exploded concept ids.
+
+def mark_concepts(raw: DataFrame, wanted: Iterable[str] | DataFrame, name: str) -> DataFrame:
+    """All records with a boolean column ``name``: whether X2 keeps them.
+
+    Up to ``MAX_CONCEPT_ARRAY`` ids (counted) are an array beside the scan, a
+    narrow filter. More ids are joined: the verdict depends on the concept list
+    alone, so each distinct list is exploded and semi-joined once, and its
+    records join on the list's digest; AQE broadcasts whichever side measures
+    small and splits a list that many records share.
     """
-    complete = raw.where(_concepts_complete())
-    if isinstance(wanted, DataFrame):
-        ids = wanted.select("concept_id").distinct()
-        if not fits_broadcast(ids, MAX_CONCEPT_ARRAY):
-            return _filter_concepts_join(complete, ids)
-        target = ids.select(F.array_sort(F.collect_list("concept_id"))).scalar()
-    else:
-        target = F.array(*[F.lit(str(i)) for i in wanted])
-    return complete.where(F.arrays_overlap(concept_ids(F.col("concepts")), target))
-
-
-def _filter_concepts_join(records: DataFrame, ids: DataFrame) -> DataFrame:
-    """X2 for a concept table above the array bound: explode each record's
-    concept ids, semi-join the wanted table, and keep the records whose scan
-    position matched (requires the ``_file`` / ``_line`` columns of
-    ``sources.snapshot.read_works``)."""
-    pos = ["_file", "_line"]
-    if not all(c in records.columns for c in pos):
-        raise ValueError("a concept table this large needs records read with read_works (_file, _line)")
-    hits = (records.select(*pos, F.explode(concept_ids(F.col("concepts"))).alias("concept_id"))
-            .join(ids, "concept_id", "left_semi").select(*pos).distinct())
-    return records.join(hits, pos, "left_semi")
+    ids = concept_ids(F.col("concepts"))
+    if not isinstance(wanted, DataFrame):
+        listed = [str(i) for i in wanted]
+        if len(listed) <= MAX_CONCEPT_ARRAY:
+            target = F.array(*[F.lit(i) for i in listed]).cast("array<string>")
+            return raw.withColumn(name, F.coalesce(_concepts_complete() & F.arrays_overlap(ids, target), F.lit(False)))
+        wanted = raw.sparkSession.createDataFrame([(i,) for i in listed], "concept_id string")
+    table = wanted.select("concept_id").distinct()
+    if fits_broadcast(table, MAX_CONCEPT_ARRAY):
+        target = table.select(F.array_sort(F.collect_list("concept_id"))).scalar()
+        return raw.withColumn(name, F.coalesce(_concepts_complete() & F.arrays_overlap(ids, target), F.lit(False)))
+    keyed = raw.withColumn("_list", F.when(_concepts_complete(), ids)).withColumn(
+        "_key", F.coalesce(F.sha2(F.to_json(F.struct("_list")), 256), F.lit("")))
+    lists = keyed.where(F.size("_list") > 0).select("_key", "_list").dropDuplicates(["_key"])
+    hits = (lists.select("_key", F.explode("_list").alias("concept_id"))
+            .join(table, "concept_id", "left_semi").select("_key", F.lit(True).alias(name)).distinct())
+    return keyed.drop("_list").join(hits, "_key", "left").drop("_key").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
 def with_references(raw: DataFrame) -> DataFrame:

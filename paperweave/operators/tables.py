@@ -8,6 +8,7 @@ with any sink; the writers below add the file-system side.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from paperweave.operators.topn import top_n
 from paperweave.schemas import TABLE_SCHEMAS
-from paperweave.session import cut_lineage
+from paperweave.session import hadoop_path, remove_path
 
 
 class DuplicateKeyError(ValueError):
@@ -26,27 +27,41 @@ def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
-def create_tables(spark: SparkSession, root: str, names: Sequence[str] = tuple(TABLE_SCHEMAS)) -> dict[str, str]:
+def create_tables(spark: SparkSession, root: str, names: Sequence[str] = tuple(TABLE_SCHEMAS),
+                  database: str | None = None) -> dict[str, str]:
     """K1: create the empty tables if they do not exist (idempotent).
 
     ``mode("ignore")`` writes only when the folder is absent, so a second
-    call leaves existing data untouched. Each table is also registered as a
-    catalog table over its folder (``CREATE TABLE IF NOT EXISTS``).
+    call leaves existing data untouched. With ``database``, each table is also
+    a catalog table of that database over its folder (created if absent); one
+    database holds the tables of one root, and another root is an error.
     """
+    if database:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     paths = {}
     for name in names:
         path = table_path(root, name)
+        restore(spark, path)
         spark.createDataFrame([], TABLE_SCHEMAS[name]).write.mode("ignore").parquet(path)
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{path}'")
+        if database:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} USING parquet LOCATION '{path}'")
+            there = spark.sql(f"DESCRIBE FORMATTED {database}.{name}").where("col_name = 'Location'").first()[1]
+            if hadoop_path(spark, there)[1].toUri().getPath().rstrip("/") != hadoop_path(spark, path)[1].toUri().getPath().rstrip("/"):
+                raise ValueError(f"{database}.{name} already stands for {there}")
         paths[name] = path
     return paths
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, root: str, name: str, without_load: str | None = None) -> DataFrame:
     """Read a table with its declared schema (extra partition columns such as
-    the citation ``load`` folder are discovered and dropped)."""
+    the ``load`` folder are discovered and dropped). ``without_load`` leaves
+    out the rows of that load: what the table held before it."""
     schema = TABLE_SCHEMAS[name]
-    df = spark.read.parquet(table_path(root, name))
+    path = table_path(root, name)
+    restore(spark, path)
+    df = spark.read.option("mergeSchema", "false").parquet(path)
+    if without_load is not None and "load" in df.columns:
+        df = df.where(~F.col("load").cast("string").eqNullSafe(without_load))
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
@@ -73,9 +88,13 @@ def insert_strict(existing: DataFrame, new: DataFrame, key: str = "id") -> DataF
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str] = ("paper_id",),
            order: Sequence[Column] | None = None) -> DataFrame:
     """K4: the whole table after INSERT OR REPLACE: the new row wins over the
-    stored one; inside the batch the last row in ``order`` wins."""
+    stored one; inside the batch the first row in ``order`` wins (for "last
+    wins", a descending position). Without ``order`` a key may occur once in
+    the batch only, else ``DuplicateKeyError``: which row won would be chance."""
     keys = list(keys)
-    latest = top_n(new, keys, list(order), 1) if order else new.dropDuplicates(keys)
+    if not order and new.groupBy(*keys).count().where(F.col("count") > 1).limit(1).count():
+        raise DuplicateKeyError(f"duplicate {keys} inside the batch and no order")
+    latest = top_n(new, keys, list(order), 1) if order else new
     cols = existing.columns
     return latest.select(*cols).unionByName(existing.join(latest.select(*keys), keys, "left_anti"))
 
@@ -85,27 +104,43 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def overwrite(df: DataFrame, path: str, reads_target: bool = True) -> None:
-    """K4/K6 sink: replace a table's content.
+def overwrite(df: DataFrame, path: str) -> None:
+    """K4/K6 sink: replace a table's content by a staged write, then a switch.
 
-    When ``df`` reads the folder it replaces, its lineage is cut first with a
-    reliable checkpoint (written to the cluster's ``spark.checkpoint.dir``),
-    so the overwrite never deletes files the job still has to read, and a
-    lost executor recomputes from the checkpoint, not from deleted input.
+    ``df`` may read the folder it replaces: that stays as it is until the new
+    content is written completely beside it. The switch is two renames; if the
+    job dies between them, ``restore`` (called by the readers here) finds the
+    old content and puts it back, so there is a whole table at any time.
     """
-    if reads_target:
-        df = cut_lineage(df)
-    df.write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    new, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    df.write.parquet(new)
+    fs, target = hadoop_path(spark, path)
+    if fs.exists(target):
+        fs.rename(target, hadoop_path(spark, old)[1])
+    fs.rename(hadoop_path(spark, new)[1], target)
+    remove_path(spark, old)
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """Put back what an interrupted ``overwrite`` has set aside."""
+    fs, target = hadoop_path(spark, path)
+    if not fs.exists(target) and target.getParent() is not None and fs.exists(target.getParent()):
+        for status in fs.listStatus(target.getParent()):
+            if status.getPath().getName().startswith(f"{target.getName()}.old-"):
+                fs.rename(status.getPath(), target)
+                return
 
 
 def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str, mode: str = "overwrite") -> DataFrame:
-    """Write ``df`` as a catalog table bucketed and sorted by ``key``.
+    """Write ``df`` as a catalog table bucketed and sorted by ``key``, one file
+    per bucket.
 
     Two tables bucketed on their join keys with the same bucket count join
     without shuffling either side (the files are already co-partitioned).
     Returns the table as read back through the catalog, which is what
     carries the bucketing into the plan.
     """
-    (df.write.mode(mode).bucketBy(buckets, key).sortBy(key)
+    (df.repartition(buckets, key).write.mode(mode).bucketBy(buckets, key).sortBy(key)
      .option("path", path).saveAsTable(name))
     return df.sparkSession.table(name)

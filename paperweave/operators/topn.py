@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperweave.session import cut_lineage
+
 
 def top_n(df: DataFrame, partition_by: Sequence[str | Column], order_by: Sequence[Column],
           n: int, rank_col: str | None = None) -> DataFrame:
@@ -84,8 +86,12 @@ def running_totals(df: DataFrame, order_col: str, sums: Sequence[str], count_as:
     table with one row per partition gives each partition's offset (the
     totals of all partitions before it). Only that per-partition table is
     ordered as a whole; its size is the partition count, not the data.
+
+    The range of each row is fixed once, in a reliable checkpoint, and both
+    branches read it from there: planned twice, the two exchanges could draw
+    different bounds or be coalesced differently.
     """
-    parts = df.repartitionByRange(order_col).withColumn("_part", F.spark_partition_id())
+    parts = cut_lineage(df.repartitionByRange(order_col).withColumn("_part", F.spark_partition_id()))
     local = Window.partitionBy("_part").orderBy(order_col)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
     out = parts.withColumn("_n", F.row_number().over(local))

@@ -10,9 +10,9 @@ type, ids as found, strict insert (a duplicate id rejects the load); the
 citations of *all* records with a reference list. Both outputs are checked
 before either table is written.
 
-Citations are written into one sub-folder per load (``load=<id>``), so a
+Both tables take each load in a sub-folder of its own (``load=<id>``), so a
 re-run of the same load id replaces its own files instead of duplicating
-them.
+them, and a load that died between the two tables can be run again.
 """
 
 from __future__ import annotations
@@ -21,19 +21,18 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperweave.functions.records import short_id
-from paperweave.operators.filters import filter_concepts, filter_publications, with_references
+from paperweave.operators.filters import filter_concepts, filter_publications, mark_concepts, with_references
 from paperweave.operators.project import flatten_works
 from paperweave.operators.search import build_title_index, save_title_index
 from paperweave.operators.topn import running_totals
-from paperweave.operators.tables import append, create_tables, insert_ignore, insert_strict, read_table, table_path
-from paperweave.sources.snapshot import FILE_COL, LENIENT, LINE_COL, STRICT, load_order, read_works
-from paperweave.schemas import WORKS
-from paperweave.session import cut_lineage, ensure_checkpoint_dir
+from paperweave.operators.tables import create_tables, insert_ignore, insert_strict, read_table, table_path
+from paperweave.schemas import CITATIONS, WORKS
+from paperweave.session import cut_lineage, remove_path, staged
+from paperweave.sources.snapshot import FILE_COL, LENIENT, LINE_COL, STRICT, list_files, load_order, read_works
 
 
 @dataclass
@@ -54,36 +53,52 @@ def extract_citations(raw: DataFrame, normalize_ids: bool = False) -> DataFrame:
     return edges
 
 
-def ingest_metrics(scanned: DataFrame, kept: DataFrame) -> DataFrame:
+def ingest_metrics(scanned: DataFrame, kept: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """A3: per input file the records read and works kept, and the running
     total of kept works (before de-duplication) in file order.
 
-    The per-file table has one row per file; its running counters are a
-    distributed prefix sum (``running_totals``), so no task holds all files.
+    ``scanned`` may hold invalid records (null id, ``keep_invalid``): a file
+    without a valid one counts as a file with no records. ``files``
+    (``list_files``) adds those without any line. The per-file table has one
+    row per file; its running counters are a distributed prefix sum
+    (``running_totals``), so no task holds all files.
     """
-    read = scanned.groupBy(FILE_COL).agg(F.count(F.lit(1)).alias("records"))
+    read = scanned.groupBy(FILE_COL).agg(F.count("id").alias("records"))
     found = kept.groupBy(FILE_COL).agg(F.count(F.lit(1)).alias("kept"))
-    per_file = read.join(found, FILE_COL, "left").fillna(0, ["kept"])
-    return (running_totals(per_file, FILE_COL, ["kept"], count_as="files_done")
+    per_file = read.join(found, FILE_COL, "left")
+    if files is not None:
+        per_file = files.select(FILE_COL).distinct().join(per_file, FILE_COL, "left")
+    return (running_totals(per_file.fillna(0, ["records", "kept"]), FILE_COL, ["kept"], count_as="files_done")
             .withColumnRenamed("kept_total", "total_kept")
             .withColumnRenamed(FILE_COL, "file"))
 
 
 def filtered_batch(raw: DataFrame, concept_ids: Iterable[str] | DataFrame,
                    existing_works: DataFrame, metrics: bool = True, normalize_ids: bool = True,
-                   kept: DataFrame | None = None) -> LoadBatch:
+                   kept: DataFrame | None = None, files: DataFrame | None = None) -> LoadBatch:
     """N1 without the writes: what a lenient scan adds to the tables.
     ``normalize_ids`` (default on, like this loader's reference) applies P4 to
     work ids and to both citation endpoints. ``kept``: the records of ``raw``
-    that pass the concept filter, when the caller has already computed (and
-    persisted) them."""
+    that pass the concept filter, when the caller has already staged them."""
     if kept is None:
-        kept = filter_concepts(raw, concept_ids)                                 # X2
+        kept = filter_concepts(raw.where(F.col("id").isNotNull()), concept_ids)  # X2
     rows = flatten_works(kept, normalize_ids=normalize_ids, keep=(FILE_COL, LINE_COL))   # P1-P4
     works = insert_ignore(existing_works, rows, "id", load_order())             # K2
     return LoadBatch(works=works.select(*WORKS.fieldNames()),
                      citations=extract_citations(kept, normalize_ids=normalize_ids),     # K3
-                     metrics=ingest_metrics(raw, kept) if metrics else None)
+                     metrics=ingest_metrics(raw, kept, files) if metrics else None)
+
+
+def stage_filtered(raw: DataFrame, concept_ids: Iterable[str] | DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """Parse a lenient scan (``keep_invalid``) once, into a staged table: every
+    record's position and id, and the whole record where the concept filter
+    keeps it. Returns the staged records, the kept ones, and the folder."""
+    narrow = (FILE_COL, LINE_COL, "id")
+    marked = mark_concepts(raw, concept_ids, "_wanted").withColumn("_wanted", F.col("_wanted") & F.col("id").isNotNull())
+    wide = [c for c in raw.columns if c not in (*narrow, "concepts", "type")]
+    rows, folder = staged(marked.select(*narrow, "_wanted", *[F.when(F.col("_wanted"), F.col(c)).alias(c) for c in wide]),
+                          "snapshot")
+    return rows, rows.where("_wanted").drop("_wanted"), folder
 
 
 def generic_batch(raw: DataFrame, existing_works: DataFrame, normalize_ids: bool = False) -> LoadBatch:
@@ -94,50 +109,57 @@ def generic_batch(raw: DataFrame, existing_works: DataFrame, normalize_ids: bool
     return LoadBatch(works=works, citations=extract_citations(raw, normalize_ids), metrics=None)
 
 
-def _write(spark: SparkSession, root: str, batch: LoadBatch, load_id: str | None) -> str:
-    load_id = load_id or uuid.uuid4().hex
-    append(batch.works, table_path(root, "works"))
-    batch.citations.write.mode("overwrite").parquet(f"{table_path(root, 'citations')}/load={load_id}")
-    return load_id
+def _write(spark: SparkSession, root: str, works: DataFrame, citations: DataFrame, load_id: str) -> None:
+    """Both tables take the load in a folder of its own, which a re-run replaces."""
+    works.write.mode("overwrite").parquet(f"{table_path(root, 'works')}/load={load_id}")
+    citations.write.mode("overwrite").parquet(f"{table_path(root, 'citations')}/load={load_id}")
 
 
 def load_filtered(spark: SparkSession, path: str, concept_ids: Iterable[str] | DataFrame, root: str,
                   glob: str | None = "*.gz", ignore_corrupt_files: bool = True,
                   load_id: str | None = None, index_path: str | None = None,
                   normalize_ids: bool = True) -> LoadBatch:
-    """Concept-filtered load of a snapshot folder into the tables at ``root``."""
+    """Concept-filtered load of a snapshot folder into the tables at ``root``.
+
+    The snapshot is decompressed and parsed once, into a staged table that the
+    works, the citations and the metrics read. Each load writes folders of its
+    own: run again with the same ``load_id`` after a failure, it replaces what
+    the first try has left and leaves all other loads alone.
+    """
     create_tables(spark, root)
-    ensure_checkpoint_dir(spark)
-    raw = read_works(spark, path, LENIENT, glob=glob, ignore_corrupt_files=ignore_corrupt_files)
-    # the snapshot is decompressed and parsed once: the records that pass the
-    # concept filter (without their concept lists) are kept for both outputs;
-    # a lost block is recomputed from its own files
-    kept = filter_concepts(raw, concept_ids).drop("concepts", "type").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        batch = filtered_batch(raw, concept_ids, read_table(spark, root, "works"),
-                               normalize_ids=normalize_ids, kept=kept)
-        # the works rows depend on the table they are appended to: materialise
-        # them (reliable checkpoint) before the append changes that table
-        batch = LoadBatch(works=cut_lineage(batch.works), citations=batch.citations, metrics=batch.metrics)
-        _write(spark, root, batch, load_id)
-    finally:
-        kept.unpersist()
+    load_id = load_id or uuid.uuid4().hex
+    raw = read_works(spark, path, LENIENT, glob=glob, ignore_corrupt_files=ignore_corrupt_files, keep_invalid=True)
+    rows, kept, folder = stage_filtered(raw, concept_ids)
+    batch = filtered_batch(rows, concept_ids, read_table(spark, root, "works", without_load=load_id),
+                           normalize_ids=normalize_ids, kept=kept, files=list_files(spark, path, glob))
+    # small: one row per file; it must outlive the staged records
+    metrics = cut_lineage(batch.metrics)
+    # the works rows depend on the table they are added to
+    works, works_folder = staged(batch.works, "works")
+    _write(spark, root, works, batch.citations, load_id)
+    for f in (folder, works_folder):
+        remove_path(spark, f)
     if index_path:
         save_title_index(build_title_index(read_table(spark, root, "works")), index_path)
-    return batch
+    return LoadBatch(*_stored(spark, root, load_id), metrics=metrics)
+
+
+def _stored(spark: SparkSession, root: str, load_id: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that a load has written."""
+    return (spark.read.schema(WORKS).parquet(f"{table_path(root, 'works')}/load={load_id}"),
+            spark.read.schema(CITATIONS).parquet(f"{table_path(root, 'citations')}/load={load_id}"))
 
 
 def load_generic(spark: SparkSession, path: str, root: str, glob: str | None = "*.gz",
                  load_id: str | None = None, normalize_ids: bool = False) -> LoadBatch:
     """Strict load; any malformed line or duplicate id raises before
-    either table is written."""
+    either table is written. Parsed once; restartable like ``load_filtered``."""
     create_tables(spark, root)
-    ensure_checkpoint_dir(spark)
-    raw = read_works(spark, path, STRICT, glob=glob)
-    batch = generic_batch(raw, read_table(spark, root, "works"), normalize_ids)
-    # validate the citations scan as well before writing anything
-    citations = cut_lineage(batch.citations)
-    works = cut_lineage(batch.works)
-    batch = LoadBatch(works=works, citations=citations, metrics=None)
-    _write(spark, root, batch, load_id)
-    return batch
+    load_id = load_id or uuid.uuid4().hex
+    raw, folder = staged(read_works(spark, path, STRICT, glob=glob), "snapshot")
+    try:
+        batch = generic_batch(raw, read_table(spark, root, "works", without_load=load_id), normalize_ids)
+        _write(spark, root, batch.works, batch.citations, load_id)
+    finally:
+        remove_path(spark, folder)
+    return LoadBatch(*_stored(spark, root, load_id), metrics=None)

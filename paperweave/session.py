@@ -8,7 +8,9 @@ for tests, benchmarks and the driver entry point only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # checkpoint files go once nothing refers to their frame any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -53,7 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points to shared storage and is used
-    as is. Only when it is unset (tests) a private folder is created.
+    as is; unset, it is an error, since other executors can't see a folder of
+    this machine. Only a ``local`` master (tests) gets a private folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -61,6 +66,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="pw-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
@@ -73,6 +80,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, "paperweave-tables", name)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the JVM, for any scheme that Spark reads."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    fs, p = hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` once as Parquet in the shared scratch folder; the frame
+    read back, and its folder for ``remove_path`` when it is no longer needed."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a reliable checkpoint in ``spark.checkpoint.dir``
     and return the checkpointed frame (its plan starts at the files).

@@ -24,7 +24,7 @@ LINE_COL = "_line"
 
 
 def read_works(spark: SparkSession, path: str, mode: str = LENIENT, glob: str | None = "*.gz",
-               recursive: bool = False, ignore_corrupt_files: bool = False) -> DataFrame:
+               recursive: bool = False, ignore_corrupt_files: bool = False, keep_invalid: bool = False) -> DataFrame:
     """Scan the snapshot below ``path``.
 
     ``lenient`` (C3): malformed lines and records without an id are skipped;
@@ -33,7 +33,8 @@ def read_works(spark: SparkSession, path: str, mode: str = LENIENT, glob: str |
     job, so nothing is written from a bad load. ``glob`` selects files by
     name (C2); ``recursive`` finds files at any depth (no partition
     discovery); ``ignore_corrupt_files`` (C4) keeps the rows read before a
-    truncated file turns out to be corrupt.
+    truncated file turns out to be corrupt. ``keep_invalid`` leaves the
+    records that the lenient mode skips in the result, with a null id.
     """
     if mode not in (LENIENT, STRICT):
         raise ValueError(f"mode must be {LENIENT!r} or {STRICT!r}, not {mode!r}")
@@ -45,11 +46,21 @@ def read_works(spark: SparkSession, path: str, mode: str = LENIENT, glob: str |
     if ignore_corrupt_files:
         reader = reader.option("ignoreCorruptFiles", "true")
     df = with_position(reader.json(path))
-    if mode == LENIENT:
+    if mode == LENIENT and not keep_invalid:
         df = df.where(F.col("id").isNotNull())
     return df
 
 
+def list_files(spark: SparkSession, path: str, glob: str | None = "*.gz", recursive: bool = False) -> DataFrame:
+    """Every input file, also empty and unreadable ones, without reading any."""
+    reader = spark.read.format("binaryFile")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    return reader.load(path).select(F.col("_metadata.file_path").alias(FILE_COL))
+
+
 def with_position(df: DataFrame) -> DataFrame:
     return (df.withColumn(FILE_COL, F.col("_metadata.file_path"))
             .withColumn(LINE_COL, F.monotonically_increasing_id()))

@@ -5,11 +5,10 @@ folder); each micro-batch runs the same plan as the batch loader (X2, P1-P4,
 K2 against the stored works, K3). The stream's checkpoint records which files
 were read, so a re-run never loads a file twice.
 
-Replays after a failure are safe: K2 is idempotent (rows already stored are
-ignored), and each batch's citations go to their own folder
-``load=stream-<name>-<batch_id>`` which a replay overwrites instead of
-appending (``name`` defaults to a digest of the checkpoint location, so two
-streams into the same tables never share a folder).
+A micro-batch is parsed once, into a staged table. Its works and citations go
+to folders of their own (``load=stream-<name>-<batch_id>``) which a replay
+after a failure overwrites; ``name`` defaults to a digest of the checkpoint
+location, so two streams into the same tables never share a folder.
 """
 
 from __future__ import annotations
@@ -21,38 +20,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from paperweave.operators.tables import append, create_tables, read_table, table_path
-from paperweave.plans.load import filtered_batch
+from paperweave.operators.search import build_title_index, save_title_index
+from paperweave.operators.tables import create_tables, read_table
+from paperweave.plans.load import _write, filtered_batch, stage_filtered
 from paperweave.schemas import RAW_WORK
-from paperweave.session import cut_lineage, ensure_checkpoint_dir
+from paperweave.session import remove_path, staged
 from paperweave.sources.snapshot import FILE_COL, LINE_COL
 
 
-def stream_filtered(spark: SparkSession, path: str, concept_ids: Iterable[str], root: str,
+def stream_filtered(spark: SparkSession, path: str, concept_ids: Iterable[str] | DataFrame, root: str,
                     checkpoint_location: str, glob: str | None = "*.gz",
                     max_files_per_trigger: int | None = None, available_now: bool = True,
-                    ignore_corrupt_files: bool = True, name: str | None = None) -> StreamingQuery:
+                    ignore_corrupt_files: bool = True, name: str | None = None,
+                    index_path: str | None = None) -> StreamingQuery:
+    """``concept_ids``: a list or a table, as for the batch loader. With
+    ``index_path``, the title index is built anew from the stored works after
+    each micro-batch that adds some, as after a batch load."""
     create_tables(spark, root)
-    ensure_checkpoint_dir(spark)
     name = name or hashlib.sha1(checkpoint_location.encode()).hexdigest()[:12]
-    concept_ids = list(concept_ids)
+    if not isinstance(concept_ids, DataFrame):
+        concept_ids = list(concept_ids)
     reader = (spark.readStream.schema(RAW_WORK).option("mode", "PERMISSIVE")
               .option("ignoreCorruptFiles", str(ignore_corrupt_files).lower()))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    src = (reader.json(path)
-           .withColumn(FILE_COL, F.col("_metadata.file_path"))
-           .where(F.col("id").isNotNull()))
+    src = reader.json(path).withColumn(FILE_COL, F.col("_metadata.file_path"))
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
+        load_id = f"stream-{name}-{batch_id}"
         raw = batch.withColumn(LINE_COL, F.monotonically_increasing_id())
-        out = filtered_batch(raw, concept_ids, read_table(spark, root, "works"), metrics=False)
-        works = cut_lineage(out.works)     # fixed before the append changes the table
-        append(works, table_path(root, "works"))
-        out.citations.write.mode("overwrite").parquet(
-            f"{table_path(root, 'citations')}/load=stream-{name}-{batch_id}")
+        rows, kept, folder = stage_filtered(raw, concept_ids)
+        out = filtered_batch(rows, concept_ids, read_table(spark, root, "works", without_load=load_id),
+                             metrics=False, kept=kept)
+        works, works_folder = staged(out.works, "works")
+        _write(spark, root, works, out.citations, load_id)
+        if index_path and works.limit(1).count():
+            save_title_index(build_title_index(read_table(spark, root, "works")), index_path)
+        for f in (folder, works_folder):
+            remove_path(spark, f)
 
     writer = src.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
