@@ -22,7 +22,6 @@ from paperweave.functions.vectors import rounded
 from paperweave.operators.topn import (
     BROADCAST_BYTES,
     BROADCAST_ROWS,
-    bounded_size,
     checked_broadcast,
     fits_broadcast,
     top_n,
@@ -31,8 +30,9 @@ from paperweave.operators.topn import (
 K1 = 1.2
 B = 0.75
 SEARCH_LIMIT = 20
-# Largest pattern table joined by a broadcast nested loop (ILIKE patterns).
-BROADCAST_QUERY_ROWS = 10_000
+# Patterns without a literal character that are broadcast at once.
+BLOCK_PATTERNS = 10_000
+GRAM_SIZES = (3, 2, 1)
 # Largest literal query table matched by a nested loop in substring search:
 # a handful of queries is one pass over the titles with a few ``contains``
 # tests per title. Larger tables take the trigram equi-join, whose work
@@ -236,40 +236,27 @@ def doi_first(works: DataFrame, queries: DataFrame, wildcards: bool = False,
     return q.join(first, "doi_key").select("query_id", "id", F.lit(1).alias("rank"))
 
 
-def _check_broadcastable(df: DataFrame, what: str, max_rows: int = BROADCAST_QUERY_ROWS) -> int:
-    n, b = bounded_size(df, max_rows)
-    if n > max_rows or b > BROADCAST_BYTES:
-        raise ValueError(f"{what}: more than {max_rows} rows or {BROADCAST_BYTES} bytes "
-                         "cannot use the nested-loop form")
-    return n
+def _grams(s: Column, n: int) -> Column:
+    """Distinct n-character substrings; empty for shorter strings. A zero-width
+    lookahead at each position captures the next n (one JVM call, no lambda)."""
+    return F.array_distinct(F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
 
 
-# Every 3-character window: a zero-width lookahead match at each position
-# whose group captures the next three characters (one JVM call, no lambda).
-TRIGRAM_PATTERN = "(?s)(?=(.{3}))"
+def _longest_grams(runs: Column) -> Column:
+    """The grams of 3, else of 2, else of 1 characters that the literal runs have."""
+    def of(n: int):
+        return F.array_distinct(F.flatten(F.transform(runs, lambda r: _grams(r, n))))
 
-
-def _trigrams(s: Column) -> Column:
-    """Distinct 3-character substrings; empty for strings shorter than 3."""
-    return F.array_distinct(F.regexp_extract_all(s, F.lit(TRIGRAM_PATTERN), 1))
+    by_size = [of(n) for n in GRAM_SIZES]
+    return F.when(F.size(by_size[0]) > 0, by_size[0]).when(F.size(by_size[1]) > 0, by_size[1]).otherwise(by_size[2])
 
 
 def substring_hits(works: DataFrame, queries: DataFrame, wildcards: bool = False,
                    broadcast_rows: int = NESTED_LOOP_QUERY_ROWS) -> DataFrame:
     """(query_id, id) for every work whose title contains the query,
     ignoring case (untrimmed query). With ``wildcards`` the query is an ILIKE
-    pattern inside ``%...%`` (F8).
-
-    A query table of at most ``broadcast_rows`` rows (counted, not assumed)
-    is broadcast and tested against every title in one scan. A larger table
-    uses an exact trigram equi-join. Every trigram of the query (with
-    wildcards: of each literal run between ``%`` and ``_``) must occur in a
-    matching title. Only title trigrams that some query asks for are counted;
-    each query probes with its rarest one (a trigram no title has gives no
-    candidates); every candidate is verified with the full test. Queries
-    without a trigram (shorter than three literal characters; ``search``
-    rejects short queries before, X8) take a nested loop over a counted table
-    of at most ``BROADCAST_QUERY_ROWS`` rows.
+    pattern inside ``%...%`` (F8). Query tables of any size and queries of any
+    length, see ``pattern_join``.
     """
     # both sides are lower-cased once, before the join (ILIKE is LIKE on
     # lower-cased operands), so the per-pair test is a plain contains / like
@@ -278,20 +265,19 @@ def substring_hits(works: DataFrame, queries: DataFrame, wildcards: bool = False
     if wildcards:
         pats = _like_queries(lq.withColumnRenamed("lq", "raw"), contains=True)
         return pattern_join(lt, pats, F.like(F.col("lt"), F.col("lq")), broadcast_rows)
-    return pattern_join(lt, lq.withColumn("grams", _trigrams(F.col("lq"))),
+    return pattern_join(lt, lq.withColumn("grams", _longest_grams(F.array("lq"))),
                         F.col("lt").contains(F.col("lq")), broadcast_rows)
 
 
 def _like_queries(raw: DataFrame, contains: bool) -> DataFrame:
     """(query_id, raw) -> (query_id, lq, grams): ``lq`` is the LIKE pattern
-    of the user text (inside ``%...%`` when ``contains``); ``grams`` are the
-    trigrams of its literal runs between ``%`` and ``_``, taken from the raw
-    text (the pattern doubles backslashes), each of which any match contains."""
+    of the user text (inside ``%...%`` when ``contains``); ``grams`` are those
+    of its literal runs between ``%`` and ``_``, taken from the raw text (the
+    pattern doubles backslashes), each of which any match contains."""
     pat = like_pattern(F.col("raw"))
     if contains:
         pat = F.concat(F.lit("%"), pat, F.lit("%"))
-    grams = F.array_distinct(F.flatten(F.transform(F.split("raw", "[%_]"), _trigrams)))
-    return raw.select("query_id", pat.alias("lq"), grams.alias("grams"))
+    return raw.select("query_id", pat.alias("lq"), _longest_grams(F.split("raw", "[%_]")).alias("grams"))
 
 
 def pattern_join(texts: DataFrame, queries: DataFrame, match: Column,
@@ -299,45 +285,63 @@ def pattern_join(texts: DataFrame, queries: DataFrame, match: Column,
     """(query_id, id) of every (query, text) pair for which ``match`` holds.
 
     ``texts``: (id, lt); ``queries``: (query_id, lq, grams), where ``grams``
-    are trigrams that every matching ``lt`` contains. At most
-    ``broadcast_rows`` queries (counted) are tested in one scan of the texts;
-    more go through the trigram equi-join of ``_trigram_probe``. Queries with
-    no trigram take a nested loop over a counted table of at most
-    ``BROADCAST_QUERY_ROWS`` rows.
+    are substrings of one length (3, 2 or 1) that every matching ``lt``
+    contains. At most ``broadcast_rows`` queries (counted) are tested in one
+    scan of the texts. More go through exact gram equi-joins, one for each
+    length: a query probes with its rarest gram and every candidate is
+    verified. Queries without a literal character (only wildcards, or empty)
+    are reduced to their distinct patterns, which are tested in broadcast
+    blocks of bounded size.
     """
-    # one bounded job sizes the query table and counts queries without trigrams
+    # one bounded job sizes the query table and its kinds
     cap = max(broadcast_rows, BROADCAST_ROWS)
-    no_gram = F.size("grams") == 0
-    sized = queries.limit(cap + 1).agg(F.count(F.lit(1)).alias("n"),
-                                       F.count(F.when(no_gram, 1)).alias("no_gram"),
-                                       F.coalesce(F.sum(F.octet_length("lq")), F.lit(0)).alias("bytes")).first()
-    n, n_plain, small = sized["n"], sized["no_gram"], sized["bytes"] <= BROADCAST_BYTES
-    if n <= broadcast_rows and small:
+    queries = queries.where(F.col("lq").isNotNull())
+    length = F.coalesce(F.length(F.get("grams", F.lit(0))), F.lit(0))
+    sized = queries.limit(cap + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("lq")), F.lit(0)).alias("bytes"),
+        *[F.count(F.when(length == k, 1)).alias(f"n{k}") for k in (0, *GRAM_SIZES)]).first()
+    small = sized["bytes"] <= BROADCAST_BYTES
+    if sized["n"] <= broadcast_rows and small:
         return _nested(texts, queries, match)
-    parts = [_trigram_probe(texts, queries.where(~no_gram), match, probes_fit=n <= BROADCAST_ROWS and small)]
-    plain = queries.where(no_gram)
-    if n > cap:
-        n_plain = plain.limit(1).count()
-    if n_plain:
-        _check_broadcastable(plain, "pattern queries without a 3-character literal run")
-        parts.append(_nested(texts, plain, match))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    some = [k for k in (0, *GRAM_SIZES) if sized["n"] > cap or sized[f"n{k}"]]
+    parts = [_gram_probe(texts, queries.where(length == k), match, k, probes_fit=sized["n"] <= BROADCAST_ROWS and small)
+             for k in some if k]
+    if 0 in some:
+        parts.append(_wildcards_only(texts, queries.where(length == 0), match))
+    out = parts[0] if parts else _nested(texts, queries, match)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _nested(lt: DataFrame, lq: DataFrame, match: Column) -> DataFrame:
     return lt.join(F.broadcast(lq.select("query_id", "lq")), match).select("query_id", "id")
 
 
-def _trigram_probe(lt: DataFrame, lq: DataFrame, match: Column, probes_fit: bool) -> DataFrame:
-    """``lq``: (query_id, lq, grams) with at least one gram per query.
-    ``probes_fit``: the query table has at most ``BROADCAST_ROWS`` rows and
-    ``BROADCAST_BYTES`` of query text (counted by the caller), so one probe
-    row per query can be broadcast."""
+def _wildcards_only(lt: DataFrame, lq: DataFrame, match: Column) -> DataFrame:
+    """Patterns that any text of some length matches: the distinct ones, in
+    blocks that are broadcast one after another, then joined to their queries."""
+    distinct = lq.select("lq").distinct()
+    n, size = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("lq")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK_PATTERNS), -(-size // BROADCAST_BYTES))
+    out = None
+    for k in range(blocks):
+        block = distinct.where(F.pmod(F.xxhash64("lq"), F.lit(blocks)) == k)
+        hit = lt.join(F.broadcast(block), match).select("lq", "id")
+        out = hit if out is None else out.unionByName(hit)
+    return out.join(lq.select("query_id", "lq"), "lq").select("query_id", "id")
+
+
+def _gram_probe(lt: DataFrame, lq: DataFrame, match: Column, n: int, probes_fit: bool) -> DataFrame:
+    """``lq``: (query_id, lq, grams) with at least one gram, of n characters,
+    per query. ``probes_fit``: the query table has at most ``BROADCAST_ROWS``
+    rows and ``BROADCAST_BYTES`` of query text (counted by the caller), so one
+    probe row per query can be broadcast."""
     q_grams = lq.select("query_id", F.explode("grams").alias("gram"))
     wanted = checked_broadcast(q_grams.select("gram").distinct())
-    # (gram, id) for query trigrams only: the title side never shuffles
-    # trigrams that no query asks for
-    t_grams = lt.select("id", F.explode(_trigrams(F.col("lt"))).alias("gram")).join(wanted, "gram", "left_semi")
+    # (gram, id) for query grams only: the title side never shuffles
+    # grams that no query asks for
+    t_grams = lt.select("id", F.explode(_grams(F.col("lt"), n)).alias("gram")).join(wanted, "gram", "left_semi")
     gram_df = t_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("gdf"))
     rarest = top_n(q_grams.join(gram_df, "gram", "left").fillna(0, ["gdf"]), ["query_id"],
                    [F.col("gdf").asc(), F.col("gram").asc()], 1)
@@ -345,7 +349,7 @@ def _trigram_probe(lt: DataFrame, lq: DataFrame, match: Column, probes_fit: bool
     if probes_fit:
         # one probe row per query (checked count): titles stream past the
         # broadcast probes and are verified in the same scan, never shuffled
-        return (lt.select("id", "lt", F.explode(_trigrams(F.col("lt"))).alias("gram"))
+        return (lt.select("id", "lt", F.explode(_grams(F.col("lt"), n)).alias("gram"))
                 .join(F.broadcast(probes), "gram").where(match).select("query_id", "id"))
     cand = probes.select("query_id", "gram").join(t_grams, "gram")
     return (cand.join(lq.select("query_id", "lq"), "query_id").join(lt, "id")

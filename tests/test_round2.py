@@ -181,3 +181,40 @@ def test_stream_with_a_concept_table_and_index(spark, tmp):
         stream_filtered(spark, snap, wanted, root, os.path.join(tmp, "ckpt"), index_path=index).awaitTermination(120)
         assert read_table(spark, root, "works").count() == n
         assert spark.read.parquet(f"{index}/stats").first().n_docs == n
+
+
+def brute_like(texts, pattern):
+    import re
+    rx = re.compile("(?s).*" + "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in pattern.lower()) + ".*")
+    return {i for i, t in texts if t is not None and rx.fullmatch(t.lower())}
+
+
+@pytest.mark.parametrize("wildcards", [False, True])
+def test_patterns_of_any_length_and_number(spark, wildcards):
+    import random
+    from paperweave.operators.search import substring_hits
+    rnd = random.Random(3)
+    texts = [(f"W{i}", "".join(rnd.choices("abcdé %_x", k=rnd.randrange(12)))) for i in range(60)] + [("Wn", None), ("We", "")]
+    patterns = ["", "a", "É", "ab", "b ", "xyz", "%", "_", "__", "a%", "a_b", "%b%c", "abc", "_______", "qq", None]
+    queries = [(i, p) for i, p in enumerate(patterns * 3)]
+    works = spark.createDataFrame(texts, "id string, title string")
+    got = {}
+    for r in substring_hits(works, spark.createDataFrame(queries, "query_id long, q string"), wildcards).collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    for i, p in queries:
+        want = set() if p is None else brute_like(texts, p) if wildcards else {k for k, t in texts if t is not None and p.lower() in t.lower()}
+        assert sorted(got.get(i, [])) == sorted(want), p
+
+
+def test_twenty_thousand_short_patterns(spark):
+    from paperweave.operators.search import substring_hits
+    letters = [chr(97 + i) for i in range(26)]
+    queries = spark.range(20_000).select(F.col("id").alias("query_id"), F.concat(
+        F.element_at(F.array(*map(F.lit, letters)), (F.col("id") % 26 + 1).cast("int")),
+        F.when(F.col("id") % 3 > 0, F.element_at(F.array(*map(F.lit, letters)), (F.col("id") % 25 + 1).cast("int"))).otherwise("")).alias("q"))
+    works = spark.createDataFrame([("W1", "abba"), ("W2", "zebra"), ("W3", None)], "id string, title string")
+    got = {(r.query_id, r.id) for r in substring_hits(works, queries).collect()}
+    want = {(r.query_id, w) for r in queries.collect() for w, t in (("W1", "abba"), ("W2", "zebra")) if r.q in t}
+    assert got == want
+    marks = spark.range(20_000).select(F.col("id").alias("query_id"), F.repeat(F.lit("_"), (F.col("id") % 6).cast("int")).alias("q"))
+    assert substring_hits(works, marks, True).count() == sum((i % 6 <= 4) + (i % 6 <= 5) for i in range(20_000))
