@@ -23,15 +23,19 @@ from pyspark.sql import functions as F
 
 from paperweave.llm.common import slices, stored, texts
 
-CLASSES = 32
-SLOTS = 32
-BUCKETS = 64                 # outcomes that stand for all words which are none themselves
+CLASSES = 16
+SLOTS = 16
+BUCKETS = 128                # outcomes that stand for the words with some endings
 SINGLE = CLASSES * SLOTS - BUCKETS
+ENDING = 3                   # bytes of a word that choose its bucket
 ROWS = (1 << 14, 1 << 15)    # hashed features of the class and the slot softmax
-KNOWN = 1 << 19              # words whose counts are broadcast, at most; others are joined
-FLUSH = 1 << 19              # distinct words that a counting task holds
-BATCH = 1 << 14              # tokens of one gradient update
-RATE = 0.3
+KNOWN = 1 << 18              # words whose counts are broadcast, at most; others are joined
+FLUSH = 1 << 18              # distinct words that a counting task holds
+PIECE = 2 << 20              # bytes of text that a task works on at once
+BATCH = 1 << 15              # tokens of one gradient update
+RATE = 1.0
+SHRINK = 4.0                 # a row's gradient is its sum over this many occurrences more than it has
+LIMIT = 8.0                  # of a weight: sums of a few stay within what an exponential can take
 ROUNDS = 2
 BLOCK = 512                  # rows of weights that are averaged together
 FAN = 256                    # tasks whose updates are added up first
@@ -65,7 +69,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE):
                 held.update(tokens_of(texts(part))[0])
                 if len(held) > FLUSH:
                     yield flush()
@@ -86,7 +90,8 @@ class Vocabulary(NamedTuple):
 
 
 def bucket_of(word: bytes) -> int:
-    return crc32(word) % BUCKETS
+    """By the word's ending, which tells languages and word forms apart."""
+    return crc32(word[-ENDING:]) % BUCKETS
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -109,7 +114,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         rows.insert(0, (END, 0))
     words = [w for w, _ in rows]
     outcome = np.array([i if i < SINGLE else SINGLE + bucket_of(w) for i, w in enumerate(words)], np.int64)
-    bucket = F.crc32("token") % BUCKETS
+    bytes_of = F.encode("token", "UTF-8")
+    ending = F.when(F.octet_length("token") > ENDING, F.substring(bytes_of, -ENDING, ENDING)).otherwise(bytes_of)
+    bucket = F.crc32(ending) % BUCKETS
     total, kinds = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for b, s, k in counts.groupBy(bucket.alias("b")).agg(F.sum("n"), F.count("*")).collect():
         total[b], kinds[b] = s, k
@@ -130,7 +137,8 @@ class Model:
         weight[:min(SINGLE, len(v.words))] += v.counts[:SINGLE]
         weight[SINGLE:] += v.bucket_n
         table = weight.reshape(CLASSES, SLOTS)
-        self.bias = (np.log(table.sum(axis=1)).astype(np.float32), np.log(table).astype(np.float32))
+        self.bias = (np.log(table.sum(axis=1) / table.sum()).astype(np.float32),
+                     np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
         self.weights = weights or [np.zeros((ROWS[0], CLASSES), np.float32), np.zeros((ROWS[1], SLOTS), np.float32)]
 
     def read(self, rows: Sequence[bytes]):
@@ -166,46 +174,45 @@ class Model:
         return ((features & np.uint64(ROWS[0] - 1)).astype(np.int64),
                 (mixed >> np.uint64(64 - ROWS[1].bit_length() + 1)).astype(np.int64))
 
-    def _softmax(self, k: int, bias: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Log probabilities of the classes (or slots) of each token."""
-        x = bias + self.weights[k][places[0]]
+    def _exponents(self, k: int, bias: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Logits of the classes (or slots) of each token: the bias is a log
+        probability and weights are limited, so their exponentials are finite."""
+        x = bias + np.take(self.weights[k], places[0], axis=0)
         for p in places[1:]:
-            x += self.weights[k][p]
-        x -= x.max(axis=1, keepdims=True)
-        x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+            x += np.take(self.weights[k], p, axis=0)
         return x
 
-    def forward(self, out: np.ndarray, features: np.ndarray):
+    def _factors(self, out: np.ndarray, features: np.ndarray):
+        """For both softmaxes: logits, what was seen, and the rows of the weights."""
         cls, slot = out // SLOTS, out % SLOTS
         places = self._places(features, cls)
-        return (self._softmax(0, self.bias[0][None, :], places[0]),
-                self._softmax(1, self.bias[1][cls], places[1]), cls, slot, places)
+        return ((self._exponents(0, self.bias[0][None, :], places[0]), cls, places[0]),
+                (self._exponents(1, np.take(self.bias[1], cls, axis=0), places[1]), slot, places[1]))
 
     def log_probability(self, out: np.ndarray, features: np.ndarray) -> np.ndarray:
         """Natural logarithm of each outcome's probability."""
-        parts = []
+        total = np.zeros(len(out))
         for at in range(0, len(out), BATCH):
-            a, b, cls, slot, _ = self.forward(out[at:at + BATCH], features[:, at:at + BATCH])
-            i = np.arange(len(cls))
-            parts.append(a[i, cls].astype(np.float64) + b[i, slot])
-        return np.concatenate(parts) if parts else np.zeros(0)
-
-    def step(self, out: np.ndarray, features: np.ndarray, squares, touched) -> None:
-        """One gradient update (each weight's rate falls with its past gradients)."""
-        a, b, cls, slot, places = self.forward(out, features)
-        i = np.arange(len(cls))
-        for k, (logp, hit) in enumerate(((a, cls), (b, slot))):
-            err = np.exp(logp)
-            err[i, hit] -= 1
-            for p in places[k]:
-                order = np.argsort(p, kind="stable")
-                s = p[order]
-                first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                row = s[first]
-                g = np.add.reduceat(err[order], first, axis=0)
-                squares[k][row] += g * g
-                self.weights[k][row] -= np.float32(RATE) * g / np.sqrt(squares[k][row] + np.float32(1))
-                touched[k][row] += np.diff(np.append(first, len(s)))
+            for x, hit, _ in self._factors(out[at:at + BATCH], features[:, at:at + BATCH]):
+                own = x[np.arange(len(hit)), hit].astype(np.float64)
+                total[at:at + BATCH] += own - np.log((np.exp(x) @ np.ones(x.shape[1], np.float32)).astype(np.float64))
+        return total
+
+    def step(self, out: np.ndarray, features: np.ndarray, rate: float, touched: list[np.ndarray]) -> None:
+        """One gradient update of all rows that the tokens use."""
+        for k, (x, hit, places) in enumerate(self._factors(out, features)):
+            weights, width = self.weights[k], x.shape[1]
+            err = np.exp(x)
+            err /= (err @ np.ones(width, np.float32))[:, None]
+            err[np.arange(len(hit)), hit] -= 1
+            flat = err.ravel()
+            for p in places:
+                used = np.bincount(p, minlength=len(weights))
+                where = (p[:, None] * width + np.arange(width)).ravel()
+                g = np.bincount(where, weights=flat, minlength=weights.size).reshape(weights.shape)
+                weights -= (g * (rate / (used + SHRINK))[:, None]).astype(np.float32)
+                touched[k] += used
+            np.clip(weights, -LIMIT, LIMIT, out=weights)
 
 
 def _train_tasks(vocab, weights):
@@ -213,13 +220,13 @@ def _train_tasks(vocab, weights):
     change, weighted by how often each row was used, out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(vocab.value, [w.copy() for w in weights.value])
-        squares = [np.zeros_like(w) for w in model.weights]
-        touched = [np.zeros(len(w), np.float32) for w in model.weights]
+        touched, batch_no = [np.zeros(len(w), np.float32) for w in model.weights], 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE):
                 _, _, out, _, _, features, _ = model.read(texts(part))
                 for at in range(0, len(out), BATCH):
-                    model.step(out[at:at + BATCH], features[:, at:at + BATCH], squares, touched)
+                    model.step(out[at:at + BATCH], features[:, at:at + BATCH], RATE / np.sqrt(1 + batch_no / 16), touched)
+                    batch_no += 1
         task, rows = TaskContext.get().partitionId(), []
         block = 0
         for old, new, used in zip(weights.value, model.weights, touched, strict=True):
@@ -286,7 +293,7 @@ def _score_tasks(vocab, weights):
         log_count = np.log10(v.counts + 1.0)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE):
                 rows = texts(part)
                 _, ids, out, rare, rare_words, features, size = model.read(rows)
                 doc = np.repeat(np.arange(len(rows)), size)
