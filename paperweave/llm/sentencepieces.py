@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6      # fixed values of the model format's piece types
 UNK_PENALTY = 10.0                   # fixed value: below the lowest score, for an unknown character
-CACHED_WORDS = 1 << 20               # of a task; a slice's words are never more than its characters
+CACHED_WORDS = 1 << 19               # of a worker, beside those of the slice at hand
 
 
 class Pieces:
@@ -49,10 +50,10 @@ class Pieces:
         self.score = [p.score for p in m.pieces]
         self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type == NORMAL}
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
-        self.tails = {w[i:] for w in self.ids for i in range(len(w))}
+        # Every tail of a piece; with its id if it is one itself, else -1.
+        self.tails = {w[i:]: self.ids.get(w[i:], -1) for w in self.ids for i in range(len(w))}
         self.unk = min(self.score[i] for i in self.ids.values()) - UNK_PENALTY
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
+        self._pairs: dict[int, bool] = {}
         raw = [bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.replace(MARK, " ").encode()
                if p.type == NORMAL else " ⁇ ".encode() if p.type == UNKNOWN else b"" for p in m.pieces]
         self.raw_len = np.array([len(r) for r in raw], np.int64)
@@ -76,54 +77,31 @@ class Pieces:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether piece b may stand behind piece a (-1: nothing or a character without a piece)."""
-        if b not in self._whole:
-            self._whole[b] = self.merges(self.text[b]) == [self.text[b]]
-        if not self._whole[b] or a < 0:
-            return self._whole[b]
-        key = (a, b)
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) > CACHED_WORDS:
-                self._pairs.clear()
-            known = self._pairs[key] = self.merges(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
-        return known
+        if len(self._pairs) > CACHED_WORDS:
+            self._pairs.clear()
+        left = [] if a < 0 else [self.text[a]]
+        fits = self.merges("".join(left) + self.text[b]) == [*left, self.text[b]]
+        self._pairs[a << 20 | b] = fits
+        return fits
 
     def encode_words(self, words: Sequence[str]) -> Iterator[list[int]]:
         """Ids of each of the sorted distinct ``words``."""
-        ids, tails, scores, bpe, pairs = self.ids, self.tails, self.score, self.bpe, self._pairs
+        extend = self._extend_bpe if self.bpe else self._extend_unigram
         # By prefix length: forward score, start and id of the last piece on the best path (-1: unknown character).
         total, start, piece, before = [0.0], [0], [-1], ""
         for word in words:
-            n, most = 0, min(len(word), len(before))
-            while n < most and word[n] == before[n]:
+            n = 0
+            for a, b in zip(word, before):
+                if a != b:
+                    break
                 n += 1
             del total[n + 1:], start[n + 1:], piece[n + 1:]
-            for end in range(n + 1, len(word) + 1):
-                best = at = which = None
-                for s in range(end - 1, -1, -1):
-                    tail = word[s:end]
-                    if tail not in tails:
-                        break
-                    i = ids.get(tail)
-                    if i is None:
-                        continue
-                    score = total[s] + scores[i]
-                    if bpe:
-                        a = piece[s]
-                        if pairs.get((a, i)) or self.follows(a, i):
-                            best, at, which = score, s, i
-                            break
-                    elif best is None or score > best:
-                        best, at, which = score, s, i
-                if word[end - 1] not in ids and (best is None or total[end - 1] + self.unk > best):
-                    best, at, which = total[end - 1] + self.unk, end - 1, -1
-                total.append(best)
-                start.append(at)
-                piece.append(which)
+            extend(word, n, total, start, piece)
             out, end = [], len(word)
             while end:
-                if piece[end] >= 0:
-                    out.append(piece[end])
+                i = piece[end]
+                if i >= 0:
+                    out.append(i)
                 else:
                     out.extend(self.bytes[b] for b in reversed(word[end - 1].encode("utf-8")))
                 end = start[end]
@@ -131,6 +109,44 @@ class Pieces:
             before = word
             yield out
 
+    def _extend_unigram(self, word, n, total, start, piece) -> None:
+        """Forward scores of the prefixes longer than n: the best sums."""
+        tails, scores = self.tails, self.score
+        for end in range(n + 1, len(word) + 1):
+            best, at, which = None, end - 1, -1
+            for s in range(end - 1, -1, -1):
+                i = tails.get(word[s:end])
+                if i is None:
+                    break
+                if i >= 0 and (best is None or total[s] + scores[i] > best):
+                    best, at, which = total[s] + scores[i], s, i
+            if word[end - 1] not in self.ids and (best is None or total[end - 1] + self.unk > best):
+                best, at, which = total[end - 1] + self.unk, end - 1, -1
+            total.append(best)
+            start.append(at)
+            piece.append(which)
+
+    def _extend_bpe(self, word, n, total, start, piece) -> None:
+        """Forward scores of the prefixes longer than n: the admissible path's."""
+        tails, pairs, scores = self.tails, self._pairs, self.score
+        for end in range(n + 1, len(word) + 1):
+            s, at, which = end - 1, end - 1, -1
+            while s >= 0:
+                i = tails.get(word[s:end])
+                if i is None:
+                    break
+                if i >= 0:
+                    fits = pairs.get(piece[s] << 20 | i)
+                    if fits is None:
+                        fits = self.follows(piece[s], i)
+                    if fits:
+                        at, which = s, i
+                        break
+                s -= 1
+            total.append(total[at] + (scores[which] if which >= 0 else self.unk))
+            start.append(at)
+            piece.append(which)
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The bytes of each list of ids, without the space that encoding puts first."""
         size = self.raw_len[ids]
@@ -181,9 +197,20 @@ class Encoder:
         return self.flat[ragged(self.start[at], sizes)], offsets
 
 
+class Model:
+    """A model file's bytes. The tasks of a Python worker share what they make of them."""
+
+    def __init__(self, content: bytes):
+        self.content = content
+
+    @cached_property
+    def encoder(self) -> Encoder:
+        return Encoder(Pieces(self.content))
+
+
 def _model(df: DataFrame, path: str):
     with open(path, "rb") as f:
-        return df.sparkSession.sparkContext.broadcast(f.read())
+        return df.sparkSession.sparkContext.broadcast(Model(f.read()))
 
 
 def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "ids",
@@ -193,7 +220,7 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col:
     gives the text back (false only for texts that hold the mark itself).
 
     No shuffle. The model file is read by the driver and broadcast, its size is
-    that of the file. A task holds the words of one slice of a few megabytes
+    that of the file. A worker holds the words of one slice of a few megabytes
     and at most ``CACHED_WORDS`` earlier ones. A text without spaces is one
     word; its forward pass is linear in its length.
 
@@ -206,7 +233,7 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col:
     wide = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names, strict=True)], F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Pieces(model.value))
+        encoder = model.value.encoder
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = [t or "" for t in part.column("text").to_pylist()]
@@ -232,7 +259,7 @@ def decode(rows: DataFrame, model_path: str, *, ids_col: str = "ids", text_col:
     cols = [c for c in rows.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model.value)
+        pieces = model.value.encoder.pieces
         for batch in batches:
             lists = [x or [] for x in batch.column(ids_col).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
