@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperweave.functions.records import concept_ids
-from paperweave.operators.topn import fits_broadcast
+from paperweave.operators.topn import checked_broadcast, fits_broadcast
 
 PUBLICATION_TYPES = ("article", "preprint", "proceedings-article")
 # Most concept ids that the scan filter holds as one array; more are joined.
@@ -66,5 +66,6 @@ def with_references(raw: DataFrame) -> DataFrame:
 
 def lookup(works: DataFrame, ids: DataFrame, key: str = "id", id_col: str = "id") -> DataFrame:
     """Rows of ``works`` whose key is in ``ids`` (a semi join, never an
-    IN-list built on the driver)."""
-    return works.join(ids.select(F.col(id_col).alias(key)).distinct(), key, "left_semi")
+    IN-list built on the driver). An id table of checked small size is
+    broadcast, so works are not shuffled."""
+    return works.join(checked_broadcast(ids.select(F.col(id_col).alias(key))), key, "left_semi")

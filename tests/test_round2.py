@@ -218,3 +218,47 @@ def test_twenty_thousand_short_patterns(spark):
     assert got == want
     marks = spark.range(20_000).select(F.col("id").alias("query_id"), F.repeat(F.lit("_"), (F.col("id") % 6).cast("int")).alias("q"))
     assert substring_hits(works, marks, True).count() == sum((i % 6 <= 4) + (i % 6 <= 5) for i in range(20_000))
+
+
+def test_ties_are_cut_in_the_task(spark):
+    """Thousands of equal vectors: k rows per seed and task, smallest ids first."""
+    import numpy as np
+    from paperweave.operators.similarity import similar, top_k
+    vectors = spark.createDataFrame([(f"W{i:05d}", [1.0, 2.0]) for i in range(4000)], "paper_id string, embedding array<float>")
+    unit = np.ones((4000, 2)) / np.sqrt(2)
+    ids = np.array([f"W{i:05d}" for i in range(4000)], dtype=object)
+    local = top_k(ids[:50], unit[:50], ids, unit, 5)
+    assert len(local) == 250 and set(local.groupby("seed_id").size()) == {5}
+    seeds = spark.createDataFrame([("W00000",), ("W03999",)], "seed_id string")
+    for block in (None, 500):
+        got = sorted((r.seed_id, r.rank, r.id) for r in similar(vectors, seeds, 5, block_rows=block).collect())
+        assert [g[2] for g in got[:5]] == [f"W{i:05d}" for i in range(1, 6)]
+        assert [g[2] for g in got[5:]] == [f"W{i:05d}" for i in range(5)]
+
+
+def test_copies_of_an_id_do_not_crowd_out_others(spark):
+    from paperweave.operators.similarity import similar
+    rows = [("A", [1.0, 0.0])] + [("B", [1.0, 0.01 * i]) for i in range(8)] + [("C", [1.0, 0.5]), ("D", [0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "paper_id string, embedding array<float>")
+    seeds = spark.createDataFrame([("A",)], "seed_id string")
+    for block in (None, 100):
+        assert [r.id for r in sorted(similar(vectors, seeds, 2, block_rows=block).collect(), key=lambda r: r.rank)] == ["B", "C"]
+
+
+def test_one_seed_shuffles_no_cache(spark):
+    from paperweave.operators.similarity import similar
+    vectors = spark.createDataFrame([(f"W{i}", [float(i), 1.0]) for i in range(50)], "paper_id string, embedding array<float>")
+    plan = similar(vectors, spark.createDataFrame([("W3",)], "seed_id string"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "CoGroup" not in plan
+    below = plan[plan.index("MapInPandas"):]
+    assert "Exchange hashpartitioning" not in below
+
+
+def test_edges_join_no_wide_works(spark):
+    """The edge plan reads ids and citation counts of works only."""
+    import re
+    from __spark_entry__ import queries
+    df = queries()["u3_expand_edges"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "abstract" not in plan and "split(text" not in plan
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 27
