@@ -36,6 +36,7 @@ SHARE = 0.75                 # of a group that the MCD subset holds
 STEPS = 8                    # concentration steps
 LEAST_GROUP = 50             # smaller groups are pooled by language, then altogether
 TAIL = 1e-8                  # of a normal group that the cut-off rejects
+BROADCAST_GROUPS = 50_000    # of some 50 numbers each: about 20 MB
 BINS = 16                    # of squared distances in each doubling, to find the subset's bound
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals",
           "n_letters", "n_punctuation", "n_distinct")
@@ -194,6 +195,12 @@ def _moments() -> list[Column]:
 ESTIMATE = "_g string, n long, " + ", ".join(f"{c} double" for c in [*[f"m{i}" for i in range(P)], *MATRIX])
 
 
+def _small(table: DataFrame, groups: int) -> DataFrame:
+    """One row per group, broadcast up to BROADCAST_GROUPS of them; beyond
+    that, joined by group, and AQE splits a hot one."""
+    return F.broadcast(table) if groups <= BROADCAST_GROUPS else table
+
+
 def _invert(share: float):
     """From moments to the centre and inverse covariance; ``share`` is the part
     of a normal group that gave the moments, for the consistency factor."""
@@ -225,46 +232,48 @@ def estimates(rows: DataFrame) -> DataFrame:
     middle = [F.percentile(f"_x{i}", 0.5).alias(f"p{i}") for i in range(P)]
     # The values are rounded to 1 / UNIT: a median's buffer holds some ten thousand of them at most.
     centre = stored(rows.groupBy("_g").agg(F.count("*").alias("n"), *middle), "medians")
-    spread = rows.join(centre, "_g").groupBy("_g").agg(*[F.percentile(F.abs(F.col(f"_x{i}") - F.col(f"p{i}")), 0.5).alias(f"d{i}")
-                                                         for i in range(P)])
+    groups = centre.count()
+    spread = rows.join(_small(centre, groups), "_g").groupBy("_g").agg(
+        *[F.percentile(F.abs(F.col(f"_x{i}") - F.col(f"p{i}")), 0.5).alias(f"d{i}") for i in range(P)])
     start = centre.join(spread, "_g").select(
         "_g", "n", *[(F.col(f"p{i}") / UNIT).alias(f"m{i}") for i in range(P)],
         *[(1 / (F.pow(1.4826 * F.col(f"d{i}") / UNIT, 2) + FLOOR[i] ** 2) if i == j else F.lit(0.0)).alias(f"a{i}_{j}")
           for i in range(P) for j in range(i, P)])
     est = stored(start, "estimate")
+    sizes = centre.select("_g", F.col("n").alias("_size"))
     for _ in range(STEPS):
-        far = rows.join(est.withColumnRenamed("n", "_size"), "_g").withColumn(
+        far = rows.join(_small(est.drop("n"), groups), "_g").withColumn(
             "_bin", F.floor(BINS * F.log2(_distance() + 1e-6)).cast("int"))
-        bins = far.groupBy("_g", "_size", "_bin").agg(F.count("*").alias("k"))
+        bins = far.groupBy("_g", "_bin").agg(F.count("*").alias("k")).join(_small(sizes, groups), "_g")
         upto = F.sum("k").over(W.partitionBy("_g").orderBy("_bin"))
         bound = (bins.withColumn("upto", upto).where(F.col("upto") >= SHARE * F.col("_size"))
                  .groupBy("_g").agg(F.min("_bin").alias("_last")))
-        near = far.join(bound, "_g").where("_bin <= _last")
+        near = far.join(_small(bound, groups), "_g").where("_bin <= _last")
         est = stored(near.groupBy("_g").agg(*_moments()).mapInPandas(_invert(SHARE), ESTIMATE), "estimate")
-    near = rows.join(est.drop("n"), "_g").where(_distance() <= chi2_quantile(0.975, P))
+    near = rows.join(_small(est.drop("n"), groups), "_g").where(_distance() <= chi2_quantile(0.975, P))
     return stored(near.groupBy("_g").agg(*_moments()).mapInPandas(_invert(0.975), ESTIMATE), "estimate")
 
 
 def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, carry: Sequence[str]) -> DataFrame:
-    """The ``carry`` columns of every row with its counts, ``_failed``,
-    ``_distance`` and ``_kept``."""
+    """The ``carry`` columns of every row, as ``_carry0`` and so on, with its
+    counts, ``_failed``, ``_distance`` and ``_kept``."""
     language, both = _group(lang_col, source_col)
     narrow = stored(with_counts(docs.select(F.col(f"`{text_col}`").alias("_t"), language.alias("_lang"), both.alias("_both")),
                                 "_t", ["_lang", "_both"]).where(~base_failed())
                     .select("_lang", "_both", *_features()), "features")
     pool = stored(_pools(narrow), "pools")
-    est = estimates(stored(narrow.join(pool, ["_lang", "_both"]).drop("_lang", "_both"), "grouped"))
+    pairs = pool.count()
+    est = estimates(stored(narrow.join(_small(pool, pairs), ["_lang", "_both"]).drop("_lang", "_both"), "grouped"))
     table = pool.join(est.drop("n"), "_g", "left").drop("_g", "_lang").withColumnRenamed("_both", "_key")
     names = [f"_carry{i}" for i in range(len(carry))]
     wide = docs.select(F.col(f"`{text_col}`").alias("_t"), both.alias("_both"),
                        *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)])
     rows = with_counts(wide, "_t", [*names, "_both"])
     rows = rows.select(*names, "_both", *[f"_{c}" for c in COUNTS], *_features(), base_failed().alias("_failed"))
-    judged = rows.join(table, F.col("_both") == F.col("_key"), "left").withColumn(
-        "_distance", F.when(~F.col("_failed"), _distance()))
+    judged = rows.join(_small(table, pairs), F.col("_both") == F.col("_key"), "left").withColumn(
+        "_distance", F.when(~F.col("_failed") & F.col("m0").isNotNull(), _distance()))
     kept = ~F.col("_failed") & (F.coalesce(F.col("_distance"), F.lit(0.0)) <= CUT)
-    return judged.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)],
-                         *[f"_{c}" for c in COUNTS], "_failed", "_distance", kept.alias("_kept"))
+    return judged.select(*names, *[f"_{c}" for c in COUNTS], "_failed", "_distance", kept.alias("_kept"))
 
 
 def quality_verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -286,14 +295,14 @@ def quality_verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     not read. An empty table gives no rows.
     """
     rows = _judged(docs, text_col, lang_col, source_col, [id_col])
-    return rows.select(F.col(f"`{id_col}`"), *[F.col(f"_{c}").alias(c) for c in COUNTS[:5]], F.col("_failed").alias("base_failed"),
+    return rows.select(F.col("_carry0").alias(id_col), *[F.col(f"_{c}").alias(c) for c in COUNTS[:5]], F.col("_failed").alias("base_failed"),
                        F.col("_distance").alias("distance"), F.col("_kept").alias("kept"))
 
 
 def quality_filter(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, all columns, that ``quality_verdicts`` keeps."""
     return _judged(docs, text_col, lang_col, source_col, docs.columns).where("_kept").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+        *[F.col(f"_carry{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def _pools(rows: DataFrame) -> DataFrame:
