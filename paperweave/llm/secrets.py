@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperweave.llm.common import stored
+
 # The base patterns, and the least length that counts.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -85,6 +87,39 @@ def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
             .select("text_key", "p.*").distinct())
 
 
+def _found(docs: DataFrame, text_col: str) -> DataFrame:
+    """All columns of ``docs`` with ``_base`` and ``_weak`` spans, and the
+    SHA-256 ``_text_key`` of texts with weak ones."""
+    t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    none = F.expr(NONE)
+    found = docs.withColumns({"_t": t}).withColumns({
+        "_assign": assign_spans(F.col("_t")), "_access": found_spans(F.col("_t"), ACCESS, "access"),
+        "_hex": found_spans(F.col("_t"), HEX, "hex"), "_blob": found_spans(F.col("_t"), BLOB, "blob")})
+    secret = F.size("_assign") + F.size("_hex") + F.size("_blob") > 0
+    found = found.withColumns({
+        "_base": F.array_sort(F.concat("_assign", "_access", "_hex")),
+        "_ident": F.when(secret, found_spans(F.col("_t"), IDENT, "ident")).otherwise(none),
+        "_endpoint": F.when(secret, found_spans(F.col("_t"), ENDPOINT, "endpoint")).otherwise(none)})
+    found = found.withColumn("_weak", _apart(F.concat("_blob", "_ident", "_endpoint"), F.col("_base")))
+    found = found.withColumn("_text_key", F.when(F.size("_weak") > 0, F.sha2("_t", 256)))
+    return found.drop("_t", "_assign", "_access", "_hex", "_blob", "_ident", "_endpoint")
+
+
+def _with_links(found: DataFrame, scope: int) -> DataFrame:
+    """``_base`` and ``_spans`` beside the other columns of a stored ``_found``.
+    Only rows with weak candidates are joined with the links of their text."""
+    parts = (found.where(F.col("_text_key").isNotNull())
+             .select(F.col("_text_key").alias("text_key"), F.explode(F.concat("_base", "_weak")).alias("p"))
+             .select("text_key", "p.*").distinct())
+    extra = (linked_parts(parts, scope).where(F.col("kind") >= len(BASE))
+             .groupBy("text_key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("_extra")))
+    weak = (found.where(F.col("_text_key").isNotNull()).join(extra, F.col("_text_key") == F.col("text_key"), "left")
+            .withColumn("_spans", F.array_sort(F.concat("_base", F.coalesce(F.col("_extra"), F.expr(NONE)))))
+            .drop("text_key", "_extra"))
+    return found.where(F.col("_text_key").isNull()).withColumn("_spans", F.col("_base")).unionByName(weak).drop(
+        "_weak", "_text_key")
+
+
 def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                  scope: int = SCOPE) -> DataFrame:
     """One row per document (repeated rows included): ``id_col``, ``base`` (the
@@ -94,38 +129,41 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Weak candidates that overlap a certain span are dropped. The rest joins its
     complementary parts once per distinct text, keyed by the text's SHA-256,
-    so a text that a third of all rows repeat is linked once. Only spans are
-    shuffled, never texts. Documents without weak candidates get a key of
-    their own that matches nothing.
+    so a text that a third of all rows repeat is linked once. Spans are found
+    in one scan and stored; only those of texts with weak candidates are shuffled.
 
     Null or empty text: no spans. A null id stays null. Other columns are not
     read; an empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col), text.alias("_t")).select(
-        id_col, "_t", assign_spans(F.col("_t")).alias("_assign"), found_spans(F.col("_t"), ACCESS, "access").alias("_access"),
-        found_spans(F.col("_t"), HEX, "hex").alias("_hex"), found_spans(F.col("_t"), BLOB, "blob").alias("_blob"))
-    found = found.withColumn("_secret", F.size("_assign") + F.size("_hex") + F.size("_blob") > 0)
-    none = F.expr(NONE)
-    found = found.select(
-        id_col, "_t", F.array_sort(F.concat("_assign", "_access", "_hex")).alias("base"), "_blob",
-        F.when(F.col("_secret"), found_spans(F.col("_t"), IDENT, "ident")).otherwise(none).alias("_ident"),
-        F.when(F.col("_secret"), found_spans(F.col("_t"), ENDPOINT, "endpoint")).otherwise(none).alias("_endpoint"))
-    found = found.withColumn("_weak", _apart(F.concat("_blob", "_ident", "_endpoint"), F.col("base")))
-    found = found.select(id_col, "base", "_weak",
-                         F.when(F.size("_weak") > 0, F.sha2("_t", 256)).alias("text_key"))
-    parts = (found.where(F.col("text_key").isNotNull())
-             .select("text_key", F.explode(F.concat("base", "_weak")).alias("p"))
-             .select("text_key", "p.*").distinct())
-    weak = F.col("kind") >= len(BASE)
-    extra = (linked_parts(parts, scope).where(weak)
-             .groupBy(F.col("text_key").alias("_key"))
-             .agg(F.collect_list(F.struct("start", "kind", "end")).alias("_extra")))
-    alone = F.concat(F.lit(" "), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return (found.drop("_weak").withColumn("text_key", F.coalesce(F.col("text_key"), alone))
-            .join(extra, F.col("text_key") == F.col("_key"), "left")
-            .select(id_col, "base",
-                    F.array_sort(F.concat("base", F.coalesce(F.col("_extra"), F.expr(NONE)))).alias("spans")))
+    narrow = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    found = stored(_found(narrow, "_text").drop("_text"), "secrets")
+    return _with_links(found, scope).select(F.col("_id").alias(id_col), F.col("_base").alias("base"),
+                                            F.col("_spans").alias("spans"))
+
+
+def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
+    """The text with every run of overlapping spans replaced by the mask."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    between = lambda a, b: F.substring(text, a + 1, b - a)
+    add = lambda acc, s: F.when(s["end"] <= acc["at"], acc).when(s["start"] < acc["at"], F.struct(
+        s["end"].alias("at"), acc["out"].alias("out"))).otherwise(F.struct(
+            s["end"].alias("at"), F.concat(acc["out"], between(acc["at"], s["start"]), F.lit(mask)).alias("out")))
+    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, add, end)).otherwise(text)
+
+
+def mask_secrets(docs: DataFrame, *, text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+    """All rows and columns of ``docs``; in ``text_col`` all reported secrets and
+    identifiers are masked (endpoints stay). A null text stays null. Cases as
+    in ``secret_spans``; rows are stored once, only those with weak candidates
+    are shuffled."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+    wide = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    rows = _with_links(stored(_found(wide, text), "secrets"), scope)
+    hidden = F.filter("_spans", lambda s: s["kind"] != KINDS.index("endpoint"))
+    return rows.withColumn(text, masked(F.col(text), hidden)).select(
+        *[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def spans_text(spans: Column) -> Column:
