@@ -2,9 +2,8 @@
 
 The encoder is pluggable: ``make_encoder`` is a zero-argument factory that
 returns ``predict(texts: np.ndarray) -> np.ndarray`` (one float row per
-text). ``predict_batch_udf`` calls the factory once per Python worker (the
-model is loaded once, not per row) and feeds Arrow batches of
-``batch_size`` texts. Any model (a transformer's first-token vector, as the
+text). The factory is called once per Python worker (the model is loaded
+once, not per task or row) and gets ``batch_size`` texts at a time. Any model (a transformer's first-token vector, as the
 reference uses) fits behind the same factory; the built-in
 ``hashing_encoder`` is a deterministic stand-in with no model files.
 """
@@ -14,9 +13,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
-from pyspark.ml.functions import predict_batch_udf
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,11 +36,14 @@ def hashing_encoder(dim: int = 64) -> EncoderFactory:
     L2-normalised; an all-zero vector for a text without words."""
     def make():
         def predict(texts: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float32)
-            for i, text in enumerate(texts):
-                for word in _WORD.findall(str(text).lower()):
-                    h = zlib.crc32(word.encode("utf-8"))
-                    out[i, h % dim] += 1.0 if (h >> 31) & 1 else -1.0
+            words = [_WORD.findall(str(t).lower()) for t in texts]
+            # every distinct word is hashed once; a batch is then one weighted count
+            ids = {w: i for i, w in enumerate({w for ws in words for w in ws})}
+            h = np.fromiter((zlib.crc32(w.encode("utf-8")) for w in ids), np.int64, len(ids))
+            at = np.fromiter((ids[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
+            row = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+            out = np.bincount(row * dim + h[at] % dim, weights=np.where(h[at] >> 31 & 1, 1.0, -1.0),
+                              minlength=len(texts) * dim).reshape(len(texts), dim).astype(np.float32)
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             np.divide(out, norms, out=out, where=norms > 0)
             return out
@@ -47,12 +51,31 @@ def hashing_encoder(dim: int = 64) -> EncoderFactory:
     return make
 
 
+class _Loaded:
+    """A factory whose encoder the tasks of one Python worker share."""
+
+    def __init__(self, make_encoder: EncoderFactory):
+        self.pickled = cloudpickle.dumps(make_encoder)
+
+    @cached_property
+    def predict(self):
+        return cloudpickle.loads(self.pickled)()
+
+
 def embed(texts: DataFrame, make_encoder: EncoderFactory, batch_size: int = 64,
           text_col: str = "text", id_col: str = "paper_id") -> DataFrame:
     """V1: (paper_id, embedding) for every row of ``texts``."""
-    udf = predict_batch_udf(make_encoder, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
-    return texts.select(F.col(id_col).alias("paper_id"),
-                        udf(F.coalesce(F.col(text_col), F.lit(""))).alias("embedding"))
+    loaded = texts.sparkSession.sparkContext.broadcast(_Loaded(make_encoder))
+
+    def run(frames):
+        predict = loaded.value.predict
+        for f in frames:
+            for lo in range(0, len(f), batch_size):
+                part = f.iloc[lo:lo + batch_size]
+                yield pd.DataFrame({"paper_id": part["paper_id"], "embedding": list(np.asarray(predict(part["text"].to_numpy())))})
+
+    rows = texts.select(F.col(id_col).alias("paper_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInPandas(run, T.StructType([rows.schema["paper_id"], T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 
 
 def refresh_vectors(works: DataFrame, cache: DataFrame, make_encoder: EncoderFactory,

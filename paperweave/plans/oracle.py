@@ -243,6 +243,15 @@ _EXPLORE = {
 }
 
 
+_TITLE = "CASE WHEN doc_id % 17 = 0 THEN NULL ELSE split_part(text, chr(10), 1) END AS title"
+
+
+def _whole(body: str, *extra: dict[str, str]) -> str:
+    """Over works whose title is the document's whole text."""
+    views = {"works_v": _VIEWS["works_v"].replace(_TITLE, "text AS title")}
+    return _with(body, views, *extra)
+
+
 def _with(body: str, *extra: dict[str, str]) -> str:
     ctes = dict(_VIEWS)
     for e in extra:
@@ -251,6 +260,20 @@ def _with(body: str, *extra: dict[str, str]) -> str:
     return f"WITH {defs}\n{body}"
 
 
+# What the concept-filtered load leaves in both tables, with short ids.
+_LOADED = """
+  SELECT 'work' AS kind, split_part(id, '/', -1) AS a, title AS b FROM kept
+  UNION ALL SELECT 'citation' AS kind, split_part(id, '/', -1) AS a, split_part(t, '/', -1) AS b
+  FROM (SELECT id, unnest(referenced_works) AS t FROM kept WHERE referenced_works IS NOT NULL)"""
+_RAW["kept"] = """
+  SELECT * FROM raw_v WHERE list_has_any([split_part(c1, '/', -1), split_part(c2, '/', -1)], ['C1', 'C3'])"""
+
+# How many [a-z] words have each length modulo 8.
+_LENGTHS = """
+  SELECT paper_id, list_transform([0, 1, 2, 3, 4, 5, 6, 7],
+    lambda k: CAST(len(list_filter(ws, lambda w: length(w) % 8 = k)) AS DOUBLE)) AS embedding
+  FROM (SELECT paper_id, regexp_extract_all(text, '[a-z]+') AS ws FROM {0})"""
+
 ORACLE: dict[str, str] = {
     "u3_expand_edges": _with("SELECT seed_id, source, target, type FROM edges_x", _EXPAND),
     "u3_expand_nodes": _with(f"SELECT seed_id, {_PAPER} FROM nodes_x", _EXPAND),
@@ -260,29 +283,32 @@ ORACLE: dict[str, str] = {
     "v3_similar": _with(_similar("seeds_v", 20)),
     "p5_as_paper": _with(f"SELECT {_PAPER} FROM papers_v"),
     "x4_lookup": _with(f"SELECT {_PAPER} FROM papers_v WHERE id IN (SELECT seed_id FROM seeds_v)"),
-    "f2_tokenize": _with(f"""
+    "f2_tokenize": _whole(f"""
   SELECT id, CAST(pos AS INTEGER) AS pos, term FROM (
     SELECT id, unnest(toks) AS term, unnest(range(len(toks))) AS pos
-    FROM (SELECT id, {_TOK.format('title')} AS toks FROM works_v WHERE title IS NOT NULL))"""),
-    "a1_postings": _with("SELECT term, id, tf, doc_len, df FROM postings_i", _INDEX),
-    "a1_stats": _with("SELECT n_docs, round(avgdl, 6) AS avgdl FROM stats_i", _INDEX),
-    "j6_term_matches": _with(f"""
+    FROM (SELECT id, {_TOK.format("concat_ws(' ', title, replace(replace(title, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)), chr(8491) || 'ngström')")} AS toks
+          FROM works_v))"""),
+    "a1_postings": _whole("SELECT term, id, tf, doc_len, df FROM postings_i", _INDEX),
+    "a1_stats": _whole("SELECT n_docs, round(avgdl, 6) AS avgdl FROM stats_i", _INDEX),
+    "j6_term_matches": _whole(f"""
   SELECT qt.query_id, qt.term, p.id, p.tf
   FROM (SELECT DISTINCT query_id, term FROM (
           SELECT query_id, unnest({_TOK.format('q')}) AS term FROM title_q)) qt
   JOIN postings_i p ON p.term = qt.term""", _QUERIES, _INDEX),
-    "a2_bm25_scores": _with(_bm25_scores("title_q"), _QUERIES, _INDEX),
-    "l1_search": _with("SELECT * FROM hits_s", _QUERIES, _INDEX, _SEARCH),
+    "a2_bm25_scores": _whole(_bm25_scores("title_q"), _QUERIES, _INDEX),
+    "l1_search": _whole("SELECT * FROM hits_s", _QUERIES, _INDEX, _SEARCH),
     "x5_doi_like": _with("SELECT query_id, contains(q, '10.') AND contains(q, '/') AS doi_like FROM search_q",
                          _QUERIES),
     "l5_doi_first": _with("SELECT query_id, id, rank FROM doi_first", _QUERIES, _DOI),
-    "f7_trim": _with("SELECT query_id, regexp_replace(q, '^\\s+|\\s+$', '', 'g') AS q_trimmed FROM search_q",
-                     _QUERIES),
+    "f7_trim": _with("""
+  SELECT query_id, regexp_replace(chr(160) || ' ' || q || chr(12288),
+    '\\A[\\s\\pZ\\x{85}\\x{0b}\\x{1c}-\\x{1f}]+|[\\s\\pZ\\x{85}\\x{0b}\\x{1c}-\\x{1f}]+\\z', '', 'g') AS q_trimmed
+  FROM search_q""", _QUERIES),
     "x8_valid_queries": _with("SELECT query_id, q IS NOT NULL AND length(q) >= 3 AS accepted FROM word_q",
                               _QUERIES),
-    "x7_substring_hits": _with(_SUBSTR_HITS, _QUERIES),
-    "l4_substring_top": _with(_top(_SUBSTR_HITS, "id", 20, "query_id, id"), _QUERIES),
-    "f8_ilike_top": _with(_top(_ILIKE_HITS, "id", 20, "query_id, id"), _QUERIES),
+    "x7_substring_hits": _whole(_SUBSTR_HITS, _QUERIES),
+    "l4_substring_top": _whole(_top(_SUBSTR_HITS, "id", 20, "query_id, id"), _QUERIES),
+    "f8_ilike_top": _whole(_top(_ILIKE_HITS, "id", 20, "query_id, id"), _QUERIES),
     "x6_doi_matches": _with("SELECT query_id, id FROM doi_hits", _QUERIES, _DOI),
     "x6_doi_ilike": _with("SELECT query_id, id FROM doi_ilike", _QUERIES, _DOI_ILIKE),
     "p1_flatten_works": _with("""
@@ -316,13 +342,56 @@ ORACLE: dict[str, str] = {
     "p7_embedding_text": _with("""
   SELECT w.id AS paper_id, coalesce(w.title, '') || ' ' || coalesce(t.abstract, '') AS text
   FROM works_v w JOIN text_a t ON t.doc_id = w.doc_id""", _ABSTRACT),
+    "p7_embedding_text_raw": _with("""
+  SELECT w.id AS paper_id, coalesce(w.title, '') || ' ' || coalesce(a.aii, '') AS text
+  FROM works_v w LEFT JOIN aii_a a ON a.doc_id = w.doc_id""", _ABSTRACT),
     "a3_ingest_metrics": _with("""
   SELECT file, records, kept, CAST(row_number() OVER (ORDER BY file) AS INTEGER) AS files_done,
     CAST(sum(kept) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total_kept
   FROM (
-    SELECT 'part-' || coalesce(venue, '') AS file, count(*) AS records,
+    SELECT 'part-' || id AS file, count(*) AS records,
       count(*) FILTER (WHERE list_has_any([split_part(c1, '/', -1), split_part(c2, '/', -1)], ['C1', 'C3'])) AS kept
     FROM raw_v GROUP BY 1)""", _RAW),
+    "x2_filter_concepts_table": _with("""
+  SELECT id FROM raw_v WHERE split_part(c1, '/', -1) IN (SELECT 'C' || (doc_id * 2 + 1) FROM documents)
+    OR split_part(c2, '/', -1) IN (SELECT 'C' || (doc_id * 2 + 1) FROM documents)""", _RAW),
+    "x7_short_patterns": _with("""
+  SELECT q.query_id, w.id FROM works_v w JOIN (
+      SELECT item_id * 2 AS query_id, substr(text, 1, 1) AS q FROM benchmark
+      UNION ALL SELECT item_id * 2 + 1, substr(text, 1, 2) FROM benchmark) q
+    ON w.title IS NOT NULL AND contains(lower(w.title), lower(q.q))"""),
+    "c1_partitioned_scan": _with("""
+  SELECT id, title, publication_year, '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS updated_date FROM raw_v""", _RAW),
+    "c2_file_selection": _with("SELECT id FROM raw_v", _RAW),
+    "c3_lenient_scan": _with("SELECT id, type FROM raw_v", _RAW),
+    "c4_corrupt_files": _with("SELECT DISTINCT id FROM raw_v", _RAW),
+    "c5_strict_scan": _with("""
+  SELECT 'https://works.example/' || id AS id, cited_by_count FROM works_v"""),
+    "f4_abstract_text": _with("""
+  SELECT 'https://works.example/' || w.id AS id, a.aii AS abstract_inverted_index
+  FROM works_v w LEFT JOIN aii_a a ON a.doc_id = w.doc_id""", _ABSTRACT),
+    "j8_resolve_concepts": _with(f"""
+  SELECT term_pos, term, concept_id FROM (
+    SELECT term_pos, term, split_part(id, '/', -1) AS concept_id, row_number() OVER (PARTITION BY term_pos
+      ORDER BY shared DESC, exact DESC, length(display_name), id) AS rank
+    FROM (SELECT t.term_pos, t.term, c.id, c.display_name, count(*) AS shared,
+            CAST(lower(trim(t.term)) = lower(trim(c.display_name)) AS INTEGER) AS exact
+          FROM (SELECT item_id AS term_pos, text AS term, unnest(list_distinct({_TOK.format('text')})) AS tok FROM benchmark) t
+          JOIN (SELECT 'https://works.example/C' || doc_id AS id, split_part(text, chr(10), 1) AS display_name,
+                  unnest(list_distinct({_TOK.format("split_part(text, chr(10), 1)")})) AS tok FROM documents) c ON c.tok = t.tok
+          GROUP BY t.term_pos, t.term, c.id, c.display_name))
+  WHERE rank = 1"""),
+    "k1_create_tables": _with("""
+  SELECT w.id, w.title, w.venue, c.n_refs FROM works_v w
+  LEFT JOIN (SELECT source_id, count(*) AS n_refs FROM citations_v GROUP BY 1) c ON c.source_id = w.id"""),
+    "k5_insert_strict": _with("SELECT id, type FROM works_v WHERE type <> 'article'"),
+    "k6_overwrite": _with("SELECT id, title, cited_by_count + 1 AS cited_by_count FROM works_v"),
+    "n1_load_filtered": _with(_LOADED, _RAW),
+    "n2_load_generic": _with("""
+  SELECT 'work' AS kind, id AS a, title AS b FROM raw_v
+  WHERE title IS NOT NULL AND type IN ('article', 'preprint', 'proceedings-article')
+  UNION ALL SELECT 'citation' AS kind, id AS a, unnest(referenced_works) AS b FROM raw_v WHERE referenced_works IS NOT NULL""", _RAW),
+    "n3_stream_filtered": _with(_LOADED, _RAW),
     "k2_insert_ignore": _with("SELECT id, title, publication_year FROM works_v WHERE type <> 'article'"),
     "k4_upsert_vectors": _with("""
   SELECT paper_id, CAST(len(e) AS INTEGER) AS dim, round(CAST(e[1] AS DOUBLE), 6) AS first FROM (
@@ -353,11 +422,12 @@ ORACLE: dict[str, str] = {
   LEFT JOIN (SELECT seed_id, list({{'source': source, 'target': target, 'type': type}}
                                   ORDER BY source, target, type NULLS FIRST) AS edges
              FROM edges_x GROUP BY seed_id) e ON e.seed_id = n.seed_id""", _EXPAND),
-    "v1_embed": _with("SELECT id AS paper_id, 64 AS dim FROM works_v"),
+    "v1_embed": _with(_LENGTHS.format("(SELECT 'W' || doc_id AS paper_id, text FROM documents)")),
     "v2_refresh_vectors": _with("""
-  SELECT paper_id, CAST(len(embedding) AS INTEGER) AS dim FROM vectors_v
-  UNION ALL
-  SELECT id AS paper_id, 64 AS dim FROM works_v WHERE id NOT IN (SELECT paper_id FROM vectors_v)"""),
+  SELECT paper_id, list_transform(embedding::DOUBLE[], lambda x: round(x, 4)) AS embedding FROM vectors_v
+  UNION ALL """ + _LENGTHS.format("""(
+    SELECT w.id AS paper_id, coalesce(w.title, '') || ' ' || coalesce(a.aii, '') AS text
+    FROM works_v w LEFT JOIN aii_a a ON a.doc_id = w.doc_id WHERE w.id NOT IN (SELECT paper_id FROM vectors_v))"""), _ABSTRACT),
 }
 
 

@@ -7,6 +7,7 @@ names equal those of the matching SQL in ``paperweave.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from paperweave.operators import joins
 from paperweave.operators.project import as_paper
 from paperweave.operators.similarity import similar
 from paperweave.plans.expand import expand
+from paperweave.session import scratch_path
 from paperweave.sources import driver_tables as dt
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,14 +93,17 @@ def x4_lookup(spark, sf):
 
 def _index(spark, sf):
     from paperweave.operators.search import build_title_index
-    return build_title_index(dt.works(spark, sf))
+    return build_title_index(dt.search_works(spark, sf))
 
 
 @register("f2_tokenize")
 def f2_tokenize(spark, sf):
     from paperweave.functions.text import tokens
-    w = dt.works(spark, sf).where(F.col("title").isNotNull())
-    return w.select("id", F.posexplode(tokens(F.col("title"))).alias("pos", "term"))
+    """Whole texts, once more with combining marks, and a letter-like sign."""
+    t = F.col("title")
+    marks = F.regexp_replace(F.regexp_replace(t, "\u00e9", "e\u0301"), "\u00fc", "u\u0308")
+    text = F.concat_ws(" ", t, marks, F.lit("\u212bngstr\u00f6m"))
+    return dt.search_works(spark, sf).select("id", F.posexplode(tokens(text)).alias("pos", "term"))
 
 
 @register("a1_postings")
@@ -127,7 +132,7 @@ def a2_bm25_scores(spark, sf):
 @register("l1_search")
 def l1_search(spark, sf):
     from paperweave.plans.search import search
-    return search(dt.works(spark, sf), dt.search_queries(spark, sf)).hits
+    return search(dt.search_works(spark, sf), dt.search_queries(spark, sf)).hits
 
 
 @register("x5_doi_like")
@@ -145,7 +150,9 @@ def l5_doi_first(spark, sf):
 @register("f7_trim")
 def f7_trim(spark, sf):
     from paperweave.functions.text import py_strip
-    return dt.search_queries(spark, sf).select("query_id", py_strip(F.col("q")).alias("q_trimmed"))
+    """Queries inside a no-break and an ideographic space."""
+    q = F.concat(F.lit("\u00a0 "), F.col("q"), F.lit("\u3000"))
+    return dt.search_queries(spark, sf).select("query_id", py_strip(q).alias("q_trimmed"))
 
 
 @register("x8_valid_queries")
@@ -157,19 +164,19 @@ def x8_valid_queries(spark, sf):
 @register("x7_substring_hits")
 def x7_substring_hits(spark, sf):
     from paperweave.operators.search import substring_hits
-    return substring_hits(dt.works(spark, sf), dt.substring_queries(spark, sf))
+    return substring_hits(dt.search_works(spark, sf), dt.substring_queries(spark, sf))
 
 
 @register("l4_substring_top")
 def l4_substring_top(spark, sf):
     from paperweave.operators.search import substring_top
-    return substring_top(dt.works(spark, sf), dt.substring_queries(spark, sf))
+    return substring_top(dt.search_works(spark, sf), dt.substring_queries(spark, sf))
 
 
 @register("f8_ilike_top")
 def f8_ilike_top(spark, sf):
     from paperweave.operators.search import substring_top
-    return substring_top(dt.works(spark, sf), dt.substring_queries(spark, sf), wildcards=True)
+    return substring_top(dt.search_works(spark, sf), dt.substring_queries(spark, sf), wildcards=True)
 
 
 # ---------------------------------------------------------------- ingest rows
@@ -253,19 +260,178 @@ def p7_embedding_text(spark, sf):
     return embedding_text(dt.works(spark, sf), abstract="plain")
 
 
+@register("p7_embedding_text_raw")
+def p7_embedding_text_raw(spark, sf):
+    from paperweave.operators.project import embedding_text
+    return embedding_text(dt.works(spark, sf), abstract="raw")
+
+
 @register("a3_ingest_metrics")
 def a3_ingest_metrics(spark, sf):
-    """A3 over the derived snapshot records, one input file per venue (the
-    document source): records read, works kept by the concept filter (X2),
-    files done and the running total of kept works in file order."""
+    """A3 over the derived snapshot records, one input file per work: records
+    read, works kept by the concept filter (X2), files done and the running
+    total of kept works in file order."""
     from paperweave.operators.filters import filter_concepts
     from paperweave.plans.load import ingest_metrics
     from paperweave.sources.snapshot import FILE_COL
-    raw = dt.raw_works(spark, sf).withColumn(
-        FILE_COL, F.concat(F.lit("part-"), F.coalesce(F.col("primary_location.source.display_name"), F.lit(""))))
+    raw = dt.raw_works(spark, sf).withColumn(FILE_COL, F.concat(F.lit("part-"), F.col("id")))
     return ingest_metrics(raw, filter_concepts(raw, ["C1", "C3"]))
 
 
+@register("x2_filter_concepts_table")
+def x2_filter_concepts_table(spark, sf):
+    """A concept table larger than the array bound: two ids per document."""
+    from paperweave.operators.filters import filter_concepts
+    wanted = dt._table(spark, sf, "documents").select(F.explode(F.array(
+        F.concat(F.lit("C"), F.col("doc_id") * 2 + 1), F.concat(F.lit("D"), F.col("doc_id")))).alias("concept_id"))
+    return filter_concepts(dt.raw_works(spark, sf), wanted).select("id")
+
+
+@register("x7_short_patterns")
+def x7_short_patterns(spark, sf):
+    """The first character and the first two of every benchmark passage."""
+    from paperweave.operators.search import substring_hits
+    b = dt._table(spark, sf, "benchmark")
+    q = b.select(F.explode(F.array(F.struct((F.col("item_id") * 2).alias("query_id"), F.substring("text", 1, 1).alias("q")),
+                                   F.struct((F.col("item_id") * 2 + 1).alias("query_id"), F.substring("text", 1, 2).alias("q")))).alias("s"))
+    return substring_hits(dt.works(spark, sf), q.select("s.*"))
+
+
+# ---------------------------------------------------------------- snapshot files
+
+def _scratch(spark, name: str) -> str:
+    return scratch_path(spark, f"queries/{name}-{uuid.uuid4().hex}")
+
+
+@register("c1_partitioned_scan")
+def c1_partitioned_scan(spark, sf):
+    from paperweave.sources.snapshot import read_works
+    path = dt.write_snapshot(dt.snapshot_lines(spark, sf), _scratch(spark, "c1"))
+    return read_works(spark, path).select("id", "title", "publication_year", F.col("updated_date").cast("string").alias("updated_date"))
+
+
+@register("c2_file_selection")
+def c2_file_selection(spark, sf):
+    """Plain text files of other records lie among the gzip files, a level deeper too."""
+    from paperweave.sources.snapshot import read_works
+    lines = dt.snapshot_lines(spark, sf)
+    path = dt.write_snapshot(lines, _scratch(spark, "c2") + "/works")
+    dt.write_snapshot(lines.withColumn("value", F.regexp_replace("value", "/W", "/not-selected-W")), path, compression="none")
+    return read_works(spark, path.rsplit("/", 1)[0], glob="*.gz", recursive=True).select("id")
+
+
+@register("c3_lenient_scan")
+def c3_lenient_scan(spark, sf):
+    """Beside every record a cut line, one that is no object and one without an id."""
+    from paperweave.sources.snapshot import read_works
+    bad = F.array("value", F.expr("substr(value, 1, length(value) div 2)"), F.lit("[]"),
+                  F.regexp_replace("value", '"id":"[^"]*/W[0-9]+",', ""))
+    lines = dt.snapshot_lines(spark, sf)
+    path = dt.write_snapshot(lines.select(F.explode(bad).alias("value"), "updated_date"), _scratch(spark, "c3"))
+    return read_works(spark, path).select("id", "type")
+
+
+@register("c4_corrupt_files")
+def c4_corrupt_files(spark, sf):
+    """Whole files, and a copy of each that breaks off in the middle."""
+    from paperweave.session import hadoop_path
+    from paperweave.sources.snapshot import read_works
+    path = dt.write_snapshot(dt.snapshot_lines(spark, sf), _scratch(spark, "c4"))
+    fs, root = hadoop_path(spark, path)
+    files = fs.listFiles(root, True)
+    whole = []
+    while files.hasNext():
+        status = files.next()
+        if status.getPath().getName().endswith(".gz"):
+            whole.append((status.getPath().toString(), status.getLen()))
+    for name, size in whole:
+        source, target = hadoop_path(spark, name)[1], hadoop_path(spark, name.replace(".txt.gz", ".cut.txt.gz"))[1]
+        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(source), fs.create(target), size // 2, True)
+    return read_works(spark, path, ignore_corrupt_files=True).select("id").distinct()
+
+
+@register("c5_strict_scan")
+def c5_strict_scan(spark, sf):
+    from paperweave.sources.snapshot import STRICT, read_works
+    path = dt.write_snapshot(dt.snapshot_lines(spark, sf), _scratch(spark, "c5"))
+    return read_works(spark, path, STRICT).select("id", "cited_by_count")
+
+
+@register("f4_abstract_text")
+def f4_abstract_text(spark, sf):
+    from paperweave.sources.snapshot import read_works
+    path = dt.write_snapshot(dt.snapshot_lines(spark, sf), _scratch(spark, "f4"))
+    return read_works(spark, path).select("id", "abstract_inverted_index")
+
+
+@register("j8_resolve_concepts")
+def j8_resolve_concepts(spark, sf):
+    """Topic names are whole benchmark passages, concepts the documents' first lines."""
+    terms = dt._table(spark, sf, "benchmark").select(F.col("item_id").alias("term_pos"), F.col("text").alias("term"))
+    return joins.resolve_concepts(terms, dt.concept_names(spark, sf))
+
+
+@register("k1_create_tables")
+def k1_create_tables(spark, sf):
+    """Created, filled, and created again: nothing is lost."""
+    from paperweave.operators.tables import append, create_tables, read_table, table_path
+    root = _scratch(spark, "k1")
+    create_tables(spark, root)
+    append(dt.works_table(spark, sf), table_path(root, "works"))
+    append(dt.citations(spark, sf), table_path(root, "citations"))
+    create_tables(spark, root)
+    return read_table(spark, root, "works").select("id", "title", "venue").join(
+        read_table(spark, root, "citations").groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("n_refs")), "id", "left")
+
+
+@register("k5_insert_strict")
+def k5_insert_strict(spark, sf):
+    from paperweave.operators.tables import insert_strict
+    w = dt.works(spark, sf)
+    return insert_strict(w.where("type = 'article'"), w.where("type <> 'article'")).select("id", "type")
+
+
+@register("k6_overwrite")
+def k6_overwrite(spark, sf):
+    """Written, then rebuilt from its own content."""
+    from paperweave.operators.tables import overwrite
+    path = _scratch(spark, "k6") + "/works"
+    overwrite(dt.works_table(spark, sf), path)
+    overwrite(spark.read.parquet(path).withColumn("cited_by_count", F.col("cited_by_count") + 1), path)
+    return spark.read.parquet(path).select("id", "title", "cited_by_count")
+
+
+def _loaded(works: DataFrame, citations: DataFrame) -> DataFrame:
+    return works.select(F.lit("work").alias("kind"), F.col("id").alias("a"), F.col("title").alias("b")).unionByName(
+        citations.select(F.lit("citation").alias("kind"), F.col("source_id").alias("a"), F.col("target_id").alias("b")))
+
+
+@register("n1_load_filtered")
+def n1_load_filtered(spark, sf):
+    from paperweave.plans.load import load_filtered
+    path = dt.write_snapshot(dt.snapshot_lines(spark, sf), _scratch(spark, "n1"))
+    out = load_filtered(spark, path, ["C1", "C3"], _scratch(spark, "n1-tables"))
+    return _loaded(out.works, out.citations)
+
+
+@register("n2_load_generic")
+def n2_load_generic(spark, sf):
+    from paperweave.plans.load import load_generic
+    path = dt.write_snapshot(dt.snapshot_lines(spark, sf), _scratch(spark, "n2"))
+    out = load_generic(spark, path, _scratch(spark, "n2-tables"))
+    return _loaded(out.works, out.citations)
+
+
+@register("n3_stream_filtered")
+def n3_stream_filtered(spark, sf):
+    from paperweave.operators.tables import read_table
+    from paperweave.streaming.incremental import stream_filtered
+    path, root = dt.write_snapshot(dt.snapshot_lines(spark, sf), _scratch(spark, "n3")), _scratch(spark, "n3-tables")
+    wanted = spark.createDataFrame([("C1",), ("C3",)], "concept_id string")
+    stream_filtered(spark, path, wanted, root, _scratch(spark, "n3-stream"), max_files_per_trigger=10).awaitTermination()
+    return _loaded(read_table(spark, root, "works"), read_table(spark, root, "citations"))
+
+
 # ---------------------------------------------------------------- tables
 
 @register("k2_insert_ignore")
@@ -376,16 +542,33 @@ def u6_response(spark, sf):
 
 # ---------------------------------------------------------------- embeddings
 
+def _length_encoder():
+    """An encoder whose values SQL can state: how many [a-z] words have each
+    length modulo 8."""
+    import re
+
+    import numpy as np
+
+    def predict(texts):
+        return np.stack([np.bincount([len(w) % 8 for w in re.findall("[a-z]+", str(t))], minlength=8)
+                         for t in texts]).astype(np.float32)
+
+    return predict
+
+
+def _rounded_vector(c):
+    return F.transform(c, lambda x: F.round(x.cast("double"), 4))
+
+
 @register("v1_embed")
 def v1_embed(spark, sf):
-    from paperweave.operators.embed import embed, hashing_encoder
-    from paperweave.operators.project import embedding_text
-    e = embed(embedding_text(dt.works(spark, sf), "raw"), hashing_encoder(64))
-    return e.select("paper_id", F.size("embedding").alias("dim"))
+    from paperweave.operators.embed import embed
+    docs = dt._table(spark, sf, "documents").select(F.concat(F.lit("W"), F.col("doc_id")).alias("paper_id"), "text")
+    return embed(docs, _length_encoder).select("paper_id", _rounded_vector(F.col("embedding")).alias("embedding"))
 
 
 @register("v2_refresh_vectors")
 def v2_refresh_vectors(spark, sf):
-    from paperweave.operators.embed import hashing_encoder, refresh_vectors
+    from paperweave.operators.embed import refresh_vectors
     w, _, v, _ = _tables(spark, sf)
-    return refresh_vectors(w, v, hashing_encoder(64)).select("paper_id", F.size("embedding").alias("dim"))
+    return refresh_vectors(w, v, _length_encoder).select("paper_id", _rounded_vector(F.col("embedding")).alias("embedding"))

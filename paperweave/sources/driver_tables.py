@@ -37,14 +37,16 @@ def _body(text: Column) -> Column:
     return F.when(nl > 0, text.substr(nl + 1, F.length(text))).otherwise(F.lit(""))
 
 
-def works(spark: SparkSession, sf_dir: str) -> DataFrame:
+def works(spark: SparkSession, sf_dir: str, whole_text: bool = False) -> DataFrame:
+    """The title is the first line, missing for some works; with
+    ``whole_text``, the whole text of the document."""
     d = _table(spark, sf_dir, "documents")
     k = F.col("doc_id")
     wtype = F.element_at(F.array(*[F.lit(t) for t in WORK_TYPES]), (k % 5 + 1).cast("int"))
     return d.select(
         F.concat(F.lit("W"), k).alias("id"),
         F.concat(F.lit(DOI_PREFIX), F.lit(1000) + k % 9000, F.lit("/d_"), k).alias("doi"),
-        F.when(k % 17 != 0, _first_line(F.col("text"))).alias("title"),
+        (F.col("text") if whole_text else F.when(k % 17 != 0, _first_line(F.col("text")))).alias("title"),
         wtype.alias("type"),
         (F.lit(1990) + k % 35).cast("int").alias("publication_year"),
         ((k * 37) % 500).cast("int").alias("cited_by_count"),
@@ -54,6 +56,11 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def search_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``works`` whose searched field is the whole text of the document."""
+    return works(spark, sf_dir, whole_text=True)
+
+
 def works_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 8 columns of the ``works`` table (without ``type``)."""
     return works(spark, sf_dir).drop("type")
@@ -145,3 +152,27 @@ def word_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _table(spark, sf_dir, "benchmark")
     return b.select("item_id", F.posexplode(F.split(F.col("text"), " ")).alias("pos", "q")).select(
         (F.col("item_id") * 100_000 + F.col("pos")).alias("query_id"), "q")
+
+
+def snapshot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw records as JSON lines, the abstract as a JSON object in them,
+    with the day (28 of them) that names their folder."""
+    r = raw_works(spark, sf_dir)
+    head = F.to_json(F.struct(*[c for c in r.columns if c != "abstract_inverted_index"]))
+    k = F.expr(f"cast(substr(id, {len(RAW_ID_PREFIX) + 2}) as bigint)")
+    return r.select(
+        F.concat(F.regexp_replace(head, r"\}\z", ""),
+                 F.lit(',"abstract_inverted_index":'), F.coalesce("abstract_inverted_index", F.lit("null")), F.lit("}")).alias("value"),
+        F.format_string("2024-01-%02d", (k % 28 + 1).cast("int")).alias("updated_date"))
+
+
+def write_snapshot(lines: DataFrame, path: str, compression: str = "gzip") -> str:
+    """Text files below ``path``, one folder per day."""
+    lines.repartition(4, "updated_date").write.mode("append").partitionBy("updated_date").option("compression", compression).text(path)
+    return path
+
+
+def concept_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One named concept per document: its first line."""
+    return _table(spark, sf_dir, "documents").select(
+        F.concat(F.lit(RAW_ID_PREFIX + "C"), F.col("doc_id")).alias("id"), _first_line(F.col("text")).alias("display_name"))
