@@ -30,6 +30,7 @@ BASE = KINDS[:3]
 ROLE = {"assign": "secret", "hex": "secret", "blob": "secret", "access": "ident", "ident": "ident",
         "endpoint": "endpoint"}
 SCOPE = 400                  # code points between two parts of one credential, at most
+CHUNK = 256                  # matches whose places are added up at once
 SPAN = "struct<start: int, kind: int, end: int>"
 NONE = f"cast(array() AS array<{SPAN}>)"
 
@@ -37,17 +38,31 @@ NONE = f"cast(array() AS array<{SPAN}>)"
 def found_spans(text: Column, pattern: str, kind: str) -> Column:
     """Leftmost non-overlapping matches as spans in code points: the lengths
     of the pieces between the matches and of the matches, added up. Only texts
-    that match are split."""
+    that match are split. Sums run in chunks, so that the arrays they append to
+    stay short however many matches a text has."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
                          F.transform(hits, F.length).alias("len"))
-    add = lambda acc, p: F.when(p["len"].isNull(), acc).otherwise(F.struct(
-        (acc["at"] + p["gap"] + p["len"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"),
-                                              F.lit(KINDS.index(kind)).alias("kind"),
-                                              (acc["at"] + p["gap"] + p["len"]).alias("end")))).alias("out")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, add, lambda acc: acc["out"])).otherwise(F.expr(NONE))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK)),
+                         lambda i: F.slice(pairs, (i * CHUNK + 1).cast("int"), F.lit(CHUNK)))
+
+    def add(acc, p):
+        start = acc["at"] + p["gap"]
+        return F.when(p["len"].isNull(), acc).otherwise(F.struct(
+            (start + p["len"]).alias("at"),
+            F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"),
+                                                  (start + p["len"]).alias("end")))).alias("out")))
+
+    def join(acc, c):
+        moved = F.transform(c["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["kind"].alias("kind"),
+                                                         (s["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    one = F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("out"))
+    all_chunks = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() AS array<array<{SPAN}>>)").alias("out"))
+    summed = F.transform(chunks, lambda c: F.aggregate(c, one, add))
+    return F.when(text.rlike(pattern), F.flatten(F.aggregate(summed, all_chunks, join, lambda acc: acc["out"]))
+                  ).otherwise(F.expr(NONE))
 
 
 def assign_spans(text: Column) -> Column:

@@ -13,6 +13,7 @@ piece at each prefix, so its result is that of the merges.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import cached_property
 
@@ -28,6 +29,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6      # fixed values of the model format's piece types
 UNK_PENALTY = 10.0                   # fixed value: below the lowest score, for an unknown character
+LONG = 1 << 16                       # characters of a word whose forward pass is kept in plain arrays
 CACHED_WORDS = 1 << 19               # of a worker, beside those of the slice at hand
 
 
@@ -90,6 +92,11 @@ class Pieces:
         # By prefix length: forward score, start and id of the last piece on the best path (-1: unknown character).
         total, start, piece, before = [0.0], [0], [-1], ""
         for word in words:
+            if len(word) > LONG:
+                path = array("d", total[:1]), array("i", start[:1]), array("i", piece[:1])
+                extend(word, 0, *path)
+                yield self._backtrack(word, path[1], path[2])
+                continue
             n = 0
             for a, b in zip(word, before):
                 if a != b:
@@ -97,17 +104,20 @@ class Pieces:
                 n += 1
             del total[n + 1:], start[n + 1:], piece[n + 1:]
             extend(word, n, total, start, piece)
-            out, end = [], len(word)
-            while end:
-                i = piece[end]
-                if i >= 0:
-                    out.append(i)
-                else:
-                    out.extend(self.bytes[b] for b in reversed(word[end - 1].encode("utf-8")))
-                end = start[end]
-            out.reverse()
             before = word
-            yield out
+            yield self._backtrack(word, start, piece)
+
+    def _backtrack(self, word, start, piece) -> list[int]:
+        out, end = [], len(word)
+        while end:
+            i = piece[end]
+            if i >= 0:
+                out.append(i)
+            else:
+                out.extend(self.bytes[b] for b in reversed(word[end - 1].encode("utf-8")))
+            end = start[end]
+        out.reverse()
+        return out
 
     def _extend_unigram(self, word, n, total, start, piece) -> None:
         """Forward scores of the prefixes longer than n: the best sums."""

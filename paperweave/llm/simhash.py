@@ -174,6 +174,11 @@ def _rooted(rows: DataFrame, radius: int) -> DataFrame:
                   .select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
 
 
+def _key(c: Column) -> Column:
+    """The id as text, and a text that no id has for a null one."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+
+
 def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                   radius: int = 3) -> DataFrame:
     """One row of ``docs``, all columns, of each group of near duplicates: the
@@ -188,7 +193,7 @@ def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # Also its smallest fingerprint: rows with the same id may be in different groups.
     keep = (rows.join(_rooted(rows, radius).select("fp", "root"), "fp").groupBy("root")
             .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp")).alias("k"))
-            .select(F.col("k.id").alias("_id"), F.col("k.fp").alias("_fp")))
+            .select(_key(F.col("k.id")).alias("_key"), F.col("k.fp").alias("_own")))
     names = [f"_c{i}" for i in range(len(docs.columns))]
     wide = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
     id_name, text_name = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
@@ -199,6 +204,6 @@ def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 fp = np.array([fingerprint(t, shingle) for t in texts(part, text_name)], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp)], names=[*names, "_own"])
 
-    printed = wide.mapInArrow(run, wide.select("*").schema.add("_own", T.LongType())).dropDuplicates([id_name, "_own"])
-    return printed.join(keep, F.col(id_name).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp")), "left_semi").select(
+    printed = wide.mapInArrow(run, wide.select("*").schema.add("_own", T.LongType())).withColumn("_key", _key(F.col(id_name)))
+    return printed.dropDuplicates(["_key", "_own"]).join(keep, ["_key", "_own"], "left_semi").select(
         *[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -25,7 +25,7 @@ GRAM = 32
 SHARD = 1 << 20              # bytes of contexts that one suffix array covers, and one gram's more
 HOT = 4096                   # occurrences of a gram from which on its windows are dealt out one by one
 GROUP_BYTES = 4 << 20        # of texts that a task holds at once, apart from a longer single text
-PLACE = 28                   # bits of a place in a run of texts
+PLACE = 31                   # bits of a place in a run of texts
 FLAGS = "home int, gram long, content long, flag binary"
 CUT = "sha binary, n_removed long, n_spans long, kept_sha256 string"
 KINDS = {"home": pa.int32(), "gram": pa.int64(), "content": pa.int64(), "flag": pa.binary(), "n": pa.int64(),

@@ -34,7 +34,7 @@ def test_encoding_equals_the_library(docs, rows, library):
 def test_random_strings(library):
     rnd = random.Random(1)
     texts = ["".join(rnd.choices("abcdeinrstoué ▁\n\t 中梦😀AKI01'.,-=x", k=rnd.randrange(60))) for _ in range(1500)]
-    texts += ["", " ", "  a", "a ", "a" * 3000, " " * 3000, "ab" * 2000]
+    texts += ["x" * 70_000 + " y", "ab" * 40_000, "", " ", "  a", "a ", "a" * 3000, " " * 3000, "ab" * 2000]
     encoder = Encoder(Pieces(open(MODEL, "rb").read()))
     ids, at = encoder(texts)
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == library.encode(texts)
