@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperweave.functions.stem import stems
 from paperweave.functions.text import is_doi_like, like_pattern, py_strip, tokens
 from paperweave.functions.vectors import rounded
 from paperweave.operators.topn import (
@@ -46,6 +47,7 @@ class TitleIndex:
     terms: DataFrame      # term, df (the term dictionary)
     stats: DataFrame      # one row: n_docs, avgdl
     stopwords: tuple = ()  # removed from titles and, by the query side, from queries
+    stem: bool = False     # terms are stems, of titles and queries
 
     def n_docs(self) -> Column:
         return self.stats.select("n_docs").scalar()
@@ -65,11 +67,20 @@ def _drop_stopwords(toks: Column, stopwords) -> Column:
     return F.filter(toks, lambda t: ~t.isin(list(stopwords)))
 
 
-def build_title_index(works: DataFrame, stopwords=(), partitions: int | None = None) -> TitleIndex:
+def _stemmed(rows: DataFrame) -> DataFrame:
+    """``term`` replaced by its stem; the distinct terms are stemmed, and a
+    dictionary of checked small size is broadcast to the rows."""
+    table = stems(rows)
+    return rows.join(checked_broadcast(table), "term").drop("term").withColumnRenamed("stem", "term")
+
+
+def build_title_index(works: DataFrame, stopwords=(), partitions: int | None = None, stem: bool = False) -> TitleIndex:
     """A1: postings (term frequency and document length per work and term),
     the term dictionary (document frequency per term) and the collection
     statistics. ``stopwords`` (optional, none by default) are removed from
     titles before counting, and from queries searched against this index.
+    ``stem`` counts Porter stems instead of words ("network" finds
+    "networks"), of queries as well; document lengths stay the same.
 
     Titles (one row each) are hash-partitioned by work id once, into
     ``partitions`` parts (default: the shuffle partition count); tokens are
@@ -85,14 +96,18 @@ def build_title_index(works: DataFrame, stopwords=(), partitions: int | None = N
         "id", _drop_stopwords(tokens(F.col("title")), stopwords).alias("toks"))
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))
     by_id = docs.repartition(partitions, "id") if partitions else docs.repartition("id")
-    postings = (by_id.select("id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term"))
+    tokens_of = by_id.select("id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term"))
+    postings = ((_stemmed(tokens_of) if stem else tokens_of)
                 .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
                 .select("term", "id", "tf", "doc_len"))
     # each title's distinct tokens, counted per term straight from the scan:
     # the dictionary needs no shuffle by id
-    terms = (docs.select(F.explode(F.array_distinct("toks")).alias("term"))
-             .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    return TitleIndex(postings=postings, terms=terms, stats=stats, stopwords=tuple(stopwords))
+    if stem:                     # two words of a title can have one stem
+        terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        terms = (docs.select(F.explode(F.array_distinct("toks")).alias("term"))
+                 .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    return TitleIndex(postings=postings, terms=terms, stats=stats, stopwords=tuple(stopwords), stem=stem)
 
 
 def save_title_index(index: TitleIndex, path: str, mode: str = "overwrite",
@@ -126,23 +141,25 @@ def save_title_index(index: TitleIndex, path: str, mode: str = "overwrite",
     terms = saved.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms.sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
     stop = F.array(*[F.lit(w) for w in index.stopwords]).cast("array<string>")
-    index.stats.withColumn("stopwords", stop).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
+    index.stats.withColumn("stopwords", stop).withColumn("stem", F.lit(index.stem)).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
 
 
 def load_title_index(spark, path: str, table: str | None = None) -> TitleIndex:
     """Read an index written by ``save_title_index`` (``table``: the catalog
     name it was saved under, for the bucketed form)."""
     stats = spark.read.parquet(f"{path}/stats")
-    stop = stats.select("stopwords").first()["stopwords"] if "stopwords" in stats.columns else []
+    kept = stats.select("stopwords", "stem").first()
+    stop = kept["stopwords"]
     postings = spark.table(table) if table else spark.read.parquet(f"{path}/postings")
     return TitleIndex(postings=postings, terms=spark.read.parquet(f"{path}/terms"),
-                      stats=stats.select("n_docs", "avgdl"), stopwords=tuple(stop or ()))
+                      stats=stats.select("n_docs", "avgdl"), stopwords=tuple(stop or ()), stem=kept["stem"])
 
 
-def query_terms(queries: DataFrame, stopwords=()) -> DataFrame:
-    """Distinct tokens of each query (query_id, term)."""
+def query_terms(queries: DataFrame, stopwords=(), stem: bool = False) -> DataFrame:
+    """Distinct tokens (or stems) of each query (query_id, term)."""
     toks = _drop_stopwords(tokens(F.col("q")), stopwords)
-    return queries.select("query_id", F.explode(F.array_distinct(toks)).alias("term"))
+    terms = queries.select("query_id", F.explode(F.array_distinct(toks)).alias("term"))
+    return _stemmed(terms).distinct() if stem else terms
 
 
 def term_matches(index: TitleIndex, queries: DataFrame, broadcast_terms: bool | None = None) -> DataFrame:
@@ -152,7 +169,7 @@ def term_matches(index: TitleIndex, queries: DataFrame, broadcast_terms: bool |
     without a shuffle; a larger one takes a shuffle join, where AQE splits the
     partitions of very common terms. ``broadcast_terms``: the caller already
     checked the size of these terms (or of a superset); ``None`` checks here."""
-    terms = query_terms(queries, index.stopwords)
+    terms = query_terms(queries, index.stopwords, index.stem)
     if broadcast_terms is None:
         broadcast_terms = fits_broadcast(terms)
     # df of the query terms only (at most one dictionary row per query term)

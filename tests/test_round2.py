@@ -262,3 +262,51 @@ def test_edges_join_no_wide_works(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "abstract" not in plan and "split(text" not in plan
     assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 27
+
+
+def test_porter_stems():
+    from paperweave.functions.stem import porter
+    want = {"caresses": "caress", "ponies": "poni", "ties": "ti", "caress": "caress", "cats": "cat", "feed": "feed", "agreed": "agre",
+            "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing", "conflated": "conflat", "troubled": "troubl",
+            "sized": "size", "hopping": "hop", "tanned": "tan", "falling": "fall", "hissing": "hiss", "fizzed": "fizz", "failing": "fail",
+            "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "rational": "ration",
+            "valenci": "valenc", "digitizer": "digit", "conformabli": "conform", "radicalli": "radic", "differentli": "differ",
+            "vietnamization": "vietnam", "predication": "predic", "operator": "oper", "feudalism": "feudal", "decisiveness": "decis",
+            "hopefulness": "hope", "formaliti": "formal", "sensitiviti": "sensit", "sensibiliti": "sensibl", "triplicate": "triplic",
+            "formative": "form", "formalize": "formal", "electriciti": "electr", "electrical": "electr", "hopeful": "hope",
+            "goodness": "good", "revival": "reviv", "allowance": "allow", "inference": "infer", "airliner": "airlin", "gyroscopic": "gyroscop",
+            "adjustable": "adjust", "defensible": "defens", "irritant": "irrit", "replacement": "replac", "adjustment": "adjust",
+            "dependent": "depend", "adoption": "adopt", "communism": "commun", "activate": "activ", "homologous": "homolog",
+            "effective": "effect", "bowdlerize": "bowdler", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control",
+            "roll": "roll", "networks": "network", "as": "as", "y": "y"}
+    assert {w: porter(w) for w in want} == want
+
+
+def test_stemmed_index(spark, tmp):
+    from paperweave.operators.search import bm25_top, build_title_index, load_title_index, save_title_index
+    works = spark.createDataFrame([("W1", "Neural networks"), ("W2", "A network of networks"), ("W3", "Relational algebra"), ("W4", None)],
+                                  "id string, title string")
+    queries = spark.createDataFrame([(1, "network"), (2, "relation"), (3, "networking relate")], "query_id long, q string")
+    index = build_title_index(works, stem=True)
+    save_title_index(index, os.path.join(tmp, "ix"))
+    for ix in (index, load_title_index(spark, os.path.join(tmp, "ix"))):
+        got = {}
+        for r in bm25_top(ix, queries).collect():
+            got.setdefault(r.query_id, set()).add(r.id)
+        assert got == {1: {"W1", "W2"}, 2: {"W3"}, 3: {"W1", "W2", "W3"}}
+        assert {r.term: r.df for r in ix.terms.collect()}["network"] == 2
+    plain = bm25_top(build_title_index(works), queries).collect()
+    assert {r.id for r in plain if r.query_id == 1} == {"W2"}
+
+
+def test_response_pages(spark):
+    import json
+    from paperweave.operators.graph import as_response
+    nodes = spark.createDataFrame([("s", f"n{i:03d}", "t", 2000, "a", "v", 1) for i in range(25)],
+                                  "seed_id string, id string, title string, year int, first_author string, venue string, cited_by_count int")
+    edges = spark.createDataFrame([("s", "s", f"n{i:03d}", None) for i in range(42)], "seed_id string, source string, target string, type string")
+    rows = sorted(as_response(nodes, edges, page_rows=10).collect(), key=lambda r: r.page)
+    assert [(r.page, len(r.nodes), len(r.edges)) for r in rows] == [(0, 10, 10), (1, 10, 10), (2, 5, 10), (3, 0, 10), (4, 0, 2)]
+    assert [n["id"] for r in rows for n in json.loads(r.response)["nodes"]] == [f"n{i:03d}" for i in range(25)]
+    one = as_response(nodes, edges).collect()
+    assert [(r.page, len(r.nodes)) for r in one] == [(0, 25)]
