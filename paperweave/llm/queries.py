@@ -42,6 +42,59 @@ def op1_consistent_hash_shards(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: CRC-32 byte by byte, then the ring arc by arc (2,560 steps of a recursion).
+ORACLE["op1_consistent_hash_shards"] = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY n) AS t FROM (
+    SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+    FROM (SELECT unnest(range(256)) AS n))),
+texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (
+  SELECT doc_id, len(h) // 2 AS n,
+    list_transform(range(len(h) // 2), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT)) AS b FROM texts),
+keys AS MATERIALIZED (
+  SELECT doc_id, CAST(n + 16 AS BIGINT) AS size,
+    CAST(xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32,
+    CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) AS point
+  FROM bytes CROSS JOIN crc_table),
+ring AS MATERIALIZED (
+  SELECT shard, point, CAST(row_number() OVER (ORDER BY point, shard, v) - 1 AS INTEGER) AS arc FROM (
+    SELECT n // 64 AS shard, n % 64 AS v,
+      CAST(('0x' || substr(md5('shard#' || (n // 64) || '#' || (n % 64)), 1, 8)) AS BIGINT) AS point
+    FROM (SELECT unnest(range(2560)) AS n))),
+placed AS MATERIALIZED (
+  SELECT k.*, coalesce(r.arc, 0) AS arc, row_number() OVER (
+      PARTITION BY coalesce(r.arc, 0) ORDER BY k.point, doc_id, size, text_crc32) - 1 AS nth
+  FROM keys k ASOF LEFT JOIN ring r ON k.point <= r.point),
+clockwise AS MATERIALIZED (
+  SELECT arc, list(shard ORDER BY gap) AS pref FROM (
+    SELECT a.arc, b.shard, min((b.arc - a.arc + 2560) % 2560) AS gap FROM ring a CROSS JOIN ring b GROUP BY a.arc, b.shard)
+  GROUP BY arc),
+arcs AS MATERIALIZED (
+  SELECT c.arc, c.pref, coalesce(n, 0) AS n FROM clockwise c LEFT JOIN (SELECT arc, count(*) AS n FROM placed GROUP BY arc) USING (arc)),
+start AS MATERIALIZED (
+  SELECT list_transform(range(40), lambda s: c // 40 + CASE WHEN s < c % 40 THEN 1 ELSE 0 END) AS room
+  FROM (SELECT count(*) AS c FROM keys)),
+fill AS (
+  SELECT -1 AS arc, room, room AS before, CAST([] AS BIGINT[]) AS take, CAST([] AS BIGINT[]) AS pref FROM start
+  UNION ALL
+  SELECT arc, list_transform(range(40), lambda s: room[s + 1] - take[list_position(pref, s)]) AS room, room AS before, take, pref
+  FROM (
+    SELECT arc, room, pref, list_transform(range(1, 41), lambda j:
+        greatest(0, least(n, list_sum(r[1:j])) - least(n, list_sum(r[1:j]) - r[j]))) AS take
+    FROM (
+      SELECT a.arc, f.room, a.pref, a.n, list_transform(a.pref, lambda s: f.room[s + 1]) AS r
+      FROM fill f JOIN arcs a ON a.arc = f.arc + 1))),
+segments AS (
+  SELECT arc, pref[j] AS shard, list_sum(take[1:j]) - take[j] AS lo, list_sum(take[1:j]) AS hi,
+    (SELECT room FROM start)[pref[j] + 1] - before[pref[j] + 1] AS base
+  FROM (SELECT *, unnest(range(1, 41)) AS j FROM fill WHERE arc >= 0) WHERE take[j] > 0)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(s.shard AS INTEGER) AS shard, CAST(base + nth - lo AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM placed p JOIN segments s ON s.arc = p.arc AND nth >= lo AND nth < hi
+"""
+
 URL_RULES = (Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"),
              Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow"))
 
