@@ -14,7 +14,7 @@ from paperweave.llm.common import ascii_lower
 
 WORDS = 8                    # 32-bit words of a Bloom block; a key sets one bit in each
 KEYS_PER_BLOCK = 21          # 256 bits / about 12 bits a key: near 0.5 % false positives
-BROADCAST_BLOCKS = 1 << 20   # at most 36 MB of filter is broadcast; beyond it, joined by block
+BROADCAST_BLOCKS = 1 << 18   # at most 10 MB of words are broadcast; beyond it, joined by block
 TRACKING = r"^(utm_[^=]*|fbclid|gclid|ref)(=|\z)"
 
 
