@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.session import scratch_path
+from paperweave.session import remove_path, scratch_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -24,11 +24,24 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def _folder(spark: SparkSession, name: str = "") -> str:
+    return scratch_path(spark, f"llm/{spark.sparkContext.applicationId}/{name}".rstrip("/"))
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application. Results that have
+    not been written yet still read them."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("pw_texts_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    remove_path(spark, _folder(spark))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared scratch folder (below
     ``spark.checkpoint.dir``) and read it back: the lineage ends at the files,
     so a lost executor re-reads them, and later passes don't recompute."""
-    path = scratch_path(df.sparkSession, f"llm/{name}-{uuid.uuid4().hex}")
+    path = _folder(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -38,7 +51,7 @@ def stored_in_buckets(df: DataFrame, name: str, buckets: int, column: str) -> Da
     place. ``df`` must be partitioned by the column into as many parts, so that
     each bucket is one file."""
     spark, table_name = df.sparkSession, f"pw_{name}_{uuid.uuid4().hex}"
-    path = scratch_path(spark, f"llm/{table_name}")
+    path = _folder(spark, table_name)
     df.write.bucketBy(buckets, column).option("path", path).saveAsTable(table_name)
     return spark.table(table_name)
 

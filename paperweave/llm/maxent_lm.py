@@ -29,7 +29,8 @@ BUCKETS = 128                # outcomes that stand for the words with some endin
 SINGLE = CLASSES * SLOTS - BUCKETS
 ENDING = 3                   # bytes of a word that choose its bucket
 ROWS = (1 << 14, 1 << 15)    # hashed features of the class and the slot softmax
-KNOWN = 1 << 18              # words whose counts are broadcast, at most; others are joined
+KNOWN = 1 << 18              # words whose counts are broadcast, at most; others are joined,
+KNOWN_BYTES = 64             # as are longer ones
 FLUSH = 1 << 18              # distinct words that a counting task holds
 PIECE = 2 << 20              # bytes of text that a task works on at once
 BATCH = 1 << 15              # tokens of one gradient update
@@ -101,11 +102,12 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     n, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     step = F.floor(BINS * F.log2(F.col("n"))).cast("int")
     least, held = None, 0
-    for b, k in sorted(counts.groupBy(step.alias("b")).agg(F.count("*").alias("k")).collect(), reverse=True):
+    short = counts.where(F.octet_length("token") <= KNOWN_BYTES)
+    for b, k in sorted(short.groupBy(step.alias("b")).agg(F.count("*").alias("k")).collect(), reverse=True):
         if held + k > KNOWN:
             break
         least, held = b, held + k
-    keep = counts.where(step >= least) if least is not None else counts.limit(0)
+    keep = short.where(step >= least) if least is not None else short.limit(0)
     end = counts.where("token = ''")
     got = keep.where("token != ''").unionByName(end).toArrow()
     rows = sorted(zip(got.column("token").cast(pa.binary()).to_pylist(), got.column("n").to_pylist(), strict=True),

@@ -123,6 +123,17 @@ def test_removed_repeats(docs, rows, monkeypatch, hot):
     assert any(0 < r.n_removed < r.n_bytes for r in got.collect())
 
 
+def test_intermediate_tables_can_be_dropped(spark):
+    import os
+
+    from paperweave.llm.common import _folder, drop_stored, stored
+    stored(spark.range(3), "gone")
+    path = _folder(spark).removeprefix("file:")
+    assert os.listdir(path)
+    drop_stored(spark)
+    assert not os.path.exists(path) and not any(t.name.startswith("pw_texts_") for t in spark.catalog.listTables())
+
+
 def test_kept_bytes(docs, rows, empty):
     import hashlib
     for r in sub.remove_repeats(docs, with_text=True).collect():
