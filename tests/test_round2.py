@@ -310,3 +310,26 @@ def test_response_pages(spark):
     assert [n["id"] for r in rows for n in json.loads(r.response)["nodes"]] == [f"n{i:03d}" for i in range(25)]
     one = as_response(nodes, edges).collect()
     assert [(r.page, len(r.nodes)) for r in one] == [(0, 25)]
+
+
+def test_hub_papers_are_stored_apart(spark, tmp):
+    from paperweave.plans.expand import expand
+    from paperweave.plans.layout import build_serving_tables
+    works = spark.range(60).select(F.concat(F.lit("W"), "id").alias("id"), F.lit("10.1/x").alias("doi"), F.lit("t").alias("title"),
+                                   F.lit(2000).alias("publication_year"), (F.col("id") * 7 % 50).cast("int").alias("cited_by_count"),
+                                   F.lit("A").alias("first_author"), F.lit("V").alias("venue"), F.lit(None).cast("string").alias("abstract_inverted_index"))
+    edges = [(f"W{i}", "W0") for i in range(1, 60)] + [(f"W{i}", f"W{(i * 3) % 70}") for i in range(60)] + [("W5", f"W{j}") for j in range(40)]
+    cites = spark.createDataFrame(edges, "source_id string, target_id string")
+    seeds = works.select(F.col("id").alias("seed_id"))
+    try:
+        t = build_serving_tables(works, cites, tmp, 4, prefix="pw_hub", hub_edges=30)
+        assert [r[0] for r in t.citations_by_target.hub_keys.collect()] == ["W0"] and t.citations_by_target.hubs.count() >= 59
+        assert [r[0] for r in t.citations_by_source.hub_keys.collect()] == ["W5"]
+        assert t.citations_by_target.bucketed.count() + t.citations_by_target.hubs.count() == len(edges)
+        plain = expand(works, cites, None, seeds)
+        split = expand(t.works, cites, None, seeds, citations_by_target=t.citations_by_target, citations_by_source=t.citations_by_source)
+        assert sorted(map(tuple, plain.edges.collect()), key=str) == sorted(map(tuple, split.edges.collect()), key=str)
+        assert sorted(map(tuple, plain.nodes.collect()), key=str) == sorted(map(tuple, split.nodes.collect()), key=str)
+    finally:
+        for n in ("works_by_id", "citations_by_target", "citations_by_source"):
+            spark.sql(f"DROP TABLE IF EXISTS pw_hub_{n}")
