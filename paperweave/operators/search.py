@@ -31,6 +31,8 @@ from paperweave.operators.topn import (
 K1 = 1.2
 B = 0.75
 SEARCH_LIMIT = 20
+# Query terms that are pushed into the postings scan as a list.
+PUSHED_TERMS = 200
 # Patterns without a literal character that are broadcast at once.
 BLOCK_PATTERNS = 10_000
 GRAM_SIZES = (3, 2, 1)
@@ -162,37 +164,45 @@ def query_terms(queries: DataFrame, stopwords=(), stem: bool = False) -> DataFra
     return _stemmed(terms).distinct() if stem else terms
 
 
-def term_matches(index: TitleIndex, queries: DataFrame, broadcast_terms: bool | None = None) -> DataFrame:
+def term_matches(index: TitleIndex, queries: DataFrame, broadcast_terms: bool | None = None,
+                 few_terms: bool = False) -> DataFrame:
     """Query terms, with their df from the term dictionary, joined to the
     postings on term. A query-term table of
     checked small size is broadcast, so the postings stream through the join
     without a shuffle; a larger one takes a shuffle join, where AQE splits the
     partitions of very common terms. ``broadcast_terms``: the caller already
-    checked the size of these terms (or of a superset); ``None`` checks here."""
+    checked the size of these terms (or of a superset); ``None`` checks here.
+    ``few_terms``: the caller has counted at most ``PUSHED_TERMS``; they become
+    a filter of the postings scan, which skips row groups of other terms (saved
+    files are sorted by term)."""
     terms = query_terms(queries, index.stopwords, index.stem)
+    postings = index.postings
+    if few_terms:
+        wanted = [r.term for r in terms.select("term").distinct().collect()]
+        postings = postings.where(F.col("term").isin(wanted))
     if broadcast_terms is None:
         broadcast_terms = fits_broadcast(terms)
     # df of the query terms only (at most one dictionary row per query term)
     with_df = (F.broadcast(terms) if broadcast_terms else terms).join(index.terms, "term")
-    return (F.broadcast(with_df) if broadcast_terms else with_df).join(index.postings, "term")
+    return (F.broadcast(with_df) if broadcast_terms else with_df).join(postings, "term")
 
 
 def bm25_scores(index: TitleIndex, queries: DataFrame, k1: float = K1, b: float = B,
-                broadcast_terms: bool | None = None) -> DataFrame:
+                broadcast_terms: bool | None = None, few_terms: bool = False) -> DataFrame:
     """A2: BM25 score of every (query, work) sharing at least one term."""
     n, avgdl = index.n_docs(), index.avgdl()
     df, tf, dl = F.col("df"), F.col("tf"), F.col("doc_len")
     idf = F.log10((n - df + 0.5) / (df + 0.5) + 1)
     part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
-    return (term_matches(index, queries, broadcast_terms)
+    return (term_matches(index, queries, broadcast_terms, few_terms)
             .groupBy("query_id", "id").agg(F.sum(part).alias("raw_score"))
             .select("query_id", "id", rounded(F.col("raw_score")).alias("score")))
 
 
 def bm25_top(index: TitleIndex, queries: DataFrame, limit: int = SEARCH_LIMIT,
-             broadcast_terms: bool | None = None) -> DataFrame:
+             broadcast_terms: bool | None = None, few_terms: bool = False) -> DataFrame:
     """L1: best ``limit`` works per query, score descending then id."""
-    return top_n(bm25_scores(index, queries, broadcast_terms=broadcast_terms), ["query_id"],
+    return top_n(bm25_scores(index, queries, broadcast_terms=broadcast_terms, few_terms=few_terms), ["query_id"],
                  [F.col("score").desc(), F.col("id").asc()], limit, rank_col="rank")
 
 

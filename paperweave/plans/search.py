@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from paperweave.functions.text import is_valid_query, tokens
 from paperweave.operators.project import as_paper
 from paperweave.operators.search import (
+    PUSHED_TERMS,
     SEARCH_LIMIT,
     TitleIndex,
     bm25_top,
@@ -42,9 +43,10 @@ def valid_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return queries.where(ok), queries.where(~ok | F.col("q").isNull())
 
 
-def _broadcast_fits(accepted: DataFrame) -> tuple[bool, bool]:
+def _broadcast_fits(accepted: DataFrame) -> tuple[bool, bool, bool]:
     """One bounded job over the accepted queries decides both broadcasts:
-    of the queries (DOI route) and of their terms (BM25 route). Terms are
+    of the queries (DOI route) and of their terms (BM25 route), and whether
+    the terms are few enough for a scan filter. Terms are
     distinct ASCII runs of a query, so their bytes are at most the query's;
     both tables get 8 bytes per row for the query id. Checking all accepted
     queries (a superset of those left after DOI routing) needs no DOI join."""
@@ -55,7 +57,7 @@ def _broadcast_fits(accepted: DataFrame) -> tuple[bool, bool]:
     n, b, t = r["n"], r["b"], r["t"]
     queries_fit = n <= BROADCAST_ROWS and b + 8 * n <= BROADCAST_BYTES
     terms_fit = queries_fit and t <= BROADCAST_ROWS and b + 8 * t <= BROADCAST_BYTES
-    return queries_fit, terms_fit
+    return queries_fit, terms_fit, terms_fit and t <= PUSHED_TERMS
 
 
 def search(works: DataFrame, queries: DataFrame, index: TitleIndex | None = None,
@@ -64,14 +66,14 @@ def search(works: DataFrame, queries: DataFrame, index: TitleIndex | None = None
     if mode not in ("bm25", "substring"):
         raise ValueError(f"mode must be 'bm25' or 'substring', not {mode!r}")
     accepted, rejected = valid_queries(queries.select("query_id", "q"))
-    queries_fit, terms_fit = _broadcast_fits(accepted)
+    queries_fit, terms_fit, few_terms = _broadcast_fits(accepted)
     doi = doi_first(works, accepted, wildcards, strip_doi_prefix, broadcast_queries=queries_fit).select(
         "query_id", F.lit("doi").alias("route"), "rank", "id", F.lit(None).cast("double").alias("score"))
     rest = accepted.join(doi.select("query_id"), "query_id", "left_anti")
     if mode == "bm25":
         if index is None:
             index = build_title_index(works)
-        ranked = bm25_top(index, rest, limit, broadcast_terms=terms_fit).select(
+        ranked = bm25_top(index, rest, limit, broadcast_terms=terms_fit, few_terms=few_terms).select(
             "query_id", F.lit("bm25").alias("route"), "rank", "id", "score")
     else:
         ranked = substring_top(works, rest, limit, wildcards).select(

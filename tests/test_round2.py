@@ -333,3 +333,21 @@ def test_hub_papers_are_stored_apart(spark, tmp):
     finally:
         for n in ("works_by_id", "citations_by_target", "citations_by_source"):
             spark.sql(f"DROP TABLE IF EXISTS pw_hub_{n}")
+
+
+def test_few_terms_prune_the_postings_scan(spark, tmp):
+    from paperweave.operators.search import build_title_index, load_title_index, save_title_index
+    from paperweave.plans.search import search
+    from paperweave.sources import driver_tables as dt
+    w = dt.works(spark, "/root/testdata/sf0.001")
+    save_title_index(build_title_index(w), os.path.join(tmp, "ix"))
+    index = load_title_index(spark, os.path.join(tmp, "ix"))
+    one = spark.createDataFrame([(1, "the and in")], "query_id long, q string")
+    hits = search(w, one, index=index).hits
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [" in plan
+    many = dt.title_queries(spark, "/root/testdata/sf0.001").unionByName(one.withColumn("query_id", F.lit(-1).cast("long")))
+    batch = search(w, many, index=index).hits
+    assert "In(term, [" not in batch._jdf.queryExecution().executedPlan().toString()
+    cols = ["rank", "id", "score"]
+    assert sorted(map(tuple, hits.select(*cols).collect())) == sorted(map(tuple, batch.where("query_id = -1").select(*cols).collect()))
