@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 from brute import repeats_removed, simhash_components
 from fixtures import frame, prose
-from pyspark.sql import functions as F
 
 import paperweave.llm.decontaminate as dc
 import paperweave.llm.simhash as sh
