@@ -22,7 +22,7 @@ from paperweave.llm.common import slices, stored, stored_in_buckets, texts
 from paperweave.llm.suffix_arrays import repeated_windows
 
 GRAM = 32
-SHARD = 1 << 20              # bytes of contexts that one suffix array covers, and one gram's more
+SHARD = 1 << 19              # bytes of contexts that one suffix array covers, and one gram's more
 HOT = 4096                   # occurrences of a gram from which on its windows are dealt out one by one
 GROUP_BYTES = 4 << 20        # of texts that a task holds at once, apart from a longer single text
 PLACE = 31                   # bits of a place in a run of texts
