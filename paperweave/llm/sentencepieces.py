@@ -5,9 +5,10 @@ of the vocabulary crosses. The distinct words of a slice are sorted, which is a
 depth-first walk of their trie: a word keeps the forward scores of the prefix
 that it shares with the one before and computes the rest. For a unigram model
 a forward score is the best sum of piece scores. For a BPE model only one
-segmentation is admissible: two pieces may follow each other if the merges,
-run on their concatenation, give just these two; the walk takes the admissible
-piece at each prefix, so its result is that of the merges.
+segmentation is admissible, so none has to be weighed: two pieces may follow
+each other if the merges, run on their concatenation, give just these two. The
+forward state of a prefix is the last piece of its admissible path, and the
+result is that of the merges.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6      # fixed values of the model format's piece types
 UNK_PENALTY = 10.0                   # fixed value: below the lowest score, for an unknown character
 LONG = 1 << 16                       # characters of a word whose forward pass is kept in plain arrays
+PIECE = 1 << 20                      # bytes of text that a task works on at once
 CACHED_WORDS = 1 << 19               # of a worker, beside those of the slice at hand
 
 
@@ -137,8 +139,8 @@ class Pieces:
             piece.append(which)
 
     def _extend_bpe(self, word, n, total, start, piece) -> None:
-        """Forward scores of the prefixes longer than n: the admissible path's."""
-        tails, pairs, scores = self.tails, self._pairs, self.score
+        """Last pieces of the prefixes longer than n, on the admissible path."""
+        tails, pairs = self.tails, self._pairs
         for end in range(n + 1, len(word) + 1):
             s, at, which = end - 1, end - 1, -1
             while s >= 0:
@@ -153,7 +155,6 @@ class Pieces:
                         at, which = s, i
                         break
                 s -= 1
-            total.append(total[at] + (scores[which] if which >= 0 else self.unk))
             start.append(at)
             piece.append(which)
 
@@ -245,7 +246,7 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = model.value.encoder
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE):
                 rows = [t or "" for t in part.column("text").to_pylist()]
                 ids, offsets = encoder(rows)
                 arrays = [part.column(n) for n in names]
