@@ -56,7 +56,7 @@ def stored_in_buckets(df: DataFrame, name: str, buckets: int, column: str) -> Da
     return spark.table(table_name)
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20,
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20,
            max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that ``column`` holds about ``max_bytes`` per
     piece (one longer text is a piece of its own): bounded memory in a task."""
