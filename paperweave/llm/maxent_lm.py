@@ -2,8 +2,11 @@
 
 The next token's outcome (a frequent word, or a bucket of the others) has a
 class and a slot: P(outcome | history) = P(class | history) * P(slot | class,
-history). Both factors are softmaxes over hashed n-gram and skip features of
-the history. Inside a bucket, words have smoothed unigram probabilities.
+history). Below a bucket, a tree of FORK branches a node leads to leaves, and each
+branch has its probability given the history too. All factors are softmaxes over
+hashed n-gram and skip features of the history. The words of one leaf share it by
+smoothed unigrams; the tree is as deep as the number of distinct words asks for,
+and each bucket's most frequent words have different leaves.
 Training runs distributed rounds: every task makes gradient updates over its
 part of the text, starting from the same weights; the updates are averaged.
 """
@@ -28,7 +31,11 @@ SLOTS = 16
 BUCKETS = 128                # outcomes that stand for the words with some endings
 SINGLE = CLASSES * SLOTS - BUCKETS
 ENDING = 3                   # bytes of a word that choose its bucket
-ROWS = (1 << 14, 1 << 15)    # hashed features of the class and the slot softmax
+FORK = 16                    # branches of a node below a bucket
+DEPTH = 2                    # levels below a bucket, at least
+LEAF_WORDS = 128             # distinct words (most occur once) of a leaf on average, at most
+WIDTHS = (CLASSES, SLOTS, FORK)
+ROWS = (1 << 14, 1 << 15, 1 << 17)  # hashed features of the class, slot and branch softmaxes
 KNOWN = 1 << 18              # words whose counts are broadcast, at most; others are joined,
 KNOWN_BYTES = 64             # as are longer ones
 FLUSH = 1 << 18              # distinct words that a counting task holds
@@ -83,10 +90,10 @@ class Vocabulary(NamedTuple):
     """What the tasks know of the counts. Words are in order of falling counts."""
     words: list[bytes]
     counts: np.ndarray
-    outcome: np.ndarray      # of each word
+    outcome: np.ndarray      # of each word: its number if it is single, else SINGLE + its leaf
     n: int                   # all tokens
     distinct: int
-    bucket_n: np.ndarray     # tokens and words in each bucket
+    bucket_n: np.ndarray     # tokens and words in each leaf of each bucket
     bucket_words: np.ndarray
 
 
@@ -95,6 +102,20 @@ def bucket_of(word: bytes) -> int:
     return crc32(word[-ENDING:]) % BUCKETS
 
 
+def leaf_of(word: bytes, leaves: int) -> int:
+    """The leaf, of all buckets' leaves, of a word that is not among the most frequent."""
+    inner = leaves // BUCKETS
+    return bucket_of(word) * inner + (crc32(word) >> 8) % inner
+
+
+def leaves_for(distinct: int) -> int:
+    """Leaves of all buckets: grow with the number of distinct words."""
+    leaves = BUCKETS * FORK ** DEPTH
+    while leaves * LEAF_WORDS < distinct:
+        leaves *= FORK
+    return leaves
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The most frequent words, KNOWN at most: those above the count that a
     histogram of counts shows to leave no more. Driver and tasks hold these
@@ -115,43 +136,64 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     if not rows or rows[0][0] != END:
         rows.insert(0, (END, 0))
     words = [w for w, _ in rows]
-    outcome = np.array([i if i < SINGLE else SINGLE + bucket_of(w) for i, w in enumerate(words)], np.int64)
+    leaves = leaves_for(distinct)
+    inner = leaves // BUCKETS
     bytes_of = F.encode("token", "UTF-8")
     ending = F.when(F.octet_length("token") > ENDING, F.substring(bytes_of, -ENDING, ENDING)).otherwise(bytes_of)
-    bucket = F.crc32(ending) % BUCKETS
-    total, kinds = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for b, s, k in counts.groupBy(bucket.alias("b")).agg(F.sum("n"), F.count("*")).collect():
-        total[b], kinds[b] = s, k
-    for w, c in rows[:SINGLE]:               # single words are in no bucket
+    leaf = F.crc32(ending) % BUCKETS * inner + F.shiftright(F.crc32(bytes_of), 8) % inner
+    total, kinds = np.zeros(leaves, np.int64), np.zeros(leaves, np.int64)
+    sums = counts.groupBy(leaf.alias("leaf")).agg(F.sum("n").alias("s"), F.count("*").alias("k")).toArrow()
+    at = sums.column("leaf").to_numpy()
+    total[at], kinds[at] = sums.column("s").to_numpy(), sums.column("k").to_numpy()
+    outcome, ranks = np.arange(len(words), dtype=np.int64), [0] * BUCKETS
+    for i, (w, c) in enumerate(rows):        # single words are in no leaf, others of a bucket take turns
         if c:
-            total[bucket_of(w)] -= c
-            kinds[bucket_of(w)] -= 1
+            old = leaf_of(w, leaves)
+            total[old] -= c
+            kinds[old] -= 1
+        if i >= SINGLE:
+            b = bucket_of(w)
+            new = b * inner + ranks[b] % inner
+            ranks[b] += 1
+            outcome[i] = SINGLE + new
+            total[new] += c
+            kinds[new] += 1
     return Vocabulary(words, np.array([c for _, c in rows], np.int64), outcome, n, distinct, total, kinds)
 
 
 class Model:
-    """Weights of both softmaxes, and the batches' forward and gradient steps."""
+    """Weights of the softmaxes, and the batches' forward and gradient steps."""
 
     def __init__(self, v: Vocabulary, weights: list[np.ndarray] | None):
         self.ids = dict(zip(v.words, range(len(v.words)), strict=True))
         self.outcome = v.outcome
+        self.leaves = len(v.bucket_n)
+        self.spans = []                      # leaves below a branch, level by level
+        span = self.leaves // BUCKETS
+        while span > 1:
+            span //= FORK
+            self.spans.append(span)
         weight = np.full(CLASSES * SLOTS, 0.5)
         weight[:min(SINGLE, len(v.words))] += v.counts[:SINGLE]
-        weight[SINGLE:] += v.bucket_n
+        weight[SINGLE:] += v.bucket_n.reshape(BUCKETS, -1).sum(axis=1)
         table = weight.reshape(CLASSES, SLOTS)
-        self.bias = (np.log(table.sum(axis=1) / table.sum()).astype(np.float32),
-                     np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
-        self.weights = weights or [np.zeros((ROWS[0], CLASSES), np.float32), np.zeros((ROWS[1], SLOTS), np.float32)]
+        self.bias = [np.log(table.sum(axis=1) / table.sum()).astype(np.float32),
+                     np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)]
+        for span in self.spans:
+            table = v.bucket_n.reshape(-1, FORK, span).sum(axis=2) + 0.5
+            self.bias.append(np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
+        self.weights = weights or [np.zeros((n, k), np.float32) for n, k in zip(ROWS, WIDTHS, strict=True)]
+        self._seat = [np.zeros(len(w), np.int32) for w in self.weights]
 
     def read(self, rows: Sequence[bytes]):
-        """Word numbers (negative: bucket), outcomes, features and sizes of texts."""
+        """Words, their numbers (negative: bucket) and outcomes, the rare ones, features and sizes of texts."""
         words, size = tokens_of(rows)
         ids = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
         rare = np.flatnonzero(ids < 0)
         rare_words = [words[i] for i in rare.tolist()]
         bucket = np.fromiter(map(bucket_of, rare_words), np.int64, len(rare))
         out = self.outcome[ids]
-        out[rare] = SINGLE + bucket
+        out[rare] = SINGLE + np.fromiter(map(leaf_of, rare_words, repeat(self.leaves)), np.int64, len(rare))
         ids[rare] = -1 - bucket
         return words, ids, out, rare, rare_words, self._features(ids, size), size
 
@@ -170,14 +212,17 @@ class Model:
             h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             return h ^ (h >> np.uint64(29))
 
-    def _places(self, features: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _places(self, k: int, features: np.ndarray, node: np.ndarray | None) -> np.ndarray:
+        """Rows of the weights ``k`` for the features at a node of the tree (the root has none)."""
+        rows = len(self.weights[k])
+        if node is None:
+            return (features & np.uint64(rows - 1)).astype(np.int64)
         with np.errstate(over="ignore"):
-            mixed = (features + cls.astype(np.uint64)[None, :] + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
-        return ((features & np.uint64(ROWS[0] - 1)).astype(np.int64),
-                (mixed >> np.uint64(64 - ROWS[1].bit_length() + 1)).astype(np.int64))
+            mixed = (features + node.astype(np.uint64)[None, :] + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
+        return (mixed >> np.uint64(64 - rows.bit_length() + 1)).astype(np.int64)
 
     def _exponents(self, k: int, bias: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Logits of the classes (or slots) of each token: the bias is a log
+        """Logits of the branches for each token: the bias is a log
         probability and weights are limited, so their exponentials are finite."""
         x = bias + np.take(self.weights[k], places[0], axis=0)
         for p in places[1:]:
@@ -185,36 +230,57 @@ class Model:
         return x
 
     def _factors(self, out: np.ndarray, features: np.ndarray):
-        """For both softmaxes: logits, what was seen, and the rows of the weights."""
-        cls, slot = out // SLOTS, out % SLOTS
-        places = self._places(features, cls)
-        return ((self._exponents(0, self.bias[0][None, :], places[0]), cls, places[0]),
-                (self._exponents(1, np.take(self.bias[1], cls, axis=0), places[1]), slot, places[1]))
+        """For each softmax on the way to the outcomes: which weights, the
+        tokens (None: all), logits, what was seen, and the rows of the weights."""
+        top, deep = out, None
+        if self.spans:
+            deep = np.flatnonzero(out >= SINGLE)
+            leaf = out[deep] - SINGLE
+            top = out.copy()
+            top[deep] = SINGLE + leaf // (self.leaves // BUCKETS)
+        cls, slot = top // SLOTS, top % SLOTS
+        places = self._places(0, features, None)
+        yield 0, None, self._exponents(0, self.bias[0][None, :], places), cls, places
+        places = self._places(1, features, cls)
+        yield 1, None, self._exponents(1, np.take(self.bias[1], cls, axis=0), places), slot, places
+        if self.spans and len(deep):
+            features, first = features[:, deep], CLASSES
+            for level, span in enumerate(self.spans):
+                node, branch = leaf // (span * FORK), leaf // span % FORK
+                places = self._places(2, features, first + node)
+                yield 2, deep, self._exponents(2, np.take(self.bias[2 + level], node, axis=0), places), branch, places
+                first += self.leaves // (span * FORK)
 
     def log_probability(self, out: np.ndarray, features: np.ndarray) -> np.ndarray:
         """Natural logarithm of each outcome's probability."""
         total = np.zeros(len(out))
         for at in range(0, len(out), BATCH):
-            for x, hit, _ in self._factors(out[at:at + BATCH], features[:, at:at + BATCH]):
+            part = total[at:at + BATCH]
+            for _, who, x, hit, _ in self._factors(out[at:at + BATCH], features[:, at:at + BATCH]):
                 own = x[np.arange(len(hit)), hit].astype(np.float64)
-                total[at:at + BATCH] += own - np.log((np.exp(x) @ np.ones(x.shape[1], np.float32)).astype(np.float64))
+                part[slice(None) if who is None else who] += own - np.log((np.exp(x) @ np.ones(x.shape[1], np.float32)).astype(np.float64))
         return total
 
     def step(self, out: np.ndarray, features: np.ndarray, rate: float, touched: list[np.ndarray]) -> None:
-        """One gradient update of all rows that the tokens use."""
-        for k, (x, hit, places) in enumerate(self._factors(out, features)):
-            weights, width = self.weights[k], x.shape[1]
+        """One gradient update of all rows that the tokens use; work and
+        memory follow the tokens, not the size of the weights."""
+        for k, _, x, hit, places in self._factors(out, features):
+            weights, seat, width, n = self.weights[k], self._seat[k], x.shape[1], np.arange(len(hit), dtype=np.int32)
             err = np.exp(x)
             err /= (err @ np.ones(width, np.float32))[:, None]
-            err[np.arange(len(hit)), hit] -= 1
+            err[n, hit] -= 1
             flat = err.ravel()
             for p in places:
-                used = np.bincount(p, minlength=len(weights))
-                where = (p[:, None] * width + np.arange(width)).ravel()
-                g = np.bincount(where, weights=flat, minlength=weights.size).reshape(weights.shape)
-                weights -= (g * (rate / (used + SHRINK))[:, None]).astype(np.float32)
-                touched[k] += used
-            np.clip(weights, -LIMIT, LIMIT, out=weights)
+                seat[p] = n                              # one token of each row
+                rows = p[seat[p] == n]
+                seat[rows] = n[:len(rows)]
+                at = seat[p]
+                used = np.bincount(at, minlength=len(rows))
+                where = (at[:, None] * width + np.arange(width, dtype=np.int32)).ravel()
+                g = np.bincount(where, weights=flat, minlength=len(rows) * width).reshape(-1, width)
+                new = weights[rows] - (g * (rate / (used + SHRINK))[:, None]).astype(np.float32)
+                weights[rows] = np.clip(new, -LIMIT, LIMIT, out=new)
+                touched[k][rows] += used
 
 
 def _train_tasks(vocab, weights):
@@ -270,7 +336,7 @@ def train(docs: DataFrame, vocab, rounds: int = ROUNDS) -> list[np.ndarray]:
     weights, of fixed size. Updates are averaged in two levels of groups."""
     schema = "block int, part int, change binary, used binary"
     sc = docs.sparkSession.sparkContext
-    weights = [np.zeros((ROWS[0], CLASSES), np.float32), np.zeros((ROWS[1], SLOTS), np.float32)]
+    weights = [np.zeros((n, k), np.float32) for n, k in zip(ROWS, WIDTHS, strict=True)]
     for r in range(rounds):
         sent = sc.broadcast(weights)
         changes = docs.where(F.col("round") == r).select("text").mapInArrow(_train_tasks(vocab, sent), schema)

@@ -86,6 +86,43 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     assert lm.lm_scores(docs, part()).where("score > 0").count() == 0
 
 
+def chain(spark, words, texts, length, seed=6):
+    """Texts in which each word has three successors."""
+    rnd = random.Random(seed)
+    after = {w: rnd.sample(words, 3) for w in words}
+
+    def text():
+        w, ws = rnd.choice(words), []
+        for _ in range(length):
+            ws.append(w)
+            w = rnd.choice(after[w])
+        return " ".join(ws)
+
+    return spark.createDataFrame([(i, text()) for i in range(texts)], "doc_id long, text string").coalesce(1)
+
+
+def test_history_tells_thousands_of_words_apart(spark):
+    """All words have one ending, hence one bucket."""
+    got = [r for r in lm.lm_scores(chain(spark, [f"{i}end" for i in range(3000)], 400, 800), part()).collect() if r.held_out]
+    assert len(got) > 20
+    gain = sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got)
+    assert gain > 0.5
+
+
+def test_probabilities_of_all_leaves_add_up():
+    rng = np.random.default_rng(3)
+    leaves = lm.leaves_for(5)
+    v = lm.Vocabulary([b"", b"a", b"b"], np.array([5, 3, 2]), np.array([0, 1, 2]), 10, 3,
+                      rng.integers(0, 9, leaves), np.ones(leaves, np.int64))
+    model = lm.Model(v, [rng.normal(size=(n, k)).astype(np.float32) for n, k in zip(lm.ROWS, lm.WIDTHS)])
+    features = model.read([b"a b a"])[5]
+    every = np.arange(lm.SINGLE + leaves)
+    for at in range(features.shape[1]):
+        p = np.exp(model.log_probability(every, np.repeat(features[:, at:at + 1], len(every), axis=1)))
+        assert abs(p.sum() - 1) < 1e-3
+    assert leaves < lm.leaves_for(10 ** 7) < lm.leaves_for(10 ** 9)
+
+
 def test_query_over_whole_documents(spark):
     got = QUERIES["op4_maxent_scores"](spark, SF)
     assert got.columns[:7] == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
