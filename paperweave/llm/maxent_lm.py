@@ -35,7 +35,9 @@ FORK = 16                    # branches of a node below a bucket
 DEPTH = 2                    # levels below a bucket, at least
 LEAF_WORDS = 128             # distinct words (most occur once) of a leaf on average, at most
 WIDTHS = (CLASSES, SLOTS, FORK)
-ROWS = (1 << 14, 1 << 15, 1 << 17)  # hashed features of the class, slot and branch softmaxes
+ROWS = (1 << 14, 1 << 15, 1 << 17)  # hashed features of the class, slot and branch softmaxes, at least
+ROOT = 4                     # class rows for the square root of the number of distinct histories
+SKETCH = 1024                # least hashes of histories by which these are counted
 KNOWN = 1 << 18              # words whose counts are broadcast, at most; others are joined,
 KNOWN_BYTES = 64             # as are longer ones
 FLUSH = 1 << 18              # distinct words that a counting task holds
@@ -46,6 +48,7 @@ SHRINK = 4.0                 # a row's gradient is its sum over this many occurr
 LIMIT = 8.0                  # of a weight: sums of a few stay within what an exponential can take
 ROUNDS = 2
 BLOCK = 512                  # rows of weights that are averaged together
+ROW_TOKENS = 8               # training tokens of a task for each row of the weights, unless tasks get too few
 FAN = 256                    # tasks whose updates are added up first
 END = b""                    # the end token: no word is empty
 BINS = 16
@@ -63,27 +66,71 @@ def tokens_of(rows: Sequence[bytes]) -> tuple[list[bytes], np.ndarray]:
     return out, size
 
 
+def histories_of(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For tokens with these word hashes, in texts of these sizes, hashes of:
+    the word before, the two words before, the word two before (skip). At a
+    text's start, the words before are marks."""
+    first = np.cumsum(size) - size
+    w1, w2 = np.roll(hashes, 1), np.roll(hashes, 2)
+    w1[first] = w2[first] = 1 << 40
+    w2[first[size > 1] + 1] = 1 << 40
+    with np.errstate(over="ignore"):
+        a = (w1 + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)
+        b = (w2 + np.uint64(11)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = np.stack([a, a ^ (b * np.uint64(0x165667B19E3779F9)), b])
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(words: Sequence[bytes]) -> np.ndarray:
+    return np.fromiter(map(crc32, words), np.uint64, len(words))
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """``(token, n)`` of the ``text`` column: counted in the tasks, then summed."""
+    """``(token, n, history)`` of the ``text`` column: tokens, counted in the
+    tasks, then summed (no history); and the least hashes of each task's
+    histories (no token, n 0), by which ``distinct_histories`` counts these."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
         held: Counter = Counter()
+        least = np.zeros(0, np.uint64)
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()).cast(pa.string()),
-                                              pa.array(list(held.values()), pa.int64())], names=["token", "n"])
+        def flush(least=()):
+            token = pa.array(list(held.keys()) + [None] * len(least), pa.binary()).cast(pa.string())
+            n = pa.array(list(held.values()) + [0] * len(least), pa.int64())
+            history = pa.array([None] * len(held) + list(least), pa.int64())
             held.clear()
-            return out
+            return pa.RecordBatch.from_arrays([token, n, history], names=["token", "n", "history"])
 
         for batch in batches:
             for part in slices(batch, "text", PIECE):
-                held.update(tokens_of(texts(part))[0])
+                words, size = tokens_of(texts(part))
+                held.update(words)
+                h = histories_of(word_hashes(words), size) >> np.uint64(1)
+                if len(least) == SKETCH:
+                    h = h[h < least[-1]]
+                least = np.unique(np.concatenate([least, h.ravel()]))[:SKETCH]
                 if len(held) > FLUSH:
                     yield flush()
-        yield flush()
+        yield flush(least.tolist())
+
+    return docs.mapInArrow(run, "token string, n long, history long").groupBy("token", "history").agg(F.sum("n").alias("n"))
 
-    return docs.mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+def distinct_histories(counts: DataFrame) -> int:
+    """From the SKETCH least hashes of all tasks (a few hundredths off; exact if there are fewer)."""
+    least = [r.history for r in counts.where("history is not null").select("history").distinct().orderBy("history").limit(SKETCH).collect()]
+    return len(least) if len(least) < SKETCH else round((SKETCH - 1) / (least[-1] / 2 ** 63))
+
+
+def rows_for(histories: int) -> tuple[int, ...]:
+    """Rows of the weights: grow with the square root of the number of
+    distinct histories, so four times the histories have twice the rows."""
+    more = 1
+    while ROWS[0] * more < ROOT * histories ** 0.5:
+        more *= 2
+    return tuple(n * more for n in ROWS)
 
 
 class Vocabulary(NamedTuple):
@@ -166,6 +213,7 @@ class Model:
 
     def __init__(self, v: Vocabulary, weights: list[np.ndarray] | None):
         self.ids = dict(zip(v.words, range(len(v.words)), strict=True))
+        self.hashes = word_hashes(v.words)
         self.outcome = v.outcome
         self.leaves = len(v.bucket_n)
         self.spans = []                      # leaves below a branch, level by level
@@ -186,31 +234,16 @@ class Model:
         self._seat = [np.zeros(len(w), np.int32) for w in self.weights]
 
     def read(self, rows: Sequence[bytes]):
-        """Words, their numbers (negative: bucket) and outcomes, the rare ones, features and sizes of texts."""
+        """Words, their numbers (negative: rare) and outcomes, the rare ones, features and sizes of texts."""
         words, size = tokens_of(rows)
         ids = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
         rare = np.flatnonzero(ids < 0)
         rare_words = [words[i] for i in rare.tolist()]
-        bucket = np.fromiter(map(bucket_of, rare_words), np.int64, len(rare))
         out = self.outcome[ids]
         out[rare] = SINGLE + np.fromiter(map(leaf_of, rare_words, repeat(self.leaves)), np.int64, len(rare))
-        ids[rare] = -1 - bucket
-        return words, ids, out, rare, rare_words, self._features(ids, size), size
-
-    @staticmethod
-    def _features(ids: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Hashes of: the word before, the two words before, the word two
-        before (skip). At a text's start, the words before are marks."""
-        first = np.cumsum(size) - size
-        w1, w2 = np.roll(ids, 1), np.roll(ids, 2)
-        w1[first] = w2[first] = -1000
-        w2[first[size > 1] + 1] = -1000
-        with np.errstate(over="ignore"):
-            a = (w1.astype(np.uint64) + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)
-            b = (w2.astype(np.uint64) + np.uint64(11)) * np.uint64(0xC2B2AE3D27D4EB4F)
-            h = np.stack([a, a ^ (b * np.uint64(0x165667B19E3779F9)), b])
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            return h ^ (h >> np.uint64(29))
+        hashes = self.hashes[ids]
+        hashes[rare] = word_hashes(rare_words)
+        return words, ids, out, rare, rare_words, histories_of(hashes, size), size
 
     def _places(self, k: int, features: np.ndarray, node: np.ndarray | None) -> np.ndarray:
         """Rows of the weights ``k`` for the features at a node of the tree (the root has none)."""
@@ -330,13 +363,16 @@ def _average(kind):
     return run
 
 
-def train(docs: DataFrame, vocab, rounds: int = ROUNDS) -> list[np.ndarray]:
+def train(docs: DataFrame, vocab, rounds: int = ROUNDS, rows: Sequence[int] = ROWS) -> list[np.ndarray]:
     """Weights after the rounds; ``docs`` has ``text`` and ``round`` (0 to
     rounds - 1), the round that the row is used in. The driver holds one set of
-    weights, of fixed size. Updates are averaged in two levels of groups."""
+    weights of ``rows``. Updates are averaged in two levels of groups. Small
+    parts of the text are trained in one task, so that all tasks' changes of
+    the weights stay in proportion to the text as the rows grow."""
     schema = "block int, part int, change binary, used binary"
     sc = docs.sparkSession.sparkContext
-    weights = [np.zeros((n, k), np.float32) for n, k in zip(ROWS, WIDTHS, strict=True)]
+    docs = docs.coalesce(max(sc.defaultParallelism, vocab.value.n // (ROW_TOKENS * sum(rows))))
+    weights = [np.zeros((n, k), np.float32) for n, k in zip(rows, WIDTHS, strict=True)]
     for r in range(rounds):
         sent = sc.broadcast(weights)
         changes = docs.where(F.col("round") == r).select("text").mapInArrow(_train_tasks(vocab, sent), schema)
@@ -407,11 +443,12 @@ def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text
                        F.coalesce(held_out, F.lit(False)).alias("held_out"),
                        F.pmod(F.xxhash64(F.col(id_col), F.lit("round")), F.lit(rounds)).cast("int").alias("round"))
     training = rows.where("not held_out")
-    counts = stored(count_tokens(training.select("text")), "counts")
+    counted = stored(count_tokens(training.select("text")), "counts")
+    counts = counted.where("history is null").select("token", "n")
     v = vocabulary(counts)
     sc = docs.sparkSession.sparkContext
     vocab = sc.broadcast(v)
-    weights = sc.broadcast(train(training, vocab, rounds))
+    weights = sc.broadcast(train(training, vocab, rounds, rows_for(distinct_histories(counted))))
     scored = stored(rows.select("id", "text", "held_out").mapInArrow(_score_tasks(vocab, weights), SCORED.format(id_type)), "scored")
     rare = (scored.select("row", F.explode("rare").alias("token")).join(counts, "token")
             .groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("n") + 1)).alias("x")))

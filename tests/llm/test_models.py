@@ -123,6 +123,29 @@ def test_probabilities_of_all_leaves_add_up():
     assert leaves < lm.leaves_for(10 ** 7) < lm.leaves_for(10 ** 9)
 
 
+def test_rows_follow_the_counted_histories(spark):
+    docs = chain(spark, [f"w{i}" for i in range(2000)], 60, 300, seed=8)
+    seen = set()
+    for r in docs.collect():
+        ws = [None, None, *r.text.split(), ""]
+        seen |= {x for a, b in zip(ws, ws[1:-1]) for x in ((1, b), (2, a, b), (3, a))}
+    got = lm.distinct_histories(lm.count_tokens(docs))
+    assert abs(got / len(seen) - 1) < 0.15
+    assert lm.distinct_histories(lm.count_tokens(docs.limit(1).select(F.lit("a b").alias("text")))) == 3 + 3 + 2
+    sizes = [lm.rows_for(10 ** k) for k in range(1, 12)]
+    assert sizes[0] == lm.ROWS and sizes == sorted(sizes) and sizes[5] < sizes[8] < sizes[10]
+
+
+def test_words_beyond_the_known_keep_their_identity():
+    zeros = np.zeros(lm.BUCKETS, np.int64)
+    few = lm.Vocabulary([b""], np.array([5]), np.array([0]), 5, 1, zeros, zeros)
+    more = lm.Vocabulary([b"", b"xing", b"ying"], np.array([5, 3, 2]), np.array([0, 1, 2]), 10, 3, zeros, zeros)
+    texts = [b"xing ying zing", b"", b"zing xing"]
+    features = lm.Model(few, None).read(texts)[5]
+    assert (features == lm.Model(more, None).read(texts)[5]).all()
+    assert len(set(features[0].tolist())) == 4              # a mark and three words of one ending
+
+
 def test_query_over_whole_documents(spark):
     got = QUERIES["op4_maxent_scores"](spark, SF)
     assert got.columns[:7] == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
