@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over ``documents``, each calling one operator.
 
 A stage takes (spark, docs, sf_dir) and returns the documents that it keeps,
-with the columns of ``documents``; the last one adds the token ids.
+with the columns of ``documents``; the last one adds the token ids and whether they decode to the text.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their piece ids."""
-    return encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model").withColumn("n_ids", F.size("ids"))
+    """Documents with their piece ids, and whether decoding these gives the text back."""
+    return encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model", check_col="round_trip").withColumn("n_ids", F.size("ids"))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate),

@@ -264,6 +264,12 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert not any(4000 <= d < 5000 or 3000 <= d < 4000 for d in want) and sum("[secret]" in t for t in want.values()) == 5
 
 
+def test_last_stage_decodes_every_document(spark):
+    docs = spark.createDataFrame([(1, "a password [secret]\n  kept "), (2, "the mark \u2581 itself"), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r.round_trip for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()}
+    assert got == {1: True, 2: False, 3: True}
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
