@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from paperweave.session import cut_lineage
+
 CELLS = 4096                 # equal cuts of the ring, to find a key's arc by an equi-join
 CHUNK = 1 << 16              # copies of one repeated row that are numbered at once
 
@@ -82,6 +84,16 @@ def _segments(counts: DataFrame, ring: Column, shards: int, slack: float) -> Dat
             .select("s.arc", "s.lo", "s.hi", "s.shard", F.expr("room[s.shard] - s.base").alias("base")))
 
 
+def _sub_cells(placed: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``placed`` with ``_part``, the range of its sort order that a row is in,
+    and the rows of each arc in each range: an arc with many rows spans several
+    ranges, and ranks within one of these need that range only. The ranges are
+    fixed once, in a reliable checkpoint. There are fewer sub-cells than arcs
+    and ranges together."""
+    parts = cut_lineage(placed.repartitionByRange("_arc", "_point", *cols).withColumn("_part", F.spark_partition_id()))
+    return parts, parts.groupBy("_arc", "_part").agg(F.sum("_n").alias("_cell_n"))
+
+
 def assign_shards(rows: DataFrame, shards: int, *, key: str, vnodes: int = 64, slack: float = 0.0) -> DataFrame:
     """All ``rows`` with ``shard`` (0 to ``shards - 1``) and ``slot`` (gapless
     from 0 in each shard) added; columns of these names are replaced.
@@ -112,11 +124,15 @@ def assign_shards(rows: DataFrame, shards: int, *, key: str, vnodes: int = 64, s
     placed = (grouped.withColumn("_cell", F.expr(f"_point div {(1 << 32) // CELLS}"))
               .join(arcs, (F.col("_cell") == F.col("cell")) & F.col("_point").between(F.col("lo"), F.col("hi")))
               .drop("_cell", "cell", "lo", "hi"))
-    counts = placed.groupBy(F.col("_arc").alias("arc")).agg(F.sum("_n").alias("n"))
+    placed, totals = _sub_cells(placed, cols)
+    counts = totals.groupBy(F.col("_arc").alias("arc")).agg(F.sum("_cell_n").alias("n"))
     segments = F.broadcast(_segments(counts, ring, shards, slack))
-    upto = F.sum("_n").over(W.partitionBy("_arc").orderBy("_point", *cols)
+    upto = F.sum("_n").over(W.partitionBy("_arc", "_part").orderBy("_point", *cols)
                             .rowsBetween(W.unboundedPreceding, W.currentRow))
-    numbered = (placed.withColumn("_first", upto - F.col("_n"))
+    before = F.sum("_cell_n").over(W.partitionBy("_arc").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = F.broadcast(totals.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_cell_n"))
+    numbered = (placed.withColumn("_upto", upto).join(offsets, ["_arc", "_part"])
+                .withColumn("_first", F.col("_before") + F.col("_upto") - F.col("_n"))
                 .withColumn("_c", F.explode(F.expr(f"sequence(0, (_n - 1) div {CHUNK})")))
                 .withColumn("_k", F.explode(F.expr(
                     f"sequence(_c * {CHUNK}, least(_n, (_c + 1) * {CHUNK}) - 1)")))

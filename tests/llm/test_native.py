@@ -72,6 +72,27 @@ def test_slack_limits_movement(spark):
     assert sum(a[k] != b[k] for k in a) < 0.3 * len(a)
 
 
+def test_rows_of_one_key_are_ranked_in_several_ranges(spark, monkeypatch):
+    import paperweave.llm.sharding as sharding
+    cells, plain = [], sharding._sub_cells
+
+    def kept(placed, cols):
+        out = plain(placed, cols)
+        cells.extend(r._cell_n for r in out[1].collect())
+        return out
+
+    monkeypatch.setattr(sharding, "_sub_cells", kept)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(3000).selectExpr("cast(null as long) as k", "id as other")
+        got = assign_shards(rows, 7, key="k").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(cells) == 3000 and max(cells) < 1500
+    assert len({r.other for r in got}) == len(got) == 3000
+    assert len({(r.shard, r.slot) for r in got}) == 3000 and max(r.slot for r in got) == 428
+
+
 def test_shards_of_a_hot_key_and_of_nothing(spark, empty):
     hot = spark.range(3000).select(F.when(F.col("id") < 1000, F.lit(5)).otherwise(F.col("id")).alias("k"))
     size = Counter(r.shard for r in assign_shards(hot, 9, key="k").collect())
