@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paperweave.llm.common import table
 from paperweave.llm.decontaminate import benchmark_matches
+from paperweave.llm.hard_negatives import hard_negatives
 from paperweave.llm.maxent_lm import lm_scores
 from paperweave.llm.quality import quality_verdicts
 from paperweave.llm.secrets import KINDS, secret_spans, spans_text
@@ -204,3 +205,34 @@ def op4_maxent_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
     return lm_scores(docs, part == 2)
+
+
+@register
+def op13_segment_hard_negatives(spark, sf_dir):
+    """Anchors are every hundredth vector; every seventh has the label after its own."""
+    vec_id, label = F.col("vec_id"), F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"), "embedding")
+    return hard_negatives(rows, vec_id % 100 == 0)
+
+
+ORACLE["op13_segment_hard_negatives"] = """
+WITH rows_in AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows_in a JOIN rows_in b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
