@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperweave.session import remove_path, scratch_path
@@ -78,3 +78,28 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20,
 def texts(batch: pa.RecordBatch | pa.Table, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of each text; a null text is empty."""
     return [b if b is not None else b"" for b in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def sums_before(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Mapping[str, str]) -> DataFrame:
+    """``df`` with a column for each name in ``sums``: what the rows of its
+    group ``by`` that come before it in ``order`` hold of the named column
+    together. Groups may be of any size: the rows are range-partitioned by
+    group and order, written once (so the ranges don't change), summed within
+    their part, and a table with one row per part at most adds what the
+    earlier parts of the group hold. ``order`` should be total."""
+    keys = [F.col(c).asc_nulls_first() for c in by]
+    parts = stored(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ordered")
+    within = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums.values())])
+    # only the first group of a part can have begun in an earlier one
+    offsets = (totals.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_part").alias("_at"),
+                             *[F.sum(f"_t{i}").over(earlier).alias(f"_o{i}") for i in range(len(sums))])
+               .where(F.col("_o0").isNotNull()))
+    same = F.col("_part") == F.col("_at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    local = parts.withColumns({f"_l{i}": F.coalesce(F.sum(c).over(within), F.lit(0)) for i, c in enumerate(sums.values())})
+    return local.join(F.broadcast(offsets), same, "left").select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[(F.col(f"_l{i}") + F.coalesce(f"_o{i}", F.lit(0))).alias(name) for i, name in enumerate(sums)])

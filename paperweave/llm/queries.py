@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperweave.llm.common import table
+from paperweave.llm.curriculum import curriculum_mix
 from paperweave.llm.decontaminate import benchmark_matches
 from paperweave.llm.hard_negatives import hard_negatives
+from paperweave.llm.importance import resample
 from paperweave.llm.maxent_lm import lm_scores
 from paperweave.llm.quality import quality_verdicts
 from paperweave.llm.secrets import KINDS, secret_spans, spans_text
@@ -236,3 +238,109 @@ FROM positives JOIN pairs USING (anchor_id)
 WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 QUALIFY rank <= 10
 """
+
+
+@register
+def op11_line_importance(spark, sf_dir):
+    """A quarter of the documents of 20 words, drawn towards the benchmark's texts."""
+    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
+#: Words by regular expression over whole texts, CRC-32 of distinct features byte by byte.
+ORACLE["op11_line_importance"] = r"""
+WITH crc_table AS MATERIALIZED (
+  SELECT list(v ORDER BY n) AS t FROM (
+    SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+    FROM (SELECT unnest(range(256)) AS n))),
+texts AS (
+  SELECT 'raw' AS side, doc_id AS id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 'target', item_id, coalesce(text, '') FROM benchmark),
+words AS MATERIALIZED (
+  SELECT side, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+features AS MATERIALIZED (
+  SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])))) AS f FROM words),
+bytes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)),
+buckets AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_prepend(4294967295,
+      list_transform(range(len(h) // 2), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT))),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM bytes CROSS JOIN crc_table),
+counts AS (
+  SELECT bucket, count(*) FILTER (side = 'raw') AS s, count(*) FILTER (side = 'target') AS t
+  FROM features JOIN buckets USING (f) GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM counts),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (s_all + 10000) / (CAST(s + 1 AS DOUBLE) * (t_all + 10000)))) AS BIGINT) AS gain
+  FROM counts CROSS JOIN sums),
+weights AS (
+  SELECT id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS total
+  FROM features JOIN buckets USING (f) JOIN gains USING (bucket) WHERE side = 'raw' GROUP BY id),
+scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features,
+    CASE WHEN n_features IS NULL THEN 0 ELSE (total - ((total % n_features) + n_features) % n_features) // n_features END AS weight,
+    CAST(('0x' || substr(sha256(concat('7:', d.doc_id)), 1, 8)) AS BIGINT) AS h
+  FROM documents d LEFT JOIN weights w ON w.id = d.doc_id),
+placed AS (
+  SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight,
+    CAST(weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored),
+drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+  FROM placed WHERE n_features >= 39)
+SELECT p.doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank
+FROM placed p LEFT JOIN drawn d ON d.doc_id = p.doc_id
+"""
+
+
+@register
+def op12_curriculum_mix(spark, sf_dir):
+    """All documents, mixed by falling, steady and rising sources of weights 5, 2 and 1."""
+    mixed = curriculum_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken",
+                        F.transform("copies", lambda c: F.round(c["position"], 9)).alias("positions"),
+                        F.transform("copies", lambda c: c["sequence"]).alias("sequences"))
+
+
+ORACLE["op12_curriculum_mix"] = r"""
+WITH RECURSIVE rows_in AS MATERIALIZED (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5(concat('mix:', doc_id)) AS h FROM documents),
+sources AS MATERIALIZED (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1]::DOUBLE AS w,
+    CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) AS kind
+  FROM rows_in GROUP BY source),
+shares AS (
+  SELECT 0 AS turn, CAST(0 AS DOUBLE) AS share
+  UNION ALL
+  SELECT turn + 1, (SELECT (1.5::DOUBLE * sum(source_size) - coalesce(sum(2 * source_size) FILTER (w * share > 2 * source_size), 0))
+      / sum(w) FILTER (w * share <= 2 * source_size) FROM sources)
+  FROM shares WHERE turn < 30),
+targets AS MATERIALIZED (
+  SELECT s.*, CASE WHEN w * share > 2 * source_size THEN CAST(2 * source_size AS DOUBLE) ELSE w * share END AS target
+  FROM sources s CROSS JOIN (SELECT share FROM shares WHERE turn = 30)),
+streamed AS MATERIALIZED (
+  SELECT r.doc_id, r.source, r.size, t.source_size, t.target, t.kind, CAST(floor(t.target + 0.5) AS BIGINT) AS total,
+    CAST(coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM rows_in r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source),
+copies AS (
+  SELECT doc_id, source, epoch, start + source_size * epoch AS first_word, total, kind,
+    greatest(0, least(size, total - start - source_size * epoch)) AS words
+  FROM streamed CROSS JOIN (SELECT unnest([0, 1]) AS epoch)),
+timed AS (
+  SELECT doc_id, source, epoch, first_word, words, [7.5, 2.0, 0.5][kind + 1]::DOUBLE AS r0, [-10.0, 0.0, 2.0][kind + 1]::DOUBLE AS twice,
+    CAST(first_word AS DOUBLE) / CAST(greatest(total, 1) AS DOUBLE) * [5.0, 2.0, 1.0][kind + 1]::DOUBLE AS y
+  FROM copies WHERE words > 0),
+placed AS (
+  SELECT doc_id, source, epoch, words, first_word,
+    least(0::DOUBLE + CASE WHEN y > 0 THEN 2 * y / (r0 + sqrt(greatest(r0 * r0 + twice * y, 0))) ELSE 0 END, 1) AS position FROM timed),
+ordered AS (
+  SELECT *, row_number() OVER (ORDER BY position, source NULLS LAST, first_word) - 1 AS sequence FROM placed),
+per_doc AS (
+  SELECT doc_id, CAST(sum(words) AS BIGINT) AS taken, list(round(position, 9) ORDER BY epoch) AS positions, list(sequence ORDER BY epoch) AS sequences
+  FROM ordered GROUP BY doc_id)
+SELECT s.doc_id, s.size, s.source_size, s.target, coalesce(taken, 0) AS taken,
+  coalesce(positions, []) AS positions, coalesce(sequences, []) AS sequences
+FROM streamed s LEFT JOIN per_doc p ON p.doc_id = s.doc_id
+"""
