@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable
-from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -24,19 +23,21 @@ from pyspark.sql import types as T
 
 from paperweave.operators.joins import missing_vectors
 from paperweave.operators.project import embedding_text
-from paperweave.operators.tables import upsert
+from paperweave.operators.tables import DuplicateKeyError
+from paperweave.worker import new_key, shared
 
 EncoderFactory = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 _WORD = re.compile(r"\w+", re.UNICODE)
 
 
-def hashing_encoder(dim: int = 64) -> EncoderFactory:
-    """Signed feature hashing of lower-cased words over the whole text,
-    L2-normalised; an all-zero vector for a text without words."""
+def hashing_encoder(dim: int = 64, max_tokens: int | None = None) -> EncoderFactory:
+    """Signed feature hashing of lower-cased words over the whole text (or its
+    first ``max_tokens`` words, as a transformer would cut it), L2-normalised; an
+    all-zero vector for a text without words."""
     def make():
         def predict(texts: np.ndarray) -> np.ndarray:
-            words = [_WORD.findall(str(t).lower()) for t in texts]
+            words = [_WORD.findall(str(t).lower())[:max_tokens] for t in texts]
             # every distinct word is hashed once; a batch is then one weighted count
             ids = {w: i for i, w in enumerate({w for ws in words for w in ws})}
             h = np.fromiter((zlib.crc32(w.encode("utf-8")) for w in ids), np.int64, len(ids))
@@ -51,24 +52,14 @@ def hashing_encoder(dim: int = 64) -> EncoderFactory:
     return make
 
 
-class _Loaded:
-    """A factory whose encoder the tasks of one Python worker share."""
-
-    def __init__(self, make_encoder: EncoderFactory):
-        self.pickled = cloudpickle.dumps(make_encoder)
-
-    @cached_property
-    def predict(self):
-        return cloudpickle.loads(self.pickled)()
-
-
 def embed(texts: DataFrame, make_encoder: EncoderFactory, batch_size: int = 64,
           text_col: str = "text", id_col: str = "paper_id") -> DataFrame:
     """V1: (paper_id, embedding) for every row of ``texts``."""
-    loaded = texts.sparkSession.sparkContext.broadcast(_Loaded(make_encoder))
+    sent = texts.sparkSession.sparkContext.broadcast(cloudpickle.dumps(make_encoder))
+    key = new_key()
 
     def run(frames):
-        predict = loaded.value.predict
+        predict = shared(key, lambda: cloudpickle.loads(sent.value)())
         for f in frames:
             for lo in range(0, len(f), batch_size):
                 part = f.iloc[lo:lo + batch_size]
@@ -81,8 +72,13 @@ def embed(texts: DataFrame, make_encoder: EncoderFactory, batch_size: int = 64,
 def refresh_vectors(works: DataFrame, cache: DataFrame, make_encoder: EncoderFactory,
                     abstract: str = "raw", batch_size: int = 64) -> DataFrame:
     """V2: the whole cache after embedding every work that has no vector
-    yet (J4 anti join, V1, K4 upsert). Stored vectors are never recomputed.
+    yet (J4 anti join, V1). Stored vectors are never recomputed, and the lazy
+    embedding is used once: the new ids are not in the cache, so the upsert (K4) is
+    a union, and their uniqueness is checked on the ids alone. A work id that occurs twice raises ``DuplicateKeyError``.
     Write the result with ``tables.overwrite`` (it reads the cache)."""
-    todo = embedding_text(missing_vectors(works, cache), abstract)
-    fresh = embed(todo, make_encoder, batch_size)
-    return upsert(cache.select("paper_id", "embedding"), fresh, ["paper_id"])
+    missing = missing_vectors(works, cache)
+    if missing.groupBy("id").count().where(F.col("count") > 1).limit(1).count():
+        raise DuplicateKeyError("a work without a vector occurs twice")
+    fresh = embed(embedding_text(missing, abstract), make_encoder, batch_size)
+    stored = cache.select("paper_id", "embedding")
+    return stored.unionByName(fresh.select(*stored.columns))

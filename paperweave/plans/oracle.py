@@ -424,7 +424,7 @@ ORACLE: dict[str, str] = {
              FROM edges_x GROUP BY seed_id) e ON e.seed_id = n.seed_id""", _EXPAND),
     "v1_embed": _with(_LENGTHS.format("(SELECT 'W' || doc_id AS paper_id, text FROM documents)")),
     "v2_refresh_vectors": _with("""
-  SELECT paper_id, list_transform(embedding::DOUBLE[], lambda x: round(x, 4)) AS embedding FROM vectors_v
+  SELECT paper_id, list_transform(embedding::DOUBLE[], lambda x: CASE WHEN round(x, 4) = 0 THEN 0.0::DOUBLE ELSE round(x, 4) END) AS embedding FROM vectors_v
   UNION ALL """ + _LENGTHS.format("""(
     SELECT w.id AS paper_id, coalesce(w.title, '') || ' ' || coalesce(a.aii, '') AS text
     FROM works_v w LEFT JOIN aii_a a ON a.doc_id = w.doc_id WHERE w.id NOT IN (SELECT paper_id FROM vectors_v))"""), _ABSTRACT),

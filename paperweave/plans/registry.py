@@ -557,7 +557,8 @@ def _length_encoder():
 
 
 def _rounded_vector(c):
-    return F.transform(c, lambda x: F.round(x.cast("double"), 4))
+    """To four places; a negative zero becomes zero."""
+    return F.transform(c, lambda x: F.round(x.cast("double"), 4) + 0.0)
 
 
 @register("v1_embed")
