@@ -14,17 +14,19 @@ part of the text, starting from the same weights; the updates are averaged.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from copy import copy
 from itertools import repeat
 from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperweave.llm.common import slices, stored, texts
+from paperweave.worker import new_key, shared
 
 CLASSES = 16
 SLOTS = 16
@@ -38,16 +40,20 @@ WIDTHS = (CLASSES, SLOTS, FORK)
 ROWS = (1 << 14, 1 << 15, 1 << 17)  # hashed features of the class, slot and branch softmaxes, at least
 ROOT = 4                     # class rows for the square root of the number of distinct histories
 SKETCH = 1024                # least hashes of histories by which these are counted
-KNOWN = 1 << 18              # words whose counts are broadcast, at most; others are joined,
-KNOWN_BYTES = 64             # as are longer ones
-FLUSH = 1 << 18              # distinct words that a counting task holds
+MORE = 16                    # times as many rows, at most: what is broadcast has a bound (185 MB of weights)
+LEAVES = 1 << 23             # leaves at most; beyond it, more words share one
+KNOWN = 1 << 18              # words whose counts are broadcast, at most; others are joined
+KNOWN_BYTES = 32 << 20       # of these words
+FLUSH = 1 << 19              # distinct words that a counting task holds
 PIECE = 2 << 20              # bytes of text that a task works on at once
-BATCH = 1 << 15              # tokens of one gradient update
+TOKEN_BITS = 15
+BATCH = 1 << TOKEN_BITS      # tokens of one gradient update
 RATE = 1.0
 SHRINK = 4.0                 # a row's gradient is its sum over this many occurrences more than it has
 LIMIT = 8.0                  # of a weight: sums of a few stay within what an exponential can take
 ROUNDS = 2
 BLOCK = 512                  # rows of weights that are averaged together
+SENT = 512                   # blocks that are broadcast at once: the driver never holds all weights
 ROW_TOKENS = 8               # training tokens of a task for each row of the weights, unless tasks get too few
 FAN = 256                    # tasks whose updates are added up first
 END = b""                    # the end token: no word is empty
@@ -126,9 +132,9 @@ def distinct_histories(counts: DataFrame) -> int:
 
 def rows_for(histories: int) -> tuple[int, ...]:
     """Rows of the weights: grow with the square root of the number of
-    distinct histories, so four times the histories have twice the rows."""
+    distinct histories, so four times the histories have twice the rows, up to MORE times the least."""
     more = 1
-    while ROWS[0] * more < ROOT * histories ** 0.5:
+    while more < MORE and ROWS[0] * more < ROOT * histories ** 0.5:
         more *= 2
     return tuple(n * more for n in ROWS)
 
@@ -158,24 +164,24 @@ def leaf_of(word: bytes, leaves: int) -> int:
 def leaves_for(distinct: int) -> int:
     """Leaves of all buckets: grow with the number of distinct words."""
     leaves = BUCKETS * FORK ** DEPTH
-    while leaves * LEAF_WORDS < distinct:
+    while leaves < LEAVES and leaves * LEAF_WORDS < distinct:
         leaves *= FORK
     return leaves
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The most frequent words, KNOWN at most: those above the count that a
-    histogram of counts shows to leave no more. Driver and tasks hold these
-    and a few hundred sums, whatever the size of the corpus."""
+    """The most frequent words, KNOWN and KNOWN_BYTES at most: those above the count that a
+    histogram of counts shows to leave no more, long words too. Driver and tasks hold these
+    and the sums of at most LEAVES leaves."""
     n, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     step = F.floor(BINS * F.log2(F.col("n"))).cast("int")
-    least, held = None, 0
-    short = counts.where(F.octet_length("token") <= KNOWN_BYTES)
-    for b, k in sorted(short.groupBy(step.alias("b")).agg(F.count("*").alias("k")).collect(), reverse=True):
-        if held + k > KNOWN:
+    least, held, size = None, 0, 0
+    for b, k, z in sorted(counts.groupBy(step.alias("b")).agg(F.count("*").alias("k"), F.sum(F.octet_length("token"))).collect(), reverse=True):
+        held, size = held + k, size + z
+        if held > KNOWN or size > KNOWN_BYTES:
             break
-        least, held = b, held + k
-    keep = short.where(step >= least) if least is not None else short.limit(0)
+        least = b
+    keep = counts.where(step >= least) if least is not None else counts.limit(0)
     end = counts.where("token = ''")
     got = keep.where("token != ''").unionByName(end).toArrow()
     rows = sorted(zip(got.column("token").cast(pa.binary()).to_pylist(), got.column("n").to_pylist(), strict=True),
@@ -231,7 +237,12 @@ class Model:
             table = v.bucket_n.reshape(-1, FORK, span).sum(axis=2) + 0.5
             self.bias.append(np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
         self.weights = weights or [np.zeros((n, k), np.float32) for n, k in zip(ROWS, WIDTHS, strict=True)]
-        self._seat = [np.zeros(len(w), np.int32) for w in self.weights]
+
+    def own(self) -> Model:
+        """The same model with weights that can be changed."""
+        out = copy(self)
+        out.weights = [w.copy() for w in self.weights]
+        return out
 
     def read(self, rows: Sequence[bytes]):
         """Words, their numbers (negative: rare) and outcomes, the rare ones, features and sizes of texts."""
@@ -257,9 +268,13 @@ class Model:
     def _exponents(self, k: int, bias: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Logits of the branches for each token: the bias is a log
         probability and weights are limited, so their exponentials are finite."""
-        x = bias + np.take(self.weights[k], places[0], axis=0)
-        for p in places[1:]:
-            x += np.take(self.weights[k], p, axis=0)
+        width = self.weights[k].shape[1]
+        whole = self.weights[k].view(np.dtype((np.void, 4 * width))).ravel()    # rows travel as one item each
+        x = None
+        for p in places:
+            part = whole.take(p).view(np.float32).reshape(-1, width)
+            x = part if x is None else np.add(x, part, out=x)
+        x += bias
         return x
 
     def _factors(self, out: np.ndarray, features: np.ndarray):
@@ -295,32 +310,67 @@ class Model:
         return total
 
     def step(self, out: np.ndarray, features: np.ndarray, rate: float, touched: list[np.ndarray]) -> None:
-        """One gradient update of all rows that the tokens use; work and
+        """One gradient update, over BATCH tokens at most, of all rows that these
+        use. A sort brings the tokens of a row together; most rows have one token and need no sum. Work and
         memory follow the tokens, not the size of the weights."""
         for k, _, x, hit, places in self._factors(out, features):
-            weights, seat, width, n = self.weights[k], self._seat[k], x.shape[1], np.arange(len(hit), dtype=np.int32)
-            err = np.exp(x)
-            err /= (err @ np.ones(width, np.float32))[:, None]
+            n = np.arange(len(hit))
+            err = np.exp(x, out=x)
+            err /= (err @ np.ones(x.shape[1], np.float32))[:, None]
             err[n, hit] -= 1
-            flat = err.ravel()
             for p in places:
-                seat[p] = n                              # one token of each row
-                rows = p[seat[p] == n]
-                seat[rows] = n[:len(rows)]
-                at = seat[p]
-                used = np.bincount(at, minlength=len(rows))
-                where = (at[:, None] * width + np.arange(width, dtype=np.int32)).ravel()
-                g = np.bincount(where, weights=flat, minlength=len(rows) * width).reshape(-1, width)
-                new = weights[rows] - (g * (rate / (used + SHRINK))[:, None]).astype(np.float32)
-                weights[rows] = np.clip(new, -LIMIT, LIMIT, out=new)
-                touched[k][rows] += used
-
-
-def _train_tasks(vocab, weights):
+                by_row = np.sort((p << TOKEN_BITS) | n)          # the row, then the token
+                row, token = by_row >> TOKEN_BITS, by_row & (BATCH - 1)
+                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                used = np.diff(np.append(first, len(row)))
+                touched[k][row[first]] += used
+                once = first[used == 1]
+                self._move(k, row[once], np.take(err, token[once], axis=0), rate / (1 + SHRINK))
+                if len(once) < len(first):
+                    many = used > 1
+                    of = np.take(err, token[np.repeat(many, used)], axis=0)
+                    some = used[many]
+                    self._move(k, row[first[many]], np.add.reduceat(of, np.cumsum(some) - some, axis=0),
+                               (rate / (some + SHRINK)).astype(np.float32)[:, None])
+
+    def _move(self, k: int, rows: np.ndarray, g: np.ndarray, by) -> None:
+        """The rows of the weights ``k`` against their gradients ``g``, which are used up. Rows travel as one item each."""
+        item = np.dtype((np.void, 4 * g.shape[1]))
+        whole = self.weights[k].view(item).ravel()
+        new = whole.take(rows)
+        values = new.view(np.float32).reshape(g.shape)
+        g *= by
+        values -= g
+        np.clip(values, -LIMIT, LIMIT, out=values)
+        whole[rows] = new
+
+
+class Sent(NamedTuple):
+    """What the tasks get: the vocabulary as a plain tuple, and the weights in
+    broadcasts of SENT blocks. The tasks of a worker share the model that ``key`` names."""
+    key: str
+    vocabulary: Broadcast
+    rows: tuple[int, ...]
+    chunks: tuple[Broadcast, ...]
+
+    def model(self) -> Model:
+        def make() -> Model:
+            weights = [np.zeros((n, k), np.float32) for n, k in zip(self.rows, WIDTHS, strict=True)]
+            blocks = [w[at:at + BLOCK] for w in weights for at in range(0, len(w), BLOCK)]
+            for chunk in self.chunks:
+                for block, values in chunk.value:
+                    blocks[block][:] = np.frombuffer(values, np.float32).reshape(blocks[block].shape)
+            return Model(Vocabulary(*self.vocabulary.value), weights)
+
+        return shared(self.key, make)
+
+
+def _train_tasks(sent: tuple):
     """Task function: updates over the task's texts in; per block of rows the
     change, weighted by how often each row was used, out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(vocab.value, [w.copy() for w in weights.value])
+        base = Sent(*sent).model()
+        model = base.own()
         touched, batch_no = [np.zeros(len(w), np.float32) for w in model.weights], 0
         for batch in batches:
             for part in slices(batch, "text", PIECE):
@@ -330,7 +380,7 @@ def _train_tasks(vocab, weights):
                     batch_no += 1
         task, rows = TaskContext.get().partitionId(), []
         block = 0
-        for old, new, used in zip(weights.value, model.weights, touched, strict=True):
+        for old, new, used in zip(base.weights, model.weights, touched, strict=True):
             for at in range(0, len(old), BLOCK):
                 if used[at:at + BLOCK].any():
                     change = (new[at:at + BLOCK] - old[at:at + BLOCK]).astype(np.float16)
@@ -363,36 +413,52 @@ def _average(kind):
     return run
 
 
-def train(docs: DataFrame, vocab, rounds: int = ROUNDS, rows: Sequence[int] = ROWS) -> list[np.ndarray]:
-    """Weights after the rounds; ``docs`` has ``text`` and ``round`` (0 to
-    rounds - 1), the round that the row is used in. The driver holds one set of
-    weights of ``rows``. Updates are averaged in two levels of groups. Small
+def _add(t: pa.Table) -> pa.Table:
+    """Group function: a block's weights and the mean change of its rows, added up."""
+    total = sum(np.frombuffer(c, np.float32) for c in t.column("change").to_pylist())
+    return pa.Table.from_batches([_rows([(t.column("block")[0].as_py(), 0, total.tobytes(), b"")])])
+
+
+def _send(vocab: Broadcast, rows: Sequence[int], table: DataFrame | None) -> Sent:
+    """The weights as broadcasts; the driver holds one of these at a time."""
+    chunks, blocks = [], sum(-(-n // BLOCK) for n in rows)
+    for lo in range(0, blocks if table is not None else 0, SENT):
+        part = table.where(F.col("block").between(lo, lo + SENT - 1)).select("block", "change").toArrow()
+        chunks.append(table.sparkSession.sparkContext.broadcast(
+            list(zip(part.column("block").to_pylist(), part.column("change").to_pylist(), strict=True))))
+    return Sent(new_key(), vocab, tuple(rows), tuple(chunks))
+
+
+def train(docs: DataFrame, vocab: Broadcast, rounds: int = ROUNDS, rows: Sequence[int] = ROWS) -> Sent:
+    """The model after the rounds; ``docs`` has ``text`` and ``round`` (0 to
+    rounds - 1), the round that the row is used in. The weights are a stored table of
+    blocks of rows; updates are averaged in two levels of groups and added to it. Small
     parts of the text are trained in one task, so that all tasks' changes of
     the weights stay in proportion to the text as the rows grow."""
     schema = "block int, part int, change binary, used binary"
     sc = docs.sparkSession.sparkContext
-    docs = docs.coalesce(max(sc.defaultParallelism, vocab.value.n // (ROW_TOKENS * sum(rows))))
-    weights = [np.zeros((n, k), np.float32) for n, k in zip(rows, WIDTHS, strict=True)]
+    tokens = Vocabulary(*vocab.value).n
+    docs = docs.coalesce(max(sc.defaultParallelism, tokens // (ROW_TOKENS * sum(rows))))
+    sent, table = _send(vocab, rows, None), None
     for r in range(rounds):
-        sent = sc.broadcast(weights)
-        changes = docs.where(F.col("round") == r).select("text").mapInArrow(_train_tasks(vocab, sent), schema)
+        changes = docs.where(F.col("round") == r).select("text").mapInArrow(_train_tasks(tuple(sent)), schema)
         some = changes.groupBy("block", "part").applyInArrow(_average(np.float16), schema)
-        mean = some.groupBy("block").applyInArrow(_average(np.float32), schema).collect()
-        weights = [w.copy() for w in weights]
-        parts = [w[at:at + BLOCK] for w in weights for at in range(0, len(w), BLOCK)]
-        for row in mean:
-            parts[row.block] += np.frombuffer(row.change, np.float32).reshape(parts[row.block].shape)
-    return weights
+        mean = some.groupBy("block").applyInArrow(_average(np.float32), schema)
+        table = stored(mean if table is None else table.unionByName(mean).groupBy("block").applyInArrow(_add, schema), "weights")
+        for chunk in sent.chunks:
+            chunk.destroy()
+        sent = _send(vocab, rows, table)
+    return sent
 
 
 SCORED = "row long, id {}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>"
 
 
-def _score_tasks(vocab, weights):
+def _score_tasks(sent: tuple):
     """Task function: scores of all but the rare words' own counts, which are to be joined."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocab.value
-        model = Model(v, weights.value)
+        model = Sent(*sent).model()
+        v = Vocabulary(*sent[1].value)
         inside = np.log10(v.bucket_n + v.bucket_words + 1.0)
         log_count = np.log10(v.counts + 1.0)
         row = TaskContext.get().partitionId() << 40
@@ -433,8 +499,11 @@ def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text
     Texts are scored where they are read. Counts of all words but the KNOWN
     most frequent ones come by a join of the rare words, which are a few
     hundredths of the tokens and no hot keys, since frequent words aren't among them.
+    The weights grow with the square root of the distinct histories up to MORE times the least,
+    the counts with the distinct words.
 
-    Null or empty text: the end token alone. Null ids stay null. Other columns
+    Null or empty text: the end token alone. Texts of any length are read whole, one
+    word or none among them. Null ids stay null. Other columns
     are not read. An empty table gives no rows; without training rows every
     word is unknown.
     """
@@ -447,9 +516,8 @@ def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text
     counts = counted.where("history is null").select("token", "n")
     v = vocabulary(counts)
     sc = docs.sparkSession.sparkContext
-    vocab = sc.broadcast(v)
-    weights = sc.broadcast(train(training, vocab, rounds, rows_for(distinct_histories(counted))))
-    scored = stored(rows.select("id", "text", "held_out").mapInArrow(_score_tasks(vocab, weights), SCORED.format(id_type)), "scored")
+    sent = train(training, sc.broadcast(tuple(v)), rounds, rows_for(distinct_histories(counted)))
+    scored = stored(rows.select("id", "text", "held_out").mapInArrow(_score_tasks(tuple(sent)), SCORED.format(id_type)), "scored")
     rare = (scored.select("row", F.explode("rare").alias("token")).join(counts, "token")
             .groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("n") + 1)).alias("x")))
     zero = F.lit(0)
