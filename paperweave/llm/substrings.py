@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from paperweave.llm.common import slices, stored, stored_in_buckets, texts
 from paperweave.llm.suffix_arrays import repeated_windows
@@ -269,7 +268,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     once per home and flags come back once per home: a passage that a third of
     all texts share is one row per home on the way. A gram with more than HOT
     occurrences, whose contexts could overfill a shard, has its windows dealt
-    out by their 64-bit hash beside the gram's instead.
+    out by their 64-bit hash beside the gram's instead: these windows, and the
+    contexts of a gram, are taken for equal by 128 bits of hashes, not by their bytes.
 
     Null or empty texts, and those below ``size`` bytes, lose nothing. Null ids
     stay null, other columns are not read, an empty table gives no rows.
@@ -289,15 +289,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     unique = stored_in_buckets(once.repartition(buckets, "home").groupBy("home", "sha").agg(F.first("text").alias("text")),
                                "texts", buckets, "home")
 
-    counts = unique.select("home", "text").mapInArrow(_grams(size), "home int, gram long, n long")
-    repeated = (counts.withColumn("total", F.sum("n").over(W.partitionBy("gram"))).where("total > 1")
-                .select("home", "gram", (F.col("total") > HOT).alias("hot")).distinct())
+    counts = stored(unique.select("home", "text").mapInArrow(_grams(size), "home int, gram long, n long"), "grams")
+    # totals by partial sums, then a join: a gram of every home is one key that the join can split
+    totals = counts.groupBy("gram").agg(F.sum("n").alias("total")).where("total > 1")
+    repeated = counts.select("home", "gram").join(totals, "gram").select("home", "gram", (F.col("total") > HOT).alias("hot"))
     found = stored(unique.groupBy("home").cogroup(repeated.groupBy("home")).applyInArrow(
         _gather(size), "home int, gram long, content long, n long, hot boolean, data binary"), "contexts")
     cold = (found.where("not hot").repartition("gram").sortWithinPartitions("gram", "content")
             .mapInArrow(_search_shards(size), FLAGS))
-    hot = (found.where("hot").withColumn("total", F.sum("n").over(W.partitionBy("gram", "content"))).where("total > 1")
-           .select("home", "gram", "content", F.lit(None).cast("binary").alias("flag")))
+    windows = found.where("hot").select("home", "gram", "content", "n")
+    again_hot = windows.groupBy("gram", "content").agg(F.sum("n").alias("total")).where("total > 1").select("gram", "content")
+    hot = windows.select("home", "gram", "content").join(again_hot, ["gram", "content"], "left_semi").select(
+        "home", "gram", "content", F.lit(None).cast("binary").alias("flag"))
     # Texts that occur again repeat as a whole: told to their home by a row without a gram.
     again = rows.where(F.col("n_bytes") >= size).groupBy("sha").agg(F.count("*").alias("n")).where("n > 1").select(
         home.alias("home"), F.lit(None).cast("long").alias("gram"), F.lit(None).cast("long").alias("content"),
