@@ -85,9 +85,8 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = ()
     The deciding rule is the longest that fits (its host or a subdomain of it,
     and a path that starts with the rule's). Without a rule, a page is blocked
     if its canonical URL is listed. The Bloom filter of the listed URLs passes
-    few others; a hash join with the listed URLs removes those. A page that
-    the filter rules out gets a join key that nothing matches and that differs
-    from row to row, so such pages spread evenly. A listed URL that a third of
+    few others; a hash join with the listed URLs removes those. Pages that the
+    filter rules out bypass the join and its shuffle. A listed URL that a third of
     all pages carry is one build row; its probe side is split by AQE.
 
     Null url, or one without ``://``: host and path empty, no rule, allowed.
@@ -109,12 +108,10 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = ()
     hit = F.lit(True)
     for i, m in enumerate(masks):
         hit = hit & (F.col(f"_w{i}").bitwiseAND(m) != 0)
-    probe = probe.join(filter_table, "_block", "left").select(
-        F.col(id_col), "host", "path", "canonical",
-        F.when(F.coalesce(hit, F.lit(False)) & F.col("canonical").isNotNull(), F.col("canonical"))
-        .otherwise(F.concat(F.lit(" "), F.xxhash64(F.col(id_col), F.col("host"), F.col("path")).cast("string"))
-                   ).alias("_probe"))
-    joined = probe.join(keys.hint("shuffle_hash"), F.col("_probe") == F.col("_key"), "left")
+    possible = F.coalesce(hit, F.lit(False)) & F.col("canonical").isNotNull()
+    probe = probe.join(filter_table, "_block", "left").select(F.col(id_col), "host", "path", "canonical", possible.alias("_possible"))
+    hits = probe.where("_possible").join(keys.hint("shuffle_hash"), F.col("canonical") == F.col("_key"), "left")
+    joined = hits.unionByName(probe.where("not _possible").withColumn("_key", F.lit(None).cast("string")))
     ruled = lambda value: by_rule(F.col("host"), F.col("path"), rules, value)
     is_listed = F.col("_key").isNotNull()
     return joined.select(
