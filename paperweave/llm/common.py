@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -28,11 +29,16 @@ def _folder(spark: SparkSession, name: str = "") -> str:
     return scratch_path(spark, f"llm/{spark.sparkContext.applicationId}/{name}".rstrip("/"))
 
 
+def _table_name(spark: SparkSession, name: str = "") -> str:
+    """Of this application's own: others may share the catalog."""
+    return f"pw_{re.sub(r'[^a-z0-9]', '_', spark.sparkContext.applicationId.lower())}_{name}"
+
+
 def drop_stored(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application. Results that have
     not been written yet still read them."""
     for t in spark.catalog.listTables():
-        if t.name.startswith("pw_texts_"):
+        if t.name.startswith(_table_name(spark)):
             spark.sql(f"DROP TABLE IF EXISTS {t.name}")
     remove_path(spark, _folder(spark))
 
@@ -50,7 +56,8 @@ def stored_in_buckets(df: DataFrame, name: str, buckets: int, column: str) -> Da
     """As ``stored``, bucketed by ``column``: grouping by it reads the files in
     place. ``df`` must be partitioned by the column into as many parts, so that
     each bucket is one file."""
-    spark, table_name = df.sparkSession, f"pw_{name}_{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    table_name = _table_name(spark, f"{name}_{uuid.uuid4().hex}")
     path = _folder(spark, table_name)
     df.write.bucketBy(buckets, column).option("path", path).saveAsTable(table_name)
     return spark.table(table_name)

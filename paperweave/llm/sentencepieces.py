@@ -15,8 +15,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator, Sequence
-from functools import cached_property
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperweave.llm.common import slices
+from paperweave.worker import new_key, shared
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -208,20 +208,12 @@ class Encoder:
         return self.flat[ragged(self.start[at], sizes)], offsets
 
 
-class Model:
-    """A model file's bytes. The tasks of a Python worker share what they make of them."""
-
-    def __init__(self, content: bytes):
-        self.content = content
-
-    @cached_property
-    def encoder(self) -> Encoder:
-        return Encoder(Pieces(self.content))
-
-
-def _model(df: DataFrame, path: str):
+def _model(df: DataFrame, path: str) -> Callable[[], Encoder]:
+    """What gives a task the encoder of a model file, which the tasks of a Python worker share."""
     with open(path, "rb") as f:
-        return df.sparkSession.sparkContext.broadcast(Model(f.read()))
+        sent = df.sparkSession.sparkContext.broadcast(f.read())
+    key = new_key()
+    return lambda: shared(key, lambda: Encoder(Pieces(sent.value)))
 
 
 def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "ids",
@@ -244,7 +236,7 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col:
     wide = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names, strict=True)], F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = model.value.encoder
+        encoder = model()
         for batch in batches:
             for part in slices(batch, "text", PIECE):
                 rows = [t or "" for t in part.column("text").to_pylist()]
@@ -270,7 +262,7 @@ def decode(rows: DataFrame, model_path: str, *, ids_col: str = "ids", text_col:
     cols = [c for c in rows.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = model.value.encoder.pieces
+        pieces = model().pieces
         for batch in batches:
             lists = [x or [] for x in batch.column(ids_col).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
