@@ -14,12 +14,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperweave.functions.stem import stems
 from paperweave.functions.text import is_doi_like, like_pattern, py_strip, tokens
-from paperweave.functions.vectors import rounded
+from paperweave.functions.vectors import SCORE_DIGITS, rounded
 from paperweave.operators.topn import (
     BROADCAST_BYTES,
     BROADCAST_ROWS,
@@ -27,6 +27,7 @@ from paperweave.operators.topn import (
     fits_broadcast,
     top_n,
 )
+from paperweave.session import staged
 
 K1 = 1.2
 B = 0.75
@@ -46,10 +47,12 @@ NESTED_LOOP_QUERY_ROWS = 16
 @dataclass
 class TitleIndex:
     postings: DataFrame   # term, id, tf, doc_len (clustered by work id)
-    terms: DataFrame      # term, df (the term dictionary)
+    terms: DataFrame      # term, df (the term dictionary; a row per part for an index of several)
     stats: DataFrame      # one row: n_docs, avgdl
     stopwords: tuple = ()  # removed from titles and, by the query side, from queries
     stem: bool = False     # terms are stems, of titles and queries
+    bounds: DataFrame | None = None  # term, len_class, df, max_tf, min_len (of a saved index)
+    parts: int = 1         # segments that the index consists of
 
     def n_docs(self) -> Column:
         return self.stats.select("n_docs").scalar()
@@ -60,7 +63,12 @@ class TitleIndex:
     def postings_with_df(self) -> DataFrame:
         """Every posting with its term's document frequency. Search never
         needs this join: it looks up df for the query terms only."""
-        return self.postings.join(self.terms, "term").select("term", "id", "tf", "doc_len", "df")
+        return self.postings.join(self.df_of(), "term").select("term", "id", "tf", "doc_len", "df")
+
+    def df_of(self, some: DataFrame | None = None) -> DataFrame:
+        """(term, df), of all terms or of those in ``some`` (distinct; its broadcast already decided)."""
+        terms = self.terms if some is None else self.terms.join(some, "term", "left_semi")
+        return terms if self.bounds is None else terms.groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def _drop_stopwords(toks: Column, stopwords) -> Column:
@@ -96,7 +104,8 @@ def build_title_index(works: DataFrame, stopwords=(), partitions: int | None = N
     """
     docs = works.where(F.col("title").isNotNull()).select(
         "id", _drop_stopwords(tokens(F.col("title")), stopwords).alias("toks"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))
+    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"),
+                     F.coalesce(F.sum(F.size("toks")), F.lit(0)).alias("n_tokens"))
     by_id = docs.repartition(partitions, "id") if partitions else docs.repartition("id")
     tokens_of = by_id.select("id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term"))
     postings = ((_stemmed(tokens_of) if stem else tokens_of)
@@ -112,22 +121,29 @@ def build_title_index(works: DataFrame, stopwords=(), partitions: int | None = N
     return TitleIndex(postings=postings, terms=terms, stats=stats, stopwords=tuple(stopwords), stem=stem)
 
 
+def _len_class(doc_len: Column) -> Column:
+    """Lengths from one power of two to the next are a class."""
+    return F.length(F.bin(doc_len)).cast("int")
+
+
 def save_title_index(index: TitleIndex, path: str, mode: str = "overwrite",
-                     table: str | None = None, buckets: int | None = None) -> None:
+                     table: str | None = None, buckets: int | None = None, clustered: bool = True) -> None:
     """Persist the index as Parquet under ``path``.
 
     Postings keep their clustering by work id (``build_title_index``) and are
     sorted by term inside each file: all postings of one title sit in one
     task, so the per-(query, work) BM25 sum of a query batch completes in
     the map-side partial aggregate and only finished sums are shuffled.
-    ``buckets`` re-clusters them into that many files.
+    ``buckets`` re-clusters them into that many files; so does ``clustered=False``,
+    for postings that aren't clustered by id.
 
     With ``table`` (a catalog name) and ``buckets``, postings are saved as a
     table bucketed by id instead: the plan then knows the clustering, the
     sum needs no shuffle at all, and only each query's partial top-k moves.
     Build with ``partitions=buckets`` so each task writes one bucket file.
     The term dictionary is counted from the written postings and saved
-    sorted by term.
+    sorted by term, with what bounds a term's scores: for each class of title lengths its
+    highest frequency and least length.
     """
     post = index.postings
     if table:
@@ -135,26 +151,37 @@ def save_title_index(index: TitleIndex, path: str, mode: str = "overwrite",
          .option("path", f"{path}/postings").saveAsTable(table))
         saved = post.sparkSession.table(table)
     else:
-        post = post.repartition(buckets, "id") if buckets else post
+        post = post.repartition(buckets, "id") if buckets else post if clustered else post.repartition("id")
         post.sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
         saved = post.sparkSession.read.parquet(f"{path}/postings")
-    # the dictionary is counted from the written postings (one narrow column),
-    # so the titles are tokenized and shuffled once
-    terms = saved.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms.sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
+    # counted from the written postings (narrow columns), so the titles are
+    # tokenized and shuffled once; a term's few classes lie side by side
+    bounds = saved.groupBy("term", _len_class(F.col("doc_len")).alias("len_class")).agg(
+        F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"))
+    bounds.repartition("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
     stop = F.array(*[F.lit(w) for w in index.stopwords]).cast("array<string>")
     index.stats.withColumn("stopwords", stop).withColumn("stem", F.lit(index.stem)).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
 
 
+def merged_stats(stats: DataFrame) -> DataFrame:
+    """The statistics of several parts together: one row."""
+    n, tokens_ = F.sum("n_docs"), F.sum("n_tokens")
+    return stats.agg(n.alias("n_docs"), F.when(n > 0, tokens_ / n).alias("avgdl"), tokens_.alias("n_tokens"))
+
+
+def index_of(postings: DataFrame, bounds: DataFrame, stats: DataFrame, stopwords=(), stem: bool = False, parts: int = 1) -> TitleIndex:
+    """The index whose saved parts these are."""
+    return TitleIndex(postings=postings, terms=bounds.select("term", "df"), stats=stats, stopwords=tuple(stopwords or ()),
+                      stem=stem, bounds=bounds, parts=parts)
+
+
 def load_title_index(spark, path: str, table: str | None = None) -> TitleIndex:
     """Read an index written by ``save_title_index`` (``table``: the catalog
     name it was saved under, for the bucketed form)."""
     stats = spark.read.parquet(f"{path}/stats")
     kept = stats.select("stopwords", "stem").first()
-    stop = kept["stopwords"]
     postings = spark.table(table) if table else spark.read.parquet(f"{path}/postings")
-    return TitleIndex(postings=postings, terms=spark.read.parquet(f"{path}/terms"),
-                      stats=stats.select("n_docs", "avgdl"), stopwords=tuple(stop or ()), stem=kept["stem"])
+    return index_of(postings, spark.read.parquet(f"{path}/terms"), stats.select("n_docs", "avgdl", "n_tokens"), kept["stopwords"], kept["stem"])
 
 
 def query_terms(queries: DataFrame, stopwords=(), stem: bool = False) -> DataFrame:
@@ -182,18 +209,27 @@ def term_matches(index: TitleIndex, queries: DataFrame, broadcast_terms: bool |
         postings = postings.where(F.col("term").isin(wanted))
     if broadcast_terms is None:
         broadcast_terms = fits_broadcast(terms)
-    # df of the query terms only (at most one dictionary row per query term)
-    with_df = (F.broadcast(terms) if broadcast_terms else terms).join(index.terms, "term")
+    # df of the query terms only
+    asked = F.broadcast(terms) if broadcast_terms else terms
+    with_df = asked.join(index.df_of(asked.select("term")) if index.bounds is not None else index.terms, "term")
     return (F.broadcast(with_df) if broadcast_terms else with_df).join(postings, "term")
 
 
+def _idf(n: Column, df: Column) -> Column:
+    return F.log10((n - df + 0.5) / (df + 0.5) + 1)
+
+
+def _tf_part(tf: Column, doc_len: Column, avgdl: Column, k1: float, b: float) -> Column:
+    """Grows with tf, falls with doc_len."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_len / avgdl))
+
+
 def bm25_scores(index: TitleIndex, queries: DataFrame, k1: float = K1, b: float = B,
                 broadcast_terms: bool | None = None, few_terms: bool = False) -> DataFrame:
     """A2: BM25 score of every (query, work) sharing at least one term."""
     n, avgdl = index.n_docs(), index.avgdl()
     df, tf, dl = F.col("df"), F.col("tf"), F.col("doc_len")
-    idf = F.log10((n - df + 0.5) / (df + 0.5) + 1)
-    part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+    part = _idf(n, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
     return (term_matches(index, queries, broadcast_terms, few_terms)
             .groupBy("query_id", "id").agg(F.sum(part).alias("raw_score"))
             .select("query_id", "id", rounded(F.col("raw_score")).alias("score")))
@@ -202,8 +238,89 @@ def bm25_scores(index: TitleIndex, queries: DataFrame, k1: float = K1, b: float
 def bm25_top(index: TitleIndex, queries: DataFrame, limit: int = SEARCH_LIMIT,
              broadcast_terms: bool | None = None, few_terms: bool = False) -> DataFrame:
     """L1: best ``limit`` works per query, score descending then id."""
-    return top_n(bm25_scores(index, queries, broadcast_terms=broadcast_terms, few_terms=few_terms), ["query_id"],
-                 [F.col("score").desc(), F.col("id").asc()], limit, rank_col="rank")
+    return _ranked(bm25_scores(index, queries, broadcast_terms=broadcast_terms, few_terms=few_terms), limit)
+
+
+def _ranked(scores: DataFrame, limit: int) -> DataFrame:
+    return top_n(scores, ["query_id"], [F.col("score").desc(), F.col("id").asc()], limit, rank_col="rank")
+
+
+@dataclass
+class PrunedSearch:
+    top: DataFrame         # as bm25_top
+    met: DataFrame         # query_id, id, partial: pairs that share a term which can decide
+    scored: DataFrame      # query_id, id, score: pairs scored with all their terms
+
+
+def bm25_pruned(index: TitleIndex, queries: DataFrame, limit: int = SEARCH_LIMIT, k1: float = K1, b: float = B) -> PrunedSearch:
+    """L1 without scoring every pair that shares a term (max-score pruning); exact.
+
+    A term's score in a class of title lengths is at most that of its highest frequency in the least length. (1) The rarer half
+    of a query's terms finds ``limit`` works, whose whole scores give a score to beat. (2) In each class, the
+    terms of the lowest bounds that together can't reach it are set aside: a work with no other term is never met, so
+    the long postings of common terms are not joined. Works met stay if the terms set aside could still lift
+    them over the score to beat. (3) Only these are scored with the terms set aside, by an equi-join on work and term.
+
+    Needs a saved index (``save_title_index`` or segments). Small intermediate tables (query terms, scores to beat, pairs met) are stored in
+    the scratch folder. Best for many works and queries with common terms; a small
+    table of short titles is scored faster as a whole.
+    """
+    if index.bounds is None:
+        raise ValueError("pruning needs a saved index")
+    stats = index.stats.select("n_docs", "avgdl").first()
+    n, avgdl = F.lit(stats["n_docs"] or 0), F.lit(float(stats["avgdl"] or 1.0))
+    asked = query_terms(queries, index.stopwords, index.stem)
+    own = index.bounds.join(checked_broadcast(asked.select("term").distinct()), "term", "left_semi").groupBy("term", "len_class").agg(
+        F.sum("df").alias("class_df"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
+    idf = own.groupBy("term").agg(F.sum("class_df").alias("df")).select("term", _idf(n, F.col("df")).alias("idf"))
+    most = F.col("idf") * _tf_part(F.col("max_tf"), F.col("min_len"), avgdl, k1, b)
+    terms = _staged(asked.join(own, "term").join(idf, "term").select("query_id", "term", "idf", "len_class", most.alias("most")), "terms")
+    postings = index.postings.withColumn("len_class", _len_class(F.col("doc_len")))
+    part = F.col("idf") * _tf_part(F.col("tf"), F.col("doc_len"), avgdl, k1, b)
+
+    def met(some: DataFrame, value: str) -> DataFrame:
+        """What the classes of terms in ``some`` give to the works that hold them."""
+        return (checked_broadcast(some.select("query_id", "term", "len_class", "idf")).join(postings, ["term", "len_class"])
+                .groupBy("query_id", "id").agg(F.sum(part).alias(value), F.first("len_class").alias("len_class")))
+
+    def given(pairs: DataFrame, some: DataFrame) -> DataFrame:
+        """What the classes of terms in ``some`` give to these pairs (query_id, id, len_class)."""
+        wanted = pairs.select("query_id", "id", "len_class").join(some.select("query_id", "term", "len_class", "idf"), ["query_id", "len_class"])
+        return (checked_broadcast(wanted).join(postings.drop("len_class"), ["id", "term"])
+                .groupBy("query_id", "id").agg(F.sum(part).alias("more")))
+
+    # (1) a score that limit works reach
+    by_term = terms.groupBy("query_id", "term").agg(F.max("most").alias("most"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("most").desc(), "term"))
+    of = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    rarer = by_term.withColumns({"_nth": nth, "_of": of}).where(2 * F.col("_nth") <= F.col("_of") + 1).select("query_id", "term")
+    rare_terms, other = terms.join(rarer, ["query_id", "term"], "left_semi"), terms.join(rarer, ["query_id", "term"], "left_anti")
+    first = _staged(top_n(met(rare_terms, "partial"), ["query_id"], [F.col("partial").desc(), F.col("id")], limit), "first")
+    whole = first.join(given(first, other), ["query_id", "id"], "left").withColumn("score", F.col("partial") + F.coalesce("more", F.lit(0.0)))
+    # (2) the terms that decide, class by class; scores are compared as rounded ones are
+    beat = F.coalesce("beat", F.lit(0.0)) - 10.0 ** (1 - SCORE_DIGITS)
+    upto = F.sum("most").over(Window.partitionBy("query_id", "len_class").orderBy("most", "term"))
+    flagged = _staged(terms.join(_beat_table(whole, limit), "query_id", "left").withColumn("beat", beat)
+                      .withColumn("decides", upto >= F.col("beat")), "flags")
+    rest = flagged.groupBy("query_id", "len_class").agg(
+        F.max("beat").alias("beat"), F.coalesce(F.sum(F.when(~F.col("decides"), F.col("most"))), F.lit(0.0)).alias("rest"))
+    pairs = _staged(met(flagged.where("decides"), "partial").join(rest, ["query_id", "len_class"])
+                    .withColumn("stays", F.col("partial") + F.col("rest") >= F.col("beat")), "met")
+    # (3) the rest of the scores of those that stay
+    stay = pairs.where("stays")
+    scored = stay.join(given(stay, flagged.where("not decides")), ["query_id", "id"], "left").select(
+        "query_id", "id", rounded(F.col("partial") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    return PrunedSearch(top=_ranked(scored, limit), met=pairs.select("query_id", "id", "partial"), scored=scored)
+
+
+def _beat_table(whole: DataFrame, limit: int) -> DataFrame:
+    """(query_id, beat): the least of ``limit`` whole scores; queries with fewer have none."""
+    return (whole.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("beat"))
+            .where(F.col("_n") >= limit).select("query_id", "beat"))
+
+
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    return staged(df, f"bm25-{name}")[0]
 
 
 DOI_RESOLVER = r"^(?i)(https?://)?(dx\.)?doi\.org/"

@@ -13,7 +13,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from paperweave.operators.manifest import committed_loads, track_loads
 from paperweave.operators.topn import top_n
 from paperweave.schemas import TABLE_SCHEMAS
 from paperweave.session import hadoop_path, remove_path
@@ -32,13 +34,15 @@ def create_tables(spark: SparkSession, root: str, names: Sequence[str] = tuple(T
     """K1: create the empty tables if they do not exist (idempotent).
 
     ``mode("ignore")`` writes only when the folder is absent, so a second
-    call leaves existing data untouched. With ``database``, each table is also
+    call leaves existing data untouched. From then on a load counts when its
+    commit record is written (``manifest``). With ``database``, each table is also
     a catalog table of that database over its folder (created if absent); one
     database holds the tables of one root, and another root is an error.
     """
     if database:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     paths = {}
+    track_loads(spark, root)
     for name in names:
         path = table_path(root, name)
         restore(spark, path)
@@ -53,15 +57,24 @@ def create_tables(spark: SparkSession, root: str, names: Sequence[str] = tuple(T
 
 
 def read_table(spark: SparkSession, root: str, name: str, without_load: str | None = None) -> DataFrame:
-    """Read a table with its declared schema (extra partition columns such as
-    the ``load`` folder are discovered and dropped). ``without_load`` leaves
-    out the rows of that load: what the table held before it."""
+    """Read a table with its declared schema, without the ``load`` folder's
+    column. Rows that were appended without a load count, and those of committed
+    loads: a reader never sees a load in one table and not in another.
+    ``without_load`` leaves out the rows of that load: what the table held before it."""
     schema = TABLE_SCHEMAS[name]
     path = table_path(root, name)
     restore(spark, path)
+    fs, folder = hadoop_path(spark, path)
+    if any(s.getPath().getName().startswith("load=") for s in fs.listStatus(folder)):
+        # the folder's value is a string, whatever it looks like
+        df = spark.read.schema(T.StructType([*schema.fields, T.StructField("load", T.StringType())])).parquet(path)
+        done = committed_loads(spark, root)
+        if done is not None:
+            df = df.where(F.col("load").isNull() | F.col("load").isin(done))
+        if without_load is not None:
+            df = df.where(~F.col("load").eqNullSafe(without_load))
+        return df.select(*schema.fieldNames())
     df = spark.read.option("mergeSchema", "false").parquet(path)
-    if without_load is not None and "load" in df.columns:
-        df = df.where(~F.col("load").cast("string").eqNullSafe(without_load))
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 

@@ -170,6 +170,8 @@ _SEARCH["hits_s"] = f"""
         UNION ALL SELECT query_id, 'bm25' AS route, rank, id, score FROM bm25_top) h
   JOIN papers_v p ON p.id = h.id"""
 
+_TITLE_TOP = {"title_top": _top(_bm25_scores("title_q"), "score DESC, id", 20, "query_id, id, score")}
+
 _SUBSTR_HITS = """
   SELECT q.query_id, w.id FROM works_v w JOIN substr_q q
     ON w.title IS NOT NULL AND contains(lower(w.title), lower(q.q))"""
@@ -297,6 +299,8 @@ ORACLE: dict[str, str] = {
   JOIN postings_i p ON p.term = qt.term""", _QUERIES, _INDEX),
     "a2_bm25_scores": _whole(_bm25_scores("title_q"), _QUERIES, _INDEX),
     "l1_search": _whole("SELECT * FROM hits_s", _QUERIES, _INDEX, _SEARCH),
+    "l1_pruned_search": _whole("SELECT query_id, id, score, rank FROM title_top", _QUERIES, _INDEX, _TITLE_TOP),
+    "a1_segment_search": _whole("SELECT query_id, id, score, rank FROM title_top", _QUERIES, _INDEX, _TITLE_TOP),
     "x5_doi_like": _with("SELECT query_id, contains(q, '10.') AND contains(q, '/') AS doi_like FROM search_q",
                          _QUERIES),
     "l5_doi_first": _with("SELECT query_id, id, rank FROM doi_first", _QUERIES, _DOI),
@@ -393,6 +397,13 @@ ORACLE: dict[str, str] = {
   UNION ALL SELECT 'citation' AS kind, id AS a, unnest(referenced_works) AS b FROM raw_v WHERE referenced_works IS NOT NULL""", _RAW),
     "n3_stream_filtered": _with(_LOADED, _RAW),
     "k2_insert_ignore": _with("SELECT id, title, publication_year FROM works_v WHERE type <> 'article'"),
+    "n3_tracked_stream": _with(f"""{_LOADED}
+  UNION ALL SELECT 'hit' AS kind, query_id || '#' || rank AS a, id AS b FROM title_top""", _RAW, _QUERIES, {**_INDEX, "docs_i": f"""
+  SELECT split_part(id, '/', -1) AS id, {_TOK.format('title')} AS toks FROM kept WHERE title IS NOT NULL"""}, _TITLE_TOP),
+    "k4_bucket_upsert": _with("""
+  SELECT paper_id, CAST(len(e) AS INTEGER) AS dim, round(CAST(e[1] AS DOUBLE), 6) AS first FROM (
+    SELECT paper_id, CASE WHEN CAST(substr(paper_id, 2) AS BIGINT) % 50 = 0 THEN list_reverse(embedding) ELSE embedding END AS e
+    FROM vectors_v)"""),
     "k4_upsert_vectors": _with("""
   SELECT paper_id, CAST(len(e) AS INTEGER) AS dim, round(CAST(e[1] AS DOUBLE), 6) AS first FROM (
     SELECT paper_id, CASE WHEN paper_id IN (SELECT id FROM works_v) THEN list_reverse(embedding)

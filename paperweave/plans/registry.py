@@ -21,6 +21,10 @@ from paperweave.session import scratch_path
 from paperweave.sources import driver_tables as dt
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+#: A search over words that carry meaning leaves these out: fixed values, the most common English ones.
+STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the",
+             "this", "to", "was", "with")
 _REGISTRY: dict[str, Query] = {}
 
 
@@ -135,6 +139,35 @@ def l1_search(spark, sf):
     return search(dt.search_works(spark, sf), dt.search_queries(spark, sf)).hits
 
 
+@register("l1_pruned_search")
+def l1_pruned_search(spark, sf):
+    """The best 20 of every passage from a saved index, with max-score pruning."""
+    from paperweave.operators.search import bm25_pruned, load_title_index, save_title_index
+    path = _scratch(spark, "index")
+    save_title_index(_index(spark, sf), path)
+    return bm25_pruned(load_title_index(spark, path), dt.title_queries(spark, sf)).top
+
+
+@register("l1_stemmed_search")
+def l1_stemmed_search(spark, sf):
+    """The best 20 of every passage by Porter stems, without stop words."""
+    from paperweave.operators.search import bm25_top, build_title_index
+    index = build_title_index(dt.search_works(spark, sf), stopwords=STOPWORDS, stem=True)
+    return bm25_top(index, dt.title_queries(spark, sf))
+
+
+@register("a1_segment_search")
+def a1_segment_search(spark, sf):
+    """The works come in ten loads; the best 20 of every passage from the segments, some of them merged."""
+    from paperweave.operators.search import bm25_top
+    from paperweave.operators.segments import add_segment, load_segments
+    path, works = _scratch(spark, "segments"), dt.search_works(spark, sf)
+    load = F.pmod(F.xxhash64("id"), F.lit(10))
+    for k in range(10):
+        add_segment(works.where(load == k), path, f"load-{k}")
+    return bm25_top(load_segments(spark, path), dt.title_queries(spark, sf))
+
+
 @register("x5_doi_like")
 def x5_doi_like(spark, sf):
     from paperweave.functions.text import is_doi_like
@@ -455,6 +488,36 @@ def k4_upsert_vectors(spark, sf):
                       F.round(F.get("embedding", 0).cast("double"), 6).alias("first"))
 
 
+@register("k4_bucket_upsert")
+def k4_bucket_upsert(spark, sf):
+    """All vectors, then every fiftieth one reversed: only its buckets are rewritten."""
+    from paperweave.operators.bucketed import create_bucketed, read_bucketed, upsert_bucketed
+    v = dt.vector_cache(spark, sf)
+    path = _scratch(spark, "k4-buckets")
+    create_bucketed(spark, path, v.schema, ["paper_id"], 64)
+    upsert_bucketed(v, path)
+    some = v.where(F.expr("cast(substr(paper_id, 2) as bigint) % 50 = 0"))
+    upsert_bucketed(some.select("paper_id", F.reverse("embedding").alias("embedding")), path)
+    return read_bucketed(spark, path).select("paper_id", F.size("embedding").alias("dim"),
+                                             F.round(F.get("embedding", 0).cast("double"), 6).alias("first"))
+
+
+@register("n3_tracked_stream")
+def n3_tracked_stream(spark, sf):
+    """The file stream with an id table and a segmented index: what it has stored, and the best 20 of every passage over its titles."""
+    from paperweave.operators.search import bm25_top
+    from paperweave.operators.segments import load_segments
+    from paperweave.operators.tables import read_table
+    from paperweave.streaming.incremental import stream_filtered
+    path, root = dt.write_snapshot(dt.snapshot_lines(spark, sf), _scratch(spark, "n3t")), _scratch(spark, "n3t-tables")
+    segments = _scratch(spark, "n3t-index")
+    stream_filtered(spark, path, ["C1", "C3"], root, _scratch(spark, "n3t-stream"), max_files_per_trigger=10, segments_path=segments,
+                    ids_path=_scratch(spark, "n3t-ids")).awaitTermination()
+    top = bm25_top(load_segments(spark, segments), dt.title_queries(spark, sf))
+    hits = top.select(F.lit("hit").alias("kind"), F.concat_ws("#", "query_id", "rank").alias("a"), F.col("id").alias("b"))
+    return _loaded(read_table(spark, root, "works"), read_table(spark, root, "citations")).unionByName(hits)
+
+
 @register("j3_cached_vectors")
 def j3_cached_vectors(spark, sf):
     _, _, v, s = _tables(spark, sf)

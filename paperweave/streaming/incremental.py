@@ -14,29 +14,49 @@ location, so two streams into the same tables never share a folder.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paperweave.operators.search import build_title_index, save_title_index
+from paperweave.operators.segments import add_segment
 from paperweave.operators.tables import create_tables, read_table
-from paperweave.plans.load import _write, filtered_batch, stage_filtered
+from paperweave.plans.load import _remember, _unknown, _write, filtered_batch, stage_filtered, track_ids
 from paperweave.schemas import RAW_WORK
 from paperweave.session import remove_path, staged
 from paperweave.sources.snapshot import FILE_COL, LINE_COL
 
 
+@dataclass
+class Progress:
+    """Counters of a micro-batch: records read, records that the filter keeps,
+    works that are new, citations."""
+    batch_id: int
+    records: int
+    kept: int
+    works: int
+    citations: int
+
+
 def stream_filtered(spark: SparkSession, path: str, concept_ids: Iterable[str] | DataFrame, root: str,
                     checkpoint_location: str, glob: str | None = "*.gz",
                     max_files_per_trigger: int | None = None, available_now: bool = True,
                     ignore_corrupt_files: bool = True, name: str | None = None,
-                    index_path: str | None = None) -> StreamingQuery:
-    """``concept_ids``: a list or a table, as for the batch loader. With
-    ``index_path``, the title index is built anew from the stored works after
-    each micro-batch that adds some, as after a batch load."""
+                    index_path: str | None = None, segments_path: str | None = None, ids_path: str | None = None,
+                    on_progress: Callable[[Progress], None] | None = None) -> StreamingQuery:
+    """``concept_ids``: a list or a table, as for the batch loader.
+
+    ``segments_path``: each micro-batch adds its own works to the title index there, as
+    a segment (``operators.segments``). ``ids_path``: new works are found by the id table there
+    (``plans.load.track_ids``), which reads as much as the batch asks for, not all stored ids. ``index_path``: the title index is built anew from the stored works after
+    each micro-batch that adds some, as after a batch load. ``on_progress`` gets the
+    counters of each micro-batch (A3), observed while its rows are staged and written: no pass of their own."""
     create_tables(spark, root)
+    if ids_path:
+        track_ids(spark, root, ids_path)
     name = name or hashlib.sha1(checkpoint_location.encode()).hexdigest()[:12]
     if not isinstance(concept_ids, DataFrame):
         concept_ids = list(concept_ids)
@@ -51,13 +71,21 @@ def stream_filtered(spark: SparkSession, path: str, concept_ids: Iterable[str] |
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         load_id = f"stream-{name}-{batch_id}"
         raw = batch.withColumn(LINE_COL, F.monotonically_increasing_id())
-        rows, kept, folder = stage_filtered(raw, concept_ids)
+        scanned, added, edges = Observation(), Observation(), Observation()
+        rows, kept, folder = stage_filtered(raw, concept_ids, scanned)
         out = filtered_batch(rows, concept_ids, read_table(spark, root, "works", without_load=load_id),
-                             metrics=False, kept=kept)
-        works, works_folder = staged(out.works, "works")
-        _write(spark, root, works, out.citations, load_id)
-        if index_path and works.limit(1).count():
+                             metrics=False, kept=kept, unknown=_unknown(spark, root, ids_path, load_id) if ids_path else None)
+        works, works_folder = staged(out.works.observe(added, F.count(F.lit(1)).alias("works")), "works")
+        if ids_path:
+            _remember(works, ids_path, load_id)
+        _write(spark, root, works, out.citations.observe(edges, F.count(F.lit(1)).alias("citations")), load_id)
+        if index_path and added.get["works"]:
             save_title_index(build_title_index(read_table(spark, root, "works")), index_path)
+        if segments_path and added.get["works"]:
+            add_segment(works, segments_path, load_id)
+        if on_progress:
+            on_progress(Progress(batch_id=batch_id, records=scanned.get["records"], kept=scanned.get["kept"],
+                                 works=added.get["works"], citations=edges.get["citations"]))
         for f in (folder, works_folder):
             remove_path(spark, f)
 
