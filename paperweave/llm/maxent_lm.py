@@ -51,6 +51,7 @@ BATCH = 1 << TOKEN_BITS      # tokens of one gradient update
 RATE = 1.0
 SHRINK = 4.0                 # a row's gradient is its sum over this many occurrences more than it has
 LIMIT = 8.0                  # of a weight: sums of a few stay within what an exponential can take
+LIMITED = 4                  # batches after which the weights are brought back to it
 ROUNDS = 2
 BLOCK = 512                  # rows of weights that are averaged together
 SENT = 512                   # blocks that are broadcast at once: the driver never holds all weights
@@ -173,10 +174,11 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     """The most frequent words, KNOWN and KNOWN_BYTES at most: those above the count that a
     histogram of counts shows to leave no more, long words too. Driver and tasks hold these
     and the sums of at most LEAVES leaves."""
-    n, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     step = F.floor(BINS * F.log2(F.col("n"))).cast("int")
+    bins = counts.groupBy(step.alias("b")).agg(F.count("*"), F.sum(F.octet_length("token")), F.sum("n")).collect()
+    n, distinct = sum(r[3] for r in bins), sum(r[1] for r in bins)
     least, held, size = None, 0, 0
-    for b, k, z in sorted(counts.groupBy(step.alias("b")).agg(F.count("*").alias("k"), F.sum(F.octet_length("token"))).collect(), reverse=True):
+    for b, k, z, _ in sorted(bins, reverse=True):
         held, size = held + k, size + z
         if held > KNOWN or size > KNOWN_BYTES:
             break
@@ -242,6 +244,7 @@ class Model:
         """The same model with weights that can be changed."""
         out = copy(self)
         out.weights = [w.copy() for w in self.weights]
+        out._counts = [np.zeros(len(w), np.float32) for w in self.weights]
         return out
 
     def read(self, rows: Sequence[bytes]):
@@ -310,39 +313,29 @@ class Model:
         return total
 
     def step(self, out: np.ndarray, features: np.ndarray, rate: float, touched: list[np.ndarray]) -> None:
-        """One gradient update, over BATCH tokens at most, of all rows that these
-        use. A sort brings the tokens of a row together; most rows have one token and need no sum. Work and
+        """One gradient update of all rows that the tokens use: a row moves by
+        the sum of its tokens' errors over SHRINK more than their number. Work and
         memory follow the tokens, not the size of the weights."""
         for k, _, x, hit, places in self._factors(out, features):
-            n = np.arange(len(hit))
             err = np.exp(x, out=x)
-            err /= (err @ np.ones(x.shape[1], np.float32))[:, None]
-            err[n, hit] -= 1
+            width = x.shape[1]
+            err /= (err @ np.ones(width, np.float32))[:, None]
+            err[np.arange(len(hit)), hit] -= 1
+            # two weights travel as one complex number, which halves the steps of the scatter
+            flat, counts, columns = self.weights[k].view(np.complex64).reshape(-1), self._counts[k], np.arange(width // 2)
             for p in places:
-                by_row = np.sort((p << TOKEN_BITS) | n)          # the row, then the token
-                row, token = by_row >> TOKEN_BITS, by_row & (BATCH - 1)
-                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                used = np.diff(np.append(first, len(row)))
-                touched[k][row[first]] += used
-                once = first[used == 1]
-                self._move(k, row[once], np.take(err, token[once], axis=0), rate / (1 + SHRINK))
-                if len(once) < len(first):
-                    many = used > 1
-                    of = np.take(err, token[np.repeat(many, used)], axis=0)
-                    some = used[many]
-                    self._move(k, row[first[many]], np.add.reduceat(of, np.cumsum(some) - some, axis=0),
-                               (rate / (some + SHRINK)).astype(np.float32)[:, None])
-
-    def _move(self, k: int, rows: np.ndarray, g: np.ndarray, by) -> None:
-        """The rows of the weights ``k`` against their gradients ``g``, which are used up. Rows travel as one item each."""
-        item = np.dtype((np.void, 4 * g.shape[1]))
-        whole = self.weights[k].view(item).ravel()
-        new = whole.take(rows)
-        values = new.view(np.float32).reshape(g.shape)
-        g *= by
-        values -= g
-        np.clip(values, -LIMIT, LIMIT, out=values)
-        whole[rows] = new
+                counts[p] = 0
+                np.add.at(counts, p, np.float32(1))
+                used = counts[p]
+                np.add.at(touched[k], p, np.float32(1))
+                step = err * (rate / (used + SHRINK)).astype(np.float32)[:, None]
+                np.subtract.at(flat, (p[:, None] * (width // 2) + columns).reshape(-1), step.view(np.complex64).reshape(-1))
+
+    def limit(self) -> None:
+        """Bring the weights back between the limits. A batch moves a row by less than three, so after LIMITED batches
+        the exponentials are still finite."""
+        for w in self.weights:
+            np.clip(w, -LIMIT, LIMIT, out=w)
 
 
 class Sent(NamedTuple):
@@ -378,6 +371,9 @@ def _train_tasks(sent: tuple):
                 for at in range(0, len(out), BATCH):
                     model.step(out[at:at + BATCH], features[:, at:at + BATCH], RATE / np.sqrt(1 + batch_no / 16), touched)
                     batch_no += 1
+                    if batch_no % LIMITED == 0:
+                        model.limit()
+        model.limit()
         task, rows = TaskContext.get().partitionId(), []
         block = 0
         for old, new, used in zip(base.weights, model.weights, touched, strict=True):
