@@ -155,10 +155,10 @@ def save_title_index(index: TitleIndex, path: str, mode: str = "overwrite",
         post.sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
         saved = post.sparkSession.read.parquet(f"{path}/postings")
     # counted from the written postings (narrow columns), so the titles are
-    # tokenized and shuffled once; a term's few classes lie side by side
+    # tokenized and shuffled once
     bounds = saved.groupBy("term", _len_class(F.col("doc_len")).alias("len_class")).agg(
         F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"))
-    bounds.repartition("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
+    bounds.sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
     stop = F.array(*[F.lit(w) for w in index.stopwords]).cast("array<string>")
     index.stats.withColumn("stopwords", stop).withColumn("stem", F.lit(index.stem)).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
 

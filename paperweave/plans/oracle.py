@@ -359,7 +359,7 @@ ORACLE: dict[str, str] = {
     "x2_filter_concepts_table": _with("""
   SELECT id FROM raw_v WHERE split_part(c1, '/', -1) IN (SELECT 'C' || (doc_id * 2 + 1) FROM documents)
     OR split_part(c2, '/', -1) IN (SELECT 'C' || (doc_id * 2 + 1) FROM documents)""", _RAW),
-    "x7_short_patterns": _with("""
+    "x7_short_patterns": _whole("""
   SELECT q.query_id, w.id FROM works_v w JOIN (
       SELECT item_id * 2 AS query_id, substr(text, 1, 1) AS q FROM benchmark
       UNION ALL SELECT item_id * 2 + 1, substr(text, 1, 2) FROM benchmark) q

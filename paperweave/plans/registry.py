@@ -81,6 +81,14 @@ def v3_similar(spark, sf):
     return similar(v, s, limit=20)
 
 
+@register("v3_similar_approximate")
+def v3_similar_approximate(spark, sf):
+    """Approximate neighbours of every vector; tests measure how many of the true ones it finds."""
+    from paperweave.operators.lsh import similar_approximate
+    _, _, v, s = _tables(spark, sf)
+    return similar_approximate(v, s, limit=20, tables=16, bits=4, probes=1)
+
+
 @register("p5_as_paper")
 def p5_as_paper(spark, sf):
     return as_paper(dt.works(spark, sf))
@@ -327,7 +335,7 @@ def x7_short_patterns(spark, sf):
     b = dt._table(spark, sf, "benchmark")
     q = b.select(F.explode(F.array(F.struct((F.col("item_id") * 2).alias("query_id"), F.substring("text", 1, 1).alias("q")),
                                    F.struct((F.col("item_id") * 2 + 1).alias("query_id"), F.substring("text", 1, 2).alias("q")))).alias("s"))
-    return substring_hits(dt.works(spark, sf), q.select("s.*"))
+    return substring_hits(dt.search_works(spark, sf), q.select("s.*"))
 
 
 # ---------------------------------------------------------------- snapshot files

@@ -313,3 +313,66 @@ def test_state_files_hold_names_only(spark, tmp):
         if n.endswith(".json"):
             with open(f"{tmp}/_manifest/{n}") as f:
                 assert "secret-value" not in json.dumps(json.load(f))
+
+
+# ---------------------------------------------------------------- similarity
+
+def vectors(spark, n, dim, seed=1, clusters=12):
+    import numpy as np
+    rnd = np.random.default_rng(seed)
+    centres = rnd.normal(size=(clusters, dim))
+    rows = [(f"W{i}", (centres[i % clusters] + 0.25 * rnd.normal(size=dim)).astype(np.float32).tolist()) for i in range(n)]
+    return spark.createDataFrame(rows + [("Wz", [0.0] * dim), ("Wn", None)], "paper_id string, embedding array<float>")
+
+
+@pytest.fixture()
+def many_partitions(spark):
+    """As on a cluster: keys that belong together must meet by their hash, not by chance in one partition."""
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "31"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def brute_cosine(spark_rows, limit):
+    import numpy as np
+    ids = [r.paper_id for r in spark_rows if r.embedding and any(r.embedding)]
+    m = np.array([r.embedding for r in spark_rows if r.embedding and any(r.embedding)], np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(m @ m.T, 6)
+    return {i: [j for _, j in sorted((-s[a, b], ids[b]) for b in range(len(ids)) if ids[b] != i)[:limit]] for a, i in enumerate(ids)}
+
+
+@pytest.mark.parametrize("block_rows", [None, 23])
+def test_exact_similarity_over_many_partitions(spark, many_partitions, block_rows):
+    from paperweave.operators.similarity import similar
+    v = vectors(spark, 150, 8).cache()
+    got = {}
+    for r in similar(v, v.selectExpr("paper_id AS seed_id"), 5, block_rows=block_rows).orderBy("seed_id", "rank").collect():
+        got.setdefault(r.seed_id, []).append(r.id)
+    assert got == brute_cosine(v.collect(), 5)
+
+
+def test_approximate_similarity_finds_near_neighbours(spark, many_partitions, monkeypatch):
+    import paperweave.operators.lsh as lsh
+    v = vectors(spark, 600, 32, seed=2).cache()
+    v = v.union(spark.createDataFrame([(f"copy{i}", v.first().embedding) for i in range(50)], v.schema)).cache()
+    want = brute_cosine(v.collect(), 10)
+    for rows in (lsh.GROUP_ROWS, 16):                       # groups as they are, and dealt out in parts
+        monkeypatch.setattr(lsh, "GROUP_ROWS", rows)
+        got = lsh.similar_approximate(v, v.selectExpr("paper_id AS seed_id"), 10, tables=10, bits=5, probes=1).collect()
+        pairs = {(r.seed_id, r.id) for r in got}
+        found = sum((i, j) in pairs for i, js in want.items() for j in js) / sum(map(len, want.values()))
+        assert found >= 0.9 and max(r["rank"] for r in got) == 10
+
+
+def test_approximate_similarity_on_whole_tables(spark):
+    """On random vectors, whose neighbours are at wide angles, most pairs have to be compared."""
+    from paperweave.plans.registry import registry
+    sf = "/root/testdata/sf0.01"
+    pairs = lambda n: {(r.seed_id, r.id) for r in registry()[n](spark, sf).collect()}
+    want = pairs("v3_similar")
+    assert len(want & pairs("v3_similar_approximate")) >= 0.9 * len(want)
