@@ -45,7 +45,7 @@ LEAVES = 1 << 23             # leaves at most; beyond it, more words share one
 KNOWN = 1 << 18              # words whose counts are broadcast, at most; others are joined
 KNOWN_BYTES = 32 << 20       # of these words
 FLUSH = 1 << 19              # distinct words that a counting task holds
-PIECE = 2 << 20              # bytes of text that a task works on at once
+PIECE = 1 << 20              # bytes of text that a task works on at once
 TOKEN_BITS = 15
 BATCH = 1 << TOKEN_BITS      # tokens of one gradient update
 RATE = 1.0
@@ -244,7 +244,7 @@ class Model:
         """The same model with weights that can be changed."""
         out = copy(self)
         out.weights = [w.copy() for w in self.weights]
-        out._counts = [np.zeros(len(w), np.float32) for w in self.weights]
+        out._moves, out._where = np.empty((BATCH, max(WIDTHS)), np.float32), np.empty((BATCH, max(WIDTHS) // 2), np.int64)
         return out
 
     def read(self, rows: Sequence[bytes]):
@@ -309,27 +309,27 @@ class Model:
             part = total[at:at + BATCH]
             for _, who, x, hit, _ in self._factors(out[at:at + BATCH], features[:, at:at + BATCH]):
                 own = x[np.arange(len(hit)), hit].astype(np.float64)
-                part[slice(None) if who is None else who] += own - np.log((np.exp(x) @ np.ones(x.shape[1], np.float32)).astype(np.float64))
+                part[slice(None) if who is None else who] += own - np.log((np.exp(x, out=x) @ np.ones(x.shape[1], np.float32)).astype(np.float64))
         return total
 
     def step(self, out: np.ndarray, features: np.ndarray, rate: float, touched: list[np.ndarray]) -> None:
-        """One gradient update of all rows that the tokens use: a row moves by
-        the sum of its tokens' errors over SHRINK more than their number. Work and
-        memory follow the tokens, not the size of the weights."""
+        """One gradient update, over BATCH tokens at most, of all rows that these use: a
+        row moves by the sum of its tokens' errors over SHRINK more than their number. Work and
+        memory follow the tokens, not the size of the weights; ``touched`` counts the tokens of each row."""
         for k, _, x, hit, places in self._factors(out, features):
+            n, width = x.shape
             err = np.exp(x, out=x)
-            width = x.shape[1]
             err /= (err @ np.ones(width, np.float32))[:, None]
-            err[np.arange(len(hit)), hit] -= 1
+            err[np.arange(n), hit] -= 1
             # two weights travel as one complex number, which halves the steps of the scatter
-            flat, counts, columns = self.weights[k].view(np.complex64).reshape(-1), self._counts[k], np.arange(width // 2)
+            flat, half, seen = self.weights[k].view(np.complex64).reshape(-1), width // 2, touched[k]
+            move, where = self._moves[:n, :width], self._where[:n, :half]
             for p in places:
-                counts[p] = 0
-                np.add.at(counts, p, np.float32(1))
-                used = counts[p]
-                np.add.at(touched[k], p, np.float32(1))
-                step = err * (rate / (used + SHRINK)).astype(np.float32)[:, None]
-                np.subtract.at(flat, (p[:, None] * (width // 2) + columns).reshape(-1), step.view(np.complex64).reshape(-1))
+                before = seen[p]
+                np.add.at(seen, p, np.float32(1))
+                np.multiply(err, (rate / (seen[p] - before + SHRINK)).astype(np.float32)[:, None], out=move)
+                np.add((p * half)[:, None], np.arange(half), out=where)
+                np.subtract.at(flat, where.reshape(-1), move.view(np.complex64).reshape(-1))
 
     def limit(self) -> None:
         """Bring the weights back between the limits. A batch moves a row by less than three, so after LIMITED batches
