@@ -5,12 +5,15 @@ Every key hashes to a point of a 32-bit ring; the shards own ``vnodes`` points
 each, and a key goes to the shard of the next point clockwise. A full shard
 takes no more: its overflow continues clockwise to the next shard with room.
 The arcs between points are filled in ring order from the number of keys in
-each, a table of ``shards * vnodes`` rows however many keys there are; a key
+each, ``shards * vnodes`` numbers however many keys there are; a key
 then finds its shard from its rank in its arc.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -53,35 +56,40 @@ def _arcs(spark: SparkSession, ring: Column) -> DataFrame:
 def _segments(counts: DataFrame, ring: Column, shards: int, slack: float) -> DataFrame:
     """Fill the shards: ``(arc, lo, hi, shard, base)``, the keys of ranks lo to
     hi - 1 in the arc go to the shard, from slot ``base`` on. The table has one
-    row per arc and at most ``shards`` more."""
-    n = F.expr("aggregate(counts, cast(0 as bigint), (s, c) -> s + c)")
+    row per arc and at most ``shards`` more.
+
+    The ring and the counts of its arcs, ``shards * vnodes`` numbers however many keys there
+    are, are walked once on the driver. Points of full shards are skipped by links to the next point with room."""
+    spark = counts.sparkSession
+    owner = [r.shard for r in spark.range(1).select(ring.alias("r")).first().r]
+    held = {r.arc: r.n for r in counts.collect()}
+    n = sum(held.values())
     if slack > 0:
-        room = F.expr(f"transform(sequence(0, {shards - 1}), i -> cast(ceil((1 + {slack}D) * n / {shards}) as bigint))")
+        room = [math.ceil((1 + slack) * n / shards)] * shards
     else:
-        room = F.expr(f"transform(sequence(0, {shards - 1}), i -> n div {shards} + if(i < n % {shards}, 1, 0))")
-    per_arc = counts.agg(F.map_from_entries(F.collect_list(F.struct("arc", "n"))).alias("m"))
-    state = (per_arc.withColumn("ring", ring)
-             .select("ring", F.expr("transform(ring, (p, i) -> coalesce(m[i], cast(0 as bigint)))").alias("counts"))
-             .withColumn("n", n).withColumn("room", room)
-             .withColumn("owners", F.expr("transform(ring, p -> p.shard)")))
-    filled = state.select("room", F.expr("""
-        aggregate(
-          transform(counts, (c, i) -> struct(i AS arc, c AS c)),
-          struct(room AS room,
-                 cast(array() AS array<struct<arc: int, lo: bigint, hi: bigint, shard: int, base: bigint>>) AS seg),
-          (acc, a) -> if(a.c = 0, acc, aggregate(
-            array_distinct(concat(slice(owners, a.arc + 1, size(owners)), slice(owners, 1, a.arc))),
-            struct(acc.room AS room, acc.seg AS seg, a.c AS left),
-            (s, shard) -> if(s.left = 0 OR s.room[shard] = 0, s, struct(
-              transform(s.room, (r, i) -> if(i = shard, r - least(r, s.left), r)) AS room,
-              concat(s.seg, array(struct(a.arc AS arc, a.c - s.left AS lo,
-                                         a.c - s.left + least(s.left, s.room[shard]) AS hi,
-                                         shard AS shard, s.room[shard] AS base))) AS seg,
-              s.left - least(s.left, s.room[shard]) AS left)),
-            s -> struct(s.room AS room, s.seg AS seg))),
-          acc -> acc.seg)""").alias("seg"))
-    return (filled.select("room", F.explode("seg").alias("s"))
-            .select("s.arc", "s.lo", "s.hi", "s.shard", F.expr("room[s.shard] - s.base").alias("base")))
+        room = [n // shards + (i < n % shards) for i in range(shards)]
+    start, following, out = list(room), list(range(len(owner))), []
+
+    def with_room(at: int) -> int:
+        passed = []
+        while not room[owner[at]]:
+            passed.append(at)
+            at = following[at] if following[at] != at else (at + 1) % len(owner)
+        for p in passed:
+            following[p] = at
+        return at
+
+    for arc in sorted(held):
+        at, done = arc, 0
+        while done < held[arc]:
+            at = with_room(at)
+            shard = owner[at]
+            take = min(held[arc] - done, room[shard])
+            out.append({"arc": arc, "lo": done, "hi": done + take, "shard": shard, "base": start[shard] - room[shard]})
+            room[shard] -= take
+            done += take
+    schema = "array<struct<arc:int,lo:bigint,hi:bigint,shard:int,base:bigint>>"
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(out)), schema)).alias("s")).select("s.*")
 
 
 def _sub_cells(placed: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -35,6 +35,12 @@ def test_shards_even_gapless_and_complete(docs, rows):
     assert got[0].lo == "clash"
 
 
+def test_two_thousand_shards(spark):
+    keys = spark.range(30_000).select(F.col("id").alias("k"))
+    got = assign_shards(keys, 2000, key="k", vnodes=32).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m")).collect()
+    assert len(got) == 2000 and {r.n for r in got} == {15} and {r.m for r in got} == {14}
+
+
 def ring_of(spark, shards, vnodes):
     from paperweave.llm.sharding import _ring
     return [(p.point, p.shard) for p in spark.range(1).select(_ring(shards, vnodes).alias("r")).first().r]
