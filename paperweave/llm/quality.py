@@ -29,11 +29,13 @@ PUNCTUATION = b".,;:!?"
 
 UNIT = 1024                  # statistics are whole multiples of 1 / UNIT, so their sums are exact in any order
 FEATURES = ("words", "word_length", "symbols", "dup_lines", "repeats", "capitals", "punctuation", "variety")
-#: Least standard deviation: a statistic that is constant in a group must not reject its smallest change.
-FLOOR = (0.25, 0.05, 0.1, 0.1, 0.1, 0.05, 0.1, 0.1)
+#: Least standard deviation: a statistic that is constant in a group must not reject its smallest change;
+#: half of all lines duplicated (a root of the share of 0.7) is rejected even by itself.
+FLOOR = (0.25, 0.05, 0.1, 0.09, 0.1, 0.05, 0.1, 0.1)
 P = len(FEATURES)
 SHARE = 0.75                 # of a group that the MCD subset holds
 STEPS = 8                    # concentration steps
+FIRST_STEPS = 3              # of these, from all starts; the rest from the best of them
 LEAST_GROUP = 50             # smaller groups are pooled by language, then altogether
 TAIL = 1e-8                  # of a normal group that the cut-off rejects
 BROADCAST_GROUPS = 50_000    # of some 50 numbers each: about 20 MB
@@ -192,7 +194,7 @@ def _moments() -> list[Column]:
               for i in range(P) for j in range(i, P)]]
 
 
-ESTIMATE = "_g string, n long, " + ", ".join(f"{c} double" for c in [*[f"m{i}" for i in range(P)], *MATRIX])
+ESTIMATE = "_g string, _s int, n long, det double, " + ", ".join(f"{c} double" for c in [*[f"m{i}" for i in range(P)], *MATRIX])
 
 
 def _small(table: DataFrame, groups: int) -> DataFrame:
@@ -202,8 +204,8 @@ def _small(table: DataFrame, groups: int) -> DataFrame:
 
 
 def _invert(share: float):
-    """From moments to the centre and inverse covariance; ``share`` is the part
-    of a normal group that gave the moments, for the consistency factor."""
+    """From moments to the centre, inverse covariance and logarithm of the determinant; ``share``
+    is the part of a normal group that gave the moments, for the consistency factor."""
     factor = share / chi2_below(chi2_quantile(share, P), P + 2) if share < 1 else 1.0
     pairs = [(i, j) for i in range(P) for j in range(i, P)]
 
@@ -215,61 +217,83 @@ def _invert(share: float):
                 cov = np.zeros((P, P))
                 for i, j in pairs:
                     cov[i, j] = cov[j, i] = (r[f"q{i}_{j}"] / r["n"] - mean[i] * mean[j]) / UNIT ** 2
-                inv = np.linalg.inv(cov * factor + np.diag(np.square(FLOOR)))
-                out.append([r["_g"], r["n"], *(mean / UNIT), *[inv[i, j] for i, j in pairs]])
-            yield pd.DataFrame(out, columns=["_g", "n", *[f"m{i}" for i in range(P)], *MATRIX])
+                cov = cov * factor + np.diag(np.square(FLOOR))
+                inv = np.linalg.inv(cov)
+                out.append([r["_g"], r["_s"], r["n"], np.linalg.slogdet(cov)[1], *(mean / UNIT), *[inv[i, j] for i, j in pairs]])
+            yield pd.DataFrame(out, columns=["_g", "_s", "n", "det", *[f"m{i}" for i in range(P)], *MATRIX])
 
     return run
 
 
+def _diagonal(number: int, centre: Sequence[Column], deviation: Sequence[Column]) -> list[Column]:
+    """The columns of a start: a centre, and no covariances."""
+    return ["_g", F.lit(number).alias("_s"), "n", F.lit(0.0).alias("det"), *[(c / UNIT).alias(f"m{i}") for i, c in enumerate(centre)],
+            *[(1 / (F.pow(deviation[i] / UNIT, 2) + FLOOR[i] ** 2) if i == j else F.lit(0.0)).alias(f"a{i}_{j}")
+              for i in range(P) for j in range(i, P)]]
+
+
+def _concentrated(rows: DataFrame, est: DataFrame, sizes: DataFrame, groups: int) -> DataFrame:
+    """A concentration step of each estimate: the SHARE of its group that is nearest to it, estimated again."""
+    of = ["_g", "_s"]
+    far = rows.join(_small(est.drop("n", "det"), groups), "_g").withColumn("_bin", F.floor(BINS * F.log2(_distance() + 1e-6)).cast("int"))
+    bins = far.groupBy(*of, "_bin").agg(F.count("*").alias("k")).join(_small(sizes, groups), "_g")
+    upto = F.sum("k").over(W.partitionBy(*of).orderBy("_bin"))
+    bound = (bins.withColumn("upto", upto).where(F.col("upto") >= SHARE * F.col("_size"))
+             .groupBy(*of).agg(F.min("_bin").alias("_last")))
+    near = far.join(_small(bound, groups), of).where("_bin <= _last")
+    return stored(near.groupBy(*of).agg(*_moments()).mapInPandas(_invert(SHARE), ESTIMATE), "estimate")
+
+
 def estimates(rows: DataFrame) -> DataFrame:
-    """MCD estimate of each group ``_g`` of the feature rows: deterministic start
-    at the medians and median deviations, then concentration steps, each of
-    which takes the SHARE of a group that is nearest and estimates again; last,
-    one reweighting by all that are near. A step is two aggregations by group,
+    """MCD estimate of each group ``_g`` of the feature rows. Three deterministic
+    starts: medians with median deviations, mid-hinges with interquartile ranges, and
+    the moments of all rows. Each is concentrated a few times, the one of the least determinant
+    goes on; last, one reweighting by all that are near. A step is two aggregations by group and start,
     combined in the tasks, so a hot group is no larger than another one in the
     shuffle. The bound of the nearest share is read off counts of distance bins."""
-    middle = [F.percentile(f"_x{i}", 0.5).alias(f"p{i}") for i in range(P)]
+    quartiles = [F.percentile(f"_x{i}", F.lit([0.25, 0.5, 0.75])).alias(f"p{i}") for i in range(P)]
     # The values are rounded to 1 / UNIT: a median's buffer holds some ten thousand of them at most.
-    centre = stored(rows.groupBy("_g").agg(F.count("*").alias("n"), *middle), "medians")
+    centre = stored(rows.groupBy("_g").agg(F.count("*").alias("n"), *quartiles), "medians")
     groups = centre.count()
+    at = lambda i, k: F.col(f"p{i}")[k]
     spread = rows.join(_small(centre, groups), "_g").groupBy("_g").agg(
-        *[F.percentile(F.abs(F.col(f"_x{i}") - F.col(f"p{i}")), 0.5).alias(f"d{i}") for i in range(P)])
-    start = centre.join(spread, "_g").select(
-        "_g", "n", *[(F.col(f"p{i}") / UNIT).alias(f"m{i}") for i in range(P)],
-        *[(1 / (F.pow(1.4826 * F.col(f"d{i}") / UNIT, 2) + FLOOR[i] ** 2) if i == j else F.lit(0.0)).alias(f"a{i}_{j}")
-          for i in range(P) for j in range(i, P)])
-    est = stored(start, "estimate")
+        *[F.percentile(F.abs(F.col(f"_x{i}") - at(i, 1)), 0.5).alias(f"d{i}") for i in range(P)])
+    medians = centre.join(spread, "_g").select(_diagonal(0, [at(i, 1) for i in range(P)], [1.4826 * F.col(f"d{i}") for i in range(P)]))
+    hinges = centre.select(_diagonal(1, [(at(i, 0) + at(i, 2)) / 2 for i in range(P)], [(at(i, 2) - at(i, 0)) / 1.349 for i in range(P)]))
+    moments = rows.groupBy("_g", F.lit(2).alias("_s")).agg(*_moments()).mapInPandas(_invert(1.0), ESTIMATE)
+    est = stored(medians.unionByName(hinges).unionByName(moments), "starts")
     sizes = centre.select("_g", F.col("n").alias("_size"))
-    for _ in range(STEPS):
-        far = rows.join(_small(est.drop("n"), groups), "_g").withColumn(
-            "_bin", F.floor(BINS * F.log2(_distance() + 1e-6)).cast("int"))
-        bins = far.groupBy("_g", "_bin").agg(F.count("*").alias("k")).join(_small(sizes, groups), "_g")
-        upto = F.sum("k").over(W.partitionBy("_g").orderBy("_bin"))
-        bound = (bins.withColumn("upto", upto).where(F.col("upto") >= SHARE * F.col("_size"))
-                 .groupBy("_g").agg(F.min("_bin").alias("_last")))
-        near = far.join(_small(bound, groups), "_g").where("_bin <= _last")
-        est = stored(near.groupBy("_g").agg(*_moments()).mapInPandas(_invert(SHARE), ESTIMATE), "estimate")
-    near = rows.join(_small(est.drop("n"), groups), "_g").where(_distance() <= chi2_quantile(0.975, P))
-    return stored(near.groupBy("_g").agg(*_moments()).mapInPandas(_invert(0.975), ESTIMATE), "estimate")
-
-
-def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, carry: Sequence[str]) -> DataFrame:
+    for step in range(STEPS):
+        if step == FIRST_STEPS:
+            names = [c for c in est.columns if c not in ("_g", "_s", "det")]
+            best = est.groupBy("_g").agg(F.min(F.struct("det", "_s", *names)).alias("b"))
+            est = stored(best.select("_g", "b.*"), "best")
+        est = _concentrated(rows, est, sizes, 3 * groups)
+    near = rows.join(_small(est.drop("n", "det"), groups), "_g").where(_distance() <= chi2_quantile(0.975, P))
+    return stored(near.groupBy("_g", "_s").agg(*_moments()).mapInPandas(_invert(0.975), ESTIMATE), "estimate").drop("_s", "det")
+
+
+def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, carry: Sequence[str], store: bool) -> DataFrame:
     """The ``carry`` columns of every row, as ``_carry0`` and so on, with its
-    counts, ``_failed``, ``_distance`` and ``_kept``."""
+    counts, ``_failed``, ``_distance`` and ``_kept``. ``store``: the counts are
+    written once with the carried columns; else they are made again for the verdicts, so that wide rows aren't written."""
     language, both = _group(lang_col, source_col)
-    narrow = stored(with_counts(docs.select(F.col(f"`{text_col}`").alias("_t"), language.alias("_lang"), both.alias("_both")),
-                                "_t", ["_lang", "_both"]).where(~base_failed())
-                    .select("_lang", "_both", *_features()), "features")
+    names = [f"_carry{i}" for i in range(len(carry))]
+    wide = docs.select(F.col(f"`{text_col}`").alias("_t"), language.alias("_lang"), both.alias("_both"),
+                       *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)])
+    rows = with_counts(wide, "_t", [*names, "_lang", "_both"])
+    rows = rows.select(*names, "_lang", "_both", *[f"_{c}" for c in COUNTS], *_features(), base_failed().alias("_failed"))
+    features = [f"_x{i}" for i in range(P)]
+    if store:
+        rows = stored(rows, "counts")
+    narrow = rows.where("not _failed").select("_lang", "_both", *features)
+    if not store:
+        counted = with_counts(wide.select("_t", "_lang", "_both"), "_t", ["_lang", "_both"])
+        narrow = stored(counted.where(~base_failed()).select("_lang", "_both", *_features()), "features")
     pool = stored(_pools(narrow), "pools")
     pairs = pool.count()
     est = estimates(stored(narrow.join(_small(pool, pairs), ["_lang", "_both"]).drop("_lang", "_both"), "grouped"))
     table = pool.join(est.drop("n"), "_g", "left").drop("_g", "_lang").withColumnRenamed("_both", "_key")
-    names = [f"_carry{i}" for i in range(len(carry))]
-    wide = docs.select(F.col(f"`{text_col}`").alias("_t"), both.alias("_both"),
-                       *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)])
-    rows = with_counts(wide, "_t", [*names, "_both"])
-    rows = rows.select(*names, "_both", *[f"_{c}" for c in COUNTS], *_features(), base_failed().alias("_failed"))
     judged = rows.join(_small(table, pairs), F.col("_both") == F.col("_key"), "left").withColumn(
         "_distance", F.when(~F.col("_failed") & F.col("m0").isNotNull(), _distance()))
     kept = ~F.col("_failed") & (F.coalesce(F.col("_distance"), F.lit(0.0)) <= CUT)
@@ -294,14 +318,14 @@ def quality_verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     and sources are values of their own, null ids stay null. Other columns are
     not read. An empty table gives no rows.
     """
-    rows = _judged(docs, text_col, lang_col, source_col, [id_col])
+    rows = _judged(docs, text_col, lang_col, source_col, [id_col], store=True)
     return rows.select(F.col("_carry0").alias(id_col), *[F.col(f"_{c}").alias(c) for c in COUNTS[:5]], F.col("_failed").alias("base_failed"),
                        F.col("_distance").alias("distance"), F.col("_kept").alias("kept"))
 
 
 def quality_filter(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, all columns, that ``quality_verdicts`` keeps."""
-    return _judged(docs, text_col, lang_col, source_col, docs.columns).where("_kept").select(
+    return _judged(docs, text_col, lang_col, source_col, docs.columns, store=False).where("_kept").select(
         *[F.col(f"_carry{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

@@ -205,6 +205,51 @@ def test_estimate_against_numpy(spark):
     assert np.abs(cov - np.cov(clean.T)).max() < 0.05
 
 
+def test_half_of_the_lines_duplicated_is_rejected(spark):
+    """A moderate outlier in one statistic only, in a group without any."""
+    rnd = random.Random(5)
+    line = lambda: " ".join(prose(rnd, 5).split())
+    rows = [(i, "\n".join(line() for _ in range(16)), "en", "a") for i in range(200)]
+    for i in range(3):                                       # no two lines follow each other twice: no repeated windows
+        own = [line() for _ in range(8)]
+        rows.append((1000 + i, "\n".join(own + [own[k] for k in (3, 0, 5, 1, 6, 2, 7, 4)]), "en", "a"))
+    got = {r.doc_id: r for r in q.quality_verdicts(frame(spark, rows)).collect()}
+    assert not any(got[1000 + i].kept for i in range(3)) and not any(got[1000 + i].base_failed for i in range(3))
+    assert sum(got[i].kept for i in range(200)) >= 198
+
+
+def test_least_determinant_of_the_starts(spark):
+    """The subset found is no worse than those of a numpy search from many starts."""
+    rnd = np.random.default_rng(3)
+    x = np.vstack([rnd.normal(size=(260, q.P)) * 0.4, rnd.normal(size=(120, q.P)) * 0.4 + 1.6])
+    whole = np.rint(x * q.UNIT).astype(int)
+    df = spark.createDataFrame([("g", *map(int, r)) for r in whole], "_g string, " + ", ".join(f"_x{i} long" for i in range(q.P)))
+    est = q.estimates(df).first()
+    x, h = whole / q.UNIT, int(np.ceil(q.SHARE * len(x)))
+    floor = np.diag(np.square(q.FLOOR))
+    factor = q.SHARE / q.chi2_below(q.chi2_quantile(q.SHARE, q.P), q.P + 2)
+
+    def subset(mean, inv):
+        d = np.einsum("ni,ij,nj->n", x - mean, inv, x - mean)
+        return x[np.argsort(d)[:h]]
+
+    def det(s):
+        return np.linalg.slogdet(np.cov(s.T, bias=True) * factor + floor)[1]
+
+    best = np.inf
+    for _ in range(40):
+        s = x[rnd.choice(len(x), q.P + 2, replace=False)]
+        for _ in range(q.STEPS):
+            s = subset(s.mean(axis=0), np.linalg.inv(np.cov(s.T, bias=True) * factor + floor))
+        best = min(best, det(s))
+    inv = np.zeros((q.P, q.P))
+    for i in range(q.P):
+        for j in range(i, q.P):
+            inv[i, j] = inv[j, i] = est[f"a{i}_{j}"]
+    mine = det(subset(np.array([est[f"m{i}"] for i in range(q.P)]), inv))
+    assert mine <= best + 0.15
+
+
 def test_chi_square():
     assert abs(q.chi2_quantile(0.95, 8) - 15.5073) < 1e-3 and abs(q.chi2_below(18.307, 10) - 0.95) < 1e-4
 
