@@ -81,7 +81,6 @@ def main() -> None:
     run(flagship.nodes)
     flagship.unpersist()
     times["u3_expand"] = round(time.time() - t, 3)
-    ex = lambda: expand(works, cites, vectors, seeds)
     t = time.time()
     postings_table = f"bench_postings_{uuid.uuid4().hex[:8]}"
     save_title_index(build_title_index(works, partitions=2 * cpus), f"{work}/index",
@@ -93,7 +92,8 @@ def main() -> None:
     timed("x7_substring", lambda: substring_top(works, dt.substring_queries(spark, sf_dir)))
 
     def merged():
-        cit, full = expand(works, cites, vectors, seeds, sim_limit=0), ex()
+        full = expand(works, cites, vectors, seeds, persist=True)
+        cit = full.cited
         n0, e0 = cit.nodes.drop("seed_id").limit(0), cit.edges.drop("seed_id").limit(0)
         n1, e1 = merge_graph(n0, e0, cit.nodes.drop("seed_id"), cit.edges.drop("seed_id"))
         return merge_graph(n1, e1, full.nodes.drop("seed_id"), full.edges.drop("seed_id"))[1]

@@ -570,7 +570,8 @@ def x6_doi_ilike(spark, sf):
 def _merged(spark, sf):
     from paperweave.operators.graph import merge_graph
     w, c, v, s = _tables(spark, sf)
-    cit, full = expand(w, c, v, s, sim_limit=0), expand(w, c, v, s)
+    full = expand(w, c, v, s)
+    cit = full.cited
     n0 = cit.nodes.drop("seed_id").limit(0)
     e0 = cit.edges.drop("seed_id").limit(0)
     n1, e1 = merge_graph(n0, e0, cit.nodes.drop("seed_id"), cit.edges.drop("seed_id"))
