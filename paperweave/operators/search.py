@@ -47,7 +47,7 @@ NESTED_LOOP_QUERY_ROWS = 16
 @dataclass
 class TitleIndex:
     postings: DataFrame   # term, id, tf, doc_len (clustered by work id)
-    terms: DataFrame      # term, df (the term dictionary; a row per part for an index of several)
+    terms: DataFrame      # term, df (the term dictionary)
     stats: DataFrame      # one row: n_docs, avgdl
     stopwords: tuple = ()  # removed from titles and, by the query side, from queries
     stem: bool = False     # terms are stems, of titles and queries
@@ -67,7 +67,8 @@ class TitleIndex:
 
     def df_of(self, some: DataFrame | None = None) -> DataFrame:
         """(term, df), of all terms or of those in ``some`` (distinct; its broadcast already decided)."""
-        terms = self.terms if some is None else self.terms.join(some, "term", "left_semi")
+        base = self.terms if self.bounds is None else self.bounds.select("term", "df")
+        terms = base if some is None else base.join(some, "term", "left_semi")
         return terms if self.bounds is None else terms.groupBy("term").agg(F.sum("df").alias("df"))
 
 
@@ -171,8 +172,8 @@ def merged_stats(stats: DataFrame) -> DataFrame:
 
 def index_of(postings: DataFrame, bounds: DataFrame, stats: DataFrame, stopwords=(), stem: bool = False, parts: int = 1) -> TitleIndex:
     """The index whose saved parts these are."""
-    return TitleIndex(postings=postings, terms=bounds.select("term", "df"), stats=stats, stopwords=tuple(stopwords or ()),
-                      stem=stem, bounds=bounds, parts=parts)
+    terms = bounds.groupBy("term").agg(F.sum("df").alias("df"))
+    return TitleIndex(postings=postings, terms=terms, stats=stats, stopwords=tuple(stopwords or ()), stem=stem, bounds=bounds, parts=parts)
 
 
 def load_title_index(spark, path: str, table: str | None = None) -> TitleIndex:
