@@ -67,9 +67,9 @@ class TitleIndex:
 
     def df_of(self, some: DataFrame | None = None) -> DataFrame:
         """(term, df), of all terms or of those in ``some`` (distinct; its broadcast already decided)."""
-        base = self.terms if self.bounds is None else self.bounds.select("term", "df")
+        base = self.terms if self.parts == 1 else self.bounds.select("term", "df")
         terms = base if some is None else base.join(some, "term", "left_semi")
-        return terms if self.bounds is None else terms.groupBy("term").agg(F.sum("df").alias("df"))
+        return terms if self.parts == 1 else terms.groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def _drop_stopwords(toks: Column, stopwords) -> Column:
@@ -143,7 +143,7 @@ def save_title_index(index: TitleIndex, path: str, mode: str = "overwrite",
     sum needs no shuffle at all, and only each query's partial top-k moves.
     Build with ``partitions=buckets`` so each task writes one bucket file.
     The term dictionary is counted from the written postings and saved
-    sorted by term, with what bounds a term's scores: for each class of title lengths its
+    sorted by term, and so is what bounds a term's scores: for each class of title lengths its
     highest frequency and least length.
     """
     post = index.postings
@@ -159,7 +159,9 @@ def save_title_index(index: TitleIndex, path: str, mode: str = "overwrite",
     # tokenized and shuffled once
     bounds = saved.groupBy("term", _len_class(F.col("doc_len")).alias("len_class")).agg(
         F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"))
-    bounds.sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
+    bounds.sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/bounds")
+    terms = post.sparkSession.read.parquet(f"{path}/bounds").groupBy("term").agg(F.sum("df").alias("df"))
+    terms.sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
     stop = F.array(*[F.lit(w) for w in index.stopwords]).cast("array<string>")
     index.stats.withColumn("stopwords", stop).withColumn("stem", F.lit(index.stem)).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
 
@@ -170,9 +172,11 @@ def merged_stats(stats: DataFrame) -> DataFrame:
     return stats.agg(n.alias("n_docs"), F.when(n > 0, tokens_ / n).alias("avgdl"), tokens_.alias("n_tokens"))
 
 
-def index_of(postings: DataFrame, bounds: DataFrame, stats: DataFrame, stopwords=(), stem: bool = False, parts: int = 1) -> TitleIndex:
+def index_of(postings: DataFrame, bounds: DataFrame, stats: DataFrame, stopwords=(), stem: bool = False, parts: int = 1,
+             terms: DataFrame | None = None) -> TitleIndex:
     """The index whose saved parts these are."""
-    terms = bounds.groupBy("term").agg(F.sum("df").alias("df"))
+    if terms is None:
+        terms = bounds.groupBy("term").agg(F.sum("df").alias("df"))
     return TitleIndex(postings=postings, terms=terms, stats=stats, stopwords=tuple(stopwords or ()), stem=stem, bounds=bounds, parts=parts)
 
 
@@ -182,7 +186,8 @@ def load_title_index(spark, path: str, table: str | None = None) -> TitleIndex:
     stats = spark.read.parquet(f"{path}/stats")
     kept = stats.select("stopwords", "stem").first()
     postings = spark.table(table) if table else spark.read.parquet(f"{path}/postings")
-    return index_of(postings, spark.read.parquet(f"{path}/terms"), stats.select("n_docs", "avgdl", "n_tokens"), kept["stopwords"], kept["stem"])
+    return index_of(postings, spark.read.parquet(f"{path}/bounds"), stats.select("n_docs", "avgdl", "n_tokens"), kept["stopwords"], kept["stem"],
+                    terms=spark.read.parquet(f"{path}/terms"))
 
 
 def query_terms(queries: DataFrame, stopwords=(), stem: bool = False) -> DataFrame:
@@ -212,7 +217,7 @@ def term_matches(index: TitleIndex, queries: DataFrame, broadcast_terms: bool |
         broadcast_terms = fits_broadcast(terms)
     # df of the query terms only
     asked = F.broadcast(terms) if broadcast_terms else terms
-    with_df = asked.join(index.df_of(asked.select("term")) if index.bounds is not None else index.terms, "term")
+    with_df = asked.join(index.df_of(asked.select("term")) if index.parts > 1 else index.terms, "term")
     return (F.broadcast(with_df) if broadcast_terms else with_df).join(postings, "term")
 
 

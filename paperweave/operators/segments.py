@@ -85,7 +85,7 @@ def merge_segments(spark: SparkSession, path: str, fanout: int = FANOUT) -> None
 
 def _index(spark: SparkSession, path: str, segments: list[dict], kind: dict) -> TitleIndex:
     read = lambda part: spark.read.parquet(*[f"{path}/{s['folder']}/{part}" for s in segments])
-    return index_of(read("postings"), read("terms"), merged_stats(read("stats")), kind["stopwords"], kind["stem"], parts=len(segments))
+    return index_of(read("postings"), read("bounds"), merged_stats(read("stats")), kind["stopwords"], kind["stem"], parts=len(segments))
 
 
 def load_segments(spark: SparkSession, path: str) -> TitleIndex:
