@@ -139,3 +139,29 @@ def test_attribution_by_hand():
 
 def test_empty_tables(empty):
     assert section_token_counts(empty, RANKS).count() == 0
+
+
+def test_long_white_space_encodes_as_the_library_does(monkeypatch):
+    import paperweave.llm.token_counts as tc
+    with open(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+        encoder = tc._encoder(f.read())
+    for long in (2, 7, 50):                                   # as if such short runs were too long
+        monkeypatch.setattr(tc, "LONG", long)
+        monkeypatch.setattr(tc, "LONG_SPACE", tc.re.compile(tc.LONG_SPACE.pattern.split("{")[0] + "{%d,}" % long))
+        for gap in (" " * 60, "\n \n" * 20, "　\xa0\t" * 9, " " * 3, "\n", "\x85  "):
+            for text in (gap, "a" + gap, gap + "a", "a" + gap + "b" + gap + "'s " + gap + "12", gap + "!" + gap):
+                assert tc.encode_whole(encoder, text) == encoder.encode_ordinary(text)
+    monkeypatch.undo()
+    for text in (" " * 2_000_000, "\n " * 1_000_000 + "end", "x" * 2_000_000):
+        assert b"".join(map(encoder.decode_single_token_bytes, tc.encode_whole(encoder, text))) == text.encode()
+
+
+def test_fields_as_sections(spark):
+    from paperweave.llm.token_counts import section_token_counts
+    rows = spark.createDataFrame([(1, "a title", "and its body, longer"), (2, None, "body"), (3, "", None), (4, "é x", "中文")], "doc_id int, title string, body string")
+    got = {(r.doc_id, r.section): r for r in section_token_counts(rows, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", fields=["title", "body"]).collect()}
+    whole = section_token_counts(rows.selectExpr("doc_id", "replace(concat(coalesce(title, ''), coalesce(body, '')), '\\n', ' ') AS text"),
+                                 f"{TOKENIZERS}/byte_bpe_50k.tiktoken").groupBy("doc_id").sum("n_tokens").collect()
+    assert len(got) == 8 and (got[1, 0].char_end, got[1, 1].char_start, got[1, 1].char_end) == (7, 7, 27)
+    assert {d: got[d, 0].n_tokens + got[d, 1].n_tokens for d in (1, 2, 3, 4)} == {r[0]: r[1] for r in whole}
+    assert (got[2, 0].n_tokens, got[3, 0].n_tokens, got[3, 1].n_tokens) == (0, 0, 0) and got[4, 1].char_end == 5
