@@ -24,6 +24,7 @@ TABLES = 12
 BUCKET_ROWS = 64             # vectors of a code on average, from which the number of bits follows
 GROUP_ROWS = 4096            # vectors, or seeds, of a code that one task compares at once
 MAX_BITS = 30
+CODED_ROWS = 512             # vectors that a task gives their codes at once: it holds a copy of each per table and probe
 
 
 def directions(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
@@ -39,7 +40,7 @@ def _codes(tables: int, bits: int, probes: int, seed: int):
     weight = 1 << np.arange(bits, dtype=np.int64)
 
     def run(frames):
-        for f in frames:
+        for f in (frame[lo:lo + CODED_ROWS] for frame in frames for lo in range(0, len(frame), CODED_ROWS)):
             f = f[[v is not None and len(v) > 0 for v in f["vec"]]]
             if f.empty:
                 continue
