@@ -78,11 +78,10 @@ def _drop_stopwords(toks: Column, stopwords) -> Column:
     return F.filter(toks, lambda t: ~t.isin(list(stopwords)))
 
 
-def _stemmed(rows: DataFrame) -> DataFrame:
-    """``term`` replaced by its stem; the distinct terms are stemmed, and a
-    dictionary of checked small size is broadcast to the rows."""
-    table = stems(rows)
-    return rows.join(checked_broadcast(table), "term").drop("term").withColumnRenamed("stem", "term")
+def _stems_if(stem: bool, toks: Column) -> Column:
+    """The tokens, or their stems: each batch stems its distinct words where it is, so no
+    token is shuffled however many different words there are."""
+    return stems(toks) if stem else toks
 
 
 def build_title_index(works: DataFrame, stopwords=(), partitions: int | None = None, stem: bool = False) -> TitleIndex:
@@ -107,10 +106,12 @@ def build_title_index(works: DataFrame, stopwords=(), partitions: int | None = N
         "id", _drop_stopwords(tokens(F.col("title")), stopwords).alias("toks"))
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"),
                      F.coalesce(F.sum(F.size("toks")), F.lit(0)).alias("n_tokens"))
-    by_id = docs.repartition(partitions, "id") if partitions else docs.repartition("id")
-    tokens_of = by_id.select("id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term"))
-    postings = ((_stemmed(tokens_of) if stem else tokens_of)
-                .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+    # the titles travel as they are, a fraction of their tokens' size
+    whole = works.where(F.col("title").isNotNull()).select("id", "title")
+    by_id = whole.repartition(partitions, "id") if partitions else whole.repartition("id")
+    by_id = by_id.select("id", _drop_stopwords(tokens(F.col("title")), stopwords).alias("toks"))
+    tokens_of = by_id.select("id", F.size("toks").alias("doc_len"), F.explode(_stems_if(stem, F.col("toks"))).alias("term"))
+    postings = (tokens_of.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
                 .select("term", "id", "tf", "doc_len"))
     # each title's distinct tokens, counted per term straight from the scan:
     # the dictionary needs no shuffle by id
@@ -193,8 +194,8 @@ def load_title_index(spark, path: str, table: str | None = None) -> TitleIndex:
 def query_terms(queries: DataFrame, stopwords=(), stem: bool = False) -> DataFrame:
     """Distinct tokens (or stems) of each query (query_id, term)."""
     toks = _drop_stopwords(tokens(F.col("q")), stopwords)
-    terms = queries.select("query_id", F.explode(F.array_distinct(toks)).alias("term"))
-    return _stemmed(terms).distinct() if stem else terms
+    terms = queries.select("query_id", F.explode(F.array_distinct(_stems_if(stem, F.array_distinct(toks)))).alias("term"))
+    return terms.distinct() if stem else terms
 
 
 def term_matches(index: TitleIndex, queries: DataFrame, broadcast_terms: bool | None = None,

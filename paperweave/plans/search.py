@@ -27,6 +27,7 @@ from paperweave.operators.search import (
 )
 from paperweave.operators.topn import BROADCAST_BYTES, BROADCAST_ROWS
 from paperweave.schemas import PAPER_COLUMNS
+from paperweave.session import staged
 
 RESULT_COLUMNS = ["query_id", "route", "rank", *PAPER_COLUMNS, "score"]
 
@@ -70,6 +71,10 @@ def search(works: DataFrame, queries: DataFrame, index: TitleIndex | None = None
     doi = doi_first(works, accepted, wildcards, strip_doi_prefix, broadcast_queries=queries_fit).select(
         "query_id", F.lit("doi").alias("route"), "rank", "id", F.lit(None).cast("double").alias("score"))
     rest = accepted.join(doi.select("query_id"), "query_id", "left_anti")
+    if not terms_fit:
+        # most of many queries may be answered by a DOI; what is left decides on the broadcast of its terms
+        rest, _ = staged(rest, "search-rest")
+        _, terms_fit, few_terms = _broadcast_fits(rest)
     if mode == "bm25":
         if index is None:
             index = build_title_index(works)
