@@ -355,7 +355,7 @@ class Sent(NamedTuple):
                     blocks[block][:] = np.frombuffer(values, np.float32).reshape(blocks[block].shape)
             return Model(Vocabulary(*self.vocabulary.value), weights)
 
-        return shared(self.key, make)
+        return shared(self.key, make, slot="maxent")
 
 
 def _train_tasks(sent: tuple):

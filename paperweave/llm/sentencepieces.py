@@ -32,7 +32,8 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6      # fixed values of the model format's piece
 UNK_PENALTY = 10.0                   # fixed value: below the lowest score, for an unknown character
 LONG = 1 << 16                       # characters of a word whose forward pass is kept in plain arrays
 PIECE = 1 << 20                      # bytes of text that a task works on at once
-CACHED_WORDS = 1 << 19               # of a worker, beside those of the slice at hand
+CACHED_WORDS = 1 << 17               # of a worker, beside those of the slice at hand
+CACHED_PAIRS = 1 << 19               # of pieces, whether one may follow the other
 
 
 class Pieces:
@@ -81,7 +82,7 @@ class Pieces:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether piece b may stand behind piece a (-1: nothing or a character without a piece)."""
-        if len(self._pairs) > CACHED_WORDS:
+        if len(self._pairs) > CACHED_PAIRS:
             self._pairs.clear()
         left = [] if a < 0 else [self.text[a]]
         fits = self.merges("".join(left) + self.text[b]) == [*left, self.text[b]]

@@ -19,14 +19,17 @@ def new_key() -> str:
     return uuid.uuid4().hex
 
 
-def shared(key: str, make: Callable[[], Any]) -> Any:
-    """What ``make`` returns, made once per Python worker. The functions of
+def shared(key: str, make: Callable[[], Any], slot: str | None = None) -> Any:
+    """What ``make`` returns, made once per Python worker. A ``slot`` holds one
+    object: the one before goes first, so the models of a job's rounds don't add up. The functions of
     this package travel by value, so the store hangs on a module that every worker has."""
     import pyspark
 
     held = pyspark.__dict__.setdefault("_paperweave_shared", {})
     if key not in held:
+        for old in [k for k, (at, _) in held.items() if slot is not None and at == slot]:
+            del held[old]
         while len(held) >= HELD:
             del held[next(iter(held))]
-        held[key] = make()
-    return held[key]
+        held[key] = slot, make()
+    return held[key][1]
