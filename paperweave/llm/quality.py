@@ -189,12 +189,27 @@ def _distance() -> Column:
 
 
 def _moments() -> list[Column]:
+    """Exact sums as longs: features and their products are bounded by the texts' bytes, so some 10^14 bytes of
+    text would be needed to pass a long, which then fails the job."""
     return [F.count("*").alias("n"), *[F.sum(f"_x{i}").cast("double").alias(f"s{i}") for i in range(P)],
-            *[F.sum((F.col(f"_x{i}") * F.col(f"_x{j}")).cast("decimal(38,0)")).cast("double").alias(f"q{i}_{j}")
+            *[F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).cast("double").alias(f"q{i}_{j}")
               for i in range(P) for j in range(i, P)]]
 
 
-ESTIMATE = "_g string, _s int, n long, det double, " + ", ".join(f"{c} double" for c in [*[f"m{i}" for i in range(P)], *MATRIX])
+def _schema(rows: DataFrame) -> str:
+    """Of estimates; the groups' keys are those of the rows."""
+    return f"_g {rows.schema['_g'].dataType.simpleString()}, _s int, n long, det double, " + ", ".join(
+        f"{c} double" for c in [*[f"m{i}" for i in range(P)], *MATRIX])
+
+
+def _of(rows: DataFrame) -> list[str]:
+    """Key columns of an estimate. Numbered groups have one long: a broadcast table by it has the size of its
+    rows, by other keys it takes a page of some 16 MB in each executor, and there is one for each step."""
+    return ["_gs"] if rows.schema["_g"].dataType == T.LongType() else ["_g", "_s"]
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_gs", F.col("_g") * 4 + F.col("_s")) if _of(rows) == ["_gs"] else rows
 
 
 def _small(table: DataFrame, groups: int) -> DataFrame:
@@ -240,12 +255,12 @@ def _concentrated(rows: DataFrame, est: DataFrame, sizes: DataFrame, groups: int
     upto = F.sum("k").over(W.partitionBy(*of).orderBy("_bin"))
     bound = (bins.withColumn("upto", upto).where(F.col("upto") >= SHARE * F.col("_size"))
              .groupBy(*of).agg(F.min("_bin").alias("_last")))
-    near = far.join(_small(bound, groups), of).where("_bin <= _last")
-    return stored(near.groupBy(*of).agg(*_moments()).mapInPandas(_invert(SHARE), ESTIMATE), "estimate")
+    near = _keyed(far).join(_small(_keyed(bound).select(*_of(bound), "_last"), groups), _of(far)).where("_bin <= _last")
+    return stored(near.groupBy(*of).agg(*_moments()).mapInPandas(_invert(SHARE), _schema(rows)), "estimate")
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """MCD estimate of each group ``_g`` of the feature rows. Three deterministic
+    """MCD estimate of each group ``_g`` (numbered or named) of the feature rows. Three deterministic
     starts: medians with median deviations, mid-hinges with interquartile ranges, and
     the moments of all rows. Each is concentrated a few times, the one of the least determinant
     goes on; last, one reweighting by all that are near. A step is two aggregations by group and start,
@@ -260,7 +275,7 @@ def estimates(rows: DataFrame) -> DataFrame:
         *[F.percentile(F.abs(F.col(f"_x{i}") - at(i, 1)), 0.5).alias(f"d{i}") for i in range(P)])
     medians = centre.join(spread, "_g").select(_diagonal(0, [at(i, 1) for i in range(P)], [1.4826 * F.col(f"d{i}") for i in range(P)]))
     hinges = centre.select(_diagonal(1, [(at(i, 0) + at(i, 2)) / 2 for i in range(P)], [(at(i, 2) - at(i, 0)) / 1.349 for i in range(P)]))
-    moments = rows.groupBy("_g", F.lit(2).alias("_s")).agg(*_moments()).mapInPandas(_invert(1.0), ESTIMATE)
+    moments = rows.groupBy("_g", F.lit(2).alias("_s")).agg(*_moments()).mapInPandas(_invert(1.0), _schema(rows))
     est = stored(medians.unionByName(hinges).unionByName(moments), "starts")
     sizes = centre.select("_g", F.col("n").alias("_size"))
     for step in range(STEPS):
@@ -270,7 +285,7 @@ def estimates(rows: DataFrame) -> DataFrame:
             est = stored(best.select("_g", "b.*"), "best")
         est = _concentrated(rows, est, sizes, 3 * groups)
     near = rows.join(_small(est.drop("n", "det"), groups), "_g").where(_distance() <= chi2_quantile(0.975, P))
-    return stored(near.groupBy("_g", "_s").agg(*_moments()).mapInPandas(_invert(0.975), ESTIMATE), "estimate").drop("_s", "det")
+    return stored(near.groupBy("_g", "_s").agg(*_moments()).mapInPandas(_invert(0.975), _schema(rows)), "estimate").drop("_s", "det")
 
 
 def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, carry: Sequence[str], store: bool) -> DataFrame:
@@ -330,12 +345,13 @@ def quality_filter(docs: DataFrame, *, text_col: str = "text", lang_col: str = "
 
 
 def _pools(rows: DataFrame) -> DataFrame:
-    """``(_lang, _both, _g)``: the group that estimates each language and source."""
+    """``(_lang, _both, _g)``: the number of the group that estimates each language and source."""
     sizes = rows.groupBy("_lang", "_both").agg(F.count("*").alias("k"))
     one = sizes.withColumn("_g", F.when(F.col("k") >= LEAST_GROUP, F.col("_both")).otherwise(F.col("_lang")))
     per = one.groupBy(F.col("_g").alias("g1")).agg(F.sum("k").alias("k1"))
     two = one.join(per, F.col("_g") == F.col("g1")).withColumn(
         "_g", F.when(F.col("k1") >= LEAST_GROUP, F.col("_g")).otherwise(F.lit("")))
     rest = two.groupBy(F.col("_g").alias("g2")).agg(F.sum("k").alias("k2"))
-    return (two.join(rest, F.col("_g") == F.col("g2")).where(F.col("k2") >= LEAST_GROUP)
-            .select("_lang", "_both", "_g"))
+    # numbers must stay the same for all that read them
+    rest = stored(rest.where(F.col("k2") >= LEAST_GROUP).withColumn("_n", F.monotonically_increasing_id()), "groups")
+    return two.join(rest, F.col("_g") == F.col("g2")).select("_lang", "_both", F.col("_n").alias("_g"))

@@ -265,6 +265,27 @@ def test_small_groups_are_pooled(spark, empty):
     assert q.quality_verdicts(empty).count() == 0 and q.quality_filter(empty).count() == 0
 
 
+def test_groups_are_joined_by_one_long(spark, monkeypatch):
+    """Broadcast tables by a long have the size of their rows; numbered groups have the estimates of named ones."""
+    rnd = np.random.default_rng(4)
+    x = [(g, *map(int, r)) for g in (5, 1 << 40) for r in np.rint(rnd.normal(size=(60, q.P)) * q.UNIT)]
+    numbered = spark.createDataFrame(x, "_g long, " + ", ".join(f"_x{i} long" for i in range(q.P)))
+    joined, step = [], q._concentrated
+
+    def seen(rows, est, sizes, groups):
+        out = step(rows, est, sizes, groups)
+        joined.append((rows.schema["_g"].dataType.simpleString(), out.schema["_g"].dataType.simpleString()))
+        return out
+
+    monkeypatch.setattr(q, "_concentrated", seen)
+    values = lambda df: sorted(map(tuple, df.select(F.col("_g").cast("string"), "n", "m0", "a0_1").collect()))
+    assert values(q.estimates(numbered)) == values(q.estimates(numbered.withColumn("_g", F.col("_g").cast("string"))))
+    assert joined == [("bigint", "bigint")] * q.STEPS + [("string", "string")] * q.STEPS
+    counted = spark.createDataFrame([("en", f"en{i % 2}") for i in range(200)] + [("de", "de")] * 60, "_lang string, _both string")
+    pools = {r._both: r._g for r in q._pools(counted).collect()}
+    assert len(set(pools.values())) == len(pools) == 3 and all(isinstance(g, int) for g in pools.values())
+
+
 def test_filter_keeps_rows_and_columns(docs, rows):
     kept = q.quality_filter(docs)
     assert kept.columns == docs.columns
