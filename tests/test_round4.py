@@ -125,3 +125,17 @@ def test_a_slot_holds_one_object():
     assert shared(first, lambda: 1, slot="round") == 1 and shared(second, lambda: 2, slot="round") == 2
     held = pyspark.__dict__["_paperweave_shared"]
     assert second in held and first not in held
+
+
+def test_each_snapshot_file_has_a_task_of_its_own(spark, tmp_path, monkeypatch):
+    """No task writes several files, whatever the number of days and of their lines."""
+    import paperweave.sources.driver_tables as dt
+    monkeypatch.setattr(dt, "FILE_LINES", 50)
+    lines = spark.range(28 * 200).select(F.col("id").cast("string").alias("value"), F.concat(F.lit("d"), F.col("id") % 28).alias("updated_date"))
+    path = dt.write_snapshot(lines, str(tmp_path / "s"))
+    files = list((tmp_path / "s").glob("*/*.gz"))
+    assert len(files) == len({f.name.split("-")[1] for f in files}) == 28 * 4
+    got = spark.read.text(path)
+    assert sorted(int(r.value) for r in got.collect()) == list(range(28 * 200))
+    empty = dt.write_snapshot(lines.limit(0), str(tmp_path / "none"))
+    assert spark.read.schema("value string, updated_date string").text(empty).count() == 0
