@@ -52,6 +52,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, rows: int, part_rows: int = 16_384) -> DataFrame:
+    """``df``, narrow and dealt out by a shuffle, in no more parts than its ``rows`` rows at most need: each file
+    written makes its executor start processes (chmod). Large tables keep the parts of the shuffle."""
+    return df.coalesce(1 + rows // part_rows)
+
+
 def stored_in_buckets(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
     """As ``stored``, bucketed by ``column``: grouping by it reads the files in
     place. ``df`` must be partitioned by the column into as many parts, so that

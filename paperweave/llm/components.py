@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperweave.llm.common import stored
+from paperweave.llm.common import packed, stored
 
 
 def local_components(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
@@ -22,10 +22,10 @@ def local_components(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | N
             label = up
 
 
-def _star(links: DataFrame, name: str) -> DataFrame:
-    """Link the neighbours of each node ``u`` to the smallest of these and ``u``."""
-    least = stored(links.groupBy("u").agg(F.min("v").alias("m")).select(
-        "u", F.least("u", "m").alias("m")), name)
+def _star(links: DataFrame, name: str, most: int) -> DataFrame:
+    """Link the neighbours of each node ``u``, of ``most`` at most, to the smallest of these and ``u``."""
+    least = stored(packed(links.groupBy("u").agg(F.min("v").alias("m")).select(
+        "u", F.least("u", "m").alias("m")), most), name)
     return links.join(least, "u")
 
 
@@ -45,12 +45,13 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
         if not state[0]:
             break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stored(_star(both, "large").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                       .distinct(), "large")
-        small = _star(large, "small")
-        links = stored(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")),
-                                                      F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-                       .select("e.*").where("u != v").distinct(), "links")
+        most = 2 * state[0]     # nodes; the round's tables have about as many rows, twice that at most
+        large = stored(packed(_star(both, "large", most).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                              .distinct(), most), "large")
+        small = _star(large, "small", most)
+        links = stored(packed(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")),
+                                                             F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+                              .select("e.*").where("u != v").distinct(), most), "links")
         before, state = state, _state(links)
         if state == before:
             break

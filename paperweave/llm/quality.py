@@ -39,6 +39,7 @@ FIRST_STEPS = 3              # of these, from all starts; the rest from the best
 LEAST_GROUP = 50             # smaller groups are pooled by language, then altogether
 TAIL = 1e-8                  # of a normal group that the cut-off rejects
 BROADCAST_GROUPS = 50_000    # of some 50 numbers each: about 20 MB
+TASK_GROUPS = 1024           # whose estimates one task makes and one file holds
 BINS = 16                    # of squared distances in each doubling, to find the subset's bound
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals",
           "n_letters", "n_punctuation", "n_distinct")
@@ -218,6 +219,12 @@ def _small(table: DataFrame, groups: int) -> DataFrame:
     return F.broadcast(table) if groups <= BROADCAST_GROUPS else table
 
 
+def _few(table: DataFrame, groups: int) -> DataFrame:
+    """One row per group in a task for each TASK_GROUPS of them, not in every shuffle partition: most of these
+    would be empty, yet each calls Python, and each file written makes its executor start processes (chmod)."""
+    return table.repartition(1 + groups // TASK_GROUPS)
+
+
 def _invert(share: float):
     """From moments to the centre, inverse covariance and logarithm of the determinant; ``share``
     is the part of a normal group that gave the moments, for the consistency factor."""
@@ -256,11 +263,11 @@ def _concentrated(rows: DataFrame, est: DataFrame, sizes: DataFrame, groups: int
     bound = (bins.withColumn("upto", upto).where(F.col("upto") >= SHARE * F.col("_size"))
              .groupBy(*of).agg(F.min("_bin").alias("_last")))
     near = _keyed(far).join(_small(_keyed(bound).select(*_of(bound), "_last"), groups), _of(far)).where("_bin <= _last")
-    return stored(near.groupBy(*of).agg(*_moments()).mapInPandas(_invert(SHARE), _schema(rows)), "estimate")
+    return stored(_few(near.groupBy(*of).agg(*_moments()), groups).mapInPandas(_invert(SHARE), _schema(rows)), "estimate")
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """MCD estimate of each group ``_g`` (numbered or named) of the feature rows. Three deterministic
+def estimates(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """MCD estimate of each group ``_g`` (numbered or named; ``most`` of them, if known) of the feature rows. Three deterministic
     starts: medians with median deviations, mid-hinges with interquartile ranges, and
     the moments of all rows. Each is concentrated a few times, the one of the least determinant
     goes on; last, one reweighting by all that are near. A step is two aggregations by group and start,
@@ -268,24 +275,25 @@ def estimates(rows: DataFrame) -> DataFrame:
     shuffle. The bound of the nearest share is read off counts of distance bins."""
     quartiles = [F.percentile(f"_x{i}", F.lit([0.25, 0.5, 0.75])).alias(f"p{i}") for i in range(P)]
     # The values are rounded to 1 / UNIT: a median's buffer holds some ten thousand of them at most.
-    centre = stored(rows.groupBy("_g").agg(F.count("*").alias("n"), *quartiles), "medians")
+    centre = rows.groupBy("_g").agg(F.count("*").alias("n"), *quartiles)
+    centre = stored(centre if most is None else _few(centre, most), "medians")
     groups = centre.count()
     at = lambda i, k: F.col(f"p{i}")[k]
     spread = rows.join(_small(centre, groups), "_g").groupBy("_g").agg(
         *[F.percentile(F.abs(F.col(f"_x{i}") - at(i, 1)), 0.5).alias(f"d{i}") for i in range(P)])
     medians = centre.join(spread, "_g").select(_diagonal(0, [at(i, 1) for i in range(P)], [1.4826 * F.col(f"d{i}") for i in range(P)]))
     hinges = centre.select(_diagonal(1, [(at(i, 0) + at(i, 2)) / 2 for i in range(P)], [(at(i, 2) - at(i, 0)) / 1.349 for i in range(P)]))
-    moments = rows.groupBy("_g", F.lit(2).alias("_s")).agg(*_moments()).mapInPandas(_invert(1.0), _schema(rows))
-    est = stored(medians.unionByName(hinges).unionByName(moments), "starts")
+    moments = _few(rows.groupBy("_g", F.lit(2).alias("_s")).agg(*_moments()), groups).mapInPandas(_invert(1.0), _schema(rows))
+    est = stored(_few(medians.unionByName(hinges).unionByName(moments), 3 * groups), "starts")
     sizes = centre.select("_g", F.col("n").alias("_size"))
     for step in range(STEPS):
         if step == FIRST_STEPS:
             names = [c for c in est.columns if c not in ("_g", "_s", "det")]
             best = est.groupBy("_g").agg(F.min(F.struct("det", "_s", *names)).alias("b"))
-            est = stored(best.select("_g", "b.*"), "best")
+            est = stored(_few(best.select("_g", "b.*"), groups), "best")
         est = _concentrated(rows, est, sizes, 3 * groups)
     near = rows.join(_small(est.drop("n", "det"), groups), "_g").where(_distance() <= chi2_quantile(0.975, P))
-    return stored(near.groupBy("_g", "_s").agg(*_moments()).mapInPandas(_invert(0.975), _schema(rows)), "estimate").drop("_s", "det")
+    return stored(_few(near.groupBy("_g", "_s").agg(*_moments()), groups).mapInPandas(_invert(0.975), _schema(rows)), "estimate").drop("_s", "det")
 
 
 def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, carry: Sequence[str], store: bool) -> DataFrame:
@@ -307,7 +315,7 @@ def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, carr
         narrow = stored(counted.where(~base_failed()).select("_lang", "_both", *_features()), "features")
     pool = stored(_pools(narrow), "pools")
     pairs = pool.count()
-    est = estimates(stored(narrow.join(_small(pool, pairs), ["_lang", "_both"]).drop("_lang", "_both"), "grouped"))
+    est = estimates(stored(narrow.join(_small(pool, pairs), ["_lang", "_both"]).drop("_lang", "_both"), "grouped"), pairs)
     table = pool.join(est.drop("n"), "_g", "left").drop("_g", "_lang").withColumnRenamed("_both", "_key")
     judged = rows.join(_small(table, pairs), F.col("_both") == F.col("_key"), "left").withColumn(
         "_distance", F.when(~F.col("_failed") & F.col("m0").isNotNull(), _distance()))
@@ -346,12 +354,13 @@ def quality_filter(docs: DataFrame, *, text_col: str = "text", lang_col: str = "
 
 def _pools(rows: DataFrame) -> DataFrame:
     """``(_lang, _both, _g)``: the number of the group that estimates each language and source."""
-    sizes = rows.groupBy("_lang", "_both").agg(F.count("*").alias("k"))
+    sizes = stored(rows.groupBy("_lang", "_both").agg(F.count("*").alias("k")), "sizes")
+    pairs = sizes.count()
     one = sizes.withColumn("_g", F.when(F.col("k") >= LEAST_GROUP, F.col("_both")).otherwise(F.col("_lang")))
     per = one.groupBy(F.col("_g").alias("g1")).agg(F.sum("k").alias("k1"))
     two = one.join(per, F.col("_g") == F.col("g1")).withColumn(
         "_g", F.when(F.col("k1") >= LEAST_GROUP, F.col("_g")).otherwise(F.lit("")))
     rest = two.groupBy(F.col("_g").alias("g2")).agg(F.sum("k").alias("k2"))
     # numbers must stay the same for all that read them
-    rest = stored(rest.where(F.col("k2") >= LEAST_GROUP).withColumn("_n", F.monotonically_increasing_id()), "groups")
-    return two.join(rest, F.col("_g") == F.col("g2")).select("_lang", "_both", F.col("_n").alias("_g"))
+    rest = stored(_few(rest.where(F.col("k2") >= LEAST_GROUP), pairs).withColumn("_n", F.monotonically_increasing_id()), "groups")
+    return _few(two.join(rest, F.col("_g") == F.col("g2")).select("_lang", "_both", F.col("_n").alias("_g")), pairs)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperweave.llm.common import slices, stored, texts
+from paperweave.llm.common import packed, slices, stored, texts
 from paperweave.llm.components import components, local_components
 
 SEED = 42                    # of XXH64, fixed value
@@ -111,15 +111,16 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return both[node], both[label[node]]
 
 
-def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
-    """``distinct(fp)`` to links ``(u, v)`` with the same components as all
+def fingerprint_links(distinct: DataFrame, radius: int, most: int | None = None) -> DataFrame:
+    """``distinct(fp)``, of ``most`` rows if that is known, to links ``(u, v)`` with the same components as all
     pairs that differ in at most ``radius`` bits."""
     cells = distinct.select("fp", _cell(F.col("fp")).alias("cell"))
     # At most (WIDTH + 1) ** BLOCKS rows of two numbers, whatever the input.
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / TILE).alias("n"))
-    tiles = stored(cells.join(F.broadcast(sizes), "cell")
-                   .groupBy("cell", F.pmod(F.xxhash64("fp"), F.col("n")).alias("chunk"))
-                   .agg(F.collect_list("fp").alias("fps")), "tiles")
+    tiles = (cells.join(F.broadcast(sizes), "cell")
+             .groupBy("cell", F.pmod(F.xxhash64("fp"), F.col("n")).alias("chunk"))
+             .agg(F.collect_list("fp").alias("fps")))
+    tiles = stored(tiles if most is None else packed(tiles, most), "tiles")
     left = tiles.select(F.col("cell").alias("from"), F.col("chunk").alias("c"), F.col("fps").alias("a"),
                         F.explode(_neighbours(F.col("cell"), radius)).alias("cell"))
     pairs = (left.join(tiles, "cell")
@@ -168,10 +169,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def _rooted(rows: DataFrame, radius: int) -> DataFrame:
     """``(fp, least, root)`` of each distinct fingerprint: the smallest id that
     has it, and the fingerprint that names its component."""
-    least = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(fingerprint_links(least.select("fp"), radius))
-    return stored(least.join(roots, F.col("fp") == F.col("node"), "left")
-                  .select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    most = rows.count()
+    least = stored(packed(rows.groupBy("fp").agg(F.min("id").alias("least")), most), "distinct")
+    roots = components(fingerprint_links(least.select("fp"), radius, most))
+    return stored(packed(least.join(roots, F.col("fp") == F.col("node"), "left")
+                         .select("fp", "least", F.coalesce("root", "fp").alias("root")), most), "rooted")
 
 
 def _key(c: Column) -> Column:

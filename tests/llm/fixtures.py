@@ -1,6 +1,7 @@
 """Small document tables with all awkward cases."""
 
 import random
+from contextlib import contextmanager
 
 from pyspark.sql import types as T
 
@@ -37,3 +38,17 @@ def awkward_rows(seed=3):
 def frame(spark, rows):
     return spark.createDataFrame([(d, t, lang, s, None if t is None else len(t), *["clash"] * len(CLASHES))
                                   for d, t, lang, s in rows], SCHEMA)
+
+
+@contextmanager
+def dealt_out(spark, parts=13):
+    """Shuffles have so many parts, which adaptive execution leaves alone."""
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(parts)}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)

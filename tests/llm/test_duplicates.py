@@ -6,8 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 from brute import repeats_removed, simhash_components
-from fixtures import frame, prose
+from fixtures import dealt_out, frame, prose
 
+import paperweave.llm.components as components_of
 import paperweave.llm.decontaminate as dc
 import paperweave.llm.simhash as sh
 import paperweave.llm.substrings as sub
@@ -38,6 +39,25 @@ def test_simhash_groups(docs, rows, spark):
     assert len({r.fingerprint for r in got}) > len({r.component_id for r in got})
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Tables of few rows are one file each after the first links, however many shuffle partitions there are."""
+    files, keep = [], components_of.stored
+
+    def seen(df, name):
+        out = keep(df, name)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    for module in (sh, components_of):
+        monkeypatch.setattr(module, "stored", seen)
+    near = near_rows()
+    with dealt_out(spark):
+        got = sh.near_duplicates(frame(spark, near)).collect()
+    assert Counter(map(tuple, got)) == Counter(simhash_components([(r[0], r[1]) for r in near]))
+    counts = [n for name, n in files if name in ("distinct", "tiles", "large", "small", "rooted")]
+    assert len(counts) >= 5 and set(counts) == {1}
+
+
 def test_tiles_of_one_cell_are_all_compared(monkeypatch, spark):
     """Small tiles and strips, a chain of fingerprints, and one far away."""
     monkeypatch.setattr(sh, "TILE", 4)

@@ -8,7 +8,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 from brute import all_secrets, quality_counts, simhash_components
-from fixtures import frame, prose
+from fixtures import dealt_out, frame, prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -286,6 +286,26 @@ def test_groups_are_joined_by_one_long(spark, monkeypatch):
     assert len(set(pools.values())) == len(pools) == 3 and all(isinstance(g, int) for g in pools.values())
 
 
+def test_small_tables_of_groups_are_few_files(spark, monkeypatch):
+    """A table with a row per group is a file for each TASK_GROUPS of them, however many shuffle partitions there are."""
+    rnd = np.random.default_rng(6)
+    x = [(g, *map(int, r)) for g in range(6) for r in np.rint(rnd.normal(size=(60, q.P)) * q.UNIT)]
+    rows = spark.createDataFrame(x, "_g long, " + ", ".join(f"_x{i} long" for i in range(q.P)))
+    files, keep = [], q.stored
+
+    def seen(df, name):
+        out = keep(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(q, "stored", seen)
+    with dealt_out(spark):
+        assert q.estimates(rows, 6).count() == 6
+        named = spark.createDataFrame([("en", f"en{i % 9}") for i in range(900)], "_lang string, _both string")
+        assert q._pools(named).rdd.getNumPartitions() == 1
+    assert files[:4 + q.STEPS] == [1] * (4 + q.STEPS)
+
+
 def test_filter_keeps_rows_and_columns(docs, rows):
     kept = q.quality_filter(docs)
     assert kept.columns == docs.columns
