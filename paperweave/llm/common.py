@@ -58,6 +58,13 @@ def packed(df: DataFrame, rows: int, part_rows: int = 16_384) -> DataFrame:
     return df.coalesce(1 + rows // part_rows)
 
 
+def gathered(df: DataFrame, rows: int, part_rows: int = 65_536) -> DataFrame:
+    """``df``, narrow and read from files, in no more parts than its ``rows`` rows need. What fits one part is then
+    grouped and joined in place: dealt out to all shuffle partitions, each of these would take a page of some
+    16 to 32 MB for every aggregate and sort to hold a few rows, and executors grow to all of their heap."""
+    return df.coalesce(1 + rows // part_rows)
+
+
 def stored_in_buckets(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
     """As ``stored``, bucketed by ``column``: grouping by it reads the files in
     place. ``df`` must be partitioned by the column into as many parts, so that

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperweave.llm.common import packed, stored
+from paperweave.llm.common import gathered, packed, stored
 
 
 def local_components(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
@@ -23,14 +23,15 @@ def local_components(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | N
 
 
 def _star(links: DataFrame, name: str, most: int) -> DataFrame:
-    """Link the neighbours of each node ``u``, of ``most`` at most, to the smallest of these and ``u``."""
+    """Link the neighbours of each node ``u`` to the smallest of these and ``u``; there are ``most`` links at most."""
+    links = gathered(links, most)
     least = stored(packed(links.groupBy("u").agg(F.min("v").alias("m")).select(
         "u", F.least("u", "m").alias("m")), most), name)
-    return links.join(least, "u")
+    return links.join(gathered(least, most), "u")
 
 
-def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``links(u, v)`` of comparable node ids to ``(node, root)``: the smallest
+def components(links: DataFrame, max_rounds: int = 50, most: int | None = None) -> DataFrame:
+    """``links(u, v)`` of comparable node ids, ``most`` of them if that is known, to ``(node, root)``: the smallest
     node of the component for every linked node but the root itself.
 
     Each round links every node's larger neighbours, then its smaller ones, to
@@ -38,8 +39,8 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     long chains. Both inputs of a round's join are stored tables, so AQE can
     split a hub. Links to itself and repeated ones don't matter; nulls are dropped.
     """
-    links = stored(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                   .distinct(), "links")
+    links = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    links = stored(links if most is None else packed(links, most), "links")
     state = _state(links)
     for _ in range(max_rounds):
         if not state[0]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from paperweave.llm.common import slices, stored, texts
+from paperweave.llm.common import gathered, slices, stored, texts
 
 LEAST_WORDS = 20             # fixed values of the base rules
 REPEAT_PERCENT = 30
@@ -272,12 +272,14 @@ def estimates(rows: DataFrame, most: int | None = None) -> DataFrame:
     the moments of all rows. Each is concentrated a few times, the one of the least determinant
     goes on; last, one reweighting by all that are near. A step is two aggregations by group and start,
     combined in the tasks, so a hot group is no larger than another one in the
-    shuffle. The bound of the nearest share is read off counts of distance bins."""
+    shuffle. The bound of the nearest share is read off counts of distance bins. ``rows`` is a stored table."""
+    rows = gathered(rows, rows.count())
     quartiles = [F.percentile(f"_x{i}", F.lit([0.25, 0.5, 0.75])).alias(f"p{i}") for i in range(P)]
     # The values are rounded to 1 / UNIT: a median's buffer holds some ten thousand of them at most.
     centre = rows.groupBy("_g").agg(F.count("*").alias("n"), *quartiles)
     centre = stored(centre if most is None else _few(centre, most), "medians")
     groups = centre.count()
+    centre = gathered(centre, groups)
     at = lambda i, k: F.col(f"p{i}")[k]
     spread = rows.join(_small(centre, groups), "_g").groupBy("_g").agg(
         *[F.percentile(F.abs(F.col(f"_x{i}") - at(i, 1)), 0.5).alias(f"d{i}") for i in range(P)])
@@ -289,7 +291,7 @@ def estimates(rows: DataFrame, most: int | None = None) -> DataFrame:
     for step in range(STEPS):
         if step == FIRST_STEPS:
             names = [c for c in est.columns if c not in ("_g", "_s", "det")]
-            best = est.groupBy("_g").agg(F.min(F.struct("det", "_s", *names)).alias("b"))
+            best = gathered(est, 3 * groups).groupBy("_g").agg(F.min(F.struct("det", "_s", *names)).alias("b"))
             est = stored(_few(best.select("_g", "b.*"), groups), "best")
         est = _concentrated(rows, est, sizes, 3 * groups)
     near = rows.join(_small(est.drop("n", "det"), groups), "_g").where(_distance() <= chi2_quantile(0.975, P))
@@ -313,10 +315,12 @@ def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, carr
     if not store:
         counted = with_counts(wide.select("_t", "_lang", "_both"), "_t", ["_lang", "_both"])
         narrow = stored(counted.where(~base_failed()).select("_lang", "_both", *_features()), "features")
+    narrow = gathered(narrow, narrow.count())
     pool = stored(_pools(narrow), "pools")
     pairs = pool.count()
+    pool = gathered(pool, pairs)
     est = estimates(stored(narrow.join(_small(pool, pairs), ["_lang", "_both"]).drop("_lang", "_both"), "grouped"), pairs)
-    table = pool.join(est.drop("n"), "_g", "left").drop("_g", "_lang").withColumnRenamed("_both", "_key")
+    table = pool.join(gathered(est.drop("n"), pairs), "_g", "left").drop("_g", "_lang").withColumnRenamed("_both", "_key")
     judged = rows.join(_small(table, pairs), F.col("_both") == F.col("_key"), "left").withColumn(
         "_distance", F.when(~F.col("_failed") & F.col("m0").isNotNull(), _distance()))
     kept = ~F.col("_failed") & (F.coalesce(F.col("_distance"), F.lit(0.0)) <= CUT)
@@ -356,11 +360,11 @@ def _pools(rows: DataFrame) -> DataFrame:
     """``(_lang, _both, _g)``: the number of the group that estimates each language and source."""
     sizes = stored(rows.groupBy("_lang", "_both").agg(F.count("*").alias("k")), "sizes")
     pairs = sizes.count()
-    one = sizes.withColumn("_g", F.when(F.col("k") >= LEAST_GROUP, F.col("_both")).otherwise(F.col("_lang")))
+    one = gathered(sizes, pairs).withColumn("_g", F.when(F.col("k") >= LEAST_GROUP, F.col("_both")).otherwise(F.col("_lang")))
     per = one.groupBy(F.col("_g").alias("g1")).agg(F.sum("k").alias("k1"))
     two = one.join(per, F.col("_g") == F.col("g1")).withColumn(
         "_g", F.when(F.col("k1") >= LEAST_GROUP, F.col("_g")).otherwise(F.lit("")))
     rest = two.groupBy(F.col("_g").alias("g2")).agg(F.sum("k").alias("k2"))
     # numbers must stay the same for all that read them
     rest = stored(_few(rest.where(F.col("k2") >= LEAST_GROUP), pairs).withColumn("_n", F.monotonically_increasing_id()), "groups")
-    return _few(two.join(rest, F.col("_g") == F.col("g2")).select("_lang", "_both", F.col("_n").alias("_g")), pairs)
+    return _few(two.join(gathered(rest, pairs), F.col("_g") == F.col("g2")).select("_lang", "_both", F.col("_n").alias("_g")), pairs)

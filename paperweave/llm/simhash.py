@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperweave.llm.common import packed, slices, stored, texts
+from paperweave.llm.common import gathered, packed, slices, stored, texts
 from paperweave.llm.components import components, local_components
 
 SEED = 42                    # of XXH64, fixed value
@@ -25,6 +25,8 @@ BLOCKS = 4
 WIDTH = 64 // BLOCKS
 TILE = 4096                  # fingerprints; larger cells are dealt to several tiles
 STRIP = 1 << 20              # comparisons at once
+BROADCAST_PRINTS = 1 << 18   # 2 MB of fingerprints; the tiles of more meet by a shuffle
+PART_ROWS = 2048             # whole documents that a task returns at least, if it can
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -114,6 +116,7 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, n
 def fingerprint_links(distinct: DataFrame, radius: int, most: int | None = None) -> DataFrame:
     """``distinct(fp)``, of ``most`` rows if that is known, to links ``(u, v)`` with the same components as all
     pairs that differ in at most ``radius`` bits."""
+    distinct = distinct if most is None else gathered(distinct, most)
     cells = distinct.select("fp", _cell(F.col("fp")).alias("cell"))
     # At most (WIDTH + 1) ** BLOCKS rows of two numbers, whatever the input.
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / TILE).alias("n"))
@@ -121,9 +124,11 @@ def fingerprint_links(distinct: DataFrame, radius: int, most: int | None = None)
              .groupBy("cell", F.pmod(F.xxhash64("fp"), F.col("n")).alias("chunk"))
              .agg(F.collect_list("fp").alias("fps")))
     tiles = stored(tiles if most is None else packed(tiles, most), "tiles")
-    left = tiles.select(F.col("cell").alias("from"), F.col("chunk").alias("c"), F.col("fps").alias("a"),
+    few = most is not None and most <= BROADCAST_PRINTS
+    dealt = tiles.repartition(1 + most // TILE) if few else tiles
+    left = dealt.select(F.col("cell").alias("from"), F.col("chunk").alias("c"), F.col("fps").alias("a"),
                         F.explode(_neighbours(F.col("cell"), radius)).alias("cell"))
-    pairs = (left.join(tiles, "cell")
+    pairs = (left.join(F.broadcast(tiles) if few else tiles, "cell")
              .where((F.col("from") != F.col("cell")) | (F.col("c") <= F.col("chunk")))
              .select("a", F.col("fps").alias("b")))
 
@@ -159,21 +164,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows.
     """
     rows = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    rooted = _rooted(rows, radius)
+    most = rows.count()
+    rooted = _rooted(rows, radius, most)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(rooted.join(named, "root").select("fp", "component_id"), "classes")
+    classes = stored(packed(rooted.join(named, "root").select("fp", "component_id"), most), "classes")
     return rows.join(classes, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _rooted(rows: DataFrame, radius: int) -> DataFrame:
-    """``(fp, least, root)`` of each distinct fingerprint: the smallest id that
-    has it, and the fingerprint that names its component."""
-    most = rows.count()
-    least = stored(packed(rows.groupBy("fp").agg(F.min("id").alias("least")), most), "distinct")
-    roots = components(fingerprint_links(least.select("fp"), radius, most))
-    return stored(packed(least.join(roots, F.col("fp") == F.col("node"), "left")
-                         .select("fp", "least", F.coalesce("root", "fp").alias("root")), most), "rooted")
+def _rooted(rows: DataFrame, radius: int, most: int) -> DataFrame:
+    """``(fp, least, root)`` of each distinct fingerprint of the stored ``rows``, ``most`` in all: the smallest id
+    that has it, and the fingerprint that names its component."""
+    least = stored(packed(gathered(rows, most).groupBy("fp").agg(F.min("id").alias("least")), most), "distinct")
+    roots = components(fingerprint_links(least.select("fp"), radius, most), most=most)
+    rooted = gathered(least, most).join(gathered(roots, most), F.col("fp") == F.col("node"), "left")
+    return gathered(stored(packed(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")), most), "rooted"), most)
 
 
 def _key(c: Column) -> Column:
@@ -192,8 +197,9 @@ def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     before it.
     """
     rows = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
+    most = rows.count()
     # Also its smallest fingerprint: rows with the same id may be in different groups.
-    keep = (rows.join(_rooted(rows, radius).select("fp", "root"), "fp").groupBy("root")
+    keep = (gathered(rows, most).join(_rooted(rows, radius, most).select("fp", "root"), "fp").groupBy("root")
             .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp")).alias("k"))
             .select(_key(F.col("k.id")).alias("_key"), F.col("k.fp").alias("_own")))
     names = [f"_c{i}" for i in range(len(docs.columns))]
@@ -207,5 +213,5 @@ def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp)], names=[*names, "_own"])
 
     printed = wide.mapInArrow(run, wide.select("*").schema.add("_own", T.LongType())).withColumn("_key", _key(F.col(id_name)))
-    return printed.dropDuplicates(["_key", "_own"]).join(keep, ["_key", "_own"], "left_semi").select(
-        *[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    kept = printed.dropDuplicates(["_key", "_own"]).join(keep, ["_key", "_own"], "left_semi")
+    return packed(kept, most, PART_ROWS).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

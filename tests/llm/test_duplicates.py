@@ -58,6 +58,40 @@ def test_small_tables_are_few_files(spark, monkeypatch):
     assert len(counts) >= 5 and set(counts) == {1}
 
 
+def test_few_documents_are_grouped_in_place(spark, monkeypatch):
+    """Few fingerprints are grouped and linked without all shuffle partitions, and few documents come back in few parts."""
+    files, keep = [], components_of.stored
+
+    def seen(df, name):
+        out = keep(df, name)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    for module in (sh, components_of):
+        monkeypatch.setattr(module, "stored", seen)
+    near = near_rows()
+    with dealt_out(spark):
+        left = sh.one_per_group(frame(spark, near))
+        assert left.rdd.getNumPartitions() == 1
+        got = Counter(r.doc_id for r in left.collect())
+    firsts = {c for _, _, c in simhash_components([(r[0], r[1]) for r in near])}
+    assert set(got) == firsts
+    assert {n for name, n in files if name != "fingerprints"} == {1} and "links" in dict(files)
+
+
+def test_few_tiles_meet_without_a_shuffle(spark, monkeypatch):
+    """Few fingerprints are broadcast to their neighbours; more than BROADCAST_PRINTS give the same components by a shuffle."""
+    prints = [sh.fingerprint(r[1].encode(), 3) for r in near_rows()]
+    df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in sorted(set(prints))], "fp long")
+    few = sh.fingerprint_links(df, 3, df.count())
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    roots = {r.node: r.root for r in components_of.components(few).collect()}
+    monkeypatch.setattr(sh, "BROADCAST_PRINTS", 0)
+    many = components_of.components(sh.fingerprint_links(df, 3, df.count()))
+    assert roots and roots == {r.node: r.root for r in many.collect()}
+
+
 def test_tiles_of_one_cell_are_all_compared(monkeypatch, spark):
     """Small tiles and strips, a chain of fingerprints, and one far away."""
     monkeypatch.setattr(sh, "TILE", 4)

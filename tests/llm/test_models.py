@@ -306,6 +306,27 @@ def test_small_tables_of_groups_are_few_files(spark, monkeypatch):
     assert files[:4 + q.STEPS] == [1] * (4 + q.STEPS)
 
 
+def test_few_rows_are_grouped_in_place(spark, monkeypatch):
+    """Few feature rows are grouped without all shuffle partitions, each of which would take pages of memory."""
+    rnd = random.Random(2)
+    tables, keep = [], q.stored
+
+    def seen(df, name):
+        if name != "features":
+            tables.append((name, df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning")))
+        out = keep(df, name)
+        tables.append((name, len(out.inputFiles()) - 1))
+        return out
+
+    pooled = frame(spark, [(i, prose(rnd, 80), "en", f"s{i}") for i in range(80)] + [(99, prose(rnd, 80).upper(), "en", "t")])
+    want = sorted(r.doc_id for r in q.quality_filter(pooled).collect())
+    monkeypatch.setattr(q, "stored", seen)
+    with dealt_out(spark):
+        got = sorted(r.doc_id for r in q.quality_filter(pooled).collect())
+    assert got == want == list(range(80))
+    assert {n for name, n in tables if name in ("sizes", "groups", "medians", "best", "estimate")} == {0}
+
+
 def test_filter_keeps_rows_and_columns(docs, rows):
     kept = q.quality_filter(docs)
     assert kept.columns == docs.columns
