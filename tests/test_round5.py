@@ -52,3 +52,20 @@ def test_exploration_in_cells_is_that_of_whole_graphs(spark, monkeypatch, hops):
     # no row per pair of a root and a node is joined or dealt out again
     top = got.nodes._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")
     assert len(top) == 2 and not any(x in top[0] for x in ("Join", "Aggregate", "Repartition"))
+
+
+def test_neighbours_of_many_seeds_are_those_of_each_direction(spark, monkeypatch):
+    from paperweave.operators import joins
+    from paperweave.plans import expand as plan
+    w, c, v = graph(spark)
+    w = w.unionByName(w.where("id in ('W3', 'W4')")).unionByName(spark.createDataFrame([(None, "t", 2000, None, "v", 1), ("W5", "t", 2000, None, "v", None)], WORK))
+    c = c.unionByName(c.limit(20)).unionByName(spark.createDataFrame([("W3", "W3"), ("W3", None), (None, "W4"), ("W9", "W5")], c.schema))
+    seeds = spark.createDataFrame([(f"W{i}",) for i in range(0, 70, 2)], "seed_id string")
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    works = seeds.where("seed_id < 'W60' or length(seed_id) < 3")
+    for ends, got in zip((("source_id", "target_id"), ("target_id", "source_id")), joins.both_neighbour_ids(w, c, works, 4, 4), strict=True):
+        assert rows(got) == rows(joins.neighbour_ids(w, c, works, *ends, 4))
+    few = expand(w, c, v, seeds, ref_limit=4, cite_limit=3)
+    monkeypatch.setattr(plan, "fits_broadcast", lambda df: False)
+    many = expand(w, c, v, seeds, ref_limit=4, cite_limit=3)
+    assert set(rows(many.edges)) == set(rows(few.edges)) and set(rows(many.nodes)) == set(rows(few.nodes))
