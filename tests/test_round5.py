@@ -69,3 +69,22 @@ def test_neighbours_of_many_seeds_are_those_of_each_direction(spark, monkeypatch
     monkeypatch.setattr(plan, "fits_broadcast", lambda df: False)
     many = expand(w, c, v, seeds, ref_limit=4, cite_limit=3)
     assert set(rows(many.edges)) == set(rows(few.edges)) and set(rows(many.nodes)) == set(rows(few.nodes))
+
+
+def test_few_codes_are_compared_in_blocks(spark, monkeypatch):
+    from paperweave.operators import lsh, similarity
+    rnd = random.Random(5)
+    rows = [(f"W{i}", [rnd.gauss(0, 1) for _ in range(6)]) for i in range(400)]
+    rows += [("W1", rows[7][1]), *((f"X{i}", rows[3][1]) for i in range(12)), ("Z", [0.0] * 6), ("N", None), ("E", []), (None, rows[9][1])]
+    v = spark.createDataFrame(rows, "paper_id string, embedding array<double>")
+    s = spark.createDataFrame([(f"W{i}",) for i in range(0, 400, 3)] + [("X2",), ("Z",), (None,)], "seed_id string")
+    got = lambda df: sorted((r.seed_id, str(r.id), r.score, r["rank"]) for r in df.collect())
+    ask = lambda: lsh.similar_approximate(v, s, limit=5, tables=4, bits=2, probes=1)
+    monkeypatch.setattr(similarity, "MIN_BLOCK_ROWS", 90)
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 90 * 8 * 6)
+    monkeypatch.setattr(lsh, "CHUNK_SCORES", 500)
+    blocks = ask()
+    assert "code" not in blocks._jdf.queryExecution().optimizedPlan().toString()      # no copy of a vector for each of its codes
+    dense = got(blocks)
+    monkeypatch.setattr(lsh, "_dense", lambda *_: False)
+    assert dense and dense == got(ask())
