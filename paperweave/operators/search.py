@@ -106,11 +106,14 @@ def build_title_index(works: DataFrame, stopwords=(), partitions: int | None = N
         "id", _drop_stopwords(tokens(F.col("title")), stopwords).alias("toks"))
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"),
                      F.coalesce(F.sum(F.size("toks")), F.lit(0)).alias("n_tokens"))
-    # the titles travel as they are, a fraction of their tokens' size
-    whole = works.where(F.col("title").isNotNull()).select("id", "title")
+    # the titles travel as they are, or as one text of their stems: a fraction of their tokens' size. Stems are made before
+    # that, since what leaves a Python function isn't known to be clustered any more
+    text = F.array_join(stems(_drop_stopwords(tokens(F.col("title")), stopwords)), " ") if stem else F.col("title")
+    whole = works.where(F.col("title").isNotNull()).select("id", text.alias("title"))
     by_id = whole.repartition(partitions, "id") if partitions else whole.repartition("id")
-    by_id = by_id.select("id", _drop_stopwords(tokens(F.col("title")), stopwords).alias("toks"))
-    tokens_of = by_id.select("id", F.size("toks").alias("doc_len"), F.explode(_stems_if(stem, F.col("toks"))).alias("term"))
+    toks = F.split("title", " ") if stem else _drop_stopwords(tokens(F.col("title")), stopwords)
+    by_id = (by_id.where(F.col("title") != "") if stem else by_id).select("id", toks.alias("toks"))
+    tokens_of = by_id.select("id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term"))
     postings = (tokens_of.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
                 .select("term", "id", "tf", "doc_len"))
     # each title's distinct tokens, counted per term straight from the scan:

@@ -1,6 +1,7 @@
 """Work that keeps within a machine's disk: exploration in cells, neighbours by two shuffles, vectors and texts moved once."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +89,20 @@ def test_few_codes_are_compared_in_blocks(spark, monkeypatch):
     dense = got(blocks)
     monkeypatch.setattr(lsh, "_dense", lambda *_: False)
     assert dense and dense == got(ask())
+
+
+def test_stemmed_postings_stay_where_their_title_is(spark):
+    from paperweave.functions.stem import porter
+    from paperweave.operators.search import bm25_top, build_title_index
+    titles = [("W1", "Networks of networking nodes"), ("W2", "the"), ("W3", ""), ("W4", "Cafés, cafe; 12"), ("W5", None), ("W1", "A network")]
+    w = spark.createDataFrame(titles, "id string, title string")
+    index = build_title_index(w, stopwords=("the", "of"), stem=True)
+    assert sorted((r.id, r.term, r.tf) for r in index.postings.collect()) == sorted(
+        [("W1", "network", 3), ("W1", porter("nodes"), 1), ("W1", "a", 1), ("W4", "cafe", 2)])
+    assert {r.doc_len for r in index.postings.where("id = 'W4'").collect()} == {2}
+    top = bm25_top(index, spark.createDataFrame([(1, "the networked cafe")], "query_id long, q string"), broadcast_terms=True)
+    assert {r.id for r in top.collect()} == {"W1", "W4"}
+    # titles are dealt out by id; neither postings nor scores by pairs of a title and a term or query
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    dealt = [re.sub(r"#\d+L?", "", line.split("hashpartitioning(")[1].split(")")[0]) for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert any(d.startswith("id, ") for d in dealt) and not any(d.startswith(("id, term", "term, id", "query_id, id", "id, query_id")) for d in dealt), dealt
